@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import python_batches, texts, written
 
-MEMO = 1_000_000  # words that a Python worker remembers
+MEMO = 600_000  # of each kind that a Python worker remembers
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -25,27 +26,38 @@ class Encoder:
     all others, and files with other rules, go through the tokenizer whole.
     """
 
-    _parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\sa-zA-Z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼-¾]+|[²³¹¼-¾]")
-    _odd = re.compile("[\x1c-\x1fİɐ-\U0010ffff<]")  # < begins the names of special tokens; \\s has U+001C..1F here only
+    _parts = re.compile(r"[a-zß-öø-ɏªµº]+|'(?:s|t|re|ve|m|ll|d)|\d|[^\sa-zA-Z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼-¾]+|[²³¹¼-¾]")
+    _odd = re.compile("[\x1c-\x1fɐ-\U0010ffff<]")  # white space in Python only; signs above; < begins the names of special tokens
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # between white space, which no part crosses
+        self.parts: dict[str, bytes] = {}
         self.by_part = bool((m := self.whole.to_str()) and '"</w>"' in m and "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in m and '"Lowercase"' in m)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.by_part and not self._odd.search(t) for t in texts]
-        parts = [self._parts.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list({w for p in parts if p for w in p if w not in memo})
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
+        low = [t.lower() for t in texts]
+        plain = [self.by_part and not self._odd.search(t) for t in low]
+        chunks = [t.split() if p else () for t, p in zip(low, plain, strict=True)]
+        if len(self.chunks) > MEMO:
+            self.chunks = {}
+        self._learn(set().union(*chunks).difference(self.chunks))
         rest = iter(self.whole.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [b"".join([memo[w] for w in p]) if p is not None else np.array(next(rest).ids, "<u4").tobytes() for p in parts]
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, c)) if p else np.array(next(rest).ids, "<u4").tobytes() for c, p in zip(chunks, plain, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.parts) > MEMO:
+            self.parts = {}
+        split = {c: self._parts.findall(c) for c in new}
+        unseen = list(set().union(*split.values()).difference(self.parts))
+        for w, e in zip(unseen, self.whole.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
+            self.parts[w] = np.array(e.ids, "<u4").tobytes()
+        for c, p in split.items():
+            self.chunks[c] = b"".join([self.parts[w] for w in p])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

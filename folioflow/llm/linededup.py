@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -70,6 +71,12 @@ def repeated_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", tex
     return lost.groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("at")).alias("drop"))
 
 
+def _without(text: str, drop: list[int] | None) -> tuple[int, int, str]:
+    lines = text.split("\n")
+    gone = set(() if drop is None else drop)
+    return len(lines), len(gone), "\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text
+
+
 def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 1 << 30) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept string) for every row of ``docs``: its text without repeated lines.
 
@@ -84,12 +91,22 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
         for b in batches:
             n, dropped, kept = [], [], []
             for text, drop in zip(b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True):
-                lines = text.split("\n")
-                gone = set(drop or ())
-                n.append(len(lines))
-                dropped.append(len(gone))
-                kept.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text)
+                for column, x in zip((n, dropped, kept), _without(text, drop), strict=True):
+                    column.append(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
 
     joined = rows.join(drop.hint("shuffle_hash"), ["doc_id", "rid"], "left").select("doc_id", "text", "drop")
     return joined.mapInArrow(keep, "doc_id long, n_lines long, n_dropped long, kept string")
+
+
+def drop_repeated_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 1 << 30) -> DataFrame:
+    """``docs`` with all its rows and columns, the text without repeated lines. Null texts stay null."""
+    drop = repeated_lines(docs, least, id_col, text_col, most_bits).select(F.struct("doc_id", "rid").alias("_folioflow_row"), F.col("drop").alias("_folioflow_drop"))
+    row = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("rid"))
+    joined = docs.withColumn("_folioflow_row", row).join(drop.hint("shuffle_hash"), "_folioflow_row", "left")
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, drop: pd.Series) -> pd.Series:
+        return pd.Series([t if d is None else _without(t, d)[2] for t, d in zip(text, drop, strict=True)], dtype=object)
+
+    return joined.withColumn(text_col, kept(F.col(text_col), F.col("_folioflow_drop"))).select(*docs.columns)

@@ -53,6 +53,15 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``embeddings`` as a recording; queries are the ids divisible by 100, against all rows."""
+    from .media import align_recordings, fingerprints, render
+
+    prints = fingerprints(render(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    out = align_recordings(prints, F.col("rec_id") % 100 == 0)
+    return out.select(F.col("query").alias("query_id"), F.col("match").alias("match_id"), "copies", "offset", "aligned", F.round("bit_errors", 6).alias("bit_errors"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
 
@@ -96,7 +105,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_benchmark_decontamination, op4_chat_formatting, op6_line_dedup, op7_substring_dedup, op8_url_filter, op9_best_fit_packing, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_benchmark_decontamination, op4_chat_formatting, op5_media_fingerprints, op6_line_dedup, op7_substring_dedup, op8_url_filter, op9_best_fit_packing, op10_ngram_jaccard_join)
 }
 
 ORACLES: dict[str, str] = {

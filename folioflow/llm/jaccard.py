@@ -15,13 +15,14 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, python_batches, texts, written
 
 PARTS, LEFT_OUT = 3, 1  # of a group; subsets of PARTS - LEFT_OUT parts are enumerated
 _SUBSETS = list(itertools.combinations(range(PARTS), PARTS - LEFT_OUT))
+_FIRST = [[x[p] for x in _SUBSETS] for p in range(PARTS - LEFT_OUT)]
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,19 +82,31 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
             continue
         groups = k // (LEFT_OUT + 1) + 2
         cell = (_mix(elements + np.uint64(b)) % np.uint64(groups * PARTS)).astype(np.int64)
-        order = np.argsort(cell)
-        sizes = np.bincount(cell, minlength=groups * PARTS)
-        upto = np.concatenate([[np.uint64(0)], np.cumsum(mixed[order])])  # sums wrap around, differences are right
-        ends = np.cumsum(sizes)
-        sums = (upto[ends] - upto[ends - sizes]).reshape(groups, PARTS)
-        full = (sizes.reshape(groups, PARTS)[:, _SUBSETS] > 0).any(axis=2)
-        h = np.arange(b << 40, (b << 40) + groups * len(_SUBSETS), dtype=np.uint64).reshape(groups, len(_SUBSETS)) * _M
+        sums = np.zeros(groups * PARTS, np.uint64)
+        np.add.at(sums, cell, mixed)
+        full = (np.bincount(cell, minlength=groups * PARTS).reshape(groups, PARTS)[:, _SUBSETS] > 0).any(axis=2)
+        h = np.arange(b << 40, (b << 40) + groups * len(_SUBSETS), dtype=np.uint64).reshape(groups, len(_SUBSETS))
         for p in range(PARTS - LEFT_OUT):
-            h = _mix(h * _M + sums[:, [x[p] for x in _SUBSETS]])
+            h = h * _M + sums.reshape(groups, PARTS)[:, _FIRST[p]]
+        h = _mix(h)
         out.append(h[full] if (~full.all(axis=1)).sum() <= 1 else h.ravel())
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """A bit for each of about 1.5 to 3 cells a set element: whether the cell has an odd number of elements. Two sets
+    differ in at least as many elements as cells."""
+    cells = max(64, 1 << (3 * len(elements) // 2).bit_length())
+    odd = np.bincount((_mix(elements) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _unequal_cells(a: Column, b: Column) -> Column:
+    """Cells in which two arrays of parities differ; if one has twice the cells, its halves are added first."""
+    half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+    return F.aggregate(F.zip_with(half(a, b), half(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with ``common`` and the two sizes; the arrays travel once for each pair and side."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("s_a")), "a")
@@ -118,8 +131,8 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 
     Links are found in two steps that together lose none. First every signature's members are compared with the
     smallest of them only. Then, in signatures whose members have not met in one component, the pairs from
-    different components are compared, unless their distances to that smallest member (distance is a metric)
-    already prove them too far apart.
+    different components are compared, unless their parities (a short bitmap of each set, which bounds from below
+    in how many elements two sets differ) already prove them too far apart.
     """
     rows = texts(docs, id_col, text_col)
     python_batches(rows)
@@ -154,21 +167,22 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     def pick(batches):
         for b in batches:
             sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "elements"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["node", "n", "elements", "odd"])
 
-    sets = written(rows.join(part, ["doc_id", "rid"], "left_semi").select("doc_id", "text").mapInArrow(pick, "node long, n long, elements binary").dropDuplicates(["node", "n"]), "elements")
+    sets = written(rows.join(part, ["doc_id", "rid"], "left_semi").select("doc_id", "text").mapInArrow(pick, "node long, n long, elements binary, odd array<long>").dropDuplicates(["node", "n"]), "elements")
     is_link = F.expr(f"common * {den} >= (n_a + n_b - common) * {num}")
     tested = written(_similar(stars, sets), "tested")
     links = tested.where(is_link)
     now = components(links.select("a", "b"))
 
     # members of one signature that have not met
-    far = tested.select("a", "b", (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
-    at = hits.join(now, "node", "left").withColumn("component", F.coalesce("component", "node")).join(pivots, "sig")
+    at = hits.join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = at.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-    at = written(at.join(apart, "sig").join(far, (F.col("pivot") == far.a) & (F.col("node") == far.b), "left").select("sig", "node", "component", F.coalesce("d", F.lit(0.0)).alias("d")), "apart")
-    other = at.select("sig", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "d")))
-    met = at.join(other, "sig").where((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & (F.abs(F.col("d") - F.col("d_b")) <= 1 - num / den + 1e-9))
+    at = written(at.join(apart, "sig").join(sets.select("node", "n", "odd"), "node"), "apart")
+    other = at.select("sig", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "odd")))
+    near = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & F.expr(f"n * {den} >= n_b * {num} and n_b * {den} >= n * {num}")
+    may_link = _unequal_cells(F.col("odd"), F.col("odd_b")) * (den + num) <= (F.col("n") + F.col("n_b")) * (den - num)
+    met = at.join(other, "sig").where(near & may_link)
     more = met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     late = written(_similar(more, sets).where(is_link), "late")
 

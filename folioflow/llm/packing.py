@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import python_batches, texts, written
 
-MEMO = 600_000  # of each kind that a Python worker remembers
+MEMO = 1_000_000  # of each kind that a Python worker remembers
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -36,6 +36,9 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.chunks: dict[str, bytes] = {}  # between white space, which no part crosses
         self.parts: dict[str, bytes] = {}
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.by_part = bool((m := self.whole.to_str()) and '"</w>"' in m and "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in m and '"Lowercase"' in m)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -54,8 +57,11 @@ class Encoder:
             self.parts = {}
         split = {c: self._parts.findall(c) for c in new}
         unseen = list(set().union(*split.values()).difference(self.parts))
-        for w, e in zip(unseen, self.whole.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self.parts[w] = np.array(e.ids, "<u4").tobytes()
+        if unseen:  # all at once: an id whose token ends with </w> is the last one of its part
+            ids = np.array(self.whole.encode(" ".join(unseen), add_special_tokens=False).ids, "<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            raw = ids.tobytes()
+            self.parts.update(zip(unseen, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         for c, p in split.items():
             self.chunks[c] = b"".join([self.parts[w] for w in p])
 

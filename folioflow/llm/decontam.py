@@ -65,7 +65,7 @@ class Items:
     def grams(self, w: np.ndarray) -> np.ndarray:
         """Of word numbers; shorter sequences are one gram. Distinct for distinct grams of up to 2**20 words."""
         n = min(self.n, len(w))
-        out = np.zeros(max(0, len(w) - n + 1), np.int64)
+        out = np.zeros(len(w) - n + 1 if n else 0, np.int64)
         for i in range(n):
             out = (out << 20) + w[i : i + len(out)]
         return out

@@ -14,7 +14,7 @@ def subtree_coverage(pages: DataFrame, roots: DataFrame) -> DataFrame:
 
     One join for each level of the tree; each level is written, so the lineage stays short and executors may be lost.
     """
-    live = pages.select("page_id", "parent_id", "space_id")
+    live, roots = pages.select("page_id", "parent_id", "space_id"), roots.select("root_type", "root_id").distinct()
     spaces = roots.where("root_type = 'space'").join(live, F.col("root_id") == F.col("space_id")).select("root_type", "root_id", "page_id")
     frontier = roots.where("root_type = 'page'").join(live, F.col("root_id") == F.col("page_id")).select("root_type", "root_id", "page_id").distinct()
     seen = frontier = written(frontier, "level")

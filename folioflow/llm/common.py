@@ -1,44 +1,27 @@
-"""What several training-data operators share: written tables, row identity, once/twice Bloom filters
+"""What several training-data operators share: row identity, once/twice Bloom filters
 and connected components."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_dir, written
+
+__all__ = ["BLANKS", "components", "filter_bits", "python_batches", "seen_twice", "shared_dir", "texts", "twice_filter", "written"]
+
 #: ASCII white space of the text contracts: space and U+0009..U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's
-    checkpoint folder; a temporary folder only where neither is set (local runs and tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: cuts the lineage, survives the loss of
-    an executor and gives later joins real sizes."""
-    path = f"{shared_dir(df.sparkSession)}/folioflow/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, rid long, text string): the two columns that text operators read, under fixed names, so
     that further columns of ``docs`` never clash. Null texts become empty. (doc_id, rid) names a row's content:

@@ -19,7 +19,8 @@ from .common import python_batches, seen_twice, texts, twice_filter, written
 from .jaccard import _mix
 
 GRAM = 5  # words of the n-grams whose least hash is a window's minimizer
-SHARD = 40_000  # segments of a task
+SHARD = 20_000  # segments of a task
+ALL = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -47,6 +48,13 @@ def minimizers(h: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, rid) of documents whose whole text a smaller id has too."""
+    each = rows.select("doc_id", "rid", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+    first = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return each.join(first, "digest").where("doc_id > first").select("doc_id", "rid").distinct()
+
+
 def segments(docs_rows: DataFrame, window: int, most_bits: int = 1 << 30) -> DataFrame:
     """(m, doc_id, rid, start, words string): each run of a document's windows with one minimizer that other
     documents seem to have, from word ``start``, words joined by one space."""
@@ -107,6 +115,10 @@ def recurring(found: DataFrame, window: int) -> DataFrame:
     return each.groupBy("m", "one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
 
 
+def _sign(n: int) -> str:
+    return chr(n if n < 0xD800 else n + 0x800)  # no surrogates; a shard has far fewer words than there are signs
+
+
 def occurrences(found: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
     """(doc_id, rid, start, end): the words that ``phrases`` of smaller ids cover, one row for each run.
 
@@ -127,34 +139,35 @@ def occurrences(found: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
         none = pa.table({n: pa.array([], pa.int64()) for n in names})
         if not known.num_rows or not segs.num_rows:
             return none
-        firsts = dict(zip(zip(known.column("one").to_pylist(), known.column("two").to_pylist(), strict=True), known.column("first").to_pylist(), strict=True))
         each = [w.encode().split(b" ") for w in segs.column("words").to_pylist()]
-        numbers: dict[bytes, int] = {}
-        tuples = [tuple([numbers.setdefault(x, len(numbers)) for x in w]) for w in each]
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         one, two, seg, at = _windows(each, window)
-        for key, s, i in zip(zip(one.view(np.int64).tolist(), two.view(np.int64).tolist(), strict=True), seg.tolist(), at.tolist(), strict=True):
-            if (first := firsts.pop(key, None)) is not None:  # its words are here: compile the phrase
-                automaton.add_word(tuples[s][i : i + window], first)
-        if not len(automaton):
+        ones, twos, firsts = (known.column(c).to_numpy() for c in ("one", "two", "first"))
+        order = np.lexsort((twos, ones))
+        key = np.dtype([("one", np.int64), ("two", np.int64)])
+        index = np.rec.fromarrays([ones[order], twos[order]], dtype=key)
+        asked, place = np.unique(np.rec.fromarrays([one.view(np.int64), two.view(np.int64)], dtype=key), return_index=True)
+        found = np.minimum(np.searchsorted(index, asked), len(index) - 1)
+        here = index[found] == asked  # phrases whose words are here
+        if not here.any():
             return none
+        # each distinct word of the shard is one sign of the automaton's alphabet; sign 0 stands between segments
+        signs: dict[bytes, str] = {}
+        said = ["".join([signs.get(x) or signs.setdefault(x, _sign(len(signs) + 1)) for x in w]) for w in each]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for s, i, first in zip(seg[place[here]].tolist(), at[place[here]].tolist(), firsts[order][found[here]].tolist(), strict=True):
+            automaton.add_word(said[s][i : i + window], first)
         automaton.make_automaton()
-        out: tuple[list, ...] = ([], [], [], [])
-        for words, doc_id, rid, start in zip(tuples, *(segs.column(c).to_pylist() for c in ("doc_id", "rid", "start")), strict=True):
-            lo = hi = -1
-            for end, first in automaton.iter(words):
-                if first < doc_id:
-                    if hi >= end + 1 - window:
-                        hi = end + 1
-                        continue
-                    if hi > 0:
-                        for column, x in zip(out, (doc_id, rid, start + lo, start + hi), strict=True):
-                            column.append(x)
-                    lo, hi = end + 1 - window, end + 1
-            if hi > 0:
-                for column, x in zip(out, (doc_id, rid, start + lo, start + hi), strict=True):
-                    column.append(x)
-        return pa.table(dict(zip(names, (pa.array(c, pa.int64()) for c in out), strict=True)))
+        starts = np.cumsum([0, *(len(x) + 1 for x in said)])
+        matches = np.array(list(automaton.iter("\0".join(said))), np.int64).reshape(-1, 2)
+        of = np.searchsorted(starts, matches[:, 0], side="right") - 1
+        later = matches[:, 1] < segs.column("doc_id").to_numpy()[of]
+        of, end = of[later], (matches[:, 0] - starts[of])[later] + 1
+        if not len(of):
+            return none
+        new = np.concatenate([[True], (of[1:] != of[:-1]) | (end[1:] - end[:-1] > window)])  # runs of covered words
+        first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(of)) - 1
+        rows, start = of[first], segs.column("start").to_numpy()[of[first]]
+        return pa.table({"doc_id": segs.column("doc_id").take(rows), "rid": segs.column("rid").take(rows), "start": pa.array(start + end[first] - window), "end": pa.array(start + end[last])})
 
     by = ["shard", "part"]
     return cut.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(locate, "doc_id long, rid long, start long, end long")
@@ -165,11 +178,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     a window covers whose words also start in a document with a smaller id.
 
     Words are what stands between ASCII white space, unchanged; null and empty texts have none. Windows are judged
-    on the input. Rows with the same id count as one document; null ids neither hold nor lose words.
+    on the input; of texts that are equal as a whole, only the smallest id's goes further. Rows with the same id count as one document; null ids neither hold nor lose words.
     """
     rows = texts(docs, id_col, text_col)
-    found = written(segments(rows.where("doc_id is not null"), window, most_bits), "segments")
+    known = rows.where("doc_id is not null")
+    again = written(copies(known), "copies")  # every window of a copy starts in its original too
+    small = again.count() <= 2_000_000  # 32 MB at most
+    found = written(segments(known.join(F.broadcast(again) if small else again, ["doc_id", "rid"], "left_anti"), window, most_bits), "segments")
     cover = occurrences(found, written(recurring(found, window), "phrases"), window)
+    cover = cover.unionByName(again.select("doc_id", "rid", F.lit(0).cast("long").alias("start"), F.lit(ALL).alias("end")))
     cover = cover.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
     python_batches(rows)
 
@@ -180,8 +197,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 words = words_of(text)
                 n.append(len(words))
                 stay = bytearray(b"\1") * len(words)
-                for c in cover or ():
-                    stay[c["start"] : c["end"]] = bytes(c["end"] - c["start"])
+                for c in cover or () if len(words) >= window else ():
+                    end = min(c["end"], len(words))
+                    stay[c["start"] : end] = bytes(end - c["start"])
                 removed.append(len(words) - sum(stay))
                 kept.append(b" ".join([w for w, s in zip(words, stay, strict=True) if s] if cover else words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])

@@ -80,13 +80,14 @@ def ttl_replay(asks: DataFrame, key: str = "key", at: str = "ts", ident: str = "
 
 
 class RateLimiter(StatefulProcessor):
-    """``limit_hits`` for transformWithStateInPandas; the accepted times are the state, gone after the window."""
+    """``limit_hits`` for transformWithStateInPandas; the accepted times (``most`` at most) are a key's state. With
+    ``forget_ms``, keys idle for so long by the clock are forgotten: for live streams, not for replays of old ones."""
 
-    def __init__(self, most: int = 20, seconds: int = 60):
-        self.most, self.seconds = most, seconds
+    def __init__(self, most: int = 20, seconds: int = 60, forget_ms: int | None = None):
+        self.most, self.seconds, self.forget_ms = most, seconds, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("accepted", StructType([StructField("t", LongType())]), ttlDurationMs=self.seconds * 1000)
+        self.times = handle.getListState("accepted", StructType([StructField("t", LongType())]), ttlDurationMs=self.forget_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         accepted = [t[0] for t in self.times.get()] if self.times.exists() else []
@@ -122,9 +123,9 @@ class Replayer(StatefulProcessor):
         pass
 
 
-def stream_rate_limit(hits: DataFrame, most: int = 20, seconds: int = 60) -> DataFrame:
+def stream_rate_limit(hits: DataFrame, most: int = 20, seconds: int = 60, forget_ms: int | None = None) -> DataFrame:
     """The streaming twin of ``rate_limit``, over (key, hit_id, ts). Needs the RocksDB state store."""
-    return hits.groupBy("key").transformWithStateInPandas(RateLimiter(most, seconds), "key string, hit_id long, ts timestamp, allowed boolean", "Append", "ProcessingTime")
+    return hits.groupBy("key").transformWithStateInPandas(RateLimiter(most, seconds, forget_ms), "key string, hit_id long, ts timestamp, allowed boolean", "Append", "ProcessingTime")
 
 
 def stream_ttl_replay(asks: DataFrame, seconds: int = 300) -> DataFrame:

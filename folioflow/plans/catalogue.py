@@ -23,6 +23,7 @@ from ..sources import pages as P
 from ..sources import registry as G
 from ..streaming import state as S
 from . import inputs as I
+from . import retrieve as Z
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -740,6 +741,26 @@ def baseline_rank(spark, d):
     return E.baseline_rank(cases, I.registry(spark, d).withColumn("position", F.col("page_id")))
 
 
+@query()
+def build_index(spark, d):
+    """HTML pages to embedded, linked chunks."""
+    pages = I.table(spark, d, "pages").select("page_id", F.col("html").alias("body"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"))
+    out = Z.build_chunks(pages, Z.bag_embedder())
+    return out.select("page_id", "kind", "seq", "tokens", "stable_key", "parent_key", F.sha2(F.encode("retrieval_text", "UTF-8"), 256).alias("retrieval_sha256"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"))
+
+
+@query()
+def retrieve_pages(spark, d):
+    """Benchmark passages as questions over all documents: keyword and vector lists to the reranked top five."""
+    chunks = I.chunks(spark, d).withColumn("title", F.col("source_id")).withColumn("seq", F.lit(0))
+    chunks = written(K.embed_texts(chunks, Z.bag_embedder()), "embedded")
+    asked = K.embed_texts(_questions(spark, d), Z.bag_embedder()).withColumnRenamed("embedding", "vec")
+    every = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda x: F.concat(F.lit("src"), x.cast("string")))
+    asked = asked.withColumns({"space_trust": F.when(F.col("query_id") % 10 == 0, F.col("query_id") % 20), "principal": F.when(F.col("query_id") % 2 == 0, F.lit("u1")), "sources": every, "scopes": F.when(F.col("query_id") % 3 == 0, _lit_array("en", "general")).otherwise(_lit_array("*"))})
+    restricted = chunks.where("page_id % 7 = 0").select("page_id", F.lit("u1").alias("principal"))
+    return Z.hybrid_retrieve(asked, chunks, _postings(spark, d), chunks.select("page_id", "space_id"), restricted).select("query_id", "page_id", "rank", "score")
+
+
 def flagship(spark, d):
     """Keyword retrieval of benchmark questions, scored against the documents that contain the passage."""
     ranked = keyword_search(spark, d).select(F.col("query_id").alias("case_id"), "rank", F.col("page_id").alias("id"))

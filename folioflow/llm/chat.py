@@ -46,18 +46,20 @@ def branches(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     nodes = messages.select("conv", "msg", F.when(F.col("parent") < F.col("msg"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     there = nodes.select(F.col("conv").alias("p_conv"), F.col("msg").alias("p_msg"))
     nodes = nodes.join(there, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("parent") == F.col("p_msg")), "left")
-    jumps = [written(nodes.select("conv", "msg", F.col("p_msg").alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")), "jump")]
-    while jumps[-1].where("up is not null").limit(1).count():
-        now = jumps[-1]
-        far = now.select(F.col("conv").alias("p_conv"), F.col("msg").alias("p_msg"), F.col("up").alias("p_up"), F.col("n").alias("p_n"), F.col("total").alias("p_total"))
-        step = now.join(far, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("up") == F.col("p_msg")), "left")
-        jumps.append(written(step.select("conv", "msg", F.col("p_up").alias("up"), (F.col("n") + F.coalesce("p_n", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("p_total", F.lit(0.0))).alias("total")), "jump"))
-    parents = jumps[0].where("up is not null").select(F.col("conv").alias("p_conv"), F.col("up").alias("p_msg")).distinct()
-    leaves = jumps[-1].join(parents, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("msg") == F.col("p_msg")), "left_anti")
+    first = written(nodes.select("conv", "msg", F.col("p_msg").alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")), "jump")
+    done, now, jumps = first.where("up is null"), first.where("up is not null"), []
+    while now.limit(1).count():  # only messages that haven't reached their root go on
+        jumps.append(now)
+        far = done.unionByName(now).select(F.col("conv").alias("p_conv"), F.col("msg").alias("p_msg"), F.col("up").alias("p_up"), F.col("n").alias("p_n"), F.col("total").alias("p_total"))
+        step = now.join(far, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("up") == F.col("p_msg")))
+        step = written(step.select("conv", "msg", F.col("p_up").alias("up"), (F.col("n") + F.col("p_n")).alias("n"), (F.col("total") + F.col("p_total")).alias("total")), "jump")
+        done, now = done.unionByName(step.where("up is null")), step.where("up is not null")
+    parents = first.where("up is not null").select(F.col("conv").alias("p_conv"), F.col("up").alias("p_msg")).distinct()
+    leaves = done.join(parents, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("msg") == F.col("p_msg")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("total"), "msg"))).where(F.col("rank") <= per_tree)
     paths = ranked.select("conv", F.col("msg").alias("leaf"), F.col("n").alias("depth"), "total", "rank", "msg", (F.col("n") - 1).alias("pos"))
-    for r, jump in enumerate(jumps[:-1]):
-        far = jump.where("up is not null").select(F.col("conv").alias("p_conv"), F.col("msg").alias("p_msg"), "up")
+    for r, jump in enumerate(jumps):
+        far = jump.select(F.col("conv").alias("p_conv"), F.col("msg").alias("p_msg"), "up")
         above = paths.join(far, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("msg") == F.col("p_msg")))
         paths = written(paths.unionByName(above.select("conv", "leaf", "depth", "total", "rank", F.col("up").alias("msg"), (F.col("pos") - 2**r).alias("pos"))), "paths")
     return paths

@@ -59,7 +59,7 @@ def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     prints = fingerprints(render(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     out = align_recordings(prints, F.col("rec_id") % 100 == 0)
-    return out.select(F.col("query").alias("query_id"), F.col("match").alias("match_id"), "copies", "offset", "aligned", F.round("bit_errors", 6).alias("bit_errors"))
+    return out.select(F.col("match").alias("vec_id"), "copies", F.col("query").alias("query_id"), "offset", "aligned", F.round("bit_errors", 6).alias("bit_errors"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,7 @@ def test_recordings_align_in_spite_of_offset_and_noise(spark):
     hit = [found.get((i, 1000 + i)) for i in range(20)]
     assert sum(h is not None and h.offset == 5 for h in hit) >= 18  # recall of 0.9 at least
     assert not [k for k in found if k[1] != 1000 + k[0]]
+    assert len({r.match for r in got}) == len(got)
     assert prints.where("rec_id = 3000").first().codes == []
 
 

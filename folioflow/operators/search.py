@@ -54,14 +54,16 @@ def keyword_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, v
 
 def dense_search(queries: DataFrame, vectors: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, block: int = 4096) -> DataFrame:
     """(query_id, chunk_id, page_id, distance, rank): the ``k`` nearest rows of each query by cosine distance, then page and
-    chunk; ``visible`` gives a matrix of what each query may see of a batch. Exact. Blocks of at most ``block`` queries are
+    chunk; ``visible`` gives a matrix of what each query may see of a batch. Exact. Blocks of about ``block`` queries (by hashed id) are
     broadcast as one matrix; each batch keeps its own ``k`` best, so few rows a query and task are shuffled."""
     spark = vectors.sparkSession
-    asked = queries.orderBy("query_id").toPandas()
+    blocks = max(1, -(-queries.count() // block))
     schema = "query_id long, chunk_id long, page_id long, distance double"
     out = spark.createDataFrame([], schema)
-    for at in range(0, len(asked), block):
-        part = asked.iloc[at : at + block].reset_index(drop=True)
+    for at in range(blocks):  # the driver holds one block at a time
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).toPandas()
+        if not len(part):
+            continue
         held = spark.sparkContext.broadcast((part, _unit(np.stack(part["vec"].map(np.asarray)))))
 
         def near(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:

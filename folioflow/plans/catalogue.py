@@ -454,7 +454,7 @@ _KEYS = """asked AS (SELECT CASE WHEN event_type = 'space_updated' THEN 'reconci
 first AS (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY event_id) = 1)"""
 
 
-@query(f"WITH {I.EVENTS}, {_KEYS} SELECT idempotency_key, priority, event_id, CAST(row_number() OVER (ORDER BY priority, event_id // 100, idempotency_key) AS INT) AS position FROM first")
+@query(f"WITH {I.EVENTS}, {_KEYS} SELECT idempotency_key, priority, event_id, row_number() OVER (ORDER BY priority, event_id // 100, idempotency_key) AS position FROM first")
 def requests_in_order(spark, d):
     asked = N.requests(_inserted(spark, d), 1).withColumn("available_at", F.expr("event_id div 100"))
     return N.request_order(asked).select("idempotency_key", "priority", "event_id", "position")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import event_payload_hash
 from ..operators.filters import DELETE_EVENTS, SPACE_EVENTS
+from ..operators.tables import numbered
 
 
 _TOP = "id string, spaceId string, status string, version struct<number string>"
@@ -79,4 +80,4 @@ def requests(events: DataFrame, schema_version: int, present: DataFrame | None =
 
 def request_order(waiting: DataFrame) -> DataFrame:
     """By priority, then time, then key (deletes before syncs)."""
-    return waiting.withColumn("position", F.row_number().over(Window.orderBy("priority", "available_at", "idempotency_key")))
+    return numbered(waiting, ("priority", "available_at", "idempotency_key"))

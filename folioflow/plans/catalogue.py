@@ -63,7 +63,7 @@ def normalize_text(spark, d):
 WITH c AS (SELECT doc_id, lang, source, text, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'About ' || lang ELSE 'Sorry, I cannot access the page' END AS ctx FROM documents),
 k AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN source ELSE source || ' — ' || lang || ' > x' END AS prefix, CASE WHEN doc_id % 3 = 1 THEN ctx ELSE '' END AS kept FROM c)
 SELECT doc_id, kept AS context, prefix, sha256(prefix || CASE WHEN kept = '' THEN '' ELSE chr(10) || kept END || chr(10) || chr(10) || coalesce(text, '')) AS retrieval_sha256,
-  length(substr(source || ' ' || coalesce(text, ''), 1, 4000)) AS rerank_chars FROM k""")
+  CAST(length(substr(source || ' ' || coalesce(text, ''), 1, 4000)) AS INT) AS rerank_chars FROM k""")
 def retrieval_text(spark, d):
     docs = I.table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     path = F.when(F.col("doc_id") % 5 == 0, F.array("source")).otherwise(F.array(F.col("lang"), F.lit(""), F.lit("x")))
@@ -177,7 +177,7 @@ def heading_paths(spark, d):
 @query(f"""WITH {I.BLOCKS}, s AS (SELECT *, CAST(sum(CAST(kind = 'heading' AS INT)) OVER (PARTITION BY page_id ORDER BY pos) AS INT) AS section FROM pathed),
 h AS (SELECT page_id, section, arg_min(path, pos) AS p, arg_min(level, pos) AS section_level FROM s GROUP BY 1, 2),
 o AS (SELECT page_id, section, section_level, CAST(row_number() OVER (PARTITION BY page_id, p ORDER BY section) - 1 AS INT) AS sibling_ordinal FROM h)
-SELECT s.page_id, s.pos, s.section, o.section_level, o.sibling_ordinal FROM s JOIN o USING (page_id, section)""")
+SELECT s.page_id, CAST(s.pos AS INT) AS pos, s.section, CAST(o.section_level AS INT) AS section_level, o.sibling_ordinal FROM s JOIN o USING (page_id, section)""")
 def build_sections(spark, d):
     return B.build_sections(B.heading_paths(I.blocks(spark, d))).select("page_id", "pos", "section", "section_level", "sibling_ordinal")
 
@@ -218,8 +218,8 @@ def embed_texts(spark, d):
 WITH a AS (SELECT doc_id % 40 AS page_id, doc_id, CAST(doc_id AS VARCHAR) AS id, 'T' || doc_id AS title, text, n_chars FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY id) AS r FROM a),
 k AS (SELECT * FROM r WHERE r <= 20 AND doc_id % 6 > 0 AND n_chars <= 5000 AND trim(coalesce(text, '')) <> '')
-SELECT page_id, 2 * (r - 1) AS n, 'heading' AS kind, 1 AS level, sha256(title) AS text_sha256, ['Attachments', title] AS path FROM k
-UNION ALL SELECT page_id, 2 * (r - 1) + 1, 'paragraph', 0, sha256(text), ['Attachments', title] FROM k""")
+SELECT page_id, CAST(2 * (r - 1) AS INT) AS n, 'heading' AS kind, 1 AS level, sha256(title) AS text_sha256, ['Attachments', title] AS path FROM k
+UNION ALL SELECT page_id, CAST(2 * (r - 1) + 1 AS INT), 'paragraph', 0, sha256(text), ['Attachments', title] FROM k""")
 def attachment_blocks(spark, d):
     a = I.table(spark, d, "documents").select((F.col("doc_id") % 40).alias("page_id"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 6 > 0, "/x").alias("link"), F.col("n_chars").alias("file_size"), "text")
     return P.attachment_blocks(a, 20, 5000).select("page_id", "n", "kind", "level", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "path")
@@ -413,7 +413,7 @@ def known_spaces(spark, d):
 @query(f"""WITH {I.REGISTRY}, {I.INCOMING}, x AS (SELECT page_id, coalesce(i.space_id, r.space_id) % 4 AS run_id, CASE WHEN i.title IS NULL THEN 'orphan' WHEN r.title IS NULL THEN 'new'
 WHEN i.version > r.version OR i.status IS DISTINCT FROM r.status OR i.parent_id IS DISTINCT FROM r.parent_id OR i.title IS DISTINCT FROM r.title THEN 'drifted' ELSE 'unchanged' END AS drift FROM incoming i FULL JOIN registry r USING (page_id))
 SELECT run_id, count(*) FILTER (drift <> 'orphan') AS scanned, count(*) FILTER (drift = 'drifted') AS drifted, count(DISTINCT page_id) FILTER (drift IN ('new', 'drifted')) AS requests, count(*) FILTER (drift = 'orphan') AS orphans_removed,
- len(coalesce(list(page_id) FILTER (drift = 'new'), [])) AS n_new, CASE WHEN run_id = 1 THEN 2 ELSE 0 END AS errors, CASE WHEN run_id = 1 THEN 'failed' ELSE 'completed' END AS status FROM x GROUP BY run_id""")
+ CAST(len(coalesce(list(page_id) FILTER (drift = 'new'), [])) AS INT) AS n_new, CAST(CASE WHEN run_id = 1 THEN 2 ELSE 0 END AS BIGINT) AS errors, CASE WHEN run_id = 1 THEN 'failed' ELSE 'completed' END AS status FROM x GROUP BY run_id""")
 def reconciliation_report(spark, d):
     drift = C.drift_scan(I.incoming(spark, d), I.registry(spark, d)).withColumn("run_id", F.col("space_id") % 4)
     decided = drift.where("drift = 'orphan'").select("run_id", "page_id", F.lit("purge").alias("decision"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, written
 
 #: kind, pattern, role, and the least length of a group for the match to count. Fixed values.
 BASE = (
@@ -32,7 +32,7 @@ def find_spans(rows: DataFrame, patterns) -> DataFrame:
     one = [F.struct(F.lit(kind).alias("kind"), F.transform(F.split("text", pattern, -1), lambda x: F.length(x)).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits")) for kind, pattern, *_ in patterns]
     each = rows.select("doc_id", "rid", F.explode(F.array(*one)).alias("m")).where(F.size("m.hits") > 0)
     at = each.select("doc_id", "rid", "m.kind", F.posexplode(F.arrays_zip(F.slice("m.gaps", 1, F.size("m.hits")).alias("gap"), F.col("m.hits").alias("hit"))).alias("n", "x"))
-    at = at.select("doc_id", "rid", "kind", "n", F.col("x.0").alias("gap"), F.col("x.hit").alias("match")) if "0" in at.schema["x"].dataType.names else at.select("doc_id", "rid", "kind", "n", F.col("x.gap").alias("gap"), F.col("x.hit").alias("match"))
+    at = at.select("doc_id", "rid", "kind", "n", "x.gap", F.col("x.hit").alias("match"))
     at = at.dropDuplicates(["doc_id", "rid", "kind", "n"])
     so_far = Window.partitionBy("doc_id", "rid", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = at.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(so_far))
@@ -68,7 +68,7 @@ def scan_secrets(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text
     Null and empty texts have no spans (empty strings). Repeated rows get equal results; a null id stays null.
     """
     rows = texts(docs, id_col, text_col)
-    base = find_spans(rows, BASE + WEAK)
+    base = written(find_spans(rows, BASE + WEAK), "spans")  # the texts are searched once
     kinds = {k: (role, any(k == w[0] for w in WEAK)) for k, _, role, _ in BASE + WEAK}
     role = F.coalesce(*(F.when(F.col("kind") == k, F.lit(r)) for k, (r, _) in kinds.items()))
     parts = base.select("doc_id", "rid", "kind", "start", "end", role.alias("role"), F.col("kind").isin([w[0] for w in WEAK]).alias("weak"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, python_batches, texts, written
+from .common import components, python_batches, seen_twice, texts, twice_filter, written
 
 PARTS, LEFT_OUT = 3, 1  # of a group; subsets of PARTS - LEFT_OUT parts are enumerated
 _SUBSETS = list(itertools.combinations(range(PARTS), PARTS - LEFT_OUT))
@@ -107,6 +107,12 @@ def _unequal_cells(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(half(a, b), half(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
 
 
+def _may_link(n: Column, odd: Column, n_b: Column, odd_b: Column, num: int, den: int) -> Column:
+    """False only for pairs that sizes or parities prove too far apart."""
+    alike = (n * den >= n_b * num) & (n_b * den >= n * num)
+    return alike & (_unequal_cells(odd, odd_b) * (den + num) <= (n + n_b) * (den - num))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with ``common`` and the two sizes; the arrays travel once for each pair and side."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("s_a")), "a")
@@ -120,7 +126,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(count, "a long, b long, n_a long, n_b long, common long")
 
 
-def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 1 << 29) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id) of every row: sets of ``n``-word shingles link when
     den * intersection >= num * union; the component's id is the smallest id that links reach.
 
@@ -129,6 +135,9 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     same id count as one document; with different texts under one id, that id stands for each of the sets.
     Null ids link with nothing and are their own component (null).
 
+    A once/twice Bloom filter (``most_bits`` at most) drops signatures that one class alone has before the shuffle;
+    beyond its size all signatures are shuffled, with the same result.
+
     Links are found in two steps that together lose none. First every signature's members are compared with the
     smallest of them only. Then, in signatures whose members have not met in one component, the pairs from
     different components are compared, unless their parities (a short bitmap of each set, which bounds from below
@@ -148,30 +157,54 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     classes = known.groupBy("same").agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.max("doc_id").alias("last"))
     first = written(classes.select("same", F.col("rep.doc_id").alias("node"), F.col("rep.rid").alias("rid")), "classes")
 
+    again = written(known.join(first, "same").where((F.col("doc_id") != F.col("node")) | (known["rid"] != first["rid"])).select("doc_id", known["rid"]).distinct(), "again")
+    small = again.count() <= 2_000_000  # 32 MB at most
+    own = rows.where("doc_id is not null").join(F.broadcast(again) if small else again, ["doc_id", "rid"], "left_anti").select("doc_id", "text")
+    each = 3 * (den - num) / (den + num) * (1 + den / num)  # signatures of an element
+    expected = first.join(known, "same").agg(F.sum("n")).first()[0] or 0
+    field = twice_filter(own.select("text"), lambda b: (np.unique(signatures(shingle_set(t, n), bands)) for t in b.column("text").to_pylist()), int(expected * each), most_bits)
+    held = rows.sparkSession.sparkContext.broadcast(field)
+
     def sign(batches):
         for b in batches:
-            each = [signatures(shingle_set(t, n), bands).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(), [len(x) for x in each]), pa.int64()), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], ["node", "sig"])
-
-    signed = rows.where("doc_id is not null").mapInArrow(sign, "node long, sig long")
+            each = [np.unique(signatures(shingle_set(t, n), bands)) for t in b.column("text").to_pylist()]
+            if held.value is not None:
+                each = [x[seen_twice(x, held.value)] for x in each]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(), [len(x) for x in each]), pa.int64()), pa.array(np.concatenate(each).view(np.int64) if each else np.zeros(0, np.int64))], ["node", "sig"])
+
+    signed = own.mapInArrow(sign, "node long, sig long")
+    if field is not None:
+        signed = written(signed, "signed")
     shared = signed.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("sig")
-    hits = written(signed.join(shared, "sig").distinct().join(first.select("node").distinct(), "node", "left_semi"), "hits")
+    hits = written(signed.join(shared, "sig").distinct(), "hits")
     pivots = hits.groupBy("sig").agg(F.min("node").alias("pivot"))
     stars = hits.join(pivots, "sig").select(F.col("pivot").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
 
-    ids = written(hits.select("node").distinct(), "ids")
-    part = first.join(ids, "node", "left_semi").withColumnRenamed("node", "doc_id")
-    if ids.count() <= 2_000_000:  # 32 MB at most
-        part = F.broadcast(part.select("doc_id", "rid"))
+    def of_nodes(nodes: DataFrame, what, schema: str) -> DataFrame:
+        """(node, n, ...) by ``what`` of the shingle sets of ``nodes``: of their classes' representatives alone."""
+        nodes = written(nodes, "nodes")
+        part = first.join(nodes, "node", "left_semi").select(F.col("node").alias("doc_id"), "rid")
+        if nodes.count() <= 2_000_000:  # 32 MB at most
+            part = F.broadcast(part)
 
-    def pick(batches):
-        for b in batches:
-            sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["node", "n", "elements", "odd"])
+        def pick(batches):
+            for b in batches:
+                sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), what(sets)], ["node", "n", "x"])
+
+        return rows.join(part, ["doc_id", "rid"], "left_semi").select("doc_id", "text").mapInArrow(pick, f"node long, n long, x {schema}")
+
+    def elements(pairs: DataFrame) -> DataFrame:
+        found = of_nodes(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), lambda sets: pa.array([s.tobytes() for s in sets], pa.binary()), "binary")
+        return written(found.withColumnRenamed("x", "elements").dropDuplicates(["node", "elements"]), "elements")
 
-    sets = written(rows.join(part, ["doc_id", "rid"], "left_semi").select("doc_id", "text").mapInArrow(pick, "node long, n long, elements binary, odd array<long>").dropDuplicates(["node", "n"]), "elements")
+    sets = of_nodes(hits.select("node").distinct(), lambda sets: pa.array([parities(s) for s in sets], pa.list_(pa.int64())), "array<long>")
+    sets = written(sets.withColumnRenamed("x", "odd").dropDuplicates(["node", "n", "odd"]), "parities")
     is_link = F.expr(f"common * {den} >= (n_a + n_b - common) * {num}")
-    tested = written(_similar(stars, sets), "tested")
+    short = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+    stars = stars.join(short("a"), "a").join(short("b"), "b").where(_may_link(F.col("n_a"), F.col("odd_a"), F.col("n_b"), F.col("odd_b"), num, den)).select("a", "b").distinct()
+    stars = written(stars, "stars")
+    tested = written(_similar(stars, elements(stars)), "tested")
     links = tested.where(is_link)
     now = components(links.select("a", "b"))
 
@@ -180,17 +213,17 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     apart = at.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
     at = written(at.join(apart, "sig").join(sets.select("node", "n", "odd"), "node"), "apart")
     other = at.select("sig", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "odd")))
-    near = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & F.expr(f"n * {den} >= n_b * {num} and n_b * {den} >= n * {num}")
-    may_link = _unequal_cells(F.col("odd"), F.col("odd_b")) * (den + num) <= (F.col("n") + F.col("n_b")) * (den - num)
-    met = at.join(other, "sig").where(near & may_link)
+    apart = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
+    met = at.join(other, "sig").where(apart & _may_link(*(F.col(c) for c in ("n", "odd", "n_b", "odd_b")), num, den))
     more = met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    late = written(_similar(more, sets).where(is_link), "late")
+    more = written(more, "more")
+    late = written(_similar(more, elements(more)).where(is_link), "late")
 
     # an id under which several sets stand links their classes
     members = known.join(first.select("same", "node"), "same")
-    own = members.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    same = members.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = links.select("a", "b").unionByName(late.select("a", "b")).distinct()
-    whole = components(links.unionByName(own.distinct()))
+    whole = components(links.unionByName(same.distinct()))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     out = sized.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(first.select("same", "node"), "same", "left").join(degree, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare words as seeds join passages to test items, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -13,13 +13,14 @@ from .common import python_batches, texts
 
 _WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+SEEDS = 3  # that lie in one alignment
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def align(item: list[int], passage: list[int]) -> tuple[int, int, int]:
+def align(item, passage) -> tuple[int, int, int]:
     """(score, start, end) of the best local alignment of ``item`` in ``passage`` (Smith-Waterman, linear gaps)."""
     a = np.array(item)
     n = len(a)
@@ -48,88 +49,92 @@ def align(item: list[int], passage: list[int]) -> tuple[int, int, int]:
 
 
 class Items:
-    """Test items with an index of their seeds; its size is bounded by the block of items it is made of."""
+    """Test items with an index of their rare words; its size is bounded by the block of items it is made of."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int):
-        self.numbers: dict[str, int] = {}
+    def __init__(self, items: list[tuple[int, str]], least: float):
+        numbers: dict[str, int] = {}
         self.ids = [i for i, _ in items]
-        self.words = [[self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(t)] for _, t in items]
-        self.n = n
-        grams: dict[int, list[tuple[int, int]]] = {}
+        self.words = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words_of(t)], np.int64) for _, t in items]
+        self.numbers = numbers
+        self.distinct = [np.unique(w, return_counts=True) for w in self.words]
+        length = np.array([len(w) for w in self.words], np.int64)
+        self.bar = least * MATCH * length  # of the score
+        self.matches = np.maximum(1, np.ceil(least * length - 1e-9)).astype(np.int64)  # a score of 2 m at most has m matches
+        self.span = np.maximum(1, np.floor((MATCH + 1) * length - self.bar + 1e-9)).astype(np.int64)  # m matches, 2 m - bar others at most
+        self.seeds = np.minimum(SEEDS, self.matches)
+
+    def numbered(self, text: str) -> np.ndarray:
+        """The text's word numbers; 0: in no item."""
+        return np.array([x or 0 for x in map(self.numbers.get, words_of(text))], np.int64)
+
+    def keep_rare(self, counts: dict[int, int]) -> None:
+        """Each item's seeds: the words of its L - m + c rarest places, by the number of documents. An alignment that reaches
+        the bar matches m places or more, so c of these at least, whichever words are seeds."""
+        pairs = []
         for k, w in enumerate(self.words):
-            for at, g in enumerate(self.grams(np.array(w, np.int64)).tolist()):
-                grams.setdefault(g, []).append((k, at))
-        self.seeds = grams
-        self.sorted = np.array(sorted(grams), np.int64)
-
-    def grams(self, w: np.ndarray) -> np.ndarray:
-        """Of word numbers; shorter sequences are one gram. Distinct for distinct grams of up to 2**20 words."""
-        n = min(self.n, len(w))
-        out = np.zeros(len(w) - n + 1 if n else 0, np.int64)
-        for i in range(n):
-            out = (out << 20) + w[i : i + len(out)]
+            rare = sorted(w.tolist(), key=lambda x: (counts.get(x, 0), x))[: len(w) - int(self.matches[k]) + int(self.seeds[k])]
+            pairs += [(x, k) for x in set(rare)]
+        at = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.first = np.searchsorted(at[:, 0], np.arange(len(self.numbers) + 2))
+        self.of = at[:, 1]
+
+    def windows(self, w: np.ndarray) -> dict[int, list[list[int]]]:
+        """By item, the parts of a document (word numbers) that may hold an alignment which reaches the bar; none is left out."""
+        n = self.first[w + 1] - self.first[w]
+        at = np.repeat(np.arange(len(w)), n)
+        k = self.of[np.repeat(self.first[w] - np.cumsum(n) + n, n) + np.arange(len(at))]
+        order = np.argsort(k, kind="stable")
+        at, k = at[order], k[order]
+        i = np.arange(len(at))
+        j = np.minimum(i + self.seeds[k] - 1, len(at) - 1)
+        near = np.flatnonzero((i + self.seeds[k] <= len(at)) & (k[j] == k) & (at[j] - at < self.span[k]))
+        out: dict[int, list[list[int]]] = {}
+        for x in near.tolist():  # of hits i to j in one alignment, both lie within its span
+            item, span = int(k[x]), int(self.span[k[x]])
+            lo, hi = max(0, int(at[j[x]]) - span + 1), min(len(w), int(at[x]) + span)
+            spans = out.setdefault(item, [])
+            if spans and hi <= spans[-1][1]:
+                continue
+            if not self.reachable(item, w[lo:hi]):
+                continue
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
         return out
 
-    def hits(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """The text's word numbers (0: in no item), and (place, gram) wherever a gram is a seed."""
-        w = list(map(self.numbers.get, words_of(text)))
-        w = np.array([x or 0 for x in w], np.int64)
-        found = []
-        for n in {self.n, *(len(x) for x in self.words if 0 < len(x) < self.n)}:
-            if len(w) >= n:
-                g = np.zeros(len(w) - n + 1, np.int64)
-                for i in range(n):
-                    g = (g << 20) + w[i : i + len(g)]
-                k = np.minimum(np.searchsorted(self.sorted, g), len(self.sorted) - 1)
-                at = np.flatnonzero(self.sorted[k] == g) if len(self.sorted) else np.zeros(0, np.int64)
-                found += zip(at.tolist(), g[at].tolist(), strict=True)
-        return w.tolist(), sorted(found)
-
-    def keep_rare(self, counts: dict[int, int], share: float, least: int) -> None:
-        """Each item keeps the rarest ``share`` of its seeds by the number of documents, ``least`` at least."""
-        by_item: dict[int, list[int]] = {}
-        for g, places in self.seeds.items():
-            for k in {k for k, _ in places}:
-                by_item.setdefault(k, []).append(g)
-        kept: dict[int, list[tuple[int, int]]] = {}
-        for k, gs in by_item.items():
-            gs.sort(key=lambda g: (counts.get(g, 0), g))
-            for g in gs[: max(least, int(len(gs) * share))]:
-                kept.setdefault(g, []).extend(p for p in self.seeds[g] if p[0] == k)
-        self.seeds, self.sorted = kept, np.array(sorted(kept), np.int64)
-
-
-def _overlaps(items: Items, text: str, least: float):
-    """(item number, score share, first word, end word) of the best alignment with each item that reaches ``least``."""
-    w, found = items.hits(text)
-    near: dict[int, list[tuple[int, int]]] = {}
-    for at, g in found:
-        for k, place in items.seeds[g]:
-            near.setdefault(k, []).append((at - place, at))
-    for k, places in sorted(near.items()):
+    def reachable(self, k: int, part: np.ndarray) -> bool:
+        """Bounds of the alignment with item ``k``: words in common, and the best sum if each word of the item matched."""
+        own, times = self.distinct[k]
+        at = np.minimum(np.searchsorted(own, part), len(own) - 1)
+        common = own[at] == part
+        if np.minimum(np.bincount(at[common], minlength=len(own)), times).sum() < self.matches[k]:
+            return False
+        p = np.flatnonzero(common)
+        gain = (MATCH + 1) * np.arange(len(p)) - p
+        return bool((gain - np.minimum.accumulate(gain)).max() + MATCH >= self.bar[k] - 1e-9)
+
+
+def _overlaps(items: Items, text: str):
+    """(item number, score share, first word, end word) of the best alignment with each item that reaches the bar."""
+    w = items.numbered(text)
+    for k, spans in sorted(items.windows(w).items()):
         item = items.words[k]
-        slack = len(item) // 2 + 2
-        spans: list[list[int]] = []
-        for start, _ in sorted(places):  # where the item would begin
-            lo, hi = max(0, start - slack), min(len(w), start + len(item) + slack)
-            if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 4 * len(item) + 16:
-                spans[-1][1] = max(hi, spans[-1][1])
-            else:
-                spans.append([lo, hi])
         best = (0, 0, 0)
         for lo, hi in spans:
             score, a, b = align(item, w[lo:hi])
             best = max(best, (score, -(lo + a), lo + b))
-        if best[0] >= least * MATCH * len(item):
+        if best[0] and best[0] >= items.bar[k]:
             yield k, best[0] / (MATCH * len(item)), -best[1], best[2]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, share: float = 0.5, least_seeds: int = 8, block: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, rid, item_id, score, start, end): pairs of a document and a test item whose best local alignment has
     ``least`` of the item's full score or more, with the words [start, end) of the document.
 
-    Words are lower-cased runs of word characters. Seeds are the items' ``n``-grams; their document counts over
-    all of ``docs`` choose each item's rarest ``share``, and every document that has one is aligned around it.
+    Words are lower-cased runs of word characters. Seeds are the words of each item's rarest places, by their
+    document counts over all of ``docs``; they are so many that every alignment which reaches ``least`` matches
+    some of them close together, so the result is that of aligning every document with every item.
     Items come in blocks of ``block`` (by hashed id), each block with its index broadcast and run against all
     documents, so what is broadcast is bounded for a benchmark of any size. Null or empty texts and items match
     nothing; repeated rows get equal results.
@@ -141,22 +146,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
     out = None
     for k in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k).collect()
-        items = Items(sorted(((r.item_id, r.item) for r in part), key=lambda x: (x[0] is None, x)), n)
+        items = Items(sorted(((r.item_id, r.item) for r in part), key=lambda x: (x[0] is None, x)), least)
         first = spark.sparkContext.broadcast(items)
         python_batches(rows)
 
         def seen(batches, first=first):
+            counts = np.zeros(len(first.value.numbers) + 1, np.int64)
             for b in batches:
-                got = [g for t in b.column("text").to_pylist() for g in {g for _, g in first.value.hits(t)[1]}]
-                yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], ["gram"])
+                for t in b.column("text").to_pylist():
+                    counts[np.unique(first.value.numbered(t))] += 1
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["word", "n"])
 
-        counts = rows.select("text").mapInArrow(seen, "gram long").groupBy("gram").count()
-        items.keep_rare({r["gram"]: r["count"] for r in counts.collect()}, share, least_seeds)
+        counts = rows.select("text").mapInArrow(seen, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        items.keep_rare({r["word"]: r["n"] for r in counts.collect()})
         index = spark.sparkContext.broadcast(items)
 
         def score(batches, index=index):
             for b in batches:
-                at = [(i, *x) for i, t in enumerate(b.column("text").to_pylist()) for x in _overlaps(index.value, t, least)]
+                at = [(i, *x) for i, t in enumerate(b.column("text").to_pylist()) for x in _overlaps(index.value, t)]
                 rows_at = pa.array([x[0] for x in at], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows_at), b.column("rid").take(rows_at), pa.array([index.value.ids[x[1]] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.float64()), pa.array([x[3] for x in at], pa.int64()), pa.array([x[4] for x in at], pa.int64())], ["doc_id", "rid", "item_id", "score", "start", "end"])
 

@@ -145,6 +145,37 @@ def test_contamination_finds_copies_and_edits_only(spark):
     assert find_contamination(docs.where("false"), tests).count() == 0
 
 
+def test_edited_copies_are_found_as_by_full_alignment(spark):
+    rng = random.Random(21)
+    names = [f"w{i}" for i in range(150)]
+    items = [(k, " ".join(rng.choices(names, k=rng.randint(1, 36)))) for k in range(16)]
+    rows = []
+    for i in range(160):
+        part = items[i % 16][1].split()
+        if i % 4 == 0:  # evenly spread replacements, which leave no two or three words in a row
+            part = [x if (j + 1) % (3 if i % 8 else 6) else f"new{i}" for j, x in enumerate(part)]
+        elif i % 4 == 1:  # words between
+            part = [y for x in part for y in ([x, "between"] if rng.random() < 0.5 else [x])]
+        elif i % 4 == 2:
+            for j in rng.sample(range(len(part)), int(len(part) * rng.uniform(0.15, 0.33))):
+                part[j] = f"new{rng.randrange(10**6)}"
+        w = rng.choices(names, k=rng.randint(0, 60))
+        w[len(w) // 2 : len(w) // 2] = part
+        rows.append((i, " ".join(w)))
+    five = ["gone" if j in (3, 9, 14, 20, 26) else f"x{j}" for j in range(30)]
+    items.append((100, " ".join(f"x{j}" for j in range(30))))
+    rows += [(500, " ".join(five)), (501, items[-1][1])]
+    want = {}
+    for i, t in rows:
+        for k, q in items:
+            a, b = q.split(), t.split()
+            if (s := smith_waterman(a, b)) >= len(a):
+                want[i, k] = s / (2 * len(a))
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in find_contamination(docs, tests).collect()}
+    assert (500, 100) in got and got == pytest.approx(want)
+
+
 def test_recordings_align_in_spite_of_offset_and_noise(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(60, 64))

@@ -17,6 +17,7 @@ from .common import python_batches, written
 FRAME, HOP = 1024, 512  # samples
 SPAN = 16  # frames below one integer
 BLOCK = 1 << 18  # samples that are transformed together
+VOTES = 1 << 21  # that are counted together, and codes of queries that are broadcast together
 #: Of each of the 16 filters: shape, lowest pitch class, height, width; by rule.
 FILTERS = [(i % 6, 5 * i % 12 % (12 - 3 - i % 4), 4 + i % 4, 4 + 3 * i % (SPAN - 3)) for i in range(16)]
 LEVELS = (-0.1, 0.0, 0.1)  # of a filter's value, between its four outcomes
@@ -84,35 +85,98 @@ def fingerprints(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm",
     return rows.mapInArrow(codes, "rec_id long, codes array<int>")
 
 
-def align_recordings(prints: DataFrame, queries, least_hits: int = 2, most_errors: float = 0.1, least_aligned: int = 24) -> DataFrame:
-    """(match, copies, query, offset, aligned, bit_errors): a row for each distinct fingerprint, with the query recording
-    that it aligns with best (``queries``: a condition on rec_id); null where none does.
+class Asked:
+    """Codes of a block of query recordings, sorted for look-up with the place of each."""
+
+    def __init__(self, rows: list[tuple[int, int, list[int]]]):
+        self.ids, self.own = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        self.codes = [np.array(r[2], np.int32) for r in rows]
+        size = np.array([len(c) for c in self.codes], np.int64)
+        flat = np.concatenate(self.codes)
+        order = np.argsort(flat, kind="stable")
+        self.sorted = flat[order]
+        self.query = np.repeat(np.arange(len(rows)), size).astype(np.int32)[order]
+        self.at = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)[order]
+        self.longest = int(size.max())
+
+    def best_offsets(self, codes: np.ndarray, least_hits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, offset) of the queries that have ``least_hits`` votes with the recording at some offset: the offset
+        with most votes, of equal ones the smallest. Each place of a code in one votes with each place in the other."""
+        lo, n = np.searchsorted(self.sorted, codes), np.searchsorted(self.sorted, codes, "right")
+        n = n - lo
+        wide, ends, keys, hits = self.longest + len(codes), np.cumsum(n), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        start = 0
+        while start < len(codes):  # few votes are held at a time, however often a code repeats
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + VOTES, "right")))
+            m = n[start:stop]
+            place = np.repeat(lo[start:stop] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            key = self.query[place].astype(np.int64) * wide + (np.repeat(np.arange(start, min(stop, len(codes))), m) - self.at[place] + self.longest)
+            key, count = np.unique(key, return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            hits, start = np.bincount(back, np.concatenate([hits, count]), len(keys)).astype(np.int64), stop
+        keys, hits = keys[hits >= least_hits], hits[hits >= least_hits]
+        query = keys // wide
+        order = np.lexsort((keys, -hits, query))
+        first = order[np.flatnonzero(np.diff(query[order], prepend=-1))]
+        return query[first], keys[first] % wide - self.longest
+
+
+def align_recordings(prints: DataFrame, queries, least_hits: int = 2, most_errors: float = 0.1, least_aligned: int = 24, block: int = VOTES) -> DataFrame:
+    """(match, copies, query, offset, aligned, bit_errors): a row for each distinct fingerprint and each query recording
+    that it aligns with (``queries``: a condition on rec_id); one with nulls where none does.
 
     Equal fingerprints are one class, named by its smallest id, with ``copies`` members; so copies make no pairs.
-    Of the queries that have a code, the smallest stands for it; so each code of a recording casts one vote, for that
-    query and the offset between both, and the votes grow with the recordings, however many queries sound alike.
-    Offsets with ``least_hits`` votes are candidates, for each query the one with most (of equal ones the smallest);
-    they are kept if at least ``least_aligned`` codes face each other there and at most the share ``most_errors`` of
-    their bits differ. The fewest errors win, then the smallest query. Queries align with themselves and are left out
-    with their own class. Recordings without codes align with nothing; ids given twice count once a fingerprint.
+    A class with queries asks once, under the smallest of their ids. Every place of a code in a recording votes with
+    every place of it in every query, for the query and the offset between both. Offsets with ``least_hits`` votes are
+    candidates, for each query the one with most (of equal ones the smallest); they are kept if at least
+    ``least_aligned`` codes face each other there and at most the share ``most_errors`` of their bits differ.
+    Queries align with themselves and are left out with their own class. Recordings without codes
+    align with nothing; ids given twice count once a fingerprint.
+
+    Queries come in blocks of about ``block`` codes (by hashed id); each is broadcast and meets all classes where
+    they are, so votes are counted recording by recording and none is shuffled, whatever codes are frequent.
     """
+    return _pairs(_classes(prints, queries), least_hits, most_errors, least_aligned, block)
+
+
+def _classes(prints: DataFrame, queries) -> DataFrame:
     some = prints.where(F.size("codes") > 0).withColumn("asked", F.when(queries, F.col("rec_id")))
-    classes = written(some.groupBy("codes").agg(F.min("rec_id").alias("id"), F.countDistinct("rec_id").alias("copies"), F.min("asked").alias("asked")), "prints")
-    place = lambda df, name, of: df.select(F.col(of).alias(name), F.posexplode("codes").alias(f"{name}_at", "code"))
-    index = place(classes.where("asked is not null"), "query", "asked").groupBy("code").agg(F.min(F.struct("query", "query_at")).alias("q")).select("code", "q.query", "q.query_at")
-    votes = place(classes, "match", "id").join(index, "code")
-    offsets = votes.groupBy("query", "match", (F.col("match_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("hits")).where(F.col("hits") >= least_hits)
-    best = offsets.groupBy("query", "match").agg(F.max(F.struct("hits", (-F.col("offset")).alias("back"))).alias("best")).select("query", "match", (-F.col("best.back")).alias("offset"))
-    asked = classes.where("asked is not null").select(F.col("asked").alias("query"), F.col("id").alias("own"), F.col("codes").alias("q"))
-    both = best.join(asked, "query").where("own <> match").join(classes.select(F.col("id").alias("match"), "copies", F.col("codes").alias("m")), "match")
-    start = F.greatest(-F.col("offset"), F.lit(0))
-    aligned = F.least(F.size("q") - start, F.size("m") - start - F.col("offset"))
-    wrong = F.aggregate(F.zip_with(F.slice("q", start + 1, aligned), F.slice("m", start + F.col("offset") + 1, aligned), lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda n, x: n + x)
-    scored = both.select("query", "match", "copies", "offset", aligned.alias("aligned"), (wrong / (32 * aligned)).alias("bit_errors"))
-    kept = scored.where((F.col("aligned") >= least_aligned) & (F.col("bit_errors") <= most_errors))
-    top = kept.groupBy("match").agg(F.min(F.struct("bit_errors", "query", "offset", "aligned")).alias("t"))
-    every = classes.select(F.col("id").alias("match"), "copies").join(top, "match", "left")
-    return every.select("match", "copies", "t.query", "t.offset", "t.aligned", "t.bit_errors")
+    return written(some.groupBy("codes").agg(F.min("rec_id").alias("id"), F.countDistinct("rec_id").alias("copies"), F.min("asked").alias("asked")), "prints")
+
+
+def _pairs(classes: DataFrame, least_hits: int, most_errors: float, least_aligned: int, block: int) -> DataFrame:
+    spark = classes.sparkSession
+    asked = classes.where("asked is not null").select("asked", "id", "codes")
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("codes"))).first()[0] or 0) // block))
+    schema = "match long, query long, offset int, aligned int, bit_errors double"
+    found = spark.createDataFrame([], schema)
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == k).collect()
+        if not rows:
+            continue
+        held = spark.sparkContext.broadcast(Asked(sorted((r.asked, r.id, r.codes) for r in rows)))
+
+        def align(batches, held=held):
+            q = held.value
+            for b in batches:
+                out: list[tuple] = []
+                for name, m in zip(b.column("id").to_pylist(), b.column("codes"), strict=True):
+                    m = m.values.to_numpy()
+                    for i, offset in zip(*(x.tolist() for x in q.best_offsets(m, least_hits)), strict=True):
+                        start = max(-offset, 0)
+                        aligned = min(len(q.codes[i]) - start, len(m) - start - offset)
+                        if q.own[i] == name or aligned < least_aligned:
+                            continue
+                        wrong = int(np.bitwise_count((q.codes[i][start : start + aligned] ^ m[start + offset : start + offset + aligned]).view(np.uint32)).sum())
+                        if wrong / (32 * aligned) <= most_errors:
+                            out.append((name, int(q.ids[i]), offset, aligned, wrong / (32 * aligned)))
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["match", "query", "offset", "aligned", "bit_errors"])
+
+        found = found.unionByName(python_batches(classes, 128).select("id", "codes").mapInArrow(align, schema))
+    every = classes.select(F.col("id").alias("match"), "copies").join(found, "match", "left")
+    return every.select("match", "copies", "query", "offset", "aligned", "bit_errors")
 
 
 def render(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4000, step: int = 512) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from folioflow.llm.decontam import align, find_contamination
-from folioflow.llm.media import FRAME, HOP, align_recordings, fingerprints, render
+from folioflow.llm.media import FRAME, HOP, Asked, align_recordings, fingerprints, render
 from folioflow.llm.packing import Encoder, best_fit, pack, token_pieces
 from folioflow.llm.toxicity import FactorizationMachine, buckets, learn, toxicity
 
@@ -198,6 +198,40 @@ def test_recordings_align_in_spite_of_offset_and_noise(spark):
     assert prints.where("rec_id = 3000").first().codes == []
 
 
+def test_every_pair_of_a_query_and_a_recording_is_found(spark, monkeypatch):
+    rng = random.Random(31)
+    prints = {i: [rng.choice((5, -7, 1 << 30, rng.randrange(-(2**31), 2**31))) for _ in range(rng.randint(20, 40))] for i in range(6)}
+    for i in range(6, 40):  # shifted copies with some codes changed, so that many queries share codes
+        prints[i] = [rng.randrange(-(2**31), 2**31) for _ in range(rng.randint(0, 4))] + [x ^ (rng.random() < 0.1) for x in prints[rng.randrange(6)]]
+    prints |= {50: [7] * 30, 51: [7] * 34}
+    asked = [*range(0, 12), 50]
+    want = {}
+    for q in asked:
+        for m in prints:
+            votes = {}
+            for i, a in enumerate(prints[q]):
+                for j, b in enumerate(prints[m]):
+                    if a == b:
+                        votes[j - i] = votes.get(j - i, 0) + 1
+            if q == m or max(votes.values(), default=0) < 2:
+                continue
+            at = min(votes, key=lambda o: (-votes[o], o))
+            pairs = [(a, prints[m][i + at]) for i, a in enumerate(prints[q]) if 0 <= i + at < len(prints[m])]
+            wrong = sum(((a ^ b) & 0xFFFFFFFF).bit_count() for a, b in pairs)
+            if len(pairs) >= 24 and wrong <= 0.1 * 32 * len(pairs):
+                want[q, m] = at, len(pairs), wrong / (32 * len(pairs))
+    assert max(sum(m == k for _, m in want) for k in prints) > 1
+    df = spark.createDataFrame(list(prints.items()), "rec_id long, codes array<int>")
+    for block in (1 << 21, 100):
+        every = align_recordings(df, df.rec_id.isin(asked), block=block).collect()
+        assert {r.match for r in every} == {min(k for k in prints if prints[k] == prints[i]) for i in prints}
+        assert {(r.query, r.match): (r.offset, r.aligned, r.bit_errors) for r in every if r.query is not None} == want
+    one = Asked([(0, 0, prints[0]), (50, 50, prints[50])])
+    whole = [x.tolist() for x in one.best_offsets(np.array(prints[51], np.int32), 2)]
+    monkeypatch.setattr("folioflow.llm.media.VOTES", 3)
+    assert [x.tolist() for x in one.best_offsets(np.array(prints[51], np.int32), 2)] == whole == [[1], [0]]
+
+
 @pytest.mark.parametrize("table", ["vec_id long, embedding array<float>"])
 def test_media_of_an_empty_table(spark, table):
     prints = fingerprints(render(spark.createDataFrame([], table), "vec_id", "embedding"))

@@ -139,6 +139,26 @@ def align_recordings(prints: DataFrame, queries, least_hits: int = 2, most_error
     return _pairs(_classes(prints, queries), least_hits, most_errors, least_aligned, block)
 
 
+def search_recordings(prints: DataFrame, queries, least_hits: int = 2, most_errors: float = 0.1, least_aligned: int = 24, block: int = VOTES) -> DataFrame:
+    """(kind, rec_id, class_id, is_query, copies, query, offset, aligned, bit_errors) of all recordings, in two kinds of rows.
+
+    ``member``: each row of ``prints``, with the class of its fingerprint and whether it is a query itself; without codes it
+    has no class. ``pair``: each class (rec_id and class_id are its name) and each query it aligns with as in
+    `align_recordings`, and the query's own class at offset 0 without errors. The query stands for all queries of
+    its class, which the members name; so copies make rows in proportion to their number, not to pairs of them.
+    """
+    every = written(prints.withColumn("is_query", F.coalesce(queries, F.lit(False))), "recordings")
+    classes = _classes(every, F.col("is_query"))
+    names = classes.select("codes", F.col("id").alias("class_id"), "copies")
+    nulls = [F.lit(None).cast(t).alias(c) for c, t in (("query", "long"), ("offset", "int"), ("aligned", "int"), ("bit_errors", "double"))]
+    bare = every.where(F.size("codes") == 0).select("rec_id", F.lit(None).cast("long").alias("class_id"), "is_query", F.lit(None).cast("long").alias("copies"))
+    members = every.where(F.size("codes") > 0).join(names, "codes").select("rec_id", "class_id", "is_query", "copies").unionByName(bare).select(F.lit("member").alias("kind"), "*", *nulls)
+    others = _pairs(classes, least_hits, most_errors, least_aligned, block).where("query is not null")
+    own = classes.where("asked is not null").select(F.col("id").alias("match"), "copies", F.col("asked").alias("query"), F.lit(0).alias("offset"), F.size("codes").alias("aligned"), F.lit(0.0).alias("bit_errors"))
+    asks = F.lit(None).cast("boolean").alias("is_query")
+    return members.unionByName(own.unionByName(others).select(F.lit("pair").alias("kind"), F.col("match").alias("rec_id"), F.col("match").alias("class_id"), asks, "copies", "query", "offset", "aligned", "bit_errors"))
+
+
 def _classes(prints: DataFrame, queries) -> DataFrame:
     some = prints.where(F.size("codes") > 0).withColumn("asked", F.when(queries, F.col("rec_id")))
     return written(some.groupBy("codes").agg(F.min("rec_id").alias("id"), F.countDistinct("rec_id").alias("copies"), F.min("asked").alias("asked")), "prints")

@@ -54,12 +54,13 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``embeddings`` as a recording; queries are the ids divisible by 100, against all rows."""
-    from .media import align_recordings, fingerprints, render
+    """Every row of ``embeddings`` as a recording; queries are the ids divisible by 100, against all rows.
+    A row of the kind member for each vec_id with its class, and one of the kind pair for each class and query that align."""
+    from .media import fingerprints, render, search_recordings
 
     prints = fingerprints(render(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
-    out = align_recordings(prints, F.col("rec_id") % 100 == 0)
-    return out.select(F.col("match").alias("vec_id"), "copies", F.col("query").alias("query_id"), "offset", "aligned", F.round("bit_errors", 6).alias("bit_errors"))
+    out = search_recordings(prints, F.col("rec_id") % 100 == 0)
+    return out.select("kind", F.col("rec_id").alias("vec_id"), "class_id", "is_query", "copies", F.col("query").alias("query_id"), "offset", "aligned", F.round("bit_errors", 6).alias("bit_errors"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from folioflow.llm.decontam import align, find_contamination
-from folioflow.llm.media import FRAME, HOP, Asked, align_recordings, fingerprints, render
+from folioflow.llm.media import FRAME, HOP, Asked, align_recordings, fingerprints, render, search_recordings
 from folioflow.llm.packing import Encoder, best_fit, pack, token_pieces
 from folioflow.llm.toxicity import FactorizationMachine, buckets, learn, toxicity
 
@@ -232,6 +232,17 @@ def test_every_pair_of_a_query_and_a_recording_is_found(spark, monkeypatch):
     assert [x.tolist() for x in one.best_offsets(np.array(prints[51], np.int32), 2)] == whole == [[1], [0]]
 
 
+def test_exact_copies_are_named_with_their_queries(spark):
+    rng = random.Random(17)
+    a, b = ([rng.randrange(-(2**31), 2**31) for _ in range(30)] for _ in range(2))
+    near = [a[0] ^ 1, *a[1:]]
+    prints = spark.createDataFrame([(1, a), (2, a), (3, a), (4, near), (5, near), (6, b), (7, []), (8, b[:9])], "rec_id long, codes array<int>")
+    rows = search_recordings(prints, prints.rec_id.isin(2, 3, 8)).collect()
+    assert {(r.rec_id, r.class_id, r.is_query, r.copies) for r in rows if r.kind == "member"} == {(1, 1, False, 3), (2, 1, True, 3), (3, 1, True, 3), (4, 4, False, 2), (5, 4, False, 2), (6, 6, False, 1), (7, None, False, None), (8, 8, True, 1)}
+    assert {(r.class_id, r.query, r.offset, r.aligned, r.bit_errors) for r in rows if r.kind == "pair"} == {(1, 2, 0, 30, 0.0), (4, 2, 0, 30, 1 / 960), (8, 8, 0, 9, 0.0)}
+    assert len(rows) == 8 + 3
+
+
 @pytest.mark.parametrize("table", ["vec_id long, embedding array<float>"])
 def test_media_of_an_empty_table(spark, table):
     prints = fingerprints(render(spark.createDataFrame([], table), "vec_id", "embedding"))

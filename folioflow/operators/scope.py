@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import filters as V
 from .tables import written
 
 
@@ -52,11 +53,13 @@ def scope_coverage(chunks: DataFrame, recognized: list[str]) -> tuple[DataFrame,
 
 
 def isolation_check(chunks: DataFrame, general: str) -> DataFrame:
-    """(kind, name, total, unscoped, own, bogus, passed): for each source and each tag, how many rows no scope, its own and
-    an unknown one see; passed if none, some and none do. Counted in one pass each, not once for each name."""
-    by_source = chunks.groupBy(F.col("source_id").alias("name")).agg(F.count("*").alias("total"), F.count_if(F.lit(False)).alias("unscoped"), F.count("*").alias("own"), F.count_if(F.col("source_id") == "__bogus__").alias("bogus")).withColumn("kind", F.lit("source"))
+    """(kind, name, total, unscoped, own, bogus, passed): for each source and each tag, how many of its rows the guards show
+    to no scope, its own and an unknown one; passed if none, some and none. Counted in one pass each, not once for each name."""
+    scopes = {"unscoped": F.lit(None).cast("array<string>"), "own": F.array("name"), "bogus": F.array(F.lit("__bogus__"))}
+    count = lambda rows, guard: rows.groupBy("name").agg(F.count("*").alias("total"), *(F.count_if(guard(s)).alias(k) for k, s in scopes.items()))
+    by_source = count(chunks.withColumn("name", F.col("source_id")), V.source_guard).withColumn("kind", F.lit("source"))
     tagged = chunks.where(F.size("tags") > 0).select(F.explode(F.array_distinct("tags")).alias("name"), "tags")
-    by_tag = tagged.groupBy("name").agg(F.count("*").alias("total"), F.count_if(F.size("tags") == 0).alias("unscoped"), F.count_if(F.array_contains("tags", F.col("name"))).alias("own"), F.count_if(F.array_contains("tags", F.lit("__bogus__"))).alias("bogus")).withColumn("kind", F.lit("tag"))
+    by_tag = count(tagged, V.scope_guard).withColumn("kind", F.lit("tag"))
     both = by_source.unionByName(by_tag)
     return both.select("kind", "name", "total", "unscoped", "own", "bogus", ((F.col("unscoped") == 0) & (F.col("own") > 0) & (F.col("bogus") == 0)).alias("passed"))
 

@@ -160,3 +160,16 @@ def test_written_index_replaces_only_its_partitions(spark, tmp_path):
 def test_upsert_and_latest(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, title string, n long")
     assert {tuple(r) for r in C.upsert(t, spark.createDataFrame([(2, None), (3, "c")], "id long, title string"), ("id",)).collect()} == {(1, "a", 1), (2, None, 2), (3, "c", None)}
+
+
+def test_isolation_check_finds_leaking_guards(spark, monkeypatch):
+    chunks = spark.createDataFrame([("a", ["x", "y"]), ("a", ["x"]), ("b", []), ("b", None)], "source_id string, tags array<string>")
+    rows = lambda: {(r.kind, r.name): (r.total, r.unscoped, r.own, r.bogus, r.passed) for r in O.isolation_check(chunks, "g").collect()}
+    whole = {("source", "a"): (2, 0, 2, 0, True), ("source", "b"): (2, 0, 2, 0, True), ("tag", "x"): (2, 0, 2, 0, True), ("tag", "y"): (1, 0, 1, 0, True)}
+    assert rows() == whole
+    good = O.V.source_guard, O.V.scope_guard
+    monkeypatch.setattr(O.V, "source_guard", lambda s: s.isNull() | good[0](s))
+    monkeypatch.setattr(O.V, "scope_guard", lambda s: F.coalesce(F.array_contains(s, "__bogus__"), F.lit(False)) | good[1](s))
+    assert rows() == {("source", "a"): (2, 2, 2, 0, False), ("source", "b"): (2, 2, 2, 0, False), ("tag", "x"): (2, 0, 2, 2, False), ("tag", "y"): (1, 0, 1, 1, False)}
+    monkeypatch.setattr(O.V, "source_guard", lambda s: F.lit(False))
+    assert not any(v[-1] for k, v in rows().items() if k[0] == "source")

@@ -34,8 +34,11 @@ def chunk_terms(chunks: DataFrame, id_cols: tuple[str, ...], text: Column, stop:
 
 def keyword_score(tf: Column, n_terms: Column) -> Column:
     """Of one matched term: (1 / distinct query terms) * sum of 1 / j^2 for j up to tf; more and repeated matches score
-    higher, each repeat less. The series runs to 50, beyond which it changes no sixth digit's order."""
+    higher, each repeat less. Beyond 50 the sum is pi^2 / 6 less the asymptotic series of its tail, exact to 1e-13."""
     series = F.aggregate(F.sequence(F.lit(1), F.least(tf, F.lit(50))), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j).cast("double"))
+    x = F.lit(1.0) / tf.cast("double")
+    tail = x - x * x / 2 + x * x * x / 6 - x * x * x * x * x / 30
+    series = F.when(tf <= 50, series).otherwise(F.lit(np.pi**2 / 6) - tail)
     return series / n_terms
 
 

@@ -173,3 +173,14 @@ def test_isolation_check_finds_leaking_guards(spark, monkeypatch):
     assert rows() == {("source", "a"): (2, 2, 2, 0, False), ("source", "b"): (2, 2, 2, 0, False), ("tag", "x"): (2, 0, 2, 2, False), ("tag", "y"): (1, 0, 1, 1, False)}
     monkeypatch.setattr(O.V, "source_guard", lambda s: F.lit(False))
     assert not any(v[-1] for k, v in rows().items() if k[0] == "source")
+
+
+def test_keyword_score_sums_to_the_last_repeat(spark):
+    tfs = [1, 2, 49, 50, 51, 52, 75, 500, 20_000]
+    got = {r.tf: r.s for r in spark.createDataFrame([(t,) for t in tfs], "tf int").select("tf", R.keyword_score(F.col("tf"), F.lit(2)).alias("s")).collect()}
+    for t in tfs:
+        assert got[t] == pytest.approx(sum(1 / j**2 for j in range(t, 0, -1)) / 2, abs=1e-12)
+    chunks = spark.createDataFrame([(1, 1, "word " * 60), (2, 2, "word " * 400), (3, 3, "word " * 50)], "chunk_id long, page_id long, text string")
+    postings = R.chunk_terms(chunks, ("chunk_id",), F.col("text"))
+    top = R.keyword_search(spark.createDataFrame([(7, "word")], "query_id long, text string"), postings, chunks.drop("text")).collect()
+    assert [r.chunk_id for r in sorted(top, key=lambda r: r["rank"])] == [2, 1, 3]

@@ -10,21 +10,46 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; a temporary folder where it is
-    unset (local runs and tests)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is unset, a temporary
+    folder of a local run; on a cluster that is an error, since executors wouldn't see each other's files."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a new table in the application's part of the shared folder, which goes when the application ends."""
+    root = f"{shared_dir(spark)}/folioflow/{spark.sparkContext.applicationId}"
+    fs, path = _file(spark, root)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{root}/{uuid.uuid4().hex}-{name}"
+
+
+def _file(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again."""
-    path = f"{shared_dir(df.sparkSession)}/folioflow/{uuid.uuid4().hex}-{name}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that came from `written` and that nothing reads any more."""
+    fs, path = _file(df.sparkSession, df._written_to)
+    fs.delete(path, True)
 
 
 def numbered(df: DataFrame, order: tuple[str, ...], name: str = "position") -> DataFrame:

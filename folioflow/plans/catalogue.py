@@ -17,7 +17,7 @@ from ..operators import filters as V
 from ..operators import scope as O
 from ..operators import search as R
 from ..operators import versions as W
-from ..operators.tables import shared_dir, written
+from ..operators.tables import new_path, written
 from ..sources import events as N
 from ..sources import pages as P
 from ..sources import registry as G
@@ -159,8 +159,8 @@ SELECT page_id, page_id % 9 AS space_id, CASE WHEN page_id % 4 > 0 THEN page_id
 def load_pages(spark, d):
     p = I.table(spark, d, "pages")
     raw = p.select(F.col("page_id").cast("string").alias("id"), (F.col("page_id") % 9).cast("string").alias("spaceId"), F.when(F.col("page_id") % 4 > 0, F.expr("cast(page_id div 4 AS string)")).otherwise("").alias("parentId"), F.when(F.col("page_id") % 6 > 0, "archived").alias("status"), F.struct(F.when(F.col("page_id") % 5 > 0, F.col("page_id") % 5).cast("int").alias("number")).alias("version"), F.struct(F.struct(F.col("html").alias("value")).alias("storage")).alias("body"), F.struct(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/p/"), F.col("page_id").cast("string"))).alias("webui")).alias("_links"))
-    path = f"{shared_dir(spark)}/folioflow/pages-{spark.sparkContext.applicationId}-{abs(hash(d))}"
-    raw.write.mode("overwrite").json(path)
+    path = new_path(spark, "pages")
+    raw.write.json(path)
     return P.load_pages(spark, path, "https://base.example", lines=True).select("page_id", "space_id", "parent_id", "status", "version", F.sha2("body", 256).alias("body_sha256"), "url")
 
 

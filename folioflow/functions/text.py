@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import collapse
@@ -147,3 +150,53 @@ HAND_OFF = ("no_candidates", "weak_score", "no_citations")
 def retry_seconds(attempts: Column, base: int = 5, most: int = 3600) -> Column:
     """min(base * 2 ** (attempts - 1), most)."""
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))), F.lit(float(most))).cast("long")
+
+
+def retry_state(attempts: Column, error: Column, now: Column, most_attempts: int = 8, chars: int = 4000) -> Column:
+    """struct(state, available_at, error) after a failure: dead_letter at ``most_attempts``, else waiting until ``now`` and the
+    backoff; the error is cut to ``chars`` characters."""
+    dead = attempts >= most_attempts
+    later = F.timestamp_add("SECOND", retry_seconds(attempts).cast("int"), now)
+    return F.struct(F.when(dead, "dead_letter").otherwise("waiting").alias("state"), F.when(~dead, later).alias("available_at"), F.left(error, F.lit(chars)).alias("error"))
+
+
+def latency_ms(began: Column, ended: Column) -> Column:
+    """Whole milliseconds between two timestamps."""
+    return F.timestamp_diff("MILLISECOND", began, ended)
+
+
+def needs_search(route: Column, message: Column, vague: Callable[[list[str]], list[bool]]) -> Column:
+    """Whether a routed message is searched: those that `route_query` left to a classifier if ``vague``, a callable over batches
+    of messages, says that they aren't vague. Other routes don't reach it."""
+
+    @F.pandas_udf("boolean")
+    def judged(text: pd.Series) -> pd.Series:
+        out = pd.Series(False, index=text.index, dtype=object)
+        asked = text.notna()
+        out[asked] = list(vague(text[asked].tolist())) if asked.any() else []
+        return out.astype(bool)
+
+    open_question = F.when(route == "needs_classifier", message)
+    return F.when(route == "search", F.lit(True)).otherwise((route == "needs_classifier") & ~judged(open_question))
+
+
+def query_context(turns: DataFrame, by: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(by, context, last_user): the lines ``role: text`` of a conversation in order, and its last user text."""
+    lines = F.array_sort(F.collect_list(F.struct(order, "role", "text")))
+    each = turns.groupBy(by).agg(lines.alias("t"))
+    said = F.filter("t", lambda x: x["role"] == "user")
+    return each.select(by, F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("context"), F.try_element_at(said, F.lit(-1))["text"].alias("last_user"))
+
+
+def rewrite_queries(contexts: DataFrame, rewrite: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """``contexts`` (context, last_user, ...) with ``query``: of ``rewrite``, a callable over batches of contexts; without one,
+    or where it gives nothing, the last user text."""
+    if rewrite is None:
+        return contexts.withColumn("query", F.col("last_user"))
+
+    @F.pandas_udf("string")
+    def made(context: pd.Series) -> pd.Series:
+        return pd.Series(list(rewrite(context.tolist())), index=context.index, dtype=object)
+
+    new = made(F.col("context"))
+    return contexts.withColumn("query", new).withColumn("query", F.coalesce(F.when(F.trim("query") != "", F.col("query")), "last_user"))

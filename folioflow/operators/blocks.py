@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
-from html.parser import HTMLParser
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,72 +14,73 @@ from pyspark.sql import functions as F
 from ..functions.hashing import SEPARATOR
 
 PANELS = ("info", "note", "warning", "tip", "panel")
-HEADINGS = {f"h{i}": i for i in range(1, 7)}
-_CDATA = re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S)
-_TAG = re.compile(r"<[^>]+>")
+MACRO = "ac:structured-macro"
+LEVELS = {f"h{i}": i for i in range(1, 7)}
+#: The kind of the block that begins at a tag.
+BEGINS = dict.fromkeys(LEVELS, "heading") | {"ul": "list", "ol": "list", "table": "table"}
+_NAMED = re.compile(r"""\bac:name\s*=\s*["']?([^"'\s>]+)""", re.I)
+#: Raw text of scripts and styles, CDATA, a tag (with > in quoted values), other markup, text.
+_TOKEN = re.compile(
+    r"""<(?P<raw>script|style)\b[^>]*>(?P<said>.*?)(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<!--.*?(?:-->|\Z)"""
+    r"""|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|<[!?/][^>]*+>|(?P<text>[^<]++|<)""",
+    re.S | re.I,
+)
+#: (level of the block that ends, kind of the next one; None: as it was, or a paragraph after a block with text)
+Cut = tuple[int, str | None]
 
 
 def _tidy(text: str) -> str:
     return " ".join((text if text.isascii() else unicodedata.normalize("NFC", text)).split())
 
 
-class _Body(HTMLParser):
-    """Collects (kind, level, text); a helper for one body."""
-
-    def __init__(self, drop: bool):
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, int, str]] = []
-        self.pieces: list[str] = []
-        self.kind, self.drop, self.silent = "paragraph", drop, 0
-
-    def close_block(self, level: int = 0) -> None:
-        text = _tidy(" ".join(self.pieces))
-        self.pieces = []
-        if text:
-            self.out.append((self.kind, level, text))
-            self.kind = "paragraph"
-
-    def handle_starttag(self, tag, attrs):
-        if self.drop and tag in ("script", "style"):
-            self.silent += 1
-        macro = dict(attrs).get("ac:name") if tag == "ac:structured-macro" else None
-        starts = "heading" if tag in HEADINGS else "list" if tag in ("ul", "ol") else "table" if tag == "table" else "code" if macro == "code" else "panel" if macro in PANELS else None
-        if starts:
-            self.close_block()
-            self.kind = starts
-
-    def handle_endtag(self, tag):
-        if self.drop and tag in ("script", "style"):
-            self.silent = max(0, self.silent - 1)
-        if tag in HEADINGS or tag in ("ul", "ol", "table", "ac:structured-macro"):
-            self.close_block(HEADINGS.get(tag, 0))
-            self.kind = "paragraph"
+def _cuts(tag: str, rest: str, end: bool) -> Iterator[Cut]:
+    """What a tag ends or begins."""
+    if not end:
+        named = m[1].lower() if tag == MACRO and (m := _NAMED.search(rest)) else None
+        kind = "code" if named == "code" else "panel" if named in PANELS else BEGINS.get(tag)
+        if kind:
+            yield 0, kind
+    if end or rest.endswith("/"):
+        if tag in BEGINS or tag == MACRO:
+            yield LEVELS.get(tag, 0), "paragraph"
         elif tag == "p":
-            self.close_block()
+            yield 0, None
 
-    def handle_data(self, data):
-        if not self.silent and (data.strip() or self.pieces):
-            self.pieces.append(data if data.strip() else " ")
+
+def _marks(body: str, keep_cdata: bool, drop_script_style: bool) -> Iterator[str | Cut]:
+    """The body's texts and cuts in order, with a cut at the end."""
+    for m in _TOKEN.finditer(body):
+        if m["text"]:
+            yield html.unescape(m["text"])
+        elif m["tag"]:
+            yield from _cuts(m["tag"].lower(), m["rest"], bool(m["end"]))
+        elif m["cdata"] and keep_cdata:
+            yield m["cdata"]
+        elif m["said"] and not drop_script_style:
+            yield m["said"]
+    yield 0, None
 
 
 def _blocks(body: str | None, keep_cdata: bool, drop_script_style: bool) -> list[tuple[str, int, str]]:
-    if not body:
-        return []
-    if keep_cdata:
-        body = _CDATA.sub(lambda m: m[1].replace("&", "&amp;").replace("<", "&lt;"), body)
-    try:
-        parser = _Body(drop_script_style)
-        parser.feed(body)
-        parser.close_block()
-        return parser.out
-    except Exception:  # any body gives some blocks: its text without tags
-        text = _tidy(_TAG.sub(" ", body))
-        return [("paragraph", 0, text)] if text else []
+    """(kind, level, text) of what lies between cuts, where that has text."""
+    out: list[tuple[str, int, str]] = []
+    kind, said = "paragraph", []
+    for x in _marks(body or "", keep_cdata, drop_script_style):
+        if isinstance(x, str):
+            said.append(x)
+            continue
+        level, then = x
+        text, said = _tidy(" ".join(said)), []
+        if text:
+            out.append((kind, level, text))
+        kind = then or ("paragraph" if text else kind)
+    return out
 
 
 def normalize_pages(pages: DataFrame, id_col: str = "page_id", body_col: str = "body", keep_cdata: bool = True, drop_script_style: bool = True) -> DataFrame:
     """(page_id, pos, kind, level, text): blocks of each body in order, from 0. With both options off, CDATA is lost and
-    script text kept, as a plain HTML parser does. Empty bodies have no blocks."""
+    script text kept, as a plain HTML parser does. Empty bodies have no blocks; any other body gives some for its text,
+    however broken its markup is."""
 
     def parse(batches):
         for b in batches:

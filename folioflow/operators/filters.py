@@ -101,11 +101,13 @@ def request_context(requests: DataFrame, integrations: DataFrame, general: str,
 
 def curated_for_scope(queries: DataFrame, entries: DataFrame, most: int = 5) -> DataFrame:
     """(query_id, entry_id, rank): active entries without tags or with a tag of the query's scopes, by id, the first ``most``.
-    Entries meet queries tag by tag; untagged ones are the same for all, so only the first ``most`` of them are dealt out."""
+    Entries meet queries tag by tag, only the first ``most`` of each tag: no later one is among a query's first. Untagged ones
+    are the same for all."""
     from pyspark.sql import Window
 
     live = entries.where("is_active")
-    tagged = live.select("entry_id", F.explode("tags").alias("scope"))
+    nth = F.row_number().over(Window.partitionBy("scope").orderBy("entry_id"))
+    tagged = live.select("entry_id", F.explode(F.array_distinct("tags")).alias("scope")).withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
     own = queries.select("query_id", F.explode("scopes").alias("scope")).join(tagged, "scope").select("query_id", "entry_id")
     free = live.where(F.coalesce(F.size("tags"), F.lit(0)) <= 0).select("entry_id").orderBy("entry_id").limit(most)
     shared = queries.select("query_id", F.lit(1).alias("k")).join(F.broadcast(free.withColumn("k", F.lit(1))), "k").select("query_id", "entry_id")

@@ -65,12 +65,18 @@ def isolation_check(chunks: DataFrame, general: str) -> DataFrame:
 
 
 def reconciliation_report(drift: DataFrame, decided: DataFrame, asked: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row a run (run_id): scanned, new, drifted and unchanged pages, requests, orphans removed, errors, the page ids of
-    each kind (of the pages that changed, not of all), and the status: completed without errors, else failed."""
-    ids = lambda kind: F.sort_array(F.collect_list(F.when(F.col("drift") == kind, F.col("page_id"))))
-    seen = drift.groupBy("run_id").agg(F.count_if(F.col("drift") != "orphan").alias("scanned"), F.count_if(F.col("drift") == "drifted").alias("drifted"), ids("new").alias("new_pages"), ids("drifted").alias("drifted_pages"))
-    gone = decided.groupBy("run_id").agg(F.count_if(F.col("decision") == "purge").alias("orphans_removed"), F.sort_array(F.collect_list("page_id")).alias("orphan_pages"))
+    """One row a run (run_id): scanned, new, drifted and unchanged pages, requests, orphans removed, errors, and the status:
+    completed without errors, else failed. The pages themselves are rows of `report_pages`."""
+    count = lambda kind: F.count_if(F.col("drift") == kind)
+    seen = drift.groupBy("run_id").agg(F.count_if(F.col("drift") != "orphan").alias("scanned"), count("new").alias("new"), count("drifted").alias("drifted"), count("unchanged").alias("unchanged"))
+    gone = decided.groupBy("run_id").agg(F.count_if(F.col("decision") == "purge").alias("orphans_removed"))
     made = asked.groupBy("run_id").agg(F.countDistinct("idempotency_key").alias("requests"))
     bad = errors.groupBy("run_id").agg(F.count("*").alias("errors"))
     out = seen.join(gone, "run_id", "left").join(made, "run_id", "left").join(bad, "run_id", "left").na.fill(0, ["orphans_removed", "requests", "errors"])
-    return out.withColumn("orphan_pages", F.coalesce("orphan_pages", F.array().cast("array<bigint>"))).withColumn("status", F.when(F.col("errors") == 0, "completed").otherwise("failed"))
+    return out.withColumn("status", F.when(F.col("errors") == 0, "completed").otherwise("failed"))
+
+
+def report_pages(drift: DataFrame, decided: DataFrame) -> DataFrame:
+    """(run_id, kind, page_id): a row for each new, drifted and orphan page of a run."""
+    changed = drift.where(F.col("drift").isin("new", "drifted")).select("run_id", F.col("drift").alias("kind"), "page_id")
+    return changed.unionByName(decided.select("run_id", F.lit("orphan").alias("kind"), "page_id"))

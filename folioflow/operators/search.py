@@ -32,22 +32,33 @@ def chunk_terms(chunks: DataFrame, id_cols: tuple[str, ...], text: Column, stop:
     return chunks.select(*id_cols, F.explode(terms_of(text, stop)).alias("term")).groupBy(*id_cols, "term").agg(F.count("*").cast("int").alias("tf"))
 
 
-def keyword_score(tf: Column, n_terms: Column) -> Column:
-    """Of one matched term: (1 / distinct query terms) * sum of 1 / j^2 for j up to tf; more and repeated matches score
-    higher, each repeat less. Beyond 50 the sum is pi^2 / 6 less the asymptotic series of its tail, exact to 1e-13."""
-    series = F.aggregate(F.sequence(F.lit(1), F.least(tf, F.lit(50))), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j).cast("double"))
+def repeats_weight(tf: Column) -> Column:
+    """Sum of 1 / j^2 for j up to tf: each repeat counts less. Looked up to 50; beyond, pi^2 / 6 less the asymptotic
+    series of its tail, exact to 1e-13."""
+    sums = F.array(*(F.lit(float(x)) for x in np.cumsum(1 / np.arange(1, 51) ** 2)))
     x = F.lit(1.0) / tf.cast("double")
     tail = x - x * x / 2 + x * x * x / 6 - x * x * x * x * x / 30
-    series = F.when(tf <= 50, series).otherwise(F.lit(np.pi**2 / 6) - tail)
-    return series / n_terms
+    return F.when(tf <= 50, F.element_at(sums, F.least(tf, F.lit(50)))).otherwise(F.lit(np.pi**2 / 6) - tail)
+
+
+def keyword_score(tf: Column, n_terms: Column) -> Column:
+    """Of one matched term: (1 / distinct query terms) * `repeats_weight`."""
+    return repeats_weight(tf) / n_terms
 
 
 def keyword_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, visible: Column | None = None, k: int = 75, stop: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, chunk_id, page_id, score, rank): chunks with any of the query's terms, filtered by ``visible`` (over
-    columns of queries and chunks) before the cut at ``k`` rows, by score, then page, then chunk."""
+    columns of queries and chunks) before the cut at ``k`` rows, by score, then page, then chunk.
+
+    A matched term counts (1 / distinct query terms) * `repeats_weight`, so more and repeated matches score higher. Weights
+    are made once a posting, before queries meet them; scores are sums of whole billionths, so they don't depend on the order
+    of adding. The first ``k`` of each task are cut before the shuffle by query.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text"), stop))).alias("term"))
     asked = asked.join(asked.groupBy("query_id").agg(F.count("*").alias("n_terms")), "query_id")
-    scored = postings.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.round(keyword_score(F.col("tf"), F.col("n_terms")), 9).cast("decimal(20,9)")).cast("double").alias("score"))
+    weighed = postings.select("chunk_id", "term", repeats_weight(F.col("tf")).alias("w"))
+    part = F.round(F.col("w") / F.col("n_terms") * F.lit(1e9)).cast("long")
+    scored = weighed.join(asked, "term").groupBy("query_id", "chunk_id").agg((F.sum(part) / F.lit(1e9)).alias("score"))
     found = scored.join(chunks, "chunk_id")
     if visible is not None:
         found = found.join(queries.drop("text"), "query_id").where(visible)

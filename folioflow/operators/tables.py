@@ -55,8 +55,8 @@ def discard(df: DataFrame) -> None:
 def numbered(df: DataFrame, order: tuple[str, ...], name: str = "position") -> DataFrame:
     """``df`` with its rows' places, from 1, in the order of columns. Rows are dealt by ranges of that order and written with
     their range; a range's rows are numbered alone and moved by the sizes of the ranges before it. So no task sees all
-    rows, and what is broadcast is one number a range."""
-    ranges = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    rows, and what is broadcast is one number a range. ``df`` is written first, since finding the ranges reads it too."""
+    ranges = written(written(df, "rows").repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).select("_range", "_before")
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))

@@ -21,6 +21,7 @@ from ..operators.tables import new_path, written
 from ..sources import events as N
 from ..sources import pages as P
 from ..sources import registry as G
+from ..streaming import jobs as J
 from ..streaming import state as S
 from . import inputs as I
 from . import retrieve as Z
@@ -82,11 +83,18 @@ def redact_pii(spark, d):
     return I.table(spark, d, "documents").select("doc_id", F.sha2(F.encode(T.redact_pii(text), "UTF-8"), 256).alias("redacted_sha256"))
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT doc_id, [2, 3, CAST(doc_id % 5 AS INT)] AS valid, regexp_replace(coalesce(text, ''), '[.] ', ' [2][9]. ', 'g') || ' Up [1]. No marker here! Last one [3] ?' AS answer FROM documents),
+s AS (SELECT doc_id, valid, list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])[\s\x0B]+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS s FROM a),
+c AS (SELECT *, list_transform(s, lambda x: list_filter(list_transform(regexp_extract_all(x, '\[(\d+)\]', 1), lambda m: TRY_CAST(m AS INT)), lambda m: list_contains(valid, m))) AS cited FROM s),
+k AS (SELECT *, list_filter(list_zip(s, cited), lambda z: len(z[2]) > 0) AS kept FROM c)
+SELECT doc_id, list_sort(list_distinct(flatten(list_transform(kept, lambda z: z[2])))) AS used,
+ sha256(array_to_string(list_transform(kept, lambda z: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(z[1], '\[(' || array_to_string(valid, '|') || ')\]', chr(1) || '\1' || chr(2), 'g'), '\[\d+\]', '', 'g'), chr(1) || '(\d+)' || chr(2), '[\1]', 'g'), '[\s\x0B]+([.!?,;:])', '\1', 'g'), '[\s\x0B]{2,}', ' ', 'g'))), ' ')) AS text_sha256 FROM k""")
 def enforce_citations(spark, d):
-    answer = F.concat(F.lit("Up [1]. "), F.substring("text", 1, 60), F.lit(" so [2][9]. No marker here! Last one [3] ?"))
+    """Whole texts as answers, with markers at the end of their sentences."""
+    answer = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[.] ", " [2][9]. "), F.lit(" Up [1]. No marker here! Last one [3] ?"))
     out = I.table(spark, d, "documents").select("doc_id", T.enforce_citations(answer, F.array(F.lit(2), F.lit(3), (F.col("doc_id") % 5).cast("int"))).alias("c"))
-    return out.select("doc_id", "c.text", "c.used")
+    return out.select("doc_id", "c.used", F.sha2(F.encode("c.text", "UTF-8"), 256).alias("text_sha256"))
 
 
 @query(r"""
@@ -98,12 +106,27 @@ def route_query(spark, d):
     return I.table(spark, d, "conversations").select("conv_id", "turn", T.route_query(m).alias("route"))
 
 
+@query(r"""
+WITH r AS (SELECT conv_id, turn, coalesce(text, '') AS text, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS tidy FROM conversations)
+SELECT conv_id, turn, tidy <> '' AND (len(string_split(tidy, ' ')) >= 40 OR length(text) % 2 = 0) AS searched FROM r""")
+def needs_search(spark, d):
+    """What the routes leave open goes to a classifier of vague questions; here one by length stands for a model."""
+    vague = lambda many: [len(x) % 2 == 1 for x in many]
+    text = F.coalesce("text", F.lit(""))
+    return I.table(spark, d, "conversations").select("conv_id", "turn", T.needs_search(T.route_query(text, 40), text, vague).alias("searched"))
+
+
 @query(r"""
 SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'answer' WHEN event_type = 'error' THEN 'no_candidates' WHEN value / 100 <= 0.035 THEN 'off_topic' WHEN value / 100 < 0.05 THEN 'weak_score' ELSE 'answer' END AS outcome,
-  CAST(least(5 * pow(2, event_id % 15), 3600) AS BIGINT) AS retry_s, event_id % 15 + 1 >= 8 AS dead FROM events""")
+  CAST(least(5 * pow(2, event_id % 15), 3600) AS BIGINT) AS retry_s, CASE WHEN event_id % 15 + 1 >= 8 THEN 'dead_letter' ELSE 'waiting' END AS state,
+  CASE WHEN event_id % 15 + 1 < 8 THEN CAST(floor(epoch(ts)) AS BIGINT) + CAST(5 * pow(2, event_id % 15) AS BIGINT) END AS available_s, length(left(repeat(props, 300), 4000)) AS error_chars,
+  1500 + event_id % 1000 AS took_ms FROM events""")
 def refusal_and_backoff(spark, d):
     e = I.table(spark, d, "events")
-    return e.select("event_id", T.refusal_decision(F.when(F.col("event_type") != "error", F.col("value") / 100), F.col("event_id") % 50 == 0).alias("outcome"), T.retry_seconds(F.col("event_id") % 15 + 1).alias("retry_s"), (F.col("event_id") % 15 + 1 >= 8).alias("dead"))
+    failed = T.retry_state(F.col("event_id") % 15 + 1, F.repeat("props", F.lit(300)), F.col("ts"))
+    done = F.timestamp_add("MILLISECOND", (1500 + F.col("event_id") % 1000).cast("int"), F.col("ts"))
+    out = e.select("event_id", T.refusal_decision(F.when(F.col("event_type") != "error", F.col("value") / 100), F.col("event_id") % 50 == 0).alias("outcome"), T.retry_seconds(F.col("event_id") % 15 + 1).alias("retry_s"), failed.alias("f"), T.latency_ms(F.col("ts"), done).alias("took_ms"))
+    return out.select("event_id", "outcome", "retry_s", "f.state", F.unix_timestamp("f.available_at").alias("available_s"), F.length("f.error").alias("error_chars"), "took_ms")
 
 
 @query(r"""
@@ -146,8 +169,17 @@ def cache_key(spark, d):
 @query(r"""
 SELECT conv_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS context_sha256 FROM conversations GROUP BY conv_id""")
 def query_context(spark, d):
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))))
-    return I.table(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(F.encode(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), "UTF-8"), 256).alias("context_sha256"))
+    said = T.query_context(I.table(spark, d, "conversations"))
+    return said.select("conv_id", F.sha2(F.encode("context", "UTF-8"), 256).alias("context_sha256"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS c, max_by(text, turn) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)
+SELECT conv_id, sha256(CASE WHEN length(c) % 3 = 0 THEN u ELSE upper(left(c, 40)) END) AS query_sha256 FROM t""")
+def rewrite_queries(spark, d):
+    short = lambda many: ["" if len(c) % 3 == 0 else c[:40].upper() for c in many]  # noqa: E731  stands for a model
+    out = T.rewrite_queries(T.query_context(I.table(spark, d, "conversations")), short)
+    return out.select("conv_id", F.sha2(F.encode("query", "UTF-8"), 256).alias("query_sha256"))
 
 
 # --- pages, blocks, chunks ----------------------------------------------------------------------
@@ -164,6 +196,59 @@ def load_pages(spark, d):
     return P.load_pages(spark, path, "https://base.example", lines=True).select("page_id", "space_id", "parent_id", "status", "version", F.sha2("body", 256).alias("body_sha256"), "url")
 
 
+@query(r"""
+SELECT doc_id AS page_id, CASE WHEN doc_id % 5 = 0 THEN [] ELSE [lang, source] END AS labels, CASE WHEN doc_id % 3 = 0 THEN 'a' || doc_id END AS attachment, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS file_size,
+ CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN '/d/' || doc_id ELSE '/l/' || doc_id END END AS link, CASE WHEN doc_id % 7 <> 0 THEN ['u' || doc_id] END AS users, CASE WHEN doc_id % 7 <> 0 THEN ['g' || doc_id % 3] END AS groups FROM documents""")
+def load_page_aux(spark, d):
+    """Labels, attachments and restrictions as the page source's JSON, written and read back."""
+    docs = I.table(spark, d, "documents").withColumn("pageId", F.col("doc_id").cast("string"))
+    named = lambda c, of="name": F.struct(F.col(c).alias(of))
+    labels = docs.select("pageId", F.when(F.col("doc_id") % 5 > 0, F.array(named("lang"), named("source"))).alias("results"))
+    path = lambda head: F.concat(F.lit(head), "pageId")
+    files = docs.where("doc_id % 3 = 0").select("pageId", F.array(F.struct(path("a").alias("id"), F.col("n_chars").alias("fileSize"), F.when(F.col("doc_id") % 2 == 0, path("/d/")).alias("downloadLink"), F.struct(path("/l/").alias("download")).alias("_links"))).alias("results"))
+    users, groups = F.array(F.struct(path("u").alias("accountId"))), F.array(F.struct(F.concat(F.lit("g"), (F.col("doc_id") % 3).cast("string")).alias("id")))
+    limits = docs.select("pageId", F.when(F.col("doc_id") % 7 > 0, "read").otherwise("update").alias("operation"), F.struct(F.struct(users.alias("results")).alias("user"), F.struct(groups.alias("results")).alias("group")).alias("restrictions"))
+    at = {}
+    for name, df in (("labels", labels), ("attachments", files), ("restrictions", limits)):
+        at[name] = new_path(spark, name)
+        df.write.json(at[name])
+    have = P.load_attachments(spark, at["attachments"], lines=True).select("page_id", F.col("id").alias("attachment"), "file_size", "link")
+    return P.load_labels(spark, at["labels"], lines=True).join(have, "page_id", "left").join(P.load_restrictions(spark, at["restrictions"], lines=True), "page_id", "left")
+
+
+@query(r"""
+SELECT 'd' || item_id // 50 AS dataset, CAST(item_id AS VARCHAR) AS case_id, text AS question, CASE WHEN item_id % 2 = 0 THEN 's' || item_id % 7 END AS scope, CASE WHEN item_id % 3 = 0 THEN 'latency' ELSE 'retrieval' END AS kind,
+ CASE WHEN item_id % 4 = 0 THEN 0 ELSE 2 END AS n_relevant FROM benchmark""")
+def load_eval_cases(spark, d):
+    """Test items as datasets of fifty cases, one JSON file each, written and read back."""
+    case = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 4 > 0, _lit_array("a", "b")).otherwise(F.array().cast("array<string>")).alias("relevant_chunk_ids"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("s"), (F.col("item_id") % 7).cast("string"))).alias("scope"), F.when(F.col("item_id") % 3 == 0, "latency").alias("kind"))
+    path = new_path(spark, "cases")
+    I.table(spark, d, "benchmark").groupBy(F.concat(F.lit("d"), F.expr("item_id div 50").cast("string")).alias("name")).agg(F.collect_list(case).alias("cases")).write.option("maxRecordsPerFile", 1).json(path)
+    cases, relevant = G.load_eval_cases(spark, path)
+    n = relevant.groupBy("dataset", "case_id").agg(F.count("*").cast("int").alias("n_relevant"))
+    return cases.join(n, ["dataset", "case_id"], "left").na.fill(0, ["n_relevant"])
+
+
+@query(r"""
+SELECT source AS name, upper(source) AS label, max(n_chars) || ' characters' AS description FROM documents GROUP BY source UNION ALL SELECT 'general', 'GENERAL', 'all'""")
+def load_scope_registry(spark, d):
+    """The sources as scopes of one registry file, written, checked and read back."""
+    of = I.table(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.concat(F.max("n_chars").cast("string"), F.lit(" characters")).alias("description"))
+    own = spark.createDataFrame([("general", "all"), ("classified", "none")], "name string, description string")
+    path = new_path(spark, "scopes")
+    of.unionByName(own).agg(F.collect_list(F.struct("name", F.upper("name").alias("label"), "description")).alias("scopes")).write.json(path)
+    return G.load_scope_registry(spark, path, "general")
+
+
+@query(f"""WITH {I.CHUNKS} SELECT space_id, is_active, count(*) AS chunks, sum(chunk_id)::BIGINT AS ids FROM chunks GROUP BY 1, 2""")
+def write_index(spark, d):
+    """The index is written by space and activity, then some spaces are replaced by themselves; the others stay."""
+    path, chunks = new_path(spark, "index"), I.chunks(spark, d)
+    G.write_index({"chunks": chunks}, path)
+    G.write_index({"chunks": chunks.where("space_id % 3 = 0")}, path)
+    return spark.read.parquet(f"{path}/chunks").groupBy(F.col("space_id").cast("long").alias("space_id"), F.col("is_active").cast("boolean").alias("is_active")).agg(F.count("*").alias("chunks"), F.sum("chunk_id").alias("ids"))
+
+
 @query()
 def normalize_pages(spark, d):
     return B.normalize_pages(I.table(spark, d, "pages"), body_col="html")
@@ -215,14 +300,14 @@ def embed_texts(spark, d):
 
 
 @query(r"""
-WITH a AS (SELECT doc_id % 40 AS page_id, doc_id, CAST(doc_id AS VARCHAR) AS id, 'T' || doc_id AS title, text, n_chars FROM documents),
+WITH a AS (SELECT doc_id // 500 AS page_id, doc_id, CAST(doc_id AS VARCHAR) AS id, 'T' || doc_id AS title, text, n_chars FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY id) AS r FROM a),
-k AS (SELECT * FROM r WHERE r <= 20 AND doc_id % 6 > 0 AND n_chars <= 5000 AND trim(coalesce(text, '')) <> '')
+k AS (SELECT * FROM r WHERE r <= 200 AND doc_id % 6 > 0 AND n_chars <= 20971520 AND trim(coalesce(text, '')) <> '')
 SELECT page_id, CAST(2 * (r - 1) AS INT) AS n, 'heading' AS kind, 1 AS level, sha256(title) AS text_sha256, ['Attachments', title] AS path FROM k
 UNION ALL SELECT page_id, CAST(2 * (r - 1) + 1 AS INT), 'paragraph', 0, sha256(text), ['Attachments', title] FROM k""")
 def attachment_blocks(spark, d):
-    a = I.table(spark, d, "documents").select((F.col("doc_id") % 40).alias("page_id"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 6 > 0, "/x").alias("link"), F.col("n_chars").alias("file_size"), "text")
-    return P.attachment_blocks(a, 20, 5000).select("page_id", "n", "kind", "level", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "path")
+    a = I.table(spark, d, "documents").select(F.expr("doc_id div 500").alias("page_id"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 6 > 0, "/x").alias("link"), F.col("n_chars").alias("file_size"), "text")
+    return P.attachment_blocks(a).select("page_id", "n", "kind", "level", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "path")
 
 
 # --- filters ------------------------------------------------------------------------------------
@@ -307,8 +392,7 @@ def _versions_of_lines(spark, d):
     return keys(lines), keys(edited)
 
 
-@query(r"""
-WITH RECURSIVE l AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS idx FROM documents),
+_DIFF = r"""l AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS idx FROM documents),
 e AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) - 1 AS INT) AS idx, line FROM l WHERE idx % 4 <> page_id % 4),
 n AS (SELECT page_id, idx, CASE WHEN idx % 5 = 2 THEN line || '!' ELSE line END AS line FROM e),
 p1 AS (SELECT n.page_id, n.idx AS ni, l.idx AS oi FROM n JOIN l ON n.page_id = l.page_id AND n.idx = l.idx AND n.line = l.line),
@@ -317,19 +401,28 @@ o2 AS (SELECT *, row_number() OVER (PARTITION BY page_id, line ORDER BY idx) AS
 p2 AS (SELECT n2.page_id, n2.idx AS ni, o2.idx AS oi FROM n2 JOIN o2 USING (page_id, line, k)),
 n3 AS (SELECT page_id, idx FROM n2 WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.page_id = n2.page_id AND ni = idx)),
 o3 AS (SELECT page_id, idx FROM o2 WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.page_id = o2.page_id AND oi = idx)),
-p3 AS (SELECT page_id, idx FROM n3 JOIN o3 USING (page_id, idx))
+p3 AS (SELECT page_id, idx FROM n3 JOIN o3 USING (page_id, idx))"""
+
+
+@query(f"""WITH {_DIFF}
 SELECT page_id, ni AS new_idx, oi AS old_idx, 'exact' AS outcome FROM p1 UNION ALL SELECT page_id, ni, oi, 'moved' FROM p2 UNION ALL SELECT page_id, idx, idx, 'edited' FROM p3
 UNION ALL SELECT page_id, idx, NULL, 'inserted' FROM n3 ANTI JOIN p3 USING (page_id, idx) UNION ALL SELECT page_id, NULL, idx, 'deleted' FROM o3 ANTI JOIN p3 USING (page_id, idx)""")
 def diff_chunks(spark, d):
     return C.diff_chunks(*_versions_of_lines(spark, d))
 
 
-@query()
+@query(f"""WITH {_DIFF}, allowed AS (SELECT doc_id AS page_id FROM documents WHERE doc_id % 4 > 0),
+c AS (SELECT page_id, ni AS idx, oi FROM p1 UNION ALL SELECT page_id, ni, oi FROM p2)
+SELECT page_id, n.idx, CASE WHEN oi IS NULL THEN 'embed' ELSE 'carried' END AS kind, CAST(oi AS DOUBLE) AS old_value FROM n LEFT JOIN (SELECT * FROM c SEMI JOIN allowed USING (page_id)) c USING (page_id, idx)""")
 def reuse_embeddings(spark, d):
+    """Pages with an id divisible by four had another embedding model or dimension: all of theirs is embedded anew."""
     old, new = _versions_of_lines(spark, d)
     had = old.withColumn("retrieval_text", F.col("content_key")).withColumn("embedding", F.array((F.col("idx") * 1.0).cast("float")))
-    carried, rest = C.reuse_embeddings(C.diff_chunks(old, new), had, new)
-    return carried.groupBy("page_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit("carried")).unionByName(rest.groupBy("page_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit("embed")))
+    active = I.table(spark, d, "documents").selectExpr("doc_id AS page_id", "CASE WHEN doc_id % 8 = 0 THEN 'old' ELSE 'm' END AS embedding_model", "CASE WHEN doc_id % 8 = 4 THEN 2 ELSE 1 END AS embedding_dim", "1 AS contextualization_version", "1 AS retrieval_schema_version")
+    allowed = C.reuse_allowed(active, {"embedding_model": "m", "embedding_dim": 1, "contextualization_version": 1, "retrieval_schema_version": 1})
+    carried, rest = C.reuse_embeddings(C.diff_chunks(old, new), had, new, allowed)
+    none = F.lit(None).cast("double")
+    return carried.select("page_id", "idx", F.lit("carried").alias("kind"), F.col("embedding")[0].cast("double").alias("old_value")).unionByName(rest.select("page_id", "idx", F.lit("embed").alias("kind"), none.alias("old_value")))
 
 
 @query(f"""WITH {I.REGISTRY}, {I.INCOMING} SELECT coalesce(i.space_id, r.space_id) AS space_id, page_id, CASE WHEN i.title IS NULL THEN 'orphan' WHEN r.title IS NULL THEN 'new'
@@ -410,16 +503,28 @@ def known_spaces(spark, d):
     return O.known_spaces(I.registry(spark, d), _roots(spark))
 
 
-@query(f"""WITH {I.REGISTRY}, {I.INCOMING}, x AS (SELECT page_id, coalesce(i.space_id, r.space_id) % 4 AS run_id, CASE WHEN i.title IS NULL THEN 'orphan' WHEN r.title IS NULL THEN 'new'
+@query(f"""WITH {I.REGISTRY}, {I.INCOMING}, x AS (SELECT page_id, coalesce(i.space_id, r.space_id) AS run_id, CASE WHEN i.title IS NULL THEN 'orphan' WHEN r.title IS NULL THEN 'new'
 WHEN i.version > r.version OR i.status IS DISTINCT FROM r.status OR i.parent_id IS DISTINCT FROM r.parent_id OR i.title IS DISTINCT FROM r.title THEN 'drifted' ELSE 'unchanged' END AS drift FROM incoming i FULL JOIN registry r USING (page_id))
 SELECT run_id, count(*) FILTER (drift <> 'orphan') AS scanned, count(*) FILTER (drift = 'drifted') AS drifted, count(DISTINCT page_id) FILTER (drift IN ('new', 'drifted')) AS requests, count(*) FILTER (drift = 'orphan') AS orphans_removed,
  CAST(len(coalesce(list(page_id) FILTER (drift = 'new'), [])) AS INT) AS n_new, CAST(CASE WHEN run_id = 1 THEN 2 ELSE 0 END AS BIGINT) AS errors, CASE WHEN run_id = 1 THEN 'failed' ELSE 'completed' END AS status FROM x GROUP BY run_id""")
 def reconciliation_report(spark, d):
-    drift = C.drift_scan(I.incoming(spark, d), I.registry(spark, d)).withColumn("run_id", F.col("space_id") % 4)
+    drift, decided, asked, errors = _run(spark, d)
+    return O.reconciliation_report(drift, decided, asked, errors).select("run_id", "scanned", "drifted", "requests", "orphans_removed", F.col("new").alias("n_new"), "errors", "status")
+
+
+@query(f"""WITH {I.REGISTRY}, {I.INCOMING} SELECT coalesce(i.space_id, r.space_id) AS run_id, CASE WHEN i.title IS NULL THEN 'orphan' WHEN r.title IS NULL THEN 'new' ELSE 'drifted' END AS kind, page_id FROM incoming i FULL JOIN registry r USING (page_id)
+WHERE i.title IS NULL OR r.title IS NULL OR i.version > r.version OR i.status IS DISTINCT FROM r.status OR i.parent_id IS DISTINCT FROM r.parent_id OR i.title IS DISTINCT FROM r.title""")
+def report_pages(spark, d):
+    return O.report_pages(*_run(spark, d)[:2])
+
+
+def _run(spark, d):
+    """A run for each space.""" 
+    drift = C.drift_scan(I.incoming(spark, d), I.registry(spark, d)).withColumn("run_id", F.col("space_id"))
     decided = drift.where("drift = 'orphan'").select("run_id", "page_id", F.lit("purge").alias("decision"))
     asked = drift.where("drift IN ('new', 'drifted')").select("run_id", F.concat_ws(":", F.lit("sync_page"), F.col("page_id").cast("string")).alias("idempotency_key"))
     errors = spark.createDataFrame([(1,), (1,)], "run_id long")
-    return O.reconciliation_report(drift, decided, asked, errors).select("run_id", "scanned", "drifted", "requests", "orphans_removed", F.size("new_pages").alias("n_new"), "errors", "status")
+    return drift, decided, asked, errors
 
 
 @query(r"""
@@ -440,6 +545,12 @@ def parse_events(spark, d):
     return N.parse_events(I.raw_events(spark, d)).select("event_id", "event_type", "page_id", "cf_version", "space_id", "status", "actor_account_id", "delivery_id", "event_timestamp")
 
 
+@query(f"""WITH {I.EVENTS} SELECT event_id, sha256(encode('{{"cf_version":' || coalesce(CAST(cf_version AS VARCHAR), 'null') || ',"delivery_id":' || coalesce('"' || delivery_id || '"', 'null') || ',"event_timestamp":"' || strftime(event_timestamp, '%Y-%m-%d %H:%M:%S')
+ || '","event_type":"' || event_type || '","page_id":' || page_id || ',"space_id":' || space_id || ',"status":' || coalesce('"' || status || '"', 'null') || '}}') || '\\x1F'::BLOB) AS payload_hash FROM parsed""")
+def event_payload_hash(spark, d):
+    return N.with_hash(N.parse_events(I.raw_events(spark, d))).select("event_id", "payload_hash")
+
+
 def _inserted(spark, d):
     return N.idempotent_insert(N.with_hash(V.subscribed_events(N.parse_events(I.raw_events(spark, d)), "u1")))
 
@@ -460,6 +571,29 @@ def requests_in_order(spark, d):
     return N.request_order(asked).select("idempotency_key", "priority", "event_id", "position")
 
 
+@query(f"WITH {I.EVENTS}, {_KEYS} SELECT idempotency_key, priority, event_id FROM first")
+def stream_ingest_events(spark, d):
+    """The same requests from a stream of deliveries, each batch with a ledger of what came before."""
+    path, ledger, made, check = (new_path(spark, x) for x in ("deliveries", "ledger", "requests", "checkpoint"))
+    raw = I.raw_events(spark, d)
+    raw.write.parquet(path)
+    stream = spark.readStream.schema(raw.schema).parquet(path)
+    J.stream_ingest_events(stream, ledger, made, check, schema_version=1, service_account="u1").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(made).select("idempotency_key", F.col("priority").cast("int").alias("priority"), "event_id")
+
+
+@query(f"""WITH {I.EVENTS}, k AS (SELECT * FROM parsed WHERE event_type <> 'page_trashed' AND cf_version IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY cf_version DESC, event_timestamp DESC, event_id DESC) = 1)
+SELECT event_id, page_id, cf_version FROM k UNION ALL SELECT event_id, page_id, cf_version FROM parsed WHERE event_type = 'page_trashed'""")
+def stream_latest_page(spark, d):
+    """Deliveries as a stream to the events that apply: deletions and each page's newest version."""
+    path, state, out, check = (new_path(spark, x) for x in ("events", "state", "applied", "checkpoint"))
+    events = N.parse_events(I.raw_events(spark, d)).drop("payload")
+    events.write.parquet(path)
+    keep = lambda df, n: df.select("event_id", "page_id", "cf_version").write.mode("overwrite").parquet(f"{out}/batch_id={n}")
+    J.stream_latest_page(spark.readStream.schema(events.schema).parquet(path), state, check, keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "page_id", "cf_version")
+
+
 @query(f"""WITH {I.EVENTS}, t AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY cf_version DESC, event_timestamp DESC, event_id DESC) = 1)
 SELECT page_id, cf_version, event_id FROM t WHERE cf_version > page_id % 120""")
 def latest_version(spark, d):
@@ -468,16 +602,24 @@ def latest_version(spark, d):
     return C.latest_version(events, known).select("page_id", "cf_version", "event_id")
 
 
-@query()
+_HITS = "n AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_HITS}, s AS (SELECT user_id, event_id, i, true AS allowed, [t] AS a FROM n WHERE i = 1
+UNION ALL SELECT user_id, event_id, i, len(a) < 2, CASE WHEN len(a) < 2 THEN list_append(a, t) ELSE a END
+FROM (SELECT n.user_id, n.event_id, n.i, n.t, list_filter(s.a, lambda x: x >= n.t - 86400000000 * 7) AS a FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1))
+SELECT CAST(user_id AS VARCHAR) AS key, event_id AS hit_id, allowed FROM s""")
 def rate_limit(spark, d):
-    hits = I.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("hit_id"), "ts")
-    return S.rate_limit(hits, most=3, seconds=3600)
+    hits = I.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("hit_id"), "ts")
+    return S.rate_limit(hits, most=2, seconds=7 * 86_400).select("key", "hit_id", "allowed")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_HITS}, s AS (SELECT user_id, event_id, i, false AS replayed, t AS at FROM n WHERE i = 1
+UNION ALL SELECT n.user_id, n.event_id, n.i, n.t - s.at <= 86400000000 * 5, CASE WHEN n.t - s.at <= 86400000000 * 5 THEN s.at ELSE n.t END FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id AS hit_id, replayed FROM s""")
 def ttl_replay(spark, d):
-    asks = I.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("hit_id"), "ts")
-    return S.ttl_replay(asks, seconds=36_000)
+    asks = I.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("hit_id"), "ts")
+    return S.ttl_replay(asks, seconds=5 * 86_400).select("key", "hit_id", "replayed")
 
 
 # --- versions -----------------------------------------------------------------------------------
@@ -539,9 +681,11 @@ def violations(spark, d):
 
 # --- search and evaluation ----------------------------------------------------------------------
 
-_TERMS = r"""terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark), q AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n FROM terms WHERE term <> ''),
+_KEYWORD = r"""terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark),
+q AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n FROM terms WHERE term <> ''),
 w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w SEMI JOIN q USING (term) GROUP BY 1, 2),
-hit AS (SELECT query_id, doc_id, sum(CAST(round((SELECT sum(1.0 / (j * j)) FROM range(1, least(tf, 50) + 1) r(j)) / n, 9) AS DECIMAL(20, 9))) AS score FROM tf JOIN q USING (term) GROUP BY 1, 2)"""
+sums AS (SELECT tf, sum(1 / CAST(j * j AS DOUBLE)) AS w FROM (SELECT DISTINCT tf FROM tf) JOIN (SELECT unnest(range(1, (SELECT max(tf) + 1 FROM tf))) AS j) ON j <= tf GROUP BY tf),
+hit AS (SELECT query_id, doc_id, sum(CAST(round(w / n * 1e9) AS BIGINT)) / 1e9 AS score FROM tf JOIN sums USING (tf) JOIN q USING (term) GROUP BY 1, 2)"""
 
 
 def _questions(spark, d):
@@ -559,10 +703,11 @@ def _pages(spark, d):
     return I.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("page_id"))
 
 
-@query()
+@query(f"""WITH {_KEYWORD}, r AS (SELECT query_id, doc_id AS page_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, doc_id) AS INT) AS rank FROM hit)
+SELECT query_id, page_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""")
 def keyword_search(spark, d):
     found = R.keyword_search(_questions(spark, d), _postings(spark, d), _pages(spark, d), k=10)
-    return found.select("query_id", "page_id", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "page_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(r"""
@@ -578,14 +723,14 @@ def dense_search(spark, d):
 
 
 def _lists(spark, d):
-    o = I.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("query_id"), (F.col("o_orderkey") % 40).alias("page_id"), "o_orderkey", "o_totalprice")
+    o = I.table(spark, d, "orders").select(F.expr("o_custkey div 10").alias("query_id"), F.expr("o_custkey div 10 * 100 + o_orderkey % 97").alias("page_id"), "o_orderkey", "o_totalprice")
     nth = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
     a = o.withColumn("rank", nth("o_totalprice", "o_orderkey")).where("rank <= 75")
     b = o.withColumn("rank", nth(F.desc("o_orderkey"))).where("rank <= 75")
     return R.dedupe_ranked(a), R.dedupe_ranked(b)
 
 
-_FUSE = """o AS (SELECT o_custkey % 50 AS query_id, o_orderkey % 40 AS page_id, o_orderkey, o_totalprice FROM orders),
+_FUSE = """o AS (SELECT o_custkey // 10 AS query_id, o_custkey // 10 * 100 + o_orderkey % 97 AS page_id, o_orderkey, o_totalprice FROM orders),
 a0 AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY o_totalprice, o_orderkey) AS r FROM o), b0 AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY o_orderkey DESC) AS r FROM o),
 a1 AS (SELECT query_id, page_id, min(r) AS r FROM a0 WHERE r <= 75 GROUP BY 1, 2), b1 AS (SELECT query_id, page_id, min(r) AS r FROM b0 WHERE r <= 75 GROUP BY 1, 2),
 a AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS r FROM a1), b AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS r FROM b1),
@@ -605,10 +750,10 @@ SELECT query_id, page_id, CAST(r AS INT) AS rank, CAST(least(n, 20) - r + 1 AS D
 def hybrid_retrieve(spark, d):
     a, b = _lists(spark, d)
     ranked = R.fused_order(R.rrf_fuse({"keyword": a, "dense": b}))
-    pages = I.table(spark, d, "orders").select((F.col("o_orderkey") % 40).alias("page_id")).distinct()
+    pages = I.table(spark, d, "orders").select(F.expr("o_custkey div 10 * 100 + o_orderkey % 97").alias("page_id")).distinct()
     reg = pages.withColumn("space_id", F.col("page_id") % 10)
     acl = pages.where("page_id % 4 = 0").withColumn("principal", F.lit("u0"))
-    q = I.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("query_id")).distinct().selectExpr("query_id", "CASE WHEN query_id % 3 = 0 THEN query_id % 10 END AS space_trust", "CASE WHEN query_id % 3 = 2 THEN concat('u', query_id % 2) END AS principal")
+    q = I.table(spark, d, "orders").select(F.expr("o_custkey div 10").alias("query_id")).distinct().selectExpr("query_id", "CASE WHEN query_id % 3 = 0 THEN query_id % 10 END AS space_trust", "CASE WHEN query_id % 3 = 2 THEN concat('u', query_id % 2) END AS principal")
     ok = R.allowed(R.attach_acl(ranked, reg, acl), q)
     return R.identity_rerank(R.rerank_cut(ok, 20)).select("query_id", "page_id", "rank", "score")
 
@@ -619,6 +764,17 @@ def representative_chunk(spark, d):
     return R.representative_chunk(c.where("page_id % 2 = 0"), c).select("page_id", "chunk_id")
 
 
+@query(r"""
+SELECT c.conv_id, c.turn, sha256(p.text) AS parent_sha256 FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role = 'user' WHERE c.role <> 'user' AND c.turn % 6 <> 5""")
+def parent_context(spark, d):
+    """Replies as children of the user's turn before; some name a parent that isn't there."""
+    conv = I.table(spark, d, "conversations")
+    key = lambda n: F.concat_ws("/", F.col("conv_id").cast("string"), n.cast("string"))
+    every = conv.select(key(F.col("turn")).alias("chunk_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("kind"), "text")
+    replies = conv.where("role <> 'user'").select("conv_id", "turn", F.when(F.col("turn") % 6 != 5, key(F.col("turn") - 1)).otherwise(F.lit("none")).alias("parent_id"))
+    return R.parent_context(replies, every).select("conv_id", "turn", F.sha2(F.encode("parent_text", "UTF-8"), 256).alias("parent_sha256"))
+
+
 @query(r"""
 WITH h AS (SELECT conv_id AS query_id, turn AS rank, role AS title, text FROM conversations), c AS (SELECT DISTINCT conv_id AS query_id, 0 AS part, 7 AS rank, 'Note' AS title, 'Body' AS text FROM conversations WHERE conv_id % 2 = 0),
 b AS (SELECT query_id, part, rank, title, text FROM c UNION ALL SELECT query_id, 1, rank, title, text FROM h), m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS m FROM b)
@@ -683,7 +839,7 @@ def case_metrics(spark, d):
 
 def _cases(spark, d):
     a, b = _lists(spark, d)
-    o = I.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("case_id"), (F.col("o_orderkey") % 40).alias("id"), "o_totalprice")
+    o = I.table(spark, d, "orders").select(F.expr("o_custkey div 10").alias("case_id"), F.expr("o_custkey div 10 * 100 + o_orderkey % 97").alias("id"), "o_totalprice")
     by = lambda df: df.select(F.col("query_id").alias("case_id"), "rank", F.col("page_id").alias("id"))
     fused = R.fused_order(R.rrf_fuse({"keyword": a, "dense": b}))
     return o.select("case_id").distinct(), by(fused), by(a), o.where("o_totalprice > 300000 and case_id % 7 > 0").select("case_id", "id").distinct()

@@ -28,9 +28,10 @@ def _whole(c: Column) -> Column:
 
 def parse_events(raw: DataFrame, payload: str = "payload", received: str = "received_at") -> DataFrame:
     """The events of JSON payloads in either of two shapes, nested or flat; what isn't a whole number is null. An event
-    without a time has its time of arrival. Each payload is parsed once."""
+    without a time has its time of arrival. Each payload is parsed once: the parsed struct comes out of a generator, which
+    filters on its fields don't pass."""
     both = lambda *names: tuple(f"{top}.{n}" for top in ("page", "content") for n in names)
-    text = raw.withColumn("_p", F.from_json(payload, PAYLOAD)).select(
+    text = raw.select("*", F.explode(F.array(F.from_json(payload, PAYLOAD))).alias("_p")).select(
         *raw.columns,
         F.coalesce(_get("eventType", "event", "event_type"), F.lit("")).alias("event_type"),
         _get("page_id", *both("id")).alias("page_id"),
@@ -51,14 +52,9 @@ def with_hash(events: DataFrame) -> DataFrame:
 
 def idempotent_insert(events: DataFrame, ledger: DataFrame | None = None, order: tuple[str, ...] = ("received_at", "event_id")) -> DataFrame:
     """The events whose payload hash and delivery id are new, the first of each. The hash covers the delivery id, so one
-    key (the delivery id, or the hash where there is none) is exact; a null id is no hot key."""
+    key (the delivery id, or the hash where there is none) is exact; a null id is no hot key. One aggregate, no self-join."""
     key = F.coalesce(F.concat(F.lit("d:"), F.col("delivery_id")), F.concat(F.lit("h:"), F.col("payload_hash")))
-    keyed = events.withColumn("dedup_key", key)
-    first = keyed.groupBy("dedup_key").agg(F.min(F.struct(*order)).alias("first")).select("dedup_key", *(F.col(f"first.{c}").alias(f"f_{c}") for c in order))
-    same = keyed.dedup_key == first.dedup_key
-    for c in order:
-        same = same & keyed[c].eqNullSafe(first[f"f_{c}"])
-    new = keyed.join(first, same).drop(first.dedup_key).drop(*(f"f_{c}" for c in order))
+    new = events.groupBy(key.alias("dedup_key")).agg(F.min_by(F.struct(*(F.col(c) for c in events.columns)), F.struct(*order)).alias("first")).select("first.*", "dedup_key")
     return new if ledger is None else new.join(ledger.select(key.alias("dedup_key")), "dedup_key", "left_anti")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -41,21 +41,32 @@ def _micros(s: pd.Series) -> list[int]:
     return (s.astype("datetime64[us]").astype("int64")).tolist()
 
 
+def _spells(rows: DataFrame, seconds: int) -> DataFrame:
+    """rows (key, hit_id, ts) with ``spell``, a number that grows at each gap of over ``seconds`` within a key. State ends at
+    such gaps, so spells are dealt to tasks of their own, sorted; a key with very many hits doesn't meet in one."""
+    by = Window.partitionBy("key").orderBy("ts", "hit_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = micros - F.lag(micros).over(by) > seconds * 1_000_000
+    return rows.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("long")).withColumn("spell", F.sum("gap").over(by)).drop("gap").repartition("key", "spell").sortWithinPartitions("key", "spell", "ts", "hit_id")
+
+
 def rate_limit(hits: DataFrame, key: str = "key", at: str = "ts", ident: str = "hit_id", most: int = 20, seconds: int = 60) -> DataFrame:
     """(key, hit_id, ts, allowed) of a table of hits; ties of time in order of id. A key's hits stream through in sorted
-    chunks, so a key with very many hits needs no more memory than its window."""
+    chunks, so a key with very many hits needs no more memory than its window; hits after a pause longer than the window
+    go to a task of their own."""
     rows = hits.select(F.col(key).cast("string").alias("key"), F.col(ident).cast("long").alias("hit_id"), F.col(at).alias("ts")).where("ts is not null")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "ts", "hit_id")
+    dealt = _spells(rows, seconds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, accepted = object(), []
         for b in batches:
             ok: list[bool] = []
-            for k, part in b.groupby("key", sort=False, dropna=False):
-                if (k if isinstance(k, str) else None) != now:
-                    now, accepted = (k if isinstance(k, str) else None), []
+            for (k, spell), part in b.groupby(["key", "spell"], sort=False, dropna=False):
+                at = (k if isinstance(k, str) else None, spell)
+                if at != now:
+                    now, accepted = at, []
                 ok += limit_hits(_micros(part["ts"]), accepted, most, seconds * 1_000_000)
-            yield b.assign(allowed=ok)
+            yield b.assign(allowed=ok).drop(columns="spell")
 
     return dealt.mapInPandas(run, "key string, hit_id long, ts timestamp, allowed boolean")
 
@@ -63,18 +74,19 @@ def rate_limit(hits: DataFrame, key: str = "key", at: str = "ts", ident: str = "
 def ttl_replay(asks: DataFrame, key: str = "key", at: str = "ts", ident: str = "hit_id", seconds: int = 300) -> DataFrame:
     """(key, hit_id, ts, replayed) of a table of requests; see ``replay_hits``."""
     rows = asks.select(F.col(key).cast("string").alias("key"), F.col(ident).cast("long").alias("hit_id"), F.col(at).alias("ts")).where("ts is not null")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "ts", "hit_id")
+    dealt = _spells(rows, seconds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, stored = object(), None
         for b in batches:
             out: list[bool] = []
-            for k, part in b.groupby("key", sort=False, dropna=False):
-                if (k if isinstance(k, str) else None) != now:
-                    now, stored = (k if isinstance(k, str) else None), None
+            for (k, spell), part in b.groupby(["key", "spell"], sort=False, dropna=False):
+                at = (k if isinstance(k, str) else None, spell)
+                if at != now:
+                    now, stored = at, None
                 got, stored = replay_hits(_micros(part["ts"]), stored, seconds * 1_000_000)
                 out += got
-            yield b.assign(replayed=out)
+            yield b.assign(replayed=out).drop(columns="spell")
 
     return dealt.mapInPandas(run, "key string, hit_id long, ts timestamp, replayed boolean")
 

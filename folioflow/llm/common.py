@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import shared_dir, written
+from ..operators.tables import discard, new_path, shared_dir, written
 
-__all__ = ["BLANKS", "components", "filter_bits", "python_batches", "seen_twice", "shared_dir", "texts", "twice_filter", "written"]
+__all__ = ["BLANKS", "batches_of", "components", "discard", "filter_bits", "join_first", "map_suspects", "new_path", "python_batches", "seen_twice", "shared_dir", "texts", "twice_filter", "written"]
 
 #: ASCII white space of the text contracts: space and U+0009..U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,12 +30,29 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
 
 
+def batches_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of ``rows`` rows, so that what Python holds of long texts at a time stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def python_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """Keeps Arrow batches of long texts small."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 
+def join_first(many: DataFrame, one: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``many`` joined with the row of ``one`` that has its ``key``. ``one`` has each key once, and in ``n`` (dropped) how many
+    rows of ``many`` have it. Keys that a thousandth of these rows or more have (so a thousand at most) are broadcast,
+    and their rows stay where they are; only the others are shuffled. Both should be written tables."""
+    bar = max(2, (one.agg(F.sum(n)).first()[0] or 0) // 1000)
+    hot, rest = one.where(F.col(n) >= bar).drop(n), one.where(F.col(n) < bar).drop(n)
+    others = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.join(F.broadcast(hot), key).unionByName(others.join(rest, key))
+
+
 # --- once-seen / twice-seen Bloom filters ---------------------------------------------------------
 
 _CHUNK = 1 << 16  # bytes of a filter that are merged together
@@ -55,17 +72,94 @@ def _put(field: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(field, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
 
 
+def filter_bits(n_keys: int, most_bits: int) -> int:
+    """A power of two with about 12 bits a key, within 2**20 and ``most_bits`` (2**10 at least)."""
+    return int(max(1 << 10, min(max(1 << 20, 1 << math.ceil(math.log2(max(1, n_keys) * 12))), most_bits)))
+
+
+class Twice:
+    """Bits of a Bloom filter that holds the keys of one slice of the hashes which two documents (or more) have."""
+
+    def __init__(self, bits: int, number: int, slices: int):
+        self.field, self.number, self.slices = np.zeros(bits // 8, np.uint8), number, slices
+
+    def own(self, keys: np.ndarray) -> np.ndarray:
+        """Which uint64 keys are in the slice."""
+        return (keys >> np.uint64(32)) % np.uint64(self.slices) == self.number if self.slices > 1 else np.ones(len(keys), bool)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Which uint64 keys are in the slice and in the filter: all that two documents share and a few others."""
+        one, two = _places(keys, len(self.field) * 8)
+        return (_get(self.field, one) & _get(self.field, two)).astype(bool) & self.own(keys)
+
+
+def slice_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, number: int = 0, slices: int = 1) -> Twice:
+    """The filter of one of ``slices`` slices of the keys.
+
+    ``keys_of`` turns a batch of ``rows`` into one array of distinct uint64 keys for each document. Each task
+    fills two filters, for keys seen once and seen twice; of two tasks, the bits that both once-filters have go
+    to the twice-filter too, so no shared key is ever missed. Only compressed filter chunks are shuffled.
+    """
+    out = Twice(bits, number, slices)
+    def fill(batches):
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for batch in batches_of(batches):
+            each = [k for k in keys_of(batch) if len(k)]
+            if not each:
+                continue
+            keys = np.concatenate(each)
+            keys, n = np.unique(keys[own(keys)], return_counts=True)
+            one, two = _places(keys, bits)
+            again = (n > 1) | (_get(once, one) & _get(once, two)).astype(bool)
+            for at in (one, two):
+                _put(once, at)
+                _put(twice, at[again])
+        for c in range(0, len(once), _CHUNK):
+            if (a := once[c : c + _CHUNK]).any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c // _CHUNK], pa.int64()), "once": pa.array([zlib.compress(a.tobytes(), 1)], pa.binary()), "twice": pa.array([zlib.compress(twice[c : c + _CHUNK].tobytes(), 1)], pa.binary())})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        once, twice = np.zeros(0, np.uint8), None
+        for a, b in zip(pdf["once"], pdf["twice"], strict=True):
+            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
+            once, twice = (a.copy(), b.copy()) if twice is None else (once | a, twice | b | (once & a))
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
+
+    own = Twice(8, number, slices).own  # without the field, for the tasks
+    got = rows.mapInArrow(fill, "chunk long, once binary, twice binary").groupBy("chunk").applyInPandas(merge, "chunk long, twice binary")
+    for row in got.toLocalIterator():  # bits / 8 bytes at most
+        out.field[row["chunk"] * _CHUNK : row["chunk"] * _CHUNK + _CHUNK] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
+    return out
+
+
+def map_suspects(rows: DataFrame, filled_from: DataFrame, keys_of: Callable, n_keys: int, suspects: Callable, schema: str, most_bits: int = 1 << 30) -> DataFrame:
+    """``suspects(batch, has)`` over the batches of ``rows``, where ``has(keys)`` tells which uint64 keys two documents of
+    ``filled_from`` may share.
+
+    The size of a filter is known before it is built: ``most_bits`` (128 MiB by default) is the most that is broadcast
+    at once. Where ``n_keys`` would fill it too far, the hashes are cut into slices, each with a filter and a run over
+    the rows of its own, so the filters let as few keys through at any size of the input.
+    """
+    bits = filter_bits(n_keys, most_bits)
+    out = None
+    for number in range(slices := max(1, -(-n_keys * 4 // bits))):
+        held = rows.sparkSession.sparkContext.broadcast(slice_filter(filled_from, keys_of, bits, number, slices))
+
+        def pick(batches, held=held):
+            for b in batches_of(batches):
+                yield suspects(b, held.value.has)
+
+        part = rows.mapInArrow(pick, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def seen_twice(keys: np.ndarray, field: np.ndarray) -> np.ndarray:
     """Which uint64 keys the twice-seen filter holds: all that two documents share and a few others."""
     one, two = _places(keys, len(field) * 8)
     return (_get(field, one) & _get(field, two)).astype(bool)
 
 
-def filter_bits(n_keys: int, most_bits: int) -> int:
-    """A power of two with about 12 bits a key, within 2**20 and ``most_bits``."""
-    return int(min(max(1 << 20, 1 << math.ceil(math.log2(max(1, n_keys) * 12))), most_bits))
-
-
 def twice_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n_keys: int, most_bits: int = 1 << 30) -> np.ndarray | None:
     """Bits of a Bloom filter that holds every key which two documents (or more) have.
 
@@ -119,7 +213,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each is a minimum by node and a join, so a node with very many
     neighbours is pre-aggregated before the shuffle and never gathered. Ends when the edges no longer change,
-    after a number of rounds that grows with the logarithm of the longest path.
+    after a number of rounds that grows with the logarithm of the longest path. Only the last round's files stay.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
@@ -129,7 +223,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
+        discard(before)
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if was == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,7 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 score = sigmoid(w0 + sum of w[i] + sum over pairs i < j of <v[i], v[j]>) over the distinct terms of a text, so a pair
-of terms can count for more (or less) than both alone.
+of terms can count for more (or less) than both alone. Terms are the text's words, its stems (the first letters of
+longer words, with how many distinct words begin so) and the magnitude of its length.
 """
 
 from __future__ import annotations
@@ -14,21 +15,66 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches, texts
+from .common import batches_of, texts
 
 _TERM = re.compile(r"[^\W\d_]+")
+STEM = 5  # letters
+TIMES = (1, 2, 3, 5)  # distinct words of a stem: each number that is reached is a term
 MEMO = 500_000
-_memo: dict[str, int] = {}
+BLOCK = 2048  # rows, and terms, whose pairs are counted together
+_memo: dict[str, tuple[int, int]] = {}
+
+
+def _hash(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term) >> 1
 
 
 def buckets(text: str, dims: int) -> np.ndarray:
-    """Sorted distinct buckets of the text's lower-cased letter runs, of the whole text."""
+    """Sorted distinct buckets of the terms of the whole text; none without letters."""
     if len(_memo) > MEMO:
         _memo.clear()
-    terms = set(_TERM.findall(text.lower()))
-    for t in terms.difference(_memo):
-        _memo[t] = xxhash.xxh3_64_intdigest(t) >> 1
-    return np.unique(np.fromiter(map(_memo.__getitem__, terms), np.int64, len(terms)) % dims)
+    words = _TERM.findall(text.lower())
+    if not words:
+        return np.zeros(0, np.int64)
+    distinct = set(words)
+    for w in distinct.difference(_memo):
+        _memo[w] = _hash(w), _hash("^" + w[:STEM]) if len(w) > STEM else 0
+    each = np.array(list(map(_memo.__getitem__, distinct)), np.int64)
+    stems, n = np.unique(each[:, 1], return_counts=True)
+    known = stems != 0
+    reached = [stems[known & (n >= t)] // 8 + t for t in TIMES]
+    return np.unique(np.concatenate([each[:, 0], *reached, [_hash(f"#{len(words).bit_length()}")]]) % dims)
+
+
+def _deviance(count: np.ndarray, hit: np.ndarray, p: float) -> np.ndarray:
+    """How far the share of labelled ones is from ``p``, as a log-likelihood ratio (about z squared)."""
+    miss = count - hit
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up, down = hit * np.log(hit / (count * p)), miss * np.log(miss / (count * (1 - p)))
+    return 2 * (np.where(hit > 0, up, 0) + np.where(miss > 0, down, 0))
+
+
+def paired_terms(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``terms`` (sorted buckets) stand in a pair whose joint share of labelled rows is off by a deviance of
+    ``least`` or more. Counts of all pairs are products of the matrix of rows by terms, BLOCK of both at a time."""
+    p = float(y.mean())
+    found = np.zeros(len(terms), bool)
+    at = [np.searchsorted(terms, r[np.isin(r, terms, assume_unique=True)]) for r in rows]
+    for i in range(0, len(terms), BLOCK):
+        for j in range(i, len(terms), BLOCK):
+            count, hit = np.zeros((2, min(BLOCK, len(terms) - i), min(BLOCK, len(terms) - j)), np.float32)
+            for k in range(0, len(rows), BLOCK):
+                part, label = at[k : k + BLOCK], y[k : k + BLOCK] > 0
+                x = np.zeros((len(part), len(terms)), np.float32)
+                x[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)] = 1
+                a, b = x[:, i : i + BLOCK], x[:, j : j + BLOCK]
+                count += a.T @ b
+                hit += a[label].T @ b[label]
+            odd = _deviance(count, hit, p) >= least
+            odd &= np.arange(i, i + len(odd))[:, None] < np.arange(j, j + odd.shape[1])
+            found[i : i + BLOCK] |= odd.any(axis=1)
+            found[j : j + BLOCK] |= odd.any(axis=0)
+    return terms[found]
 
 
 class FactorizationMachine:
@@ -51,45 +97,46 @@ class FactorizationMachine:
         pairs = 0.5 * (add(v) ** 2 - add(v * v)).sum(axis=1)
         return self.w0 + add(self.w[flat, None])[:, 0] + pairs
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, least_rows: int = 4, least_z: float = 4.0, epochs: int = 40, batch: int = 128, rate: float = 0.1, decay: float = 1e-3) -> FactorizationMachine:
-        """AdaGrad on the logistic loss. Only buckets that at least ``least_rows`` rows have and whose share among
-        labelled ones differs by ``least_z`` standard errors or more take part, alone or in pairs."""
-        n, ones = max(1, len(y)), max(1, int(y.sum()))
-        count = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), minlength=self.dims)
-        hit = np.bincount(np.concatenate([*(r for r, t in zip(rows, y, strict=True) if t), np.zeros(0, np.int64)]).astype(np.int64), minlength=self.dims)
-        p = ones / n
-        z = (hit - count * p) / np.sqrt(np.maximum(count * p * (1 - p), 1e-9))
-        self.used = (count >= least_rows) & (np.abs(z) >= least_z)
-        self.w0 = float(np.log(p / max(1e-6, 1 - p))) if 0 < y.sum() < len(y) else (-4.0 if not y.sum() else 4.0)
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, least_rows: int = 4, least_z: float = 4.0, least_pair: float = 40.0, pair_support: float = 0.02, steps: int = 1500, batch: int = 128, rate: float = 0.1, decay: float = 1e-3) -> FactorizationMachine:
+        """AdaGrad on the logistic loss. Of the buckets that at least ``least_rows`` rows have, those take part whose
+        share among labelled ones differs by ``least_z`` standard errors or more. Of the others, those which the share
+        ``pair_support`` of the rows has or more are counted in pairs, and take part if a pair's joint share is off by
+        a deviance of ``least_pair`` or more: terms that say nothing alone."""
+        y = np.asarray(y, np.float64)
         if not 0 < y.sum() < len(y):
-            self.used[:] = False
+            self.w0, self.used[:] = (-4.0 if not y.sum() else 4.0), False
             return self
-        rows = [r[self.used[r]] for r in rows]
+        p = float(y.mean())
+        count = np.bincount(np.concatenate(rows).astype(np.int64), minlength=self.dims)
+        hit = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, y, strict=True) if t)]).astype(np.int64), minlength=self.dims)
+        z = (hit - count * p) / np.sqrt(np.maximum(count * p * (1 - p), 1e-9))
+        self.used = (count >= least_rows) & (np.abs(z) >= least_z)
+        others = np.flatnonzero((count >= max(least_rows, pair_support * len(rows))) & ~self.used)
+        self.used[paired_terms(rows, y, others, least_pair)] = True
+        self.w0 = float(np.log(p / (1 - p)))
+        ids = np.flatnonzero(self.used)
+        at = [np.searchsorted(ids, r[self.used[r]]) for r in rows]  # columns of the few buckets that take part
+        w, v, w0 = np.zeros(len(ids), np.float32), self.v[ids], self.w0
+        g0, gw, gv = 1e-6, np.full(w.shape, 1e-6, np.float32), np.full(v.shape, 1e-6, np.float32)
         rng = np.random.default_rng(1)
-        g0, gw, gv = 1e-6, np.full(self.dims, 1e-6), np.full(self.v.shape, 1e-6)
-        for _ in range(epochs):
+        for _ in range(max(10, -(-steps * batch // len(rows)))):
             order = rng.permutation(len(rows))
             for a in range(0, len(order), batch):
-                at = order[a : a + batch]
-                part = [rows[i] for i in at]
-                error = 1 / (1 + np.exp(-self.margins(part))) - y[at]
-                size = [len(r) for r in part]
-                flat, of = np.concatenate(part), np.repeat(np.arange(len(part)), size)
-                self.w0 -= rate * error.mean() / np.sqrt(g0 := g0 + error.mean() ** 2)
-                if not len(flat):
-                    continue
-                v = self.v[flat]
-                sums = np.zeros((len(part), v.shape[1]))
-                np.add.at(sums, of, v)
-                ids, back = np.unique(flat, return_inverse=True)
-                dw, dv = np.zeros(len(ids)), np.zeros((len(ids), v.shape[1]))
-                np.add.at(dw, back, error[of])
-                np.add.at(dv, back, error[of, None] * (sums[of] - v))
-                dw, dv = dw / len(at) + decay * self.w[ids], dv / len(at) + decay * self.v[ids]
-                gw[ids] += dw**2
-                gv[ids] += dv**2
-                self.w[ids] -= (rate * dw / np.sqrt(gw[ids])).astype(np.float32)
-                self.v[ids] -= (rate * dv / np.sqrt(gv[ids])).astype(np.float32)
+                part = [at[i] for i in order[a : a + batch]]
+                x = np.zeros((len(part), len(ids)), np.float32)
+                x[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)] = 1
+                sums = x @ v
+                margin = w0 + x @ w + 0.5 * (sums**2 - x @ v**2).sum(axis=1)
+                error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[order[a : a + batch]]).astype(np.float32)
+                w0 -= rate * float(error.mean()) / np.sqrt(g0 := g0 + float(error.mean()) ** 2)
+                here = x.any(axis=0)
+                dw = error @ x / len(part)
+                dv = x.T @ (error[:, None] * sums) / len(part) - dw[:, None] * v + decay * here[:, None] * v
+                gw += dw**2
+                gv += dv**2
+                w -= rate * dw / np.sqrt(gw)
+                v = v - rate * dv / np.sqrt(gv)
+        self.w0, self.w[ids], self.v[ids] = float(w0), w, v
         return self
 
 
@@ -100,14 +147,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 2
     known = labels.where(usable).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna()
     known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "rid"]).select("doc_id", "text", "y")
-    python_batches(rows)
 
     def hashed(batches):
-        for b in batches:
+        for b in batches_of(batches):
             each = [buckets(t, dims).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(each, pa.binary())], ["doc_id", "y", "terms"])
 
-    got = rows.mapInArrow(hashed, "doc_id long, y int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    got = rows.mapInArrow(hashed, "doc_id long, y int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("terms", "ascending")])
     return FactorizationMachine(dims, factors).fit([np.frombuffer(t, np.int32).astype(np.int64) for t in got.column("terms").to_pylist()], got.column("y").to_numpy().astype(np.float64))
 
 
@@ -115,11 +161,10 @@ def toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id
     """(doc_id, rid, score) of every row: the probability of the label, from 0 to 1, of the whole text. Null and
     empty texts get the model's prior. The model that is broadcast has a fixed size (9 MB by default)."""
     rows = texts(docs, id_col, text_col)
-    python_batches(rows)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        for b in batches:
+        for b in batches_of(batches):
             m = held.value
             x = m.margins([buckets(t, m.dims) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))), pa.float64())], ["doc_id", "rid", "score"])

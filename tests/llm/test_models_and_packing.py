@@ -63,19 +63,23 @@ def test_packing_is_whole_and_gapless(spark):
     assert pack(token_pieces(spark.createDataFrame([], "doc_id long, text string"), PATH)).count() == 0
 
 
-def test_factorization_machine_learns_pairs():
+def test_factorization_machine_learns_pairs_that_say_nothing_alone():
     rng = np.random.default_rng(0)
     rows, y = [], []
-    for _ in range(3000):
+    for _ in range(2000):
         a, b = rng.random(2) < 0.5
         rows.append(np.unique(np.concatenate([rng.integers(10, 400, 5), [1] * int(a), [2] * int(b)])).astype(np.int64))
-        y.append(float(a and b))
+        y.append(float(a != b))
     m = FactorizationMachine(512, 4).fit(rows, np.array(y))
-    p = 1 / (1 + np.exp(-m.margins([np.array(x, np.int64) for x in ([1, 2], [1], [2], [50], [])])))
-    assert p[0] > 0.8 and (p[1:] < 0.4).all()
+    asked = [np.array(x, np.int64) for x in ([1], [2], [1, 2], [])]
+    p = m.margins(asked)
+    assert (p[:2] > 0).all() and (p[2:] < 0).all()
     one = np.array([1, 2, 7])
     v, w = m.v[one[m.used[one]]].astype(float), m.w[one[m.used[one]]].astype(float)
     assert np.isclose(m.margins([one])[0], m.w0 + w.sum() + sum(v[i] @ v[j] for i in range(len(v)) for j in range(i)), atol=1e-5)
+    m.v[:] = 0  # no weights by term alone tell these rows apart
+    p = m.margins(asked)
+    assert not ((p[:2] > 0).all() and (p[2:] < 0).all())
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -96,7 +100,11 @@ def test_toxicity_on_held_out_rows(spark):
     assert 0 <= got[1000] == got[1001] < 0.5 and got[None] >= 0.5
     none = learn(docs, known.where("false"), known.doc_id >= 0)
     assert {r.score >= 0.5 for r in toxicity(docs, none).collect()} == {False}
-    assert len(buckets("Ab ab AB", 64)) == 1
+    assert np.array_equal(buckets("Ab ab AB", 1 << 18), buckets("ab, 7 AB! ab", 1 << 18)) and not len(buckets("7 !", 64))
+    assert len(buckets("unreal unrest unread", 1 << 18)) == 7  # words, unrea once and twice, unres, length
+    assert toxicity(docs.where("false"), m).count() == 0
+    extra = docs.selectExpr("*", "1 AS rid", "'x' AS score", "text AS terms")
+    assert sorted(r.score for r in toxicity(extra, learn(extra, known, known.doc_id % 5 != 0)).collect()) == sorted(r.score for r in toxicity(docs, m).collect())
 
 
 def smith_waterman(a, b):

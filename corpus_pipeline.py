@@ -6,12 +6,10 @@ written as Parquet and read again as the next one's docs. All but the last retur
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import shared_dir
+from folioflow.llm.common import new_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -78,7 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``; what lies between them goes to the session's shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}-stage-{name}"
+        path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

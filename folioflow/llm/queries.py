@@ -75,7 +75,8 @@ URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of a page are those of the document with its id: blocked are low quality and toxic ones."""
+    """Labels of a page are those of the document with its id: blocked are low quality and toxic ones. Where no fixed rule
+    fits, the mined rules decide; mined_rule and confidence name the one that did."""
     from .urlfilter import judge_urls, mine_rules
 
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -140,6 +141,32 @@ kept AS (SELECT e.doc_id, count(*) AS n, count(c.i) AS gone, coalesce(string_agg
   FROM each e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id)
 SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id""",
+    "op8_url_filter": r"""
+WITH parsed AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+tokened AS (SELECT *, list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+  list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || x))) AS tokens FROM parsed),
+labelled AS (SELECT url, any_value(tokens) AS tokens, avg(CASE WHEN coalesce(quality = 0 OR toxic = 1, false) THEN 1 ELSE 0 END) >= 0.5 AS blocked
+  FROM tokened JOIN labels ON page_id = doc_id WHERE url IS NOT NULL GROUP BY url),
+base AS (SELECT count(*) AS n, count(*) FILTER (blocked) / count(*) AS share, greatest(20, ceil(0.001 * count(*))) AS least FROM labelled),
+each AS (SELECT url, unnest(tokens) AS token FROM labelled),
+same AS (SELECT token, string_agg(url, ' ' ORDER BY url) AS held FROM each GROUP BY token HAVING count(*) >= (SELECT least FROM base)),
+items AS (SELECT min(token) AS item, list(token) AS members FROM same GROUP BY held),
+names AS (SELECT list(item) AS known FROM items),
+baskets AS (SELECT url, blocked, list_sort(list_filter(tokens, lambda t: list_contains(known, t))) AS items FROM labelled, names),
+masks AS (SELECT blocked, items, unnest(range(1, 1 << len(items))) AS m FROM baskets),
+sets AS (SELECT blocked, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM masks),
+counted AS (SELECT s, count(*) AS n, count(*) FILTER (blocked) AS hits, count(*) FILTER (blocked) / count(*) AS confidence FROM sets GROUP BY s),
+sure AS (SELECT c.s, c.confidence FROM counted c, base b WHERE c.hits >= b.least AND c.hits >= c.n * b.share + 2 * sqrt(c.n * (b.share * (1 - b.share))) AND c.confidence >= 1.25 * b.share
+  AND NOT EXISTS (SELECT 1 FROM counted d WHERE len(d.s) < len(c.s) AND d.confidence >= c.confidence AND list_has_all(c.s, d.s))),
+rules AS (SELECT confidence, list_sort(flatten(list(members))) AS t FROM (SELECT s, confidence, unnest(s) AS item FROM sure) JOIN items USING (item) GROUP BY s, confidence),
+fixed(v, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+best AS (SELECT page_id, arg_min(h || p, (-length(h || p), h || p)) AS rule, arg_min(v, (-length(h || p), h || p)) AS v
+  FROM tokened JOIN fixed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+mined AS (SELECT page_id, arg_min(array_to_string(t, ' '), (-confidence, array_to_string(t, ' '))) AS mined_rule, max(confidence) AS confidence
+  FROM tokened JOIN rules ON list_has_all(tokens, t) WHERE page_id NOT IN (SELECT page_id FROM best) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN mined_rule IS NOT NULL THEN 'block' END, 'allow') AS verdict, mined_rule, confidence
+FROM tokened LEFT JOIN best USING (page_id) LEFT JOIN mined USING (page_id)""",
     "op10_ngram_jaccard_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

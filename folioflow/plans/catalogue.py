@@ -130,9 +130,15 @@ def refusal_and_backoff(spark, d):
 
 
 @query(r"""
-SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Which ' || role || '?' END AS question, CASE WHEN role = 'user' THEN ['turn ' || turn, 'other'] END AS options FROM conversations""")
+WITH r AS (SELECT conv_id, turn, 'Question: first' || chr(10) || CASE WHEN turn % 3 = 0 THEN 'question:  ' ELSE 'QUESTION:' END || coalesce(text, '') || CASE WHEN turn % 5 = 4 THEN chr(13) || chr(10) || 'question: ' ELSE '' END || chr(10) || 'Options:' || chr(10)
+ || '- turn ' || turn || chr(10) || CASE WHEN turn % 2 = 0 THEN '-  ' || role || ' ' || chr(10) ELSE '' END || '-' || chr(10) AS reply FROM conversations),
+l AS (SELECT *, list_transform(string_split_regex(trim(reply), '\r\n|\r|\n'), lambda x: trim(x)) AS lines FROM r),
+q AS (SELECT *, trim(substr(list_filter(lines, lambda x: lower(x) LIKE 'question:%')[-1], 10)) AS question, list_filter(list_transform(list_filter(lines, lambda x: x LIKE '-%'), lambda x: trim(substr(x, 2))), lambda x: x <> '') AS options FROM l)
+SELECT conv_id, turn, CASE WHEN question <> '' THEN question END AS question, CASE WHEN question <> '' THEN options END AS options FROM q""")
 def parse_clarification(spark, d):
-    reply = F.when(F.col("role") == "user", F.concat(F.lit("Question: first\n question:  Which "), "role", F.lit("? \nOptions:\n- turn "), F.col("turn").cast("string"), F.lit("\n-  other\n-\n"))).otherwise(F.lit("- only\nno question"))
+    """Replies made of whole texts, with several question lines, empty ones and options."""
+    head = F.concat(F.lit("Question: first\n"), F.when(F.col("turn") % 3 == 0, "question:  ").otherwise("QUESTION:"), F.coalesce("text", F.lit("")), F.when(F.col("turn") % 5 == 4, "\r\nquestion: ").otherwise(""))
+    reply = F.concat(head, F.lit("\nOptions:\n- turn "), F.col("turn").cast("string"), F.lit("\n"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("-  "), "role", F.lit(" \n"))).otherwise(""), F.lit("-\n"))
     out = I.table(spark, d, "conversations").select("conv_id", "turn", T.parse_clarification(reply).alias("c"))
     return out.select("conv_id", "turn", "c.question", "c.options")
 
@@ -673,9 +679,14 @@ def collect_superseded(spark, d):
 
 @query(r"""
 SELECT 'stable_key' AS rule, concat_ws('|', doc_id // 50, sha256(text)) AS key, count(*) AS n FROM documents GROUP BY doc_id // 50, sha256(text) HAVING count(*) > 1
-UNION ALL SELECT 'parent_first', concat_ws('|', doc_id // 50, 's', 0), count(*) FROM documents GROUP BY doc_id // 50""")
+UNION ALL SELECT 'parent_first', concat_ws('|', doc_id // 50, 's', 0), count(*) FROM documents GROUP BY doc_id // 50
+UNION ALL SELECT 'one_active', CAST(doc_id // 5 AS VARCHAR), count(*) FROM documents WHERE doc_id % 5 = 4 OR doc_id % 5 = 2 AND doc_id // 5 % 7 = 0 GROUP BY doc_id // 5 HAVING count(*) > 1
+UNION ALL SELECT 'pointer', CAST(CASE WHEN doc_id // 5 % 6 = 1 THEN doc_id - 5 ELSE doc_id END AS VARCHAR) AS k, count(*) FROM documents WHERE doc_id % 5 = 4 GROUP BY k HAVING count(*) > 1""")
 def violations(spark, d):
+    """With second active versions and shared pointers planted, so that each rule is broken somewhere."""
     v, c, r = _versions(spark, d)
+    v = v.withColumn("state", F.when((F.col("cf_version") == 2) & (F.col("page_id") % 7 == 0), "active").otherwise(F.col("state")))
+    r = r.withColumn("active_version_id", F.col("active_version_id") - F.when(F.col("page_id") % 6 == 1, 5).otherwise(0))
     return W.violations(v, c.withColumn("version_id", F.expr("version_id div 50")), r)
 
 
@@ -917,6 +928,29 @@ def retrieve_pages(spark, d):
     return Z.hybrid_retrieve(asked, chunks, _postings(spark, d), chunks.select("page_id", "space_id"), restricted).select("query_id", "page_id", "rank", "score")
 
 
+@query()
+def retrieve_evidence(spark, d):
+    """From HTML pages to numbered evidence: chunks are built, found by both lists, fused, reranked by shared words and replaced
+    by their parents; curated entries of the query's scopes come first."""
+    pages = I.table(spark, d, "pages").select("page_id", F.col("html").alias("body"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"))
+    built = written(Z.build_chunks(pages, Z.bag_embedder()), "built")
+    chunks = built.withColumns({"chunk_id": F.xxhash64("stable_key"), "parent_id": F.xxhash64("parent_key"), "space_id": F.col("page_id") % 20, "source_id": F.lit("wiki"), "is_active": F.lit(True), "page_status": F.lit("current"), "tags": F.when(F.col("page_id") % 3 == 0, _lit_array("en")).otherwise(F.array().cast("array<string>"))})
+    children = chunks.where("kind = 1")
+    asked = K.embed_texts(_questions(spark, d), Z.bag_embedder()).withColumnRenamed("embedding", "vec")
+    asked = asked.withColumns({"space_trust": F.when(F.col("query_id") % 10 == 0, F.col("query_id") % 20), "principal": F.lit("u1"), "sources": _lit_array("wiki"), "scopes": _lit_array("en", "general")})
+    restricted = pages.where("page_id % 7 = 0").select("page_id", F.lit("u2").alias("principal"))
+
+    def shared(question: str, docs: list[str]) -> list[float]:
+        words = set(question.lower().split())
+        return [float(len(words & set(x.lower().split()))) for x in docs]
+
+    hits = written(Z.hybrid_retrieve(asked, children, R.chunk_terms(children, ("chunk_id",), F.col("retrieval_text")), chunks.select("page_id", "space_id").distinct(), restricted, scorer=shared), "hits")
+    entries = I.table(spark, d, "documents").selectExpr("doc_id AS entry_id", "array(lang) AS tags", "doc_id % 50 = 0 AS is_active")
+    curated = V.curated_for_scope(asked.select("query_id", "scopes"), entries, 1).select("query_id", "entry_id", "rank", F.lit("Note").alias("title"), F.concat(F.lit("entry "), F.col("entry_id").cast("string")).alias("body"))
+    out = Z.gather_evidence(hits, chunks, curated)
+    return out.select("query_id", F.size("markers").alias("n"), F.sha2(F.encode("evidence", "UTF-8"), 256).alias("evidence_sha256"))
+
+
 def flagship(spark, d):
     """Keyword retrieval of benchmark questions, scored against the documents that contain the passage."""
     ranked = keyword_search(spark, d).select(F.col("query_id").alias("case_id"), "rank", F.col("page_id").alias("id"))

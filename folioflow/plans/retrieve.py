@@ -62,6 +62,16 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame,
     return best.join(first.select("page_id", "chunk_id"), "page_id").select("query_id", "page_id", "chunk_id", "rank", "score")
 
 
+def gather_evidence(hits: DataFrame, chunks: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """(query_id, evidence, markers) of retrieved pages: ``curated`` entries, then the parent of each hit's chunk, by rank. ``hits``
+    as `hybrid_retrieve` gives them; ``chunks`` (chunk_id, parent_id, kind, title, text) with parents. A hit whose parent is
+    missing gives no evidence."""
+    children = chunks.where("kind = 1").select("chunk_id", "parent_id", "title")
+    found = R.parent_context(hits.join(children, "chunk_id"), chunks.select("chunk_id", "kind", "text"))
+    none = hits.sparkSession.createDataFrame([], "query_id long, entry_id long, rank int, title string, body string")
+    return R.evidence(found.select("query_id", "page_id", "rank", "title", "parent_text"), none if curated is None else curated)
+
+
 def build_chunks(pages: DataFrame, embedder: Callable[[list[str]], list], body_col: str = "body", html: bool = True) -> DataFrame:
     """Bodies (page_id, title, body) to linked parents and children with retrieval text; children are embedded."""
     blocks = B.normalize_pages(pages, body_col=body_col) if html else B.line_blocks(pages, body_col=body_col)

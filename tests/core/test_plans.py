@@ -45,6 +45,14 @@ def test_build_and_retrieve_without_leaks(spark):
     assert ask("reset password", sources=None) == ask("reset password", sources=[]) == ask("reset password", sources=["other"]) == []
 
 
+def test_evidence_is_the_parents_text(spark):
+    chunks = spark.createDataFrame([(1, None, 0, "T", "the whole parent"), (2, 1, 1, "T", "whole"), (3, 9, 1, "T", "orphan")], "chunk_id long, parent_id long, kind int, title string, text string")
+    hits = spark.createDataFrame([(5, 70, 2, 1), (5, 71, 3, 2)], "query_id long, page_id long, chunk_id long, rank int")
+    assert [r.evidence for r in retrieve.gather_evidence(hits, chunks).collect()] == ["[1] T\nthe whole parent"]
+    curated = spark.createDataFrame([(5, 8, 1, "Note", "first")], "query_id long, entry_id long, rank int, title string, body string")
+    assert [r.evidence for r in retrieve.gather_evidence(hits, chunks, curated).collect()] == ["[1] Note\nfirst\n\n[2] T\nthe whole parent"]
+
+
 def test_longest_first_scorer(spark):
     pages = corpus(spark)
     chunks = retrieve.build_chunks(pages, retrieve.bag_embedder()).join(pages.select("page_id", "space_id", "tags", "page_status"), "page_id").withColumns({"chunk_id": F.xxhash64("stable_key"), "source_id": F.lit("wiki"), "is_active": F.lit(True)})

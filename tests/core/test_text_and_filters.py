@@ -123,3 +123,22 @@ def test_page_acl(spark, space, principals, scope, want):
     df = spark.createDataFrame([(space, principals, scope)], "s long, p array<string>, q string")
     trust, principal = V.classify_scope(F.col("q"))
     assert df.select(V.page_acl(F.col("s"), F.col("p"), trust, principal).alias("ok")).first().ok is want
+
+
+def test_failures_wait_or_end(spark):
+    df = spark.createDataFrame([(1, "x" * 5000), (8, None)], "n int, error string").select(T.retry_state(F.col("n"), F.col("error"), F.timestamp_seconds(F.lit(100))).alias("s"))
+    got = [(r.s.state, r.s.available_at and int(r.s.available_at.timestamp()), r.s.error and len(r.s.error)) for r in df.collect()]
+    assert got == [("waiting", 105, 4000), ("dead_letter", None, None)]
+    took = spark.range(1).select(T.latency_ms(F.timestamp_millis(F.lit(1000)), F.timestamp_millis(F.lit(2750))).alias("ms")).first()
+    assert took.ms == 1750
+
+
+def test_classifier_and_rewriter_see_only_what_is_theirs(spark):
+    said = spark.createDataFrame([(1, "hi"), (2, "what about it"), (3, "the vacation policy"), (4, " "), (5, None)], "i int, m string")
+    asked = said.select("i", T.needs_search(T.route_query(F.col("m")), F.col("m"), lambda many: ["it" in x.split() for x in many]).alias("s"))
+    assert {r.i: r.s for r in asked.collect()} == {1: False, 2: False, 3: True, 4: False, 5: False}
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 0, "assistant", "d")], "conv_id int, turn int, role string, text string")
+    contexts = T.query_context(turns)
+    assert {r.conv_id: (r.context, r.last_user) for r in contexts.collect()} == {1: ("user: a\nassistant: b\nuser: c", "c"), 2: ("assistant: d", None)}
+    assert {r.conv_id: r.query for r in T.rewrite_queries(contexts).collect()} == {1: "c", 2: None}
+    assert {r.conv_id: r.query for r in T.rewrite_queries(contexts, lambda many: [x.upper() if "c" in x else " " for x in many]).collect()} == {1: "USER: A\nASSISTANT: B\nUSER: C", 2: None}

@@ -1,7 +1,8 @@
 """The corpus pipeline over ``documents``: toxicity, line dedup, near duplicates, benchmark decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame that is
-written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents (COLUMNS);
+other columns are dropped.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half. The model learns from all usable labelled documents of
-    the stage's input; nulls are kept (an empty text is not toxic)."""
+    """Documents whose toxicity score is below one half. The model learns from labelled documents of the stage's input, at
+    most from as many as `learn` takes (20,000); null and empty texts are kept."""
     from folioflow.llm.toxicity import learn, toxicity
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

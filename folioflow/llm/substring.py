@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches, seen_twice, texts, twice_filter, written
+from .common import batches_of, join_first, map_suspects, texts, written
 from .jaccard import _mix
 
 GRAM = 5  # words of the n-grams whose least hash is a window's minimizer
@@ -50,43 +51,38 @@ def minimizers(h: np.ndarray, window: int) -> np.ndarray:
 
 def copies(rows: DataFrame) -> DataFrame:
     """(doc_id, rid) of documents whose whole text a smaller id has too."""
-    each = rows.select("doc_id", "rid", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
-    first = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return each.join(first, "digest").where("doc_id > first").select("doc_id", "rid").distinct()
+    each = written(rows.select("doc_id", "rid", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest")), "digests")
+    first = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    return join_first(each, written(first, "firsts"), "digest").where("doc_id > first").select("doc_id", "rid").distinct()
 
 
 def segments(docs_rows: DataFrame, window: int, most_bits: int = 1 << 30) -> DataFrame:
     """(m, doc_id, rid, start, words string): each run of a document's windows with one minimizer that other
     documents seem to have, from word ``start``, words joined by one space."""
     n = docs_rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    python_batches(docs_rows)
 
     def keys(batch):
         for text in batch.column("text").to_pylist():
             words = words_of(text)
             yield np.unique(minimizers(_hashed(words), window)) if len(words) >= window else np.zeros(0, np.uint64)
 
-    held = docs_rows.sparkSession.sparkContext.broadcast(twice_filter(docs_rows.select("text"), keys, n // 36, most_bits))
+    def cut(b, has):
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for doc_id, rid, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
+            words = words_of(text)
+            if len(words) < window:
+                continue
+            m = minimizers(_hashed(words), window)
+            first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+            last = np.append(first[1:], len(m))
+            kept = has(m[first])
+            first, last = first[kept], last[kept]
+            for i, j, key in zip(first.tolist(), last.tolist(), m[first].view(np.int64).tolist(), strict=True):
+                for column, x in zip(out, (key, doc_id, rid, i, b" ".join(words[i : j + window - 1])), strict=True):
+                    column.append(x)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary()).cast(pa.string())], ["m", "doc_id", "rid", "start", "words"])
 
-    def cut(batches):
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, rid, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
-                words = words_of(text)
-                if len(words) < window:
-                    continue
-                m = minimizers(_hashed(words), window)
-                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                last = np.append(first[1:], len(m))
-                if held.value is not None:
-                    kept = seen_twice(m[first], held.value)
-                    first, last = first[kept], last[kept]
-                for i, j, key in zip(first.tolist(), last.tolist(), m[first].view(np.int64).tolist(), strict=True):
-                    for column, x in zip(out, (key, doc_id, rid, i, b" ".join(words[i : j + window - 1])), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary()).cast(pa.string())], ["m", "doc_id", "rid", "start", "words"])
-
-    return docs_rows.mapInArrow(cut, "m long, doc_id long, rid long, start long, words string")
+    return map_suspects(docs_rows, docs_rows.select("text"), keys, n // 36, cut, "m long, doc_id long, rid long, start long, words string", most_bits)
 
 
 def _windows(each: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,18 +96,23 @@ def _windows(each: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarr
     return one[whole], two[whole], seg[whole], at[whole]
 
 
-def recurring(found: DataFrame, window: int) -> DataFrame:
-    """(m, one, two, first): windows of segments that at least two document ids have, by a 128-bit digest, with
-    the smallest id. Minima are taken before the shuffle, so a phrase of very many documents is no hot key."""
+def digests(found: DataFrame, window: int, *columns: str) -> DataFrame:
+    """(one, two and ``columns``, which are longs) of each window of segments, by a 128-bit digest."""
 
-    def digests(batches):
+    def each(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             one, two, seg, _ = _windows([w.encode().split(b" ") for w in b.column("words").to_pylist()], window)
-            yield pa.RecordBatch.from_arrays([pa.array(b.column("m").to_numpy()[seg]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(b.column("doc_id").to_numpy()[seg])], ["m", "one", "two", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(b.column(c).to_numpy()[seg]) for c in columns)], ["one", "two", *columns])
 
-    each = found.select("m", "doc_id", "words").mapInArrow(digests, "m long, one long, two long, doc_id long")
+    return found.select(*columns, "words").mapInArrow(each, "one long, two long, " + ", ".join(f"{c} long" for c in columns))
+
+
+def recurring(found: DataFrame, window: int) -> DataFrame:
+    """(m, one, two, first): windows of segments that at least two document ids have, with the smallest id. Minima
+    are taken before the shuffle, so a phrase of very many documents is no hot key."""
+    each = digests(found, window, "m", "doc_id")
     return each.groupBy("m", "one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
 
 
@@ -122,15 +123,20 @@ def _sign(n: int) -> str:
 def occurrences(found: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
     """(doc_id, rid, start, end): the words that ``phrases`` of smaller ids cover, one row for each run.
 
-    Shards are ranges of minimizers' hashes, as many as there are segments for; a shard with more segments than
-    a task takes is dealt over several tasks by document, each with the shard's automaton.
+    Shards are ranges of minimizers' hashes, as many as there are segments for. A shard with more segments than
+    a task takes is dealt over several tasks by document, each with an automaton of those phrases of the shard that
+    its own segments have.
     """
     shards = max(1, -(-found.count() // SHARD))
     shard = F.pmod(F.xxhash64("m"), F.lit(shards)).cast("int")
     sizes = found.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"))
     parts = written(sizes.select("shard", F.ceil(F.col("n") / (2 * SHARD)).cast("int").alias("parts")), "shards")
-    cut = found.withColumn("shard", shard).join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "rid"), F.col("parts")).cast("int")).drop("parts", "m")
-    known = phrases.withColumn("shard", shard).drop("m").join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    part = F.pmod(F.xxhash64("doc_id", "rid"), F.col("parts"))
+    cut = found.withColumn("shard", shard).join(parts, "shard").withColumn("part", part.cast("int")).drop("parts")
+    known = phrases.withColumn("shard", shard).join(parts, "shard")
+    hot = digests(cut.join(parts.where("parts > 1").select("shard"), "shard", "left_semi").withColumn("at", F.col("part").cast("long")), window, "m", "at").distinct()
+    hot = known.where("parts > 1").join(hot, ["m", "one", "two"]).withColumn("part", F.col("at").cast("int"))
+    known = known.where("parts = 1").withColumn("part", F.lit(0)).drop("parts").unionByName(hot.drop("parts", "at"))
 
     def locate(segs: pa.Table, known: pa.Table) -> pa.Table:
         import ahocorasick
@@ -139,6 +145,9 @@ def occurrences(found: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
         none = pa.table({n: pa.array([], pa.int64()) for n in names})
         if not known.num_rows or not segs.num_rows:
             return none
+        segs = segs.filter(pc.is_in(segs.column("m"), pc.unique(known.column("m"))))  # others have no phrase
+        if not segs.num_rows:
+            return none
         each = [w.encode().split(b" ") for w in segs.column("words").to_pylist()]
         one, two, seg, at = _windows(each, window)
         ones, twos, firsts = (known.column(c).to_numpy() for c in ("one", "two", "first"))
@@ -188,10 +197,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     cover = occurrences(found, written(recurring(found, window), "phrases"), window)
     cover = cover.unionByName(again.select("doc_id", "rid", F.lit(0).cast("long").alias("start"), F.lit(ALL).alias("end")))
     cover = cover.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
-    python_batches(rows)
 
     def keep(batches):
-        for b in batches:
+        for b in batches_of(batches):
             n, removed, kept = [], [], []
             for text, cover in zip(b.column("text").to_pylist(), b.column("cover").to_pylist(), strict=True):
                 words = words_of(text)

@@ -119,14 +119,14 @@ def needs_search(spark, d):
 @query(r"""
 SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'answer' WHEN event_type = 'error' THEN 'no_candidates' WHEN value / 100 <= 0.035 THEN 'off_topic' WHEN value / 100 < 0.05 THEN 'weak_score' ELSE 'answer' END AS outcome,
   CAST(least(5 * pow(2, event_id % 15), 3600) AS BIGINT) AS retry_s, CASE WHEN event_id % 15 + 1 >= 8 THEN 'dead_letter' ELSE 'waiting' END AS state,
-  CASE WHEN event_id % 15 + 1 < 8 THEN CAST(floor(epoch(ts)) AS BIGINT) + CAST(5 * pow(2, event_id % 15) AS BIGINT) END AS available_s, length(left(repeat(props, 300), 4000)) AS error_chars,
+  CASE WHEN event_id % 15 + 1 < 8 THEN CAST(5 * pow(2, event_id % 15) AS BIGINT) END AS waits_s, length(left(repeat(props, 300), 4000)) AS error_chars,
   1500 + event_id % 1000 AS took_ms FROM events""")
 def refusal_and_backoff(spark, d):
     e = I.table(spark, d, "events")
     failed = T.retry_state(F.col("event_id") % 15 + 1, F.repeat("props", F.lit(300)), F.col("ts"))
     done = F.timestamp_add("MILLISECOND", (1500 + F.col("event_id") % 1000).cast("int"), F.col("ts"))
-    out = e.select("event_id", T.refusal_decision(F.when(F.col("event_type") != "error", F.col("value") / 100), F.col("event_id") % 50 == 0).alias("outcome"), T.retry_seconds(F.col("event_id") % 15 + 1).alias("retry_s"), failed.alias("f"), T.latency_ms(F.col("ts"), done).alias("took_ms"))
-    return out.select("event_id", "outcome", "retry_s", "f.state", F.unix_timestamp("f.available_at").alias("available_s"), F.length("f.error").alias("error_chars"), "took_ms")
+    out = e.select("event_id", T.refusal_decision(F.when(F.col("event_type") != "error", F.col("value") / 100), F.col("event_id") % 50 == 0).alias("outcome"), T.retry_seconds(F.col("event_id") % 15 + 1).alias("retry_s"), failed.alias("f"), "ts", T.latency_ms(F.col("ts"), done).alias("took_ms"))
+    return out.select("event_id", "outcome", "retry_s", "f.state", F.timestamp_diff("SECOND", "ts", F.col("f.available_at")).alias("waits_s"), F.length("f.error").alias("error_chars"), "took_ms")
 
 
 @query(r"""

@@ -1,7 +1,14 @@
-"""Benchmark decontamination: rare words as seeds join passages to test items, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+
+Seeds are bigrams of which one word may be left out between. An alignment with a score of 2 m - x has m matches and a
+penalty of x between them, so at least m - 1 - x / 2 pairs of matches that follow each other have a penalty of one at most:
+both words next to each other, or one word apart, in item and passage alike. So seeds of this form can't miss an alignment
+that scores enough, however its edits lie.
+"""
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -9,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches, texts
+from .common import batches_of, texts
 
 _WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
-SEEDS = 3  # that lie in one alignment
+SEEDS = 3  # that lie in one alignment, if it is sure to have so many
 
 
 def words_of(text: str) -> list[str]:
@@ -49,7 +56,7 @@ def align(item, passage) -> tuple[int, int, int]:
 
 
 class Items:
-    """Test items with an index of their rare words; its size is bounded by the block of items it is made of."""
+    """Test items with an index of their rare seeds; its size is bounded by the block of items it is made of."""
 
     def __init__(self, items: list[tuple[int, str]], least: float):
         numbers: dict[str, int] = {}
@@ -61,29 +68,53 @@ class Items:
         self.bar = least * MATCH * length  # of the score
         self.matches = np.maximum(1, np.ceil(least * length - 1e-9)).astype(np.int64)  # a score of 2 m at most has m matches
         self.span = np.maximum(1, np.floor((MATCH + 1) * length - self.bar + 1e-9)).astype(np.int64)  # m matches, 2 m - bar others at most
-        self.seeds = np.minimum(SEEDS, self.matches)
+        self.sure = np.maximum(0, np.ceil(least * length - 1 - 1e-9)).astype(np.int64)  # places with a seed in an alignment that reaches the bar
+        self.seeds = np.clip(self.sure, 1, SEEDS)
+        self.places = [self._seeds_of(w, s) for w, s in zip(self.words, self.sure.tolist(), strict=True)]
+        self.codes = np.array(sorted({c for p in self.places for each in p for c in each}), np.int64)
+
+    def _seeds_of(self, w: np.ndarray, sure: int) -> list[list[int]]:
+        """The codes of the seeds that begin at each place of an item; of items that are too short for seeds, its words."""
+        n, base = w.tolist(), len(self.numbers) + 1
+        return [[a * base + b for b in n[i + 1 : i + 3]] for i, a in enumerate(n[:-1])] if sure else [[a * base] for a in n]
 
     def numbered(self, text: str) -> np.ndarray:
         """The text's word numbers; 0: in no item."""
-        return np.array([x or 0 for x in map(self.numbers.get, words_of(text))], np.int64)
-
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """Each item's seeds: the words of its L - m + c rarest places, by the number of documents. An alignment that reaches
-        the bar matches m places or more, so c of these at least, whichever words are seeds."""
+        words = words_of(text)
+        return np.fromiter(map(self.numbers.get, words, itertools.repeat(0)), np.int64, len(words))
+
+    def seeds_in(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, number of the seed) of all seeds of any item among the word numbers ``w``."""
+        known = np.flatnonzero(w)
+        if not len(known) or not len(self.codes):
+            return known[:0], known[:0]
+        after, base = np.concatenate([w, [0, 0]]), len(self.numbers) + 1
+        first = w[known] * base
+        code = np.concatenate([first, first + after[known + 1], first + after[known + 2]])
+        number = np.searchsorted(self.codes, code)
+        there = self.codes[np.minimum(number, len(self.codes) - 1)] == code
+        return np.concatenate([known, known, known])[there], number[there]
+
+    def keep_rare(self, counts: np.ndarray) -> None:
+        """Each item's seeds: those that begin at its rarest places, by the number of documents. So many places are left out
+        that an alignment which reaches the bar still has ``seeds`` of the rest, whichever they are."""
         pairs = []
-        for k, w in enumerate(self.words):
-            rare = sorted(w.tolist(), key=lambda x: (counts.get(x, 0), x))[: len(w) - int(self.matches[k]) + int(self.seeds[k])]
-            pairs += [(x, k) for x in set(rare)]
+        for k, each in enumerate(self.places):
+            numbers = [np.searchsorted(self.codes, c).tolist() for c in each]
+            most = len(each) - int(self.sure[k]) + int(self.seeds[k]) if self.sure[k] else len(each)
+            rare = sorted(numbers, key=lambda p: (counts[p].sum(), p))[:most]
+            pairs += [(x, k) for x in {x for p in rare for x in p}]
         at = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.first = np.searchsorted(at[:, 0], np.arange(len(self.numbers) + 2))
+        self.first = np.searchsorted(at[:, 0], np.arange(len(self.codes) + 1))
         self.of = at[:, 1]
 
     def windows(self, w: np.ndarray) -> dict[int, list[list[int]]]:
         """By item, the parts of a document (word numbers) that may hold an alignment which reaches the bar; none is left out."""
-        n = self.first[w + 1] - self.first[w]
-        at = np.repeat(np.arange(len(w)), n)
-        k = self.of[np.repeat(self.first[w] - np.cumsum(n) + n, n) + np.arange(len(at))]
-        order = np.argsort(k, kind="stable")
+        place, number = self.seeds_in(w)
+        n = self.first[number + 1] - self.first[number]
+        at = np.repeat(place, n)
+        k = self.of[np.repeat(self.first[number] - np.cumsum(n) + n, n) + np.arange(len(at))]
+        order = np.lexsort((at, k))
         at, k = at[order], k[order]
         i = np.arange(len(at))
         j = np.minimum(i + self.seeds[k] - 1, len(at) - 1)
@@ -132,8 +163,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
     """(doc_id, rid, item_id, score, start, end): pairs of a document and a test item whose best local alignment has
     ``least`` of the item's full score or more, with the words [start, end) of the document.
 
-    Words are lower-cased runs of word characters. Seeds are the words of each item's rarest places, by their
-    document counts over all of ``docs``; they are so many that every alignment which reaches ``least`` matches
+    Words are lower-cased runs of word characters. Seeds are bigrams (with one word between, or none) at each item's rarest
+    places, by their document counts over all of ``docs``; they are so many that every alignment which reaches ``least`` has
     some of them close together, so the result is that of aligning every document with every item.
     Items come in blocks of ``block`` (by hashed id), each block with its index broadcast and run against all
     documents, so what is broadcast is bounded for a benchmark of any size. Null or empty texts and items match
@@ -148,22 +179,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
         part = tests.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k).collect()
         items = Items(sorted(((r.item_id, r.item) for r in part), key=lambda x: (x[0] is None, x)), least)
         first = spark.sparkContext.broadcast(items)
-        python_batches(rows)
 
         def seen(batches, first=first):
-            counts = np.zeros(len(first.value.numbers) + 1, np.int64)
-            for b in batches:
+            items = first.value
+            counts = np.zeros(len(items.codes), np.int64)
+            for b in batches_of(batches):
                 for t in b.column("text").to_pylist():
-                    counts[np.unique(first.value.numbered(t))] += 1
+                    counts[np.unique(items.seeds_in(items.numbered(t))[1])] += 1
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["seed", "n"])
 
-        counts = rows.select("text").mapInArrow(seen, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        items.keep_rare({r["word"]: r["n"] for r in counts.collect()})
+        counts = np.zeros(len(items.codes), np.int64)
+        for r in rows.select("text").mapInArrow(seen, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[r["seed"]] = r["n"]
+        items.keep_rare(counts)
         index = spark.sparkContext.broadcast(items)
 
         def score(batches, index=index):
-            for b in batches:
+            for b in batches_of(batches):
                 at = [(i, *x) for i, t in enumerate(b.column("text").to_pylist()) for x in _overlaps(index.value, t)]
                 rows_at = pa.array([x[0] for x in at], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows_at), b.column("rid").take(rows_at), pa.array([index.value.ids[x[1]] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.float64()), pa.array([x[3] for x in at], pa.int64()), pa.array([x[4] for x in at], pa.int64())], ["doc_id", "rid", "item_id", "score", "start", "end"])

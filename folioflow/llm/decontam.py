@@ -159,21 +159,22 @@ def _overlaps(items: Items, text: str):
             yield k, best[0] / (MATCH * len(item)), -best[1], best[2]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block: int = 5000, most_chars: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, rid, item_id, score, start, end): pairs of a document and a test item whose best local alignment has
     ``least`` of the item's full score or more, with the words [start, end) of the document.
 
     Words are lower-cased runs of word characters. Seeds are bigrams (with one word between, or none) at each item's rarest
     places, by their document counts over all of ``docs``; they are so many that every alignment which reaches ``least`` has
     some of them close together, so the result is that of aligning every document with every item.
-    Items come in blocks of ``block`` (by hashed id), each block with its index broadcast and run against all
-    documents, so what is broadcast is bounded for a benchmark of any size. Null or empty texts and items match
+    Items come in blocks of about ``block`` items and ``most_chars`` characters at most (by hashed id), each block with its
+    index broadcast and run against all documents, so what is broadcast is bounded for a benchmark of any size. Null or empty texts and items match
     nothing; repeated rows get equal results.
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
     tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("item")).distinct()
-    blocks = max(1, -(-tests.count() // block))
+    n, chars = tests.agg(F.count("*"), F.sum(F.length("item"))).first()
+    blocks = max(1, -(-n // block), -(-(chars or 0) // most_chars))
     out = None
     for k in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k).collect()

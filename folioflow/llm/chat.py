@@ -36,24 +36,41 @@ def as_replies(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "tu
     return rows.select("conv", "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _jumps(first: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """From ``first`` (conv, msg, up, n, total, low): one step up. The messages that have reached their root, with their depth
+    and sum; the others after 1, 2, 4, ... steps; and those that are still on their way after more steps than there are
+    messages, with the least message that they have passed (None: there are none)."""
+    done, now, jumps = first.where("up is null"), first.where("up is not null"), []
+    most = max(1, first.count())
+    while now.limit(1).count():  # only messages that haven't reached their root go on
+        if 2 ** len(jumps) > most:
+            return done, jumps, now
+        jumps.append(now)
+        far = done.unionByName(now).select(F.col("conv").alias("p_conv"), F.col("msg").alias("p_msg"), F.col("up").alias("p_up"), F.col("n").alias("p_n"), F.col("total").alias("p_total"), F.col("low").alias("p_low"))
+        step = now.join(far, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("up") == F.col("p_msg")))
+        step = written(step.select("conv", "msg", F.col("p_up").alias("up"), (F.col("n") + F.col("p_n")).alias("n"), (F.col("total") + F.col("p_total")).alias("total"), F.least("low", "p_low").alias("low")), "jump")
+        done, now = done.unionByName(step.where("up is null")), step.where("up is not null")
+    return done, jumps, None
+
+
 def branches(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """(conv, leaf, depth, total, rank, msg, pos): the messages of the ``per_tree`` best root-to-leaf paths of each
     conversation, by the sum of their scores, then the smaller leaf; pos counts from the root, from 0.
 
-    ``messages`` (conv, msg, parent, score): msg is unique in its conversation. A parent that is missing or does
-    not come before its reply is ignored (its reply is a root), so there are no cycles. Null scores count 0.
+    ``messages`` (conv, msg, parent, score): msg is unique in its conversation, in any order. A parent that is missing is
+    ignored (its reply is a root), and so is that of a cycle's smallest message. Null scores count 0.
     """
-    nodes = messages.select("conv", "msg", F.when(F.col("parent") < F.col("msg"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    nodes = messages.select("conv", "msg", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     there = nodes.select(F.col("conv").alias("p_conv"), F.col("msg").alias("p_msg"))
     nodes = nodes.join(there, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("parent") == F.col("p_msg")), "left")
-    first = written(nodes.select("conv", "msg", F.col("p_msg").alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")), "jump")
-    done, now, jumps = first.where("up is null"), first.where("up is not null"), []
-    while now.limit(1).count():  # only messages that haven't reached their root go on
-        jumps.append(now)
-        far = done.unionByName(now).select(F.col("conv").alias("p_conv"), F.col("msg").alias("p_msg"), F.col("up").alias("p_up"), F.col("n").alias("p_n"), F.col("total").alias("p_total"))
-        step = now.join(far, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("up") == F.col("p_msg")))
-        step = written(step.select("conv", "msg", F.col("p_up").alias("up"), (F.col("n") + F.col("p_n")).alias("n"), (F.col("total") + F.col("p_total")).alias("total")), "jump")
-        done, now = done.unionByName(step.where("up is null")), step.where("up is not null")
+    first = written(nodes.select("conv", "msg", F.col("p_msg").alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total"), F.least("msg", "p_msg").alias("low")), "jump")
+    done, jumps, stuck = _jumps(first)
+    if stuck is not None:  # what is reached from there by as many steps as there are messages lies on a cycle
+        ends = stuck.select(F.col("conv").alias("p_conv"), F.col("up").alias("p_msg")).distinct()
+        heads = stuck.where("msg = low").join(ends, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("msg") == F.col("p_msg")), "left_semi").select(F.col("conv").alias("p_conv"), F.col("msg").alias("p_msg"), F.lit(True).alias("head"))
+        opened = first.join(heads, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("msg") == F.col("p_msg")), "left")
+        first = written(opened.select("conv", "msg", F.when(F.col("head").isNull(), F.col("up")).alias("up"), "n", "total", "low"), "jump")
+        done, jumps, _ = _jumps(first)
     parents = first.where("up is not null").select(F.col("conv").alias("p_conv"), F.col("up").alias("p_msg")).distinct()
     leaves = done.join(parents, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("msg") == F.col("p_msg")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("total"), "msg"))).where(F.col("rank") <= per_tree)

@@ -44,3 +44,13 @@ def test_turn_tables(spark):
     long = [(1, i, "assistant", f"t{i}") for i in range(3000)]
     row = read_back(format_chats(as_replies(spark.createDataFrame(long, "conv_id long, turn long, role string, text string")))).first()
     assert "".join(row.learned) == "".join(f"t{i}" for i in range(3000))
+
+
+def test_ids_in_any_order_and_cycles(spark):
+    rows = [(1, "z", None, 1.0), (1, "a", "z", 1.0), (1, "m", "a", 2.0), (1, "b", "z", 9.0)]  # replies have smaller ids
+    rows += [(2, "q", "s", 1.0), (2, "r", "q", 1.0), (2, "s", "r", 1.0), (2, "t", "s", 5.0)]  # q <- r <- s <- q, and t behind
+    rows += [(3, "x", "x", 1.0), (None, "y", "nobody", 1.0)]
+    got = {}
+    for r in branches(spark.createDataFrame(rows, "conv int, msg string, parent string, score double")).orderBy("pos").collect():
+        got.setdefault(r.conv, []).append(r.msg)
+    assert got == {1: ["z", "b"], 2: ["q", "r", "s", "t"], 3: ["x"], None: ["y"]}

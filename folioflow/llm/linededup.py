@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, python_batches, seen_twice, texts, twice_filter
+from .common import BLANKS, batches_of, join_first, map_suspects, texts, written
 
 _STRIP = BLANKS.encode()
 
@@ -49,25 +49,21 @@ def repeated_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", tex
     """
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
     n = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    python_batches(rows)
-    field = twice_filter(rows.select("text"), lambda b: (_hashes(_keys(t, least).keys()) for t in b.column("text").to_pylist()), n, most_bits)
-    held = rows.sparkSession.sparkContext.broadcast(field)
-
-    def suspects(batches):
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for doc_id, rid, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
-                keys = _keys(text, least)
-                kept = [True] * len(keys) if held.value is None else seen_twice(_hashes(keys.keys()), held.value)
-                for (key, at), k in zip(keys.items(), kept, strict=True):
-                    if k:
-                        for column, x in zip(out, (doc_id, rid, hashlib.sha256(key).digest(), at), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int32()))], ["doc_id", "rid", "digest", "at"])
-
-    found = rows.mapInArrow(suspects, "doc_id long, rid long, digest binary, at array<int>")
-    first = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    lost = found.join(first, "digest").where("doc_id > first")
+
+    def suspects(b, has):
+        out: tuple[list, ...] = ([], [], [], [])
+        for doc_id, rid, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
+            keys = _keys(text, least)
+            for (key, at), k in zip(keys.items(), has(_hashes(keys.keys())), strict=True):
+                if k:
+                    for column, x in zip(out, (doc_id, rid, hashlib.sha256(key).digest(), at), strict=True):
+                        column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int32()))], ["doc_id", "rid", "digest", "at"])
+
+    keys_of = lambda b: (_hashes(_keys(t, least).keys()) for t in b.column("text").to_pylist())
+    found = written(map_suspects(rows, rows.select("text"), keys_of, n, suspects, "doc_id long, rid long, digest binary, at array<int>", most_bits), "suspects")
+    first = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("digest", "first", "n")
+    lost = join_first(found, written(first, "firsts"), "digest").where("doc_id > first")
     return lost.groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("at")).alias("drop"))
 
 
@@ -85,10 +81,9 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     """
     rows = texts(docs, id_col, text_col)
     drop = repeated_lines(docs, least, id_col, text_col, most_bits)
-    python_batches(rows)
 
     def keep(batches):
-        for b in batches:
+        for b in batches_of(batches):
             n, dropped, kept = [], [], []
             for text, drop in zip(b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True):
                 for column, x in zip((n, dropped, kept), _without(text, drop), strict=True):

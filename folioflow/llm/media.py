@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches, written
+from .common import batches_of, written
 
 FRAME, HOP = 1024, 512  # samples
 SPAN = 16  # frames below one integer
@@ -68,10 +68,9 @@ def fingerprints(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm",
     """(rec_id, codes array<int>) of every row with an id: packed integers of its 16-bit mono little-endian samples.
     Null audio, and audio shorter than SPAN frames, has no codes; an odd last byte is ignored."""
     rows = media.select(F.col(id_col).cast("long").alias("rec_id"), F.coalesce(F.col(pcm_col), F.lit(b"")).alias("pcm")).where("rec_id is not null")
-    python_batches(rows, 128)
 
     def codes(batches):
-        for b in batches:
+        for b in batches_of(batches, 128):
             each = [np.frombuffer(p, "<i2", len(p) // 2) for p in b.column("pcm").to_pylist()]
             out: list = [[]] * len(each)
             for size in {len(x) for x in each}:
@@ -178,7 +177,7 @@ def _pairs(classes: DataFrame, least_hits: int, most_errors: float, least_aligne
 
         def align(batches, held=held):
             q = held.value
-            for b in batches:
+            for b in batches_of(batches, 128):
                 out: list[tuple] = []
                 for name, m in zip(b.column("id").to_pylist(), b.column("codes"), strict=True):
                     m = m.values.to_numpy()
@@ -194,7 +193,7 @@ def _pairs(classes: DataFrame, least_hits: int, most_errors: float, least_aligne
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["match", "query", "offset", "aligned", "bit_errors"])
 
-        found = found.unionByName(python_batches(classes, 128).select("id", "codes").mapInArrow(align, schema))
+        found = found.unionByName(classes.select("id", "codes").mapInArrow(align, schema))
     every = classes.select(F.col("id").alias("match"), "copies").join(found, "match", "left")
     return every.select("match", "copies", "query", "offset", "aligned", "bit_errors")
 
@@ -204,11 +203,10 @@ def render(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4000, s
     twelve tones of an octave, as loud as the components from t on are high; so near vectors sound alike.
     Null and empty vectors are without samples."""
     rows = vectors.select(F.col(id_col).cast("long").alias("rec_id"), F.coalesce(F.col(vector_col).cast("array<float>"), F.array().cast("array<float>")).alias("v"))
-    python_batches(rows, 128)
 
     def sound(batches):
         tones = np.sin(2 * np.pi * 440 * 2 ** (np.arange(12) / 12)[:, None] * np.arange(step) / rate)
-        for b in batches:
+        for b in batches_of(batches, 128):
             out = []
             for v in b.column("v").to_pylist():
                 v = np.nan_to_num(np.array([x or 0.0 for x in v], np.float64))

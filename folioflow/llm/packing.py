@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches, texts, written
+from .common import batches_of, texts, written
 
 MEMO = 1_000_000  # of each kind that a Python worker remembers
 _encoders: dict[str, "Encoder"] = {}
@@ -73,12 +73,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     Repeated rows are packed as often as they occur; a null id stays null.
     """
     rows = texts(docs, id_col, text_col).select("doc_id", "text")
-    python_batches(rows)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
-        for b in batches:
+        for b in batches_of(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
                 ids += end

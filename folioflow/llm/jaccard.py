@@ -3,7 +3,8 @@
 Sets are dealt into bands of alike sizes. In a band, two sets of a similarity of at least the threshold differ in
 at most k elements. The feature domain is partitioned into groups of parts such that k differences leave, in
 enough groups, at most one part unequal; each subset of a group's parts with one part left out is hashed into a
-signature. So similar sets share a signature, and only sets that share one are compared.
+signature, unless it has no element, when it would say nothing. So similar sets share a signature, and only sets that
+share one are compared.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, python_batches, seen_twice, texts, twice_filter, written
+from .common import batches_of, components, join_first, map_suspects, texts, written
 
 PARTS, LEFT_OUT = 3, 1  # of a group; subsets of PARTS - LEFT_OUT parts are enumerated
+ROUNDS = 16  # partitions of the domain that are tried
 _SUBSETS = list(itertools.combinations(range(PARTS), PARTS - LEFT_OUT))
 _FIRST = [[x[p] for x in _SUBSETS] for p in range(PARTS - LEFT_OUT)]
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -65,31 +68,53 @@ class Bands:
             self.of(self.edges[-1] + 1)
         return (self.den - self.num) * 2 * self.edges[band] // (self.den + self.num)
 
+    @functools.cache  # noqa: B019
+    def groups(self, band: int) -> tuple[int, int]:
+        """(groups, spare ones among them): as many spare ones as make the fewest signatures, by the Poisson chance
+        that a set of the band lacks elements for a subset in more groups than that."""
+        k = self.differences(band)
+        size = self.edges[max(0, band - 1)]
+        best = (math.inf, 0, 0)
+        for spare in sorted({*range(1, 9), *(int(8 * 1.25**i) for i in range(1, 40) if 8 * 1.25**i < k)}):
+            groups = k // (LEFT_OUT + 1) + 1 + spare
+            empty = math.exp(-size / (groups * PARTS))
+            mean = max(1e-300, groups * (PARTS * empty**2 * (1 - empty) + empty**PARTS))
+            more = max(0.0, 1 - sum(math.exp(-mean + i * math.log(mean) - math.lgamma(i + 1)) for i in range(spare + 1)))
+            best = min(best, (groups / max(1e-9, 1 - more), groups, spare))
+        return best[1:]
+
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """The set's signatures, in its own band and the next one (where larger partners look).
 
-    With k differences, floor(k / 2) groups at most have two unequal parts or more; one group more is needed, and
-    another one because a subset of parts without any element says nothing: sets that lack elements for subsets
-    of at most one group leave those signatures out. In a band where k is 0, only equal sets are similar.
+    With k differences, floor(k / 2) groups at most have two unequal parts or more, and there are 1 + ``spare`` groups
+    more than that. A set that lacks elements for subsets of at most ``spare`` groups so has a group of whole subsets
+    among those with one unequal part at most: it shares a signature with every similar set. A set that lacks them
+    in more groups has its signatures by the next partition of the domain too, and so on; of two such sets, both go
+    on as far as the first one that doesn't lack. Sets that do so in all ROUNDS partitions (next to none) also have the
+    last one's signatures without elements. In a band where k is 0, only equal sets are similar.
     """
     out = []
     mixed = _mix(elements ^ np.uint64(0x5851F42D4C957F2D))
     band = bands.of(len(elements))
     for b in (band, band + 1):
-        k = bands.differences(b)
-        if not k:
+        if not bands.differences(b):
             continue
-        groups = k // (LEFT_OUT + 1) + 2
-        cell = (_mix(elements + np.uint64(b)) % np.uint64(groups * PARTS)).astype(np.int64)
-        sums = np.zeros(groups * PARTS, np.uint64)
-        np.add.at(sums, cell, mixed)
-        full = (np.bincount(cell, minlength=groups * PARTS).reshape(groups, PARTS)[:, _SUBSETS] > 0).any(axis=2)
-        h = np.arange(b << 40, (b << 40) + groups * len(_SUBSETS), dtype=np.uint64).reshape(groups, len(_SUBSETS))
-        for p in range(PARTS - LEFT_OUT):
-            h = h * _M + sums.reshape(groups, PARTS)[:, _FIRST[p]]
-        h = _mix(h)
-        out.append(h[full] if (~full.all(axis=1)).sum() <= 1 else h.ravel())
+        groups, spare = bands.groups(b)
+        for r in range(ROUNDS):
+            cell = (_mix(elements + np.uint64(b * ROUNDS + r)) % np.uint64(groups * PARTS)).astype(np.int64)
+            sums = np.zeros(groups * PARTS, np.uint64)
+            np.add.at(sums, cell, mixed)
+            full = (np.bincount(cell, minlength=groups * PARTS).reshape(groups, PARTS)[:, _SUBSETS] > 0).any(axis=2)
+            start = (b * ROUNDS + r) << 36
+            h = np.arange(start, start + groups * len(_SUBSETS), dtype=np.uint64).reshape(groups, len(_SUBSETS))
+            for p in range(PARTS - LEFT_OUT):
+                h = h * _M + sums.reshape(groups, PARTS)[:, _FIRST[p]]
+            h = _mix(h)
+            enough = (~full.all(axis=1)).sum() <= spare
+            out.append(h[full] if enough or r < ROUNDS - 1 else h.ravel())
+            if enough:
+                break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -135,8 +160,9 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     same id count as one document; with different texts under one id, that id stands for each of the sets.
     Null ids link with nothing and are their own component (null).
 
-    A once/twice Bloom filter (``most_bits`` at most) drops signatures that one class alone has before the shuffle;
-    beyond its size all signatures are shuffled, with the same result.
+    A once/twice Bloom filter of shingles (``most_bits`` at a time) finds the sets of which enough shingles stand in another
+    set too; only these have signatures made and shuffled. A similar partner shares at least ``num / den`` of a set's shingles,
+    so none is lost, and a filter that lets some shingles through by chance does no harm.
 
     Links are found in two steps that together lose none. First every signature's members are compared with the
     smallest of them only. Then, in signatures whose members have not met in one component, the pairs from
@@ -144,37 +170,40 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     in how many elements two sets differ) already prove them too far apart.
     """
     rows = texts(docs, id_col, text_col)
-    python_batches(rows)
     bands = Bands(num, den)
 
     def measure(batches):
-        for b in batches:
+        for b in batches_of(batches):
             sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["doc_id", "rid", "n", "same"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["doc_id", "rid", "size", "same"])
 
-    sized = written(rows.mapInArrow(measure, "doc_id long, rid long, n long, same binary"), "sets")
+    sized = written(rows.mapInArrow(measure, "doc_id long, rid long, size long, same binary"), "sets")
     known = sized.where("doc_id is not null and same is not null")
-    classes = known.groupBy("same").agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.max("doc_id").alias("last"))
-    first = written(classes.select("same", F.col("rep.doc_id").alias("node"), F.col("rep.rid").alias("rid")), "classes")
+    classes = known.groupBy("same").agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.count("*").alias("n"))
+    first = written(classes.select("same", F.col("rep.doc_id").alias("node"), F.col("rep.rid").alias("first_rid"), "n"), "classes")
+    members = written(join_first(known, first, "same").select("doc_id", "rid", "size", "node", "first_rid"), "members")
 
-    again = written(known.join(first, "same").where((F.col("doc_id") != F.col("node")) | (known["rid"] != first["rid"])).select("doc_id", known["rid"]).distinct(), "again")
+    again = written(members.where((F.col("doc_id") != F.col("node")) | (F.col("rid") != F.col("first_rid"))).select("doc_id", "rid").distinct(), "again")
     small = again.count() <= 2_000_000  # 32 MB at most
     own = rows.where("doc_id is not null").join(F.broadcast(again) if small else again, ["doc_id", "rid"], "left_anti").select("doc_id", "text")
-    each = 3 * (den - num) / (den + num) * (1 + den / num)  # signatures of an element
-    expected = first.join(known, "same").agg(F.sum("n")).first()[0] or 0
-    field = twice_filter(own.select("text"), lambda b: (np.unique(signatures(shingle_set(t, n), bands)) for t in b.column("text").to_pylist()), int(expected * each), most_bits)
-    held = rows.sparkSession.sparkContext.broadcast(field)
+    elements_in = members.where((F.col("doc_id") == F.col("node")) & (F.col("rid") == F.col("first_rid"))).agg(F.sum("size")).first()[0] or 0
+
+    def repeated(b, has):
+        sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(has(x).sum()) for x in sets], pa.int64())], ["node", "n", "hits"])
+
+    sets_of = lambda b: (shingle_set(t, n) for t in b.column("text").to_pylist())
+    seen = map_suspects(own, own.select("text"), sets_of, elements_in, repeated, "node long, n long, hits long", most_bits)
+    able = seen.groupBy("node", "n").agg(F.sum("hits").alias("hits")).where((F.col("n") > 0) & (F.col("hits") * den >= F.col("n") * num))
 
     def sign(batches):
-        for b in batches:
+        for b in batches_of(batches):
             each = [np.unique(signatures(shingle_set(t, n), bands)) for t in b.column("text").to_pylist()]
-            if held.value is not None:
-                each = [x[seen_twice(x, held.value)] for x in each]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(), [len(x) for x in each]), pa.int64()), pa.array(np.concatenate(each).view(np.int64) if each else np.zeros(0, np.int64))], ["node", "sig"])
 
-    signed = own.mapInArrow(sign, "node long, sig long")
-    if field is not None:
-        signed = written(signed, "signed")
+    able = written(able.select("node").distinct(), "able")
+    able = able.select(F.col("node").alias("doc_id"))
+    signed = written(own.join(F.broadcast(able) if able.count() <= 2_000_000 else able, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sign, "node long, sig long"), "signed")
     shared = signed.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("sig")
     hits = written(signed.join(shared, "sig").distinct(), "hits")
     pivots = hits.groupBy("sig").agg(F.min("node").alias("pivot"))
@@ -183,12 +212,12 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     def of_nodes(nodes: DataFrame, what, schema: str) -> DataFrame:
         """(node, n, ...) by ``what`` of the shingle sets of ``nodes``: of their classes' representatives alone."""
         nodes = written(nodes, "nodes")
-        part = first.join(nodes, "node", "left_semi").select(F.col("node").alias("doc_id"), "rid")
+        part = first.join(nodes, "node", "left_semi").select(F.col("node").alias("doc_id"), F.col("first_rid").alias("rid"))
         if nodes.count() <= 2_000_000:  # 32 MB at most
             part = F.broadcast(part)
 
         def pick(batches):
-            for b in batches:
+            for b in batches_of(batches):
                 sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), what(sets)], ["node", "n", "x"])
 
@@ -220,17 +249,18 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     late = written(_similar(more, elements(more)).where(is_link), "late")
 
     # an id under which several sets stand links their classes
-    members = known.join(first.select("same", "node"), "same")
     same = members.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = links.select("a", "b").unionByName(late.select("a", "b")).distinct()
     whole = components(links.unionByName(same.distinct()))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = sized.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(first.select("same", "node"), "same", "left").join(degree, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+    alone = sized.where("doc_id is null or same is null").select("doc_id", F.col("size").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    out = members.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degree, "node", "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id")).unionByName(alone)
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id. Null ids stay."""
+    """``docs`` with one document of each component: the one with the smallest id. Rows that repeat that id all stay, and so
+    do null ids."""
     ids = how.get("id_col", "doc_id")
     lost = similarity_components(docs, **how).where("component_id <> doc_id").select(F.col("doc_id").alias(ids)).distinct()
     return docs.join(lost, ids, "left_anti")

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import discard, new_path, shared_dir, written
+from ..operators.tables import discard, new_path, written
 
-__all__ = ["BLANKS", "batches_of", "components", "discard", "filter_bits", "join_first", "map_suspects", "new_path", "python_batches", "seen_twice", "shared_dir", "texts", "twice_filter", "written"]
+__all__ = ["BLANKS", "batches_of", "components", "discard", "filter_bits", "join_first", "map_suspects", "new_path", "texts", "written"]
 
 #: ASCII white space of the text contracts: space and U+0009..U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -37,12 +37,6 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[p
             yield b.slice(i, rows)
 
 
-def python_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Keeps Arrow batches of long texts small."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def join_first(many: DataFrame, one: DataFrame, key: str, n: str = "n") -> DataFrame:
     """``many`` joined with the row of ``one`` that has its ``key``. ``one`` has each key once, and in ``n`` (dropped) how many
     rows of ``many`` have it. Keys that a thousandth of these rows or more have (so a thousand at most) are broadcast,
@@ -154,57 +148,6 @@ def map_suspects(rows: DataFrame, filled_from: DataFrame, keys_of: Callable, n_k
     return out
 
 
-def seen_twice(keys: np.ndarray, field: np.ndarray) -> np.ndarray:
-    """Which uint64 keys the twice-seen filter holds: all that two documents share and a few others."""
-    one, two = _places(keys, len(field) * 8)
-    return (_get(field, one) & _get(field, two)).astype(bool)
-
-
-def twice_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n_keys: int, most_bits: int = 1 << 30) -> np.ndarray | None:
-    """Bits of a Bloom filter that holds every key which two documents (or more) have.
-
-    ``keys_of`` turns a batch of ``rows`` into one array of distinct uint64 keys for each document. Each task
-    fills two filters, for keys seen once and seen twice; of two tasks, the bits that both once-filters have go
-    to the twice-filter too, so no shared key is ever missed. Only compressed filter chunks are shuffled.
-
-    The filter's size is known before it is built (``most_bits``, 128 MiB by default, is the most that is ever
-    broadcast). If ``n_keys`` needs over three times as much, the filter would let nearly everything through;
-    then None is returned, and every key goes to the exact step, whose shuffle is linear in the input.
-    """
-    bits = filter_bits(n_keys, most_bits)
-    if n_keys * 4 > bits:
-        return None
-
-    def fill(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            each = [k for k in keys_of(batch) if len(k)]
-            if not each:
-                continue
-            keys, n = np.unique(np.concatenate(each), return_counts=True)
-            one, two = _places(keys, bits)
-            again = (n > 1) | (_get(once, one) & _get(once, two)).astype(bool)
-            for at in (one, two):
-                _put(once, at)
-                _put(twice, at[again])
-        for c in range(0, len(once), _CHUNK):
-            if (a := once[c : c + _CHUNK]).any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c // _CHUNK], pa.int64()), "once": pa.array([zlib.compress(a.tobytes(), 1)], pa.binary()), "twice": pa.array([zlib.compress(twice[c : c + _CHUNK].tobytes(), 1)], pa.binary())})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once, twice = np.zeros(0, np.uint8), None
-        for a, b in zip(pdf["once"], pdf["twice"], strict=True):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            once, twice = (a.copy(), b.copy()) if twice is None else (once | a, twice | b | (once & a))
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    got = rows.mapInArrow(fill, "chunk long, once binary, twice binary").groupBy("chunk").applyInPandas(merge, "chunk long, twice binary")
-    field = np.zeros(bits // 8, np.uint8)
-    for row in got.toLocalIterator():  # bits / 8 bytes at most
-        field[row["chunk"] * _CHUNK : row["chunk"] * _CHUNK + _CHUNK] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-    return field
-
-
 # --- connected components -------------------------------------------------------------------------
 
 

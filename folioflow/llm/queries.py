@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -106,8 +106,38 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document (by the checksum of its id) is made periodic from some word on before runs are looked for."""
+    from .runs import collapse_runs
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, _words("text")).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    docs = docs.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a").cast("int") + 1, F.col("p").cast("int")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(tail, F.lit(1), (n - F.col("a")).cast("int"))), " ")
+    out = collapse_runs(docs.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("x"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("l"))))
+    out = out.withColumn("best", best)
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.l").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(F.col("best.l") * 1000 / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(F.transform("runs", line), ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_benchmark_decontamination, op4_chat_formatting, op5_media_fingerprints, op6_line_dedup, op7_substring_dedup, op8_url_filter, op9_best_fit_packing, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_benchmark_decontamination, op4_chat_formatting, op5_media_fingerprints, op6_line_dedup, op7_substring_dedup, op8_url_filter, op9_best_fit_packing, op10_ngram_jaccard_join, op11_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
@@ -179,4 +209,23 @@ links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT w.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id
 FROM words w LEFT JOIN sizes z ON w.doc_id = z.doc_id LEFT JOIN reach r ON w.doc_id = r.a GROUP BY w.doc_id""",
+    "op11_periodic_runs": r"""
+WITH hashed AS (SELECT doc_id, text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) AS h FROM documents),
+split AS (SELECT doc_id, h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM hashed),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+words AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) END]) END AS w FROM placed),
+grams AS (SELECT doc_id, unnest(range(len(w) - 15)) AS i, unnest(list_transform(range(1, len(w) - 14), lambda i: array_to_string(w[i:i + 15], ' '))) AS g FROM words WHERE len(w) >= 24),
+same AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.g = b.g AND a.i < b.i),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (SELECT doc_id, q AS period, min(i) AS start, count(*) + 15 + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+runs AS (SELECT * FROM stretches r WHERE NOT EXISTS (SELECT 1 FROM stretches s WHERE s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.start = r.start AND s.length = r.length AND s.period < r.period AND r.period % s.period = 0)),
+summed AS (SELECT doc_id, count(*) AS n_runs, arg_max({'s': start, 'l': length, 'p': period}, (length / period, -start, -period)) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+each AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM words),
+kept AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.i) AS t FROM each e ANTI JOIN gone g ON e.doc_id IS NOT DISTINCT FROM g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, best.l * 1000 // best.p AS exponent_milli,
+  sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM words w LEFT JOIN summed s ON w.doc_id IS NOT DISTINCT FROM s.doc_id LEFT JOIN kept k ON w.doc_id IS NOT DISTINCT FROM k.doc_id""",
 }

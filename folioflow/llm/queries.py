@@ -136,6 +136,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    out = score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the ids divisible by 100; where an id is divisible by 7, its label is the next one of ten."""
     from .negatives import mine_negatives
@@ -145,7 +153,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_benchmark_decontamination, op4_chat_formatting, op5_media_fingerprints, op6_line_dedup, op7_substring_dedup, op8_url_filter, op9_best_fit_packing, op10_ngram_jaccard_join, op11_periodic_runs, op13_hard_negatives)
+    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_benchmark_decontamination, op4_chat_formatting, op5_media_fingerprints, op6_line_dedup, op7_substring_dedup, op8_url_filter, op9_best_fit_packing, op10_ngram_jaccard_join, op11_periodic_runs, op12_lm_scoring, op13_hard_negatives)
 }
 
 ORACLES: dict[str, str] = {

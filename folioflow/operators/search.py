@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import page_acl
+from .tables import written
 
 WORD = r"[^\p{L}\p{N}]+"
 MANY = 1_000_000  # the rank of what is in no keyword list
@@ -41,29 +43,111 @@ def repeats_weight(tf: Column) -> Column:
     return F.when(tf <= 50, F.element_at(sums, F.least(tf, F.lit(50)))).otherwise(F.lit(np.pi**2 / 6) - tail)
 
 
-def keyword_score(tf: Column, n_terms: Column) -> Column:
-    """Of one matched term: (1 / distinct query terms) * `repeats_weight`."""
-    return repeats_weight(tf) / n_terms
+def postings_index(postings: DataFrame, chunks: DataFrame, size: int = 512) -> DataFrame:
+    """The inverted index of ``chunks`` in parts of about ``size`` of them (by hashed id): (part, chunks, terms), where chunks has
+    the columns of ``chunks``, by id, and terms, by term, has the term's greatest weight in the part, its chunks' places and their weights.
 
-
-def keyword_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, visible: Column | None = None, k: int = 75, stop: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, chunk_id, page_id, score, rank): chunks with any of the query's terms, filtered by ``visible`` (over
-    columns of queries and chunks) before the cut at ``k`` rows, by score, then page, then chunk.
-
-    A matched term counts (1 / distinct query terms) * `repeats_weight`, so more and repeated matches score higher. Weights
-    are made once a posting, before queries meet them; scores are sums of whole billionths, so they don't depend on the order
-    of adding. The first ``k`` of each task are cut before the shuffle by query.
+    A frequent term lies in all parts, and each part is a row of bounded size. Weights (`repeats_weight`) are made here, once a posting.
+    """
+    parts = max(1, -(-chunks.count() // size))
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).alias("part")
+    have = chunks.select(part, "*").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("chunk_id", *(c for c in chunks.columns if c != "chunk_id")))).alias("chunks"))
+    each = postings.select(part, "term", "chunk_id", repeats_weight(F.col("tf")).alias("w")).groupBy("part", "term").agg(F.max("w").alias("most"), F.array_sort(F.collect_list(F.struct("chunk_id", "w"))).alias("p"))
+    terms = each.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("term", "most", F.col("p.chunk_id").alias("ids"), F.col("p.w").alias("weights")))).alias("terms"))
+    return have.join(terms, "part")
+
+
+class _Part:
+    """A part of the index: chunks as a table and each term's (greatest weight, places, weights)."""
+
+    def __init__(self, chunks: pa.Array, terms: pa.Array):
+        flat = chunks.flatten() if isinstance(chunks, pa.ListArray) else chunks
+        self.chunks = pa.Table.from_arrays(flat.flatten(), names=[f.name for f in flat.type])
+        self.ids = self.chunks.column("chunk_id").to_numpy()
+        self.pages = self.chunks.column("page_id").to_numpy()
+        names, most, ids, weights = (terms.field(i) for i in range(4))
+        ends, flat_ids, flat_w = ids.offsets.to_numpy(), ids.values.to_numpy(), weights.values.to_numpy()
+        places = np.searchsorted(self.ids, flat_ids)
+        known = self.ids[np.minimum(places, len(self.ids) - 1)] == flat_ids  # postings of other chunks don't count
+        self.terms = {}
+        for t, m, i, j in zip(names.to_pylist(), most.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            ok = known[i:j]
+            self.terms[t] = (m, places[i:j][ok], flat_w[i:j][ok])
+
+    def scores(self, asked: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores in billionths) of the chunks that may score ``least`` or more. Terms go from the greatest bound to the smallest; once
+        those that are left can't lift a chunk to ``least``, only chunks that are met already get their weights."""
+        n = len(asked)
+        held = sorted(((round(h[0] / n * 1e9), h) for t in asked if (h := self.terms.get(t))), key=lambda x: -x[0])
+        rest = sum(b for b, _ in held)
+        if not held or rest < least:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total, met = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), bool)
+        for bound, (_, places, weights) in held:
+            part = np.rint(weights / n * 1e9).astype(np.int64)
+            if rest < least:  # a chunk without any of the terms before can't come so far
+                old = met[places]
+                places, part = places[old], part[old]
+            total[places] += part
+            met[places] = True
+            rest -= bound
+            if least > 0 and rest > 0:
+                met &= total + rest >= least
+        places = np.flatnonzero(met & (total >= least))
+        return places, total[places]
+
+
+def keyword_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, stop: tuple[str, ...] = (), block: int = 4096, size: int = 512) -> DataFrame:
+    """(query_id, chunk_id, page_id, score, rank): the first ``k`` chunks with any of the query's terms, by score, then page, then chunk.
+    See `search_index`; the index is made and written here."""
+    return search_index(queries, written(postings_index(postings, chunks, size), "postings"), visible, k, stop, block)
+
+
+def search_index(queries: DataFrame, index: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, stop: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+    """(query_id, chunk_id, page_id, score, rank) from a `postings_index`.
+
+    A matched term counts (1 / distinct query terms) * `repeats_weight`, in whole billionths, so scores don't depend on the order of adding.
+    ``visible`` gives a matrix of what each query may see of a part's chunks, before the cut at ``k``. Blocks of about ``block`` queries are
+    broadcast; a task goes through its parts and holds each query's ``k`` best so far, whose last score is what a chunk must reach:
+    parts and postings whose bounds fall short are skipped. Only these ``k`` rows a query and task are shuffled. Exact.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text"), stop))).alias("term"))
-    asked = asked.join(asked.groupBy("query_id").agg(F.count("*").alias("n_terms")), "query_id")
-    weighed = postings.select("chunk_id", "term", repeats_weight(F.col("tf")).alias("w"))
-    part = F.round(F.col("w") / F.col("n_terms") * F.lit(1e9)).cast("long")
-    scored = weighed.join(asked, "term").groupBy("query_id", "chunk_id").agg((F.sum(part) / F.lit(1e9)).alias("score"))
-    found = scored.join(chunks, "chunk_id")
-    if visible is not None:
-        found = found.join(queries.drop("text"), "query_id").where(visible)
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id", "chunk_id"))
-    return found.select("query_id", "chunk_id", "page_id", "score").withColumn("rank", nth).where(F.col("rank") <= k)
+    spark, nth = index.sparkSession, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id", "chunk_id"))
+    asked = queries.withColumn("_terms", F.array_distinct(terms_of(F.col("text"), stop))).where(F.size("_terms") > 0).drop("text")
+    blocks = max(1, -(-queries.count() // block))
+    schema = "query_id long, chunk_id long, page_id long, score double"
+    out = spark.createDataFrame([], schema)
+    for at in range(blocks):  # the driver holds one block at a time
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).toPandas()
+        if not len(mine):
+            continue
+        held = spark.sparkContext.broadcast(mine)
+
+        def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            mine = held.value
+            best: list[tuple] = [(np.zeros(0, np.int64),) * 3 for _ in range(len(mine))]  # scores, pages, chunks
+            least = [0] * len(mine)
+            for b in batches:
+                for i in range(b.num_rows):
+                    part = _Part(b.column("chunks")[i].values, b.column("terms")[i].values)
+                    see = visible(mine, part.chunks.to_pandas()) if visible is not None else None
+                    for q, terms in enumerate(mine["_terms"]):
+                        places, score = part.scores(list(terms), least[q])
+                        if see is not None:
+                            places, score = places[see[q][places]], score[see[q][places]]
+                        if not len(places):
+                            continue
+                        s, p, c = (np.concatenate(x) for x in zip(best[q], (score, part.pages[places], part.ids[places]), strict=True))
+                        first = np.lexsort((c, p, -s))[:k]
+                        best[q] = s[first], p[first], c[first]
+                        if len(first) == k:
+                            least[q] = int(s[first[-1]])
+            n = [len(x[0]) for x in best]
+            if sum(n):
+                s, p, c = (np.concatenate(x) for x in zip(*best, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine["query_id"].to_numpy(), n), pa.int64()), pa.array(c, pa.int64()), pa.array(p, pa.int64()), pa.array(s / 1e9)], ["query_id", "chunk_id", "page_id", "score"])
+
+        out = out.unionByName(index.select("chunks", "terms").mapInArrow(find, schema))
+    return out.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, block: int = 4096) -> DataFrame:

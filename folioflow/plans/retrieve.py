@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compose_retrieval, rerank_text
@@ -18,7 +18,7 @@ from ..operators.tables import written
 
 
 def _may_see(queries: pd.DataFrame, chunks: pd.DataFrame) -> np.ndarray:
-    """The guards of ``visible`` for a matrix of queries and chunks; both sides have few distinct values."""
+    """Whether a chunk may be found by each query, by source, scope and space trust; unknown means no. Both sides have few distinct values."""
     source = chunks["source_id"].to_numpy()
     tags = [frozenset(t) if t is not None else frozenset() for t in chunks["tags"]]
     kinds = {t: k for k, t in enumerate(dict.fromkeys(tags))}
@@ -33,11 +33,6 @@ def _may_see(queries: pd.DataFrame, chunks: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def visible() -> Column:
-    """Whether a chunk may be found by its query: source, scope and space trust; unknown means no."""
-    return V.source_guard(F.col("sources")) & V.scope_guard(F.col("scopes")) & (F.col("space_trust").isNull() | F.coalesce(F.col("space_id") == F.col("space_trust"), F.lit(False)))
-
-
 def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, registry: DataFrame, restrictions: DataFrame, k: int = 75, depth: int = 75, top: int = 5, scorer: Callable | None = None) -> DataFrame:
     """(query_id, page_id, chunk_id, rank, score) of the ``top`` pages of each query.
 
@@ -48,7 +43,7 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame,
     live = chunks.where(V.base_filter())
     meta = live.select("chunk_id", "page_id", "space_id", "source_id", "tags")
     asked = queries.select("query_id", "text", "space_trust", "sources", "scopes")
-    words = R.dedupe_ranked(R.keyword_search(asked, postings, meta, visible(), k))
+    words = R.dedupe_ranked(R.keyword_search(asked, postings, meta, _may_see, k))
     vectors = live.select("chunk_id", "page_id", "space_id", "source_id", "tags", "embedding")
     near = R.dedupe_ranked(R.dense_search(queries.select("query_id", "vec", "space_trust", "sources", "scopes"), vectors, _may_see, k))
     ranked = R.fused_order(R.rrf_fuse({"keyword": words, "dense": near}))

@@ -54,6 +54,48 @@ def test_keyword_order(spark):
     assert [r.page_id for r in got] == [3, 1, 2]
 
 
+def keyword_cases(seed, n=700):
+    rng = np.random.default_rng(seed)
+    words, share = [f"t{i}" for i in range(60)], 1 / np.arange(1, 61) ** 1.2
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40), p=share / share.sum())) for _ in range(n)]
+    asked = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(25)] + ["nowhere", ""]
+    return texts, asked
+
+
+@pytest.mark.parametrize(("seed", "k", "size"), [(1, 10, 32), (2, 3, 700), (3, 75, 1)])
+def test_keyword_search_skips_only_what_cannot_be_first(spark, seed, k, size):
+    texts, asked = keyword_cases(seed, 120 if size == 1 else 700)
+    docs = spark.createDataFrame([(i, i // 2, t, i % 3) for i, t in enumerate(texts)], "chunk_id long, page_id long, text string, space long")
+    q = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(asked)], "query_id long, text string, space long")
+    see = lambda a, b: a["space"].to_numpy()[:, None] != b["space"].to_numpy()[None, :]
+    postings = R.chunk_terms(docs, ("chunk_id",), F.col("text"))
+    got = R.keyword_search(q, postings, docs.where("chunk_id % 7 > 0").drop("text"), see, k=k, block=10, size=size).collect()
+    want = []
+    for i, t in enumerate(asked):
+        terms = set(t.split())
+        scored = []
+        for c, text in enumerate(texts):
+            tf = {x: text.split().count(x) for x in terms}
+            if c % 7 and c % 3 != i % 3 and any(tf.values()):
+                scored.append((-sum(round(sum(1 / j**2 for j in range(1, n + 1)) / len(terms) * 1e9) for n in tf.values() if n), c // 2, c))
+        want += [(i, c, p, round(-s / 1e9, 6), r) for r, (s, p, c) in enumerate(sorted(scored)[:k], 1)]
+    assert sorted((r.query_id, r.chunk_id, r.page_id, round(r.score, 6), r["rank"]) for r in got) == sorted(want)
+
+
+def test_bounds_skip_postings_and_parts(spark):
+    """The index holds few postings of a part to count once the first ones are known."""
+    texts, _ = keyword_cases(5)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "chunk_id long, page_id long, text string")
+    rows = R.postings_index(R.chunk_terms(docs, ("chunk_id",), F.col("text")), docs.drop("text"), 700).toArrow()
+    part = R._Part(rows.column("chunks").chunk(0)[0].values, rows.column("terms").chunk(0)[0].values)
+    asked = ["t0", "t1", "t50"]
+    places, score = part.scores(asked, 0)
+    top = int(np.sort(score)[-5])
+    few, high = part.scores(asked, top)
+    assert len(places) > 10 * len(few) and sorted(high.tolist()) == sorted(s for s in score.tolist() if s >= top)
+    assert len(part.scores(asked, 10**12)[0]) == 0
+
+
 def test_dense_search_is_exact_with_ties_and_filters(spark):
     rng = np.random.default_rng(1)
     v = np.repeat(rng.normal(size=(40, 8)), 3, axis=0)
@@ -177,7 +219,7 @@ def test_isolation_check_finds_leaking_guards(spark, monkeypatch):
 
 def test_keyword_score_sums_to_the_last_repeat(spark):
     tfs = [1, 2, 49, 50, 51, 52, 75, 500, 20_000]
-    got = {r.tf: r.s for r in spark.createDataFrame([(t,) for t in tfs], "tf int").select("tf", R.keyword_score(F.col("tf"), F.lit(2)).alias("s")).collect()}
+    got = {r.tf: r.s for r in spark.createDataFrame([(t,) for t in tfs], "tf int").select("tf", (R.repeats_weight(F.col("tf")) / 2).alias("s")).collect()}
     for t in tfs:
         assert got[t] == pytest.approx(sum(1 / j**2 for j in range(t, 0, -1)) / 2, abs=1e-12)
     chunks = spark.createDataFrame([(1, 1, "word " * 60), (2, 2, "word " * 400), (3, 3, "word " * 50)], "chunk_id long, page_id long, text string")

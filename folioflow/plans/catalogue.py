@@ -577,14 +577,20 @@ def requests_in_order(spark, d):
     return N.request_order(asked).select("idempotency_key", "priority", "event_id", "position")
 
 
+def _few(spark):
+    """A session for a stream's keyed state: as many partitions as cores, not as many as large shuffles have."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(min(spark.sparkContext.defaultParallelism, 64)))
+    return own
+
+
 @query(f"WITH {I.EVENTS}, {_KEYS} SELECT idempotency_key, priority, event_id FROM first")
 def stream_ingest_events(spark, d):
-    """The same requests from a stream of deliveries, each batch with a ledger of what came before."""
+    """The same requests from a stream of deliveries in several batches; what came before is keyed state."""
     path, ledger, made, check = (new_path(spark, x) for x in ("deliveries", "ledger", "requests", "checkpoint"))
     raw = I.raw_events(spark, d)
     raw.write.parquet(path)
-    stream = spark.readStream.schema(raw.schema).parquet(path)
-    J.stream_ingest_events(stream, ledger, made, check, schema_version=1, service_account="u1").trigger(availableNow=True).start().awaitTermination()
+    J.ingest_events(_few(spark).readStream.schema(raw.schema).parquet(path), ledger, made, check, schema_version=1, service_account="u1")
     return spark.read.parquet(made).select("idempotency_key", F.col("priority").cast("int").alias("priority"), "event_id")
 
 
@@ -592,14 +598,29 @@ def stream_ingest_events(spark, d):
 SELECT event_id, page_id, cf_version FROM k UNION ALL SELECT event_id, page_id, cf_version FROM parsed WHERE event_type = 'page_trashed'""")
 def stream_latest_page(spark, d):
     """Deliveries as a stream to the events that apply: deletions and each page's newest version."""
-    path, state, out, check = (new_path(spark, x) for x in ("events", "state", "applied", "checkpoint"))
+    path, out, check = (new_path(spark, x) for x in ("events", "applied", "checkpoint"))
     events = N.parse_events(I.raw_events(spark, d)).drop("payload")
     events.write.parquet(path)
-    keep = lambda df, n: df.select("event_id", "page_id", "cf_version").write.mode("overwrite").parquet(f"{out}/batch_id={n}")
-    J.stream_latest_page(spark.readStream.schema(events.schema).parquet(path), state, check, keep).trigger(availableNow=True).start().awaitTermination()
+    J.stream_latest_page(_few(spark).readStream.schema(events.schema).parquet(path), out, check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("event_id", "page_id", "cf_version")
 
 
+@query(r"""
+WITH v AS (SELECT doc_id // 5 AS page_id, doc_id % 5 AS cf_version, CASE WHEN doc_id % 5 = 4 AND doc_id // 5 % 7 = 0 THEN 'trashed' ELSE 'current' END AS status, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')) AS n FROM documents),
+newest AS (SELECT * FROM v WHERE status = 'trashed' OR n > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY cf_version DESC) = 1)
+SELECT page_id, cf_version, n AS chunks FROM newest WHERE status <> 'trashed'""")
+def stream_versions(spark, d):
+    """Documents as versions of pages, in four batches in no order of versions: lines are chunks; what is active in the end."""
+    path, index, check = (new_path(spark, x) for x in ("pages", "index", "checkpoint"))
+    status = "CASE WHEN doc_id % 5 = 4 AND doc_id div 5 % 7 = 0 THEN 'trashed' ELSE 'current' END AS status"
+    pages = I.table(spark, d, "documents").selectExpr("doc_id div 5 AS page_id", "doc_id % 5 AS cf_version", status, "text")
+    pages.repartition(4).write.parquet(path)
+    lines = lambda df: df.select("page_id", "cf_version", F.posexplode(F.split("text", "\n")).alias("seq", "line")).where("line <> ''")
+    source = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    J.stream_versions(source, check, lines, index, 16).trigger(availableNow=True).start().awaitTermination()
+    return J.active_chunks(spark, index).groupBy("page_id", "cf_version").agg(F.count("*").alias("chunks"))
+
+
 @query(f"""WITH {I.EVENTS}, t AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY cf_version DESC, event_timestamp DESC, event_id DESC) = 1)
 SELECT page_id, cf_version, event_id FROM t WHERE cf_version > page_id % 120""")
 def latest_version(spark, d):

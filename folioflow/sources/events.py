@@ -50,17 +50,20 @@ def with_hash(events: DataFrame) -> DataFrame:
     return events.withColumn("payload_hash", event_payload_hash(*(F.col(c) for c in ("event_type", "page_id", "cf_version", "space_id", "status")), F.col("event_timestamp").cast("string"), F.col("delivery_id")))
 
 
+def dedup_key() -> Column:
+    """What makes a delivery one that came before: the delivery id, or the payload's hash (which covers the delivery id) where there is none."""
+    return F.coalesce(F.concat(F.lit("d:"), F.col("delivery_id")), F.concat(F.lit("h:"), F.col("payload_hash")))
+
+
 def idempotent_insert(events: DataFrame, ledger: DataFrame | None = None, order: tuple[str, ...] = ("received_at", "event_id")) -> DataFrame:
-    """The events whose payload hash and delivery id are new, the first of each. The hash covers the delivery id, so one
-    key (the delivery id, or the hash where there is none) is exact; a null id is no hot key. One aggregate, no self-join."""
-    key = F.coalesce(F.concat(F.lit("d:"), F.col("delivery_id")), F.concat(F.lit("h:"), F.col("payload_hash")))
-    new = events.groupBy(key.alias("dedup_key")).agg(F.min_by(F.struct(*(F.col(c) for c in events.columns)), F.struct(*order)).alias("first")).select("first.*", "dedup_key")
-    return new if ledger is None else new.join(ledger.select(key.alias("dedup_key")), "dedup_key", "left_anti")
+    """The events whose payload hash and delivery id are new, the first of each. One key is exact (`dedup_key`); a null id is
+    no hot key. One aggregate, no self-join."""
+    new = events.groupBy(dedup_key().alias("dedup_key")).agg(F.min_by(F.struct(*(F.col(c) for c in events.columns)), F.struct(*order)).alias("first")).select("first.*", "dedup_key")
+    return new if ledger is None else new.join(ledger.select(dedup_key().alias("dedup_key")), "dedup_key", "left_anti")
 
 
-def requests(events: DataFrame, schema_version: int, present: DataFrame | None = None) -> DataFrame:
-    """(idempotency_key, request_type, page_id, space_id, version, priority, event_id): what events ask for, the first (by
-    event id) of each key that isn't in ``present``."""
+def requested(events: DataFrame, schema_version: int) -> DataFrame:
+    """(idempotency_key, request_type, page_id, space_id, version, priority, event_id): what each event asks for; keys may repeat."""
     is_space, is_delete = F.col("event_type").isin(*SPACE_EVENTS), F.col("event_type").isin(*DELETE_EVENTS)
     kind = F.when(is_space, "reconcile_space").when(is_delete, "delete_page").otherwise("sync_page")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
@@ -69,8 +72,13 @@ def requests(events: DataFrame, schema_version: int, present: DataFrame | None =
         .when(is_delete, F.concat_ws(":", kind, text("page_id"), "event_type"))
         .otherwise(F.concat_ws(":", kind, text("page_id"), "event_type", F.coalesce(F.col("cf_version").cast("string"), F.lit("na")), F.lit(str(schema_version))))
     )
-    asked = events.where("not self_generated").select(key.alias("idempotency_key"), kind.alias("request_type"), "page_id", "space_id", F.col("cf_version").alias("version"), F.when(is_delete, 50).otherwise(100).alias("priority"), "event_id")
-    first = asked.groupBy("idempotency_key").agg(F.min_by(F.struct("request_type", "page_id", "space_id", "version", "priority", "event_id"), "event_id").alias("r")).select("idempotency_key", "r.*")
+    return events.where("not self_generated").select(key.alias("idempotency_key"), kind.alias("request_type"), "page_id", "space_id", F.col("cf_version").alias("version"), F.when(is_delete, 50).otherwise(100).alias("priority"), "event_id")
+
+
+def requests(events: DataFrame, schema_version: int, present: DataFrame | None = None) -> DataFrame:
+    """(idempotency_key, request_type, page_id, space_id, version, priority, event_id): what events ask for, the first (by
+    event id) of each key that isn't in ``present``."""
+    first = requested(events, schema_version).groupBy("idempotency_key").agg(F.min_by(F.struct("request_type", "page_id", "space_id", "version", "priority", "event_id"), "event_id").alias("r")).select("idempotency_key", "r.*")
     return first if present is None else first.join(present.select("idempotency_key"), "idempotency_key", "left_anti")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -142,3 +142,39 @@ def stream_rate_limit(hits: DataFrame, most: int = 20, seconds: int = 60, forget
 
 def stream_ttl_replay(asks: DataFrame, seconds: int = 300) -> DataFrame:
     return asks.groupBy("key").transformWithStateInPandas(Replayer(seconds), "key string, hit_id long, ts timestamp, replayed boolean", "Append", "ProcessingTime")
+
+
+# --- keyed state of event streams -------------------------------------------------------------------
+
+ARRIVED = "folioflow_arrived"
+
+
+def _arriving(stream: DataFrame) -> DataFrame:
+    """``stream`` with the time of its micro-batch, which is the same for all rows of a batch (also if it is repeated) and for no other. The session
+    of ``stream`` gets the RocksDB state store, so that state needn't fit into memory."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream.withColumn(ARRIVED, F.current_timestamp())
+
+
+def first_of_key(stream: DataFrame, key: Column, order: tuple[str, ...]) -> DataFrame:
+    """The rows of ``stream`` whose key never came before, of those that come together the first by ``order``; for output mode update.
+
+    A key's state is its first row and when its first and last rows came: while these are one batch, the key is new. A batch looks
+    up its own keys alone, in built-in aggregates, so its work doesn't grow with what came before.
+    """
+    rows = _arriving(stream)
+    row = F.struct(*(F.col(c) for c in stream.columns))
+    held = rows.groupBy(key.alias("folioflow_key")).agg(F.min_by(row, F.struct(ARRIVED, *order)).alias("first"), F.min(ARRIVED).alias("since"), F.max(ARRIVED).alias("last"))
+    return held.where("since = last").select("first.*")
+
+
+def newer_versions(events: DataFrame, gone: Column) -> DataFrame:
+    """The events that apply, for output mode update: deletions (``gone``), and of each page the newest version if it is newer than all before; ties
+    within a batch by time, then event id. State is one row a page: its newest version, by the batch that had it first."""
+    rows = _arriving(events)
+    row = F.struct(*(F.col(c) for c in events.columns), ARRIVED)
+    live = rows.where(~F.coalesce(gone, F.lit(False)) & F.col("cf_version").isNotNull())
+    order = F.struct(F.col("cf_version"), (-F.unix_micros(ARRIVED)).alias("early"), F.col("event_timestamp"), F.col("event_id"))
+    held = live.groupBy("page_id").agg(F.max_by(row, order).alias("newest"), F.max(ARRIVED).alias("last"))
+    newest = held.where(F.col(f"newest.{ARRIVED}") == F.col("last")).select("newest.*").drop(ARRIVED)
+    return events.where(gone).unionByName(newest)

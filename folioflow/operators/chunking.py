@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chunk_keys
 from ..functions.text import CHARS_PER_TOKEN, token_count
+from .tables import new_path
 
 
 def tokens_of(words: int, chars: int) -> int:
@@ -134,13 +135,44 @@ def embed_texts(rows: DataFrame, embedder: Callable[[list[str]], list], text_col
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b[text_col].fillna("").tolist()
-            yield b.assign(embedding=[list(map(float, v)) for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])])
+            for i in range(0, len(b), batch):  # what Python holds of long texts and vectors stays small
+                part = b.iloc[i : i + batch]
+                yield part.assign(embedding=[list(map(float, v)) for v in embedder(part[text_col].fillna("").tolist())])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(embed, f"{schema}, embedding array<float>")
 
 
+def embed_once(rows: DataFrame, embedder: Callable[[list[str]], list], store: str, text_col: str = "text", batch: int = 128, slices: int = 16) -> DataFrame:
+    """`embed_texts`, where each distinct text is embedded once and for all: its vector goes to the table ``store`` under the text's hash, and what is there
+    already isn't embedded again. Texts are dealt to ``slices`` by their hash, and a slice is committed as a whole, so a
+    job that was interrupted goes on with the slices that are missing. One embedder a store: its name and version belong into the path."""
+    spark = rows.sparkSession
+    key = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
+    asked = rows.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("key").agg(F.any_value("text").alias("text"))
+    have = _vectors(spark, store)
+    if have is not None:
+        asked = asked.join(have.select("key"), "key", "left_anti")
+    number = F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")
+    todo = new_path(spark, "unembedded")
+    asked.withColumn("slice", number).write.partitionBy("slice").parquet(todo)
+    waiting = spark.read.schema("key string, text string, slice int").parquet(todo)
+    for n in sorted(r[0] for r in waiting.select("slice").distinct().collect()):
+        embed_texts(waiting.where(F.col("slice") == n).select("key", "text"), embedder, "text", batch).select("key", "embedding").write.mode("append").parquet(f"{store}/slice={n}")
+    have = _vectors(spark, store)
+    if have is None:
+        return rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+    return rows.withColumn("_folioflow_key", key).join(have.select(F.col("key").alias("_folioflow_key"), "embedding"), "_folioflow_key").drop("_folioflow_key")
+
+
+def _vectors(spark: SparkSession, store: str) -> DataFrame | None:
+    """The table of texts' vectors, or none where no slice is there yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    done = fs.exists(path) and any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS")) for s in fs.listStatus(path))
+    return spark.read.schema("key string, embedding array<float>, slice int").parquet(store) if done else None
+
+
 def hash_embedder(dim: int = 64) -> Callable[[list[str]], list]:
     """Unit vectors that depend on the text's SHA-256 alone."""
     import hashlib

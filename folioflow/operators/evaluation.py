@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import dedupe_ranked
+from .tables import written
 
 #: Seconds. Fixed values.
 TARGETS = {"ttft_p50": 1.5, "ttft_p95": 2.5, "e2e_p95": 10.0, "retrieval_p95": 1.5}
@@ -52,12 +53,37 @@ def rerank_lift(cases: DataFrame, before: DataFrame, after: DataFrame, relevant:
     return out.select("metric", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round(F.col("after") - F.col("before"), 6).alias("delta"))
 
 
+def exact_percentiles(samples: DataFrame, by: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """(by, n, p array<double>): interpolated percentiles of each group, exact at any size of a group.
+
+    Equal values are counted first. What is left is dealt by ranges of (group, value) and written; each range sums up its counts
+    alone and is moved by the counts of the ranges before it, so a value's ranks are known without any task that has seen a group as a whole. Of each
+    group only the values at the asked ranks are taken. Values that are null don't count.
+    """
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    counts = written(samples.where(F.col(value).isNotNull()).groupBy(group.alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")), "values")
+    ranges = written(counts.repartitionByRange("g", "v").withColumn("range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("g", "range").agg(F.sum("c").alias("c"))  # a row for each group and the ranges it lies in
+    whole = Window.partitionBy("g")
+    sums = sums.select(F.col("g").alias("of"), F.col("range").alias("r"), (F.sum("c").over(whole.orderBy("range")) - F.col("c")).alias("before"), F.sum("c").over(whole).alias("n"))
+    within = F.sum("c").over(Window.partitionBy("g", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranges.select("*", within.alias("upto")).join(sums, (F.col("range") == F.col("r")) & F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "n", (F.col("before") + F.col("upto")).alias("last"), "c")
+    holds = lambda rank: F.max(F.when((rank >= F.col("last") - F.col("c")) & (rank < F.col("last")), F.col("v")))
+    place = lambda q: F.lit(q) * (F.col("n") - 1)
+    picked = ranked.groupBy("g").agg(F.first("n").alias("n"), *(holds(f(place(q)).cast("long")).alias(f"{name}{i}") for i, q in enumerate(at) for name, f in (("low", F.floor), ("high", F.ceil))))
+    between = lambda i, q: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (place(q) - F.floor(place(q)))
+    return picked.select(*(F.col(f"g.{c}").alias(c) for c in by), "n", F.array(*(between(i, q) for i, q in enumerate(at))).alias("p"))
+
+
 def latency_summary(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Count, least, most, mean and interpolated p50, p95 and p99 of each group. ``percentile`` counts equal values before
-    the shuffle, so its state grows with the distinct values of a group."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = samples.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"), p.alias("p"))
-    return out.select(*by, "n", "least", "most", "mean", *(F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p50", "p95", "p99"))))
+    """Count, least, most, mean and interpolated p50, p95 and p99 of each group; see `exact_percentiles`."""
+    rest = samples.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"))
+    rest = rest.select(*(F.col(c).alias(f"_{c}") for c in by), "least", "most", "mean")
+    p = exact_percentiles(samples, by, value, (0.5, 0.95, 0.99))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return p.join(rest if by else F.broadcast(rest), same).select(*by, "n", "least", "most", "mean", *(F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p50", "p95", "p99"))))
 
 
 def check_targets(measured: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -46,6 +46,21 @@ def scope_guard(scopes: Column) -> Column:
     return _false(F.array_contains(scopes, F.lit(ANY_SCOPE))) | untagged | _false(F.arrays_overlap(F.col("tags"), scopes))
 
 
+def visibility_cube(chunks: DataFrame) -> DataFrame:
+    """(source_id, space_id, tags, chunks, untagged, ids): active chunks of current pages by all that the guards look at: their number, how many have no
+    tag, and the sum of their ids. As many rows as there are kinds of access, whatever the number of chunks."""
+    tags = F.array_sort(F.array_distinct("tags")).alias("tags")
+    return chunks.where(base_filter()).groupBy("source_id", "space_id", tags).agg(F.count("*").alias("chunks"), F.count_if(F.size("tags") == 0).alias("untagged"), F.sum("chunk_id").alias("ids"))
+
+
+def visible_counts(questions: DataFrame, cube: DataFrame, key: str) -> DataFrame:
+    """(key, chunks, untagged, ids) of what each question (key, space, sources, scopes) may see, from a `visibility_cube`. The source guard is an
+    equality, so it is what joins; the other guards are looked at once for each kind of access, not for each chunk."""
+    asked = questions.select(key, "space", "sources", "scopes", F.explode(F.array_distinct("sources")).alias("source_id"))
+    seen = cube.join(asked, "source_id").where((F.col("space").isNull() | _false(F.col("space_id") == F.col("space"))) & source_guard(F.col("sources")) & scope_guard(F.col("scopes")))
+    return seen.groupBy(key).agg(*(F.sum(c).alias(c) for c in ("chunks", "untagged", "ids")))
+
+
 def classify_scope(scope: Column) -> tuple[Column, Column]:
     """(space id, principal): digits alone are a space's trust, anything else a principal; null stays null."""
     digits = scope.rlike("^[0-9]+$")

@@ -6,25 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import filters as V
-from .tables import written
+from .tables import discard, written
 
 
 def subtree_coverage(pages: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_type, root_id, page_id): for a space root all live pages of the space, for a page root the page and all that
-    hang below it by parent_id; nothing for a page that isn't live. Cycles end, as pages met are not met again.
+    hang below it by parent_id; nothing for a page that isn't live. Cycles end: a page below itself is met once.
 
-    One join for each level of the tree; each level is written, so the lineage stays short and executors may be lost.
+    By pointer doubling: after k rounds each page knows its ancestor 2^k levels up, and the roots that are nearer than that; a round
+    takes the roots which that ancestor knows. So a tree of depth d takes log2(d) rounds, and log2(pages) end any cycle. Each round is
+    written, so the lineage stays short and executors may be lost.
     """
     live, roots = pages.select("page_id", "parent_id", "space_id"), roots.select("root_type", "root_id").distinct()
     spaces = roots.where("root_type = 'space'").join(live, F.col("root_id") == F.col("space_id")).select("root_type", "root_id", "page_id")
-    frontier = roots.where("root_type = 'page'").join(live, F.col("root_id") == F.col("page_id")).select("root_type", "root_id", "page_id").distinct()
-    seen = frontier = written(frontier, "level")
-    edges = live.where("parent_id is not null").select("parent_id", F.col("page_id").alias("child"))
-    while frontier.limit(1).count():
-        below = frontier.join(edges, F.col("page_id") == F.col("parent_id")).select("root_type", "root_id", F.col("child").alias("page_id")).distinct()
-        frontier = written(below.join(seen, ["root_type", "root_id", "page_id"], "left_anti"), "level")
-        seen = seen.unionByName(frontier)
-    return spaces.distinct().unionByName(seen)
+    known = ["root_type", "root_id", "page_id"]
+    found = written(roots.where("root_type = 'page'").join(live, F.col("root_id") == F.col("page_id")).select(*known).distinct(), "found")
+    there = live.select(F.col("page_id").alias("up")).distinct()
+    jumps = written(live.select("page_id", F.col("parent_id").alias("up")).distinct().join(there, "up").select("page_id", "up"), "jumps")
+    for _ in range(max(1, live.count()).bit_length() + 1):
+        if not jumps.limit(1).count():
+            break
+        above = found.select("root_type", "root_id", F.col("page_id").alias("up"))
+        new = jumps.join(above, "up").select(*known).distinct().join(found, known, "left_anti")
+        further = jumps.select("page_id", F.col("up").alias("via")).join(jumps.select(F.col("page_id").alias("via"), "up"), "via").select("page_id", "up")
+        found, before = found.unionByName(written(new, "found")), jumps
+        jumps = written(further.distinct(), "jumps")
+        discard(before)
+    return spaces.distinct().unionByName(found)
 
 
 def resolve_space_scope(pages: DataFrame, roots: DataFrame) -> DataFrame:

@@ -7,15 +7,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator, Broadcast
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stems import stem, stem_dictionary
 from .filters import page_acl
 from .tables import written
 
 WORD = r"[^\p{L}\p{N}]+"
 MANY = 1_000_000  # the rank of what is in no keyword list
+MOST_STEMS = 1_000_000  # terms that are broadcast with their stems, about 50 MB
 
 
 def terms_of(text: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -28,10 +31,16 @@ def english_stop_words() -> tuple[str, ...]:
     return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 
-def chunk_terms(chunks: DataFrame, id_cols: tuple[str, ...], text: Column, stop: tuple[str, ...] = ()) -> DataFrame:
+def chunk_terms(chunks: DataFrame, id_cols: tuple[str, ...], text: Column, stop: tuple[str, ...] = (), stems: bool = False) -> DataFrame:
     """(ids, term, tf): the postings. Terms are counted within each row first, so what is shuffled is one row for each
-    distinct term of a chunk."""
-    return chunks.select(*id_cols, F.explode(terms_of(text, stop)).alias("term")).groupBy(*id_cols, "term").agg(F.count("*").cast("int").alias("tf"))
+    distinct term of a chunk. With ``stems``, terms are Porter stems: distinct terms are stemmed once and joined back."""
+    counted = chunks.select(*id_cols, F.explode(terms_of(text, stop)).alias("term")).groupBy(*id_cols, "term").agg(F.count("*").cast("int").alias("tf"))
+    if not stems:
+        return counted
+    counted = written(counted, "terms")
+    known = written(stem_dictionary(counted), "stems")
+    known = F.broadcast(known) if known.count() <= MOST_STEMS else known  # beyond, a shuffle by term, in which large keys are split
+    return counted.join(known, "term").groupBy(*id_cols, F.col("stem").alias("term")).agg(F.sum("tf").cast("int").alias("tf"))
 
 
 def repeats_weight(tf: Column) -> Column:
@@ -97,14 +106,14 @@ class _Part:
         return places, total[places]
 
 
-def keyword_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, stop: tuple[str, ...] = (), block: int = 4096, size: int = 512) -> DataFrame:
+def keyword_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, stop: tuple[str, ...] = (), block: int = 4096, size: int = 512, stems: bool = False) -> DataFrame:
     """(query_id, chunk_id, page_id, score, rank): the first ``k`` chunks with any of the query's terms, by score, then page, then chunk.
     See `search_index`; the index is made and written here."""
-    return search_index(queries, written(postings_index(postings, chunks, size), "postings"), visible, k, stop, block)
+    return search_index(queries, written(postings_index(postings, chunks, size), "postings"), visible, k, stop, block, stems)
 
 
-def search_index(queries: DataFrame, index: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, stop: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
-    """(query_id, chunk_id, page_id, score, rank) from a `postings_index`.
+def search_index(queries: DataFrame, index: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, stop: tuple[str, ...] = (), block: int = 4096, stems: bool = False) -> DataFrame:
+    """(query_id, chunk_id, page_id, score, rank) from a `postings_index`; with ``stems``, from one of stems.
 
     A matched term counts (1 / distinct query terms) * `repeats_weight`, in whole billionths, so scores don't depend on the order of adding.
     ``visible`` gives a matrix of what each query may see of a part's chunks, before the cut at ``k``. Blocks of about ``block`` queries are
@@ -120,6 +129,8 @@ def search_index(queries: DataFrame, index: DataFrame, visible: Callable[[pd.Dat
         mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).toPandas()
         if not len(mine):
             continue
+        if stems:
+            mine["_terms"] = [list(dict.fromkeys(map(stem, t))) for t in mine["_terms"]]
         held = spark.sparkContext.broadcast(mine)
 
         def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -150,41 +161,91 @@ def search_index(queries: DataFrame, index: DataFrame, visible: Callable[[pd.Dat
     return out.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, block: int = 4096) -> DataFrame:
+def vector_cells(vectors: DataFrame, cells: int = 256, per_cell: int = 1024) -> tuple[DataFrame, np.ndarray]:
+    """``vectors`` (chunk_id, embedding, ...) that have one, with the nearest of some centres (cell) and the distance to it as unit vectors (far),
+    written cell by cell; and the centres: unit vectors of a sample by hashed id, one for ``per_cell`` rows but ``cells`` at most."""
+    able = vectors.where("embedding is not null")
+    some = able.orderBy(F.xxhash64("chunk_id"), "chunk_id").select("embedding").limit(max(1, min(cells, able.count() // per_cell))).toPandas()
+    if not len(some):
+        return able.withColumns({"cell": F.lit(0), "far": F.lit(0.0)}), np.zeros((0, 0))
+    centres = _unit(np.stack(some["embedding"].map(np.asarray)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                x = _unit(np.stack([np.asarray(v, np.float64) for v in part.column("embedding").to_pylist()]))
+                d = np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * x @ centres.T)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(cell)), cell]))], [*part.schema.names, "cell", "far"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in able.schema.fields)
+    placed = written(able.mapInArrow(place, f"{schema}, cell int, far double"), "placed")
+    return written(placed.repartitionByRange("cell", F.xxhash64("chunk_id")).sortWithinPartitions("cell", "far"), "cells"), centres
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, block: int = 4096, cells: int = 256, per_cell: int = 1024, counter: Accumulator | None = None) -> DataFrame:
     """(query_id, chunk_id, page_id, distance, rank): the ``k`` nearest rows of each query by cosine distance, then page and
-    chunk; ``visible`` gives a matrix of what each query may see of a batch. Exact. Blocks of about ``block`` queries (by hashed id) are
-    broadcast as one matrix; each batch keeps its own ``k`` best, so few rows a query and task are shuffled."""
+    chunk; ``visible`` gives a matrix of what each query may see of a batch. Exact.
+
+    Vectors lie in cells around centres (`vector_cells`). A first pass looks for each query at its nearest cell alone; the distance of the ``k``-th row
+    there is one that it needn't exceed. In the second pass a group of rows of a cell is skipped for the queries to which, by
+    the triangle inequality, all of them are farther. Blocks of about ``block`` queries (by hashed id) are broadcast as one matrix; each task keeps
+    its own ``k`` best, so few rows a query and task are shuffled. ``counter`` gets the number of distances that were computed.
+    """
     spark = vectors.sparkSession
+    placed, centres = vector_cells(vectors, cells, per_cell)
     blocks = max(1, -(-queries.count() // block))
     schema = "query_id long, chunk_id long, page_id long, distance double"
     out = spark.createDataFrame([], schema)
-    for at in range(blocks):  # the driver holds one block at a time
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "page_id", "chunk_id"))
+    for at in range(blocks if len(centres) else 0):  # the driver holds one block at a time
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).toPandas()
         if not len(part):
             continue
-        held = spark.sparkContext.broadcast((part, _unit(np.stack(part["vec"].map(np.asarray)))))
-
-        def near(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            mine, q = held.value
-            best = None
-            for b in batches:
-                b = b[b["embedding"].notna()].reset_index(drop=True)
-                if not len(b):
-                    continue
-                d = np.round(1 - q @ _unit(np.stack(b["embedding"].map(np.asarray))).T, 9)
-                if visible is not None:
-                    d[~visible(mine, b)] = np.inf
-                top = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-                edge = np.take_along_axis(d, top, axis=1).max(axis=1)
-                i, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))  # ties of the last one stay
-                now = pd.DataFrame({"query_id": mine["query_id"].to_numpy()[i], "chunk_id": b["chunk_id"].to_numpy()[j], "page_id": b["page_id"].to_numpy()[j], "distance": d[i, j]})
-                best = now if best is None else pd.concat([best, now])
-                best = best.sort_values(["query_id", "distance", "page_id", "chunk_id"]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        out = out.unionByName(vectors.select("chunk_id", "page_id", "embedding", *[c for c in vectors.columns if c not in ("chunk_id", "page_id", "embedding")]).mapInPandas(near, schema))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "page_id", "chunk_id"))
+        q = _unit(np.stack(part["vec"].map(np.asarray)))
+        to_centres = np.sqrt(np.maximum(0.0, (q * q).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * q @ centres.T))
+        held = spark.sparkContext.broadcast((part, q, to_centres))
+
+        def search(bar: Broadcast | None, held=held) -> Callable:
+            """With ``bar`` (a distance for each query), all cells that may have nearer rows; without, the nearest cell."""
+
+            def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                mine, q, to_centres = held.value
+                most = np.full(len(q), np.inf) if bar is None else bar.value.copy()
+                home = to_centres.argmin(axis=1)
+                best = None
+                for b in batches:
+                    for (cell,), x in b.groupby(["cell"], sort=False):
+                        x = x.reset_index(drop=True)
+                        least = np.maximum(0.0, np.maximum(to_centres[:, cell] - x["far"].max(), x["far"].min() - to_centres[:, cell])) ** 2 / 2 - 1e-8
+                        who = np.flatnonzero((home == cell) if bar is None else (least <= most))
+                        if not len(who):
+                            continue
+                        if counter is not None:
+                            counter.add(len(who) * len(x))
+                        d = np.round(1 - q[who] @ _unit(np.stack(x["embedding"].map(np.asarray))).T, 9)
+                        if visible is not None:
+                            d[~visible(mine.iloc[who].reset_index(drop=True), x)] = np.inf
+                        top = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+                        edge = np.minimum(np.take_along_axis(d, top, axis=1).max(axis=1), most[who])
+                        i, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))  # ties of the last one stay
+                        if not len(i):
+                            continue
+                        now = pd.DataFrame({"query_id": mine["query_id"].to_numpy()[who[i]], "chunk_id": x["chunk_id"].to_numpy()[j], "page_id": x["page_id"].to_numpy()[j], "distance": d[i, j], "_q": who[i]})
+                        best = now if best is None else pd.concat([best, now])
+                        best = best.sort_values(["query_id", "distance", "page_id", "chunk_id"]).groupby("query_id").head(k)
+                        full = best.groupby("_q")["distance"].agg(["size", "max"])
+                        full = full[full["size"] >= k]
+                        most[full.index.to_numpy()] = np.minimum(most[full.index.to_numpy()], full["max"].to_numpy())
+                if best is not None:
+                    yield best.drop(columns="_q")
+
+            return near
+
+        first = placed.mapInPandas(search(None), schema).withColumn("rank", nth).where(F.col("rank") == k).select("query_id", "distance").toPandas()  # a row a query
+        bar = part["query_id"].map(dict(zip(first["query_id"], first["distance"], strict=True))).fillna(np.inf).to_numpy(np.float64)
+        out = out.unionByName(placed.mapInPandas(search(spark.sparkContext.broadcast(bar)), schema))
     return out.withColumn("rank", nth).where(F.col("rank") <= k)
 
 

@@ -299,9 +299,16 @@ def chunk_terms(spark, d):
     return R.chunk_terms(I.table(spark, d, "documents"), ("doc_id",), F.col("text"), ("the", "of", "and"))
 
 
+@query()
+def stemmed_terms(spark, d):
+    """Postings of Porter stems; each distinct term is stemmed once."""
+    return R.chunk_terms(I.table(spark, d, "documents"), ("doc_id",), F.col("text"), ("the", "of", "and"), stems=True)
+
+
 @query()
 def embed_texts(spark, d):
-    rows = K.embed_texts(I.table(spark, d, "documents").select("doc_id", "text"), K.hash_embedder(16))
+    """Each distinct text once, in slices that are kept."""
+    rows = K.embed_once(I.table(spark, d, "documents").select("doc_id", "text"), K.hash_embedder(16), new_path(spark, "vectors"))
     return rows.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
 
 
@@ -325,9 +332,7 @@ SELECT item_id, count(*) AS chunks, count(*) FILTER (len(tags) = 0) AS untagged,
 WHERE is_active AND page_status = 'current' AND (space IS NULL OR space_id = space) AND (coalesce(list_contains(scopes, '*'), false) OR len(tags) = 0 OR coalesce(list_has_any(tags, scopes), false)) GROUP BY item_id""")
 def visible_chunks(spark, d):
     q = I.table(spark, d, "benchmark").selectExpr("item_id", "CASE WHEN item_id % 3 = 0 THEN item_id % 20 END AS space", "CASE WHEN item_id % 4 = 0 THEN cast(array() AS array<string>) ELSE array(concat('src', item_id % 20), concat('src', item_id % 7)) END AS sources", "CASE WHEN item_id % 5 = 0 THEN array('*') WHEN item_id % 5 = 1 THEN NULL WHEN item_id % 5 = 2 THEN cast(array() AS array<string>) ELSE array('en', 'general') END AS scopes")
-    keyed = q.withColumn("source_id", F.explode(F.array_distinct("sources")))  # the guard is an equality: join on it
-    seen = I.chunks(spark, d).join(keyed, "source_id").where(V.base_filter(F.col("space")) & V.source_guard(F.col("sources")) & V.scope_guard(F.col("scopes")))
-    return seen.groupBy("item_id").agg(F.count("*").alias("chunks"), F.count_if(F.size("tags") == 0).alias("untagged"), F.sum("chunk_id").alias("ids"))
+    return V.visible_counts(q, V.visibility_cube(I.chunks(spark, d)), "item_id")
 
 
 @query(r"""

@@ -72,42 +72,42 @@ def filter_bits(n_keys: int, most_bits: int) -> int:
 
 
 class Twice:
-    """Bits of a Bloom filter that holds the keys of one slice of the hashes which two documents (or more) have."""
+    """Bits of a Bloom filter that holds the keys which two documents (or more) have."""
 
-    def __init__(self, bits: int, number: int, slices: int):
-        self.field, self.number, self.slices = np.zeros(bits // 8, np.uint8), number, slices
-
-    def own(self, keys: np.ndarray) -> np.ndarray:
-        """Which uint64 keys are in the slice."""
-        return (keys >> np.uint64(32)) % np.uint64(self.slices) == self.number if self.slices > 1 else np.ones(len(keys), bool)
+    def __init__(self, bits: int):
+        self.field = np.zeros(bits // 8, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        """Which uint64 keys are in the slice and in the filter: all that two documents share and a few others."""
+        """Which uint64 keys are in the filter: all that two documents share and a few others."""
         one, two = _places(keys, len(self.field) * 8)
-        return (_get(self.field, one) & _get(self.field, two)).astype(bool) & self.own(keys)
+        return (_get(self.field, one) & _get(self.field, two)).astype(bool)
+
+
+def _fill(once: np.ndarray, twice: np.ndarray, keys: np.ndarray, again: np.ndarray) -> None:
+    """Distinct keys into both filters: those that the first one has, or that are known to be there ``again``, go to the second one too."""
+    one, two = _places(keys, len(once) * 8)
+    again = again | (_get(once, one) & _get(once, two)).astype(bool)
+    for at in (one, two):
+        _put(once, at)
+        _put(twice, at[again])
 
 
-def slice_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, number: int = 0, slices: int = 1) -> Twice:
-    """The filter of one of ``slices`` slices of the keys.
+def twice_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Twice:
+    """The filter of all keys that two rows share.
 
     ``keys_of`` turns a batch of ``rows`` into one array of distinct uint64 keys for each document. Each task
     fills two filters, for keys seen once and seen twice; of two tasks, the bits that both once-filters have go
     to the twice-filter too, so no shared key is ever missed. Only compressed filter chunks are shuffled.
     """
-    out = Twice(bits, number, slices)
+    out = Twice(bits)
+
     def fill(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches_of(batches):
             each = [k for k in keys_of(batch) if len(k)]
-            if not each:
-                continue
-            keys = np.concatenate(each)
-            keys, n = np.unique(keys[own(keys)], return_counts=True)
-            one, two = _places(keys, bits)
-            again = (n > 1) | (_get(once, one) & _get(once, two)).astype(bool)
-            for at in (one, two):
-                _put(once, at)
-                _put(twice, at[again])
+            if each:
+                keys, n = np.unique(np.concatenate(each), return_counts=True)
+                _fill(once, twice, keys, n > 1)
         for c in range(0, len(once), _CHUNK):
             if (a := once[c : c + _CHUNK]).any():
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([c // _CHUNK], pa.int64()), "once": pa.array([zlib.compress(a.tobytes(), 1)], pa.binary()), "twice": pa.array([zlib.compress(twice[c : c + _CHUNK].tobytes(), 1)], pa.binary())})
@@ -119,33 +119,100 @@ def slice_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
             once, twice = (a.copy(), b.copy()) if twice is None else (once | a, twice | b | (once & a))
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
 
-    own = Twice(8, number, slices).own  # without the field, for the tasks
     got = rows.mapInArrow(fill, "chunk long, once binary, twice binary").groupBy("chunk").applyInPandas(merge, "chunk long, twice binary")
     for row in got.toLocalIterator():  # bits / 8 bytes at most
         out.field[row["chunk"] * _CHUNK : row["chunk"] * _CHUNK + _CHUNK] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
     return out
 
 
+RANGE = 1 << 22  # keys of a range of hashes, which one task filters
+
+
+def shared_keys(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n_keys: int, per_range: int = RANGE) -> DataFrame:
+    """(tag int, keys array<binary>): for rows (with a column ``tag``) the uint64 keys that two of them may share; no shared key is missed.
+
+    Keys are dealt by ranges of their hashes, as many as ``n_keys`` asks for; each range fills a once-seen and a twice-seen filter of its own and
+    answers to the tags of its keys. A key that several rows of a batch have is sent on but once, for the rows of other batches; its own rows are answered
+    from where they are. So a key that very many rows have is no hot range, and nothing is broadcast.
+    """
+    ranges = max(1, -(-n_keys // per_range))
+    names = ["range", "keys", "tags", "sure"]
+
+    def scatter(batches):
+        turn = 0
+        for b in batches_of(batches):
+            each = [np.unique(k) for k in keys_of(b)]
+            tags = np.repeat(b.column("tag").to_numpy(), [len(k) for k in each])
+            if not len(tags):
+                continue
+            keys = np.concatenate(each)
+            order = np.argsort(keys, kind="stable")
+            keys, tags = keys[order], tags[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            many = np.diff(np.append(np.flatnonzero(new), len(keys)))
+            alone = np.repeat(many == 1, many)
+            turn += 1
+            out = [(turn % ranges, keys[~alone], tags[~alone], True)] if not alone.all() else []
+            at = ((keys >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+            for picked, whose in ((alone, tags), (new & ~alone, None)):  # those of one row, and one for all rows of each other key
+                place = at[picked]
+                by = np.argsort(place, kind="stable")
+                edges = np.flatnonzero(np.diff(place[by], prepend=-1))
+                for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True):
+                    out.append((int(place[by[i]]), keys[picked][by[i:j]], whose[picked][by[i:j]] if whose is not None else np.zeros(0, np.int32), False))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary()), pa.array([x[2].astype(np.int32).tobytes() for x in out], pa.binary()), pa.array([x[3] for x in out], pa.bool_())], names)
+
+    def judge(group: pa.Table) -> pa.Table:
+        parts = [(np.frombuffer(k, np.uint64), np.frombuffer(t, np.int32), sure) for k, t, sure in zip(*(group.column(c).to_pylist() for c in names[1:]), strict=True)]
+        bits = filter_bits(sum(len(k) for k, _, sure in parts if not sure), 1 << 30)
+        once, twice = np.zeros(bits // 8, np.uint8), Twice(bits)
+        for k, t, sure in parts:
+            if not sure:
+                _fill(once, twice.field, k, np.full(len(k), len(t) == 0))
+        keys, tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for k, t, sure in parts:
+            if len(t):
+                kept = np.ones(len(k), bool) if sure else twice.has(k)
+                keys.append(k[kept])
+                tags.append(t[kept])
+        keys, tags = np.concatenate(keys), np.concatenate(tags)
+        order = np.argsort(tags, kind="stable")
+        keys, tags = keys[order], tags[order]
+        edges = np.flatnonzero(np.concatenate([[True], tags[1:] != tags[:-1]])) if len(tags) else np.zeros(0, np.int64)
+        return pa.table({"tag": pa.array(tags[edges], pa.int32()), "keys": pa.array([keys[i:j].tobytes() for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True)] if len(edges) else [], pa.binary())})
+
+    dealt = rows.mapInArrow(scatter, "range long, keys binary, tags binary, sure boolean")
+    return dealt.groupBy("range").applyInArrow(judge, "tag int, keys binary").groupBy("tag").agg(F.collect_list("keys").alias("keys"))
+
+
 def map_suspects(rows: DataFrame, filled_from: DataFrame, keys_of: Callable, n_keys: int, suspects: Callable, schema: str, most_bits: int = 1 << 30) -> DataFrame:
     """``suspects(batch, has)`` over the batches of ``rows``, where ``has(keys)`` tells which uint64 keys two documents of
     ``filled_from`` may share.
 
-    The size of a filter is known before it is built: ``most_bits`` (128 MiB by default) is the most that is broadcast
-    at once. Where ``n_keys`` would fill it too far, the hashes are cut into slices, each with a filter and a run over
-    the rows of its own, so the filters let as few keys through at any size of the input.
+    The size of a filter is known before it is built: ``most_bits`` (128 MiB by default) is the most that is broadcast. Where ``n_keys``
+    would fill that too far, the filters are split by ranges of hashes (`shared_keys`), and a row's suspects come back to it by a join. Either way the texts are read
+    a fixed number of times at any size of the input, and as few keys are let through.
     """
     bits = filter_bits(n_keys, most_bits)
-    out = None
-    for number in range(slices := max(1, -(-n_keys * 4 // bits))):
-        held = rows.sparkSession.sparkContext.broadcast(slice_filter(filled_from, keys_of, bits, number, slices))
+    if n_keys * 4 <= bits:
+        held = rows.sparkSession.sparkContext.broadcast(twice_filter(filled_from, keys_of, bits))
 
-        def pick(batches, held=held):
+        def pick(batches):
             for b in batches_of(batches):
                 yield suspects(b, held.value.has)
 
-        part = rows.mapInArrow(pick, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return rows.mapInArrow(pick, schema)
+
+    tagged = rows.withColumn("tag", F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)).cast("int"))
+    back = shared_keys(tagged, keys_of, n_keys).withColumnRenamed("tag", "_tag")
+
+    def look(batches):
+        for b in batches_of(batches):
+            found = [k for row in b.column("keys").to_pylist() if row for k in row]
+            known = np.unique(np.frombuffer(b"".join(found), np.uint64))
+            yield suspects(b, lambda keys, known=known: np.isin(keys, known))
+
+    return tagged.join(back, F.col("tag") == F.col("_tag"), "left").drop("_tag").mapInArrow(look, schema)
 
 
 # --- connected components -------------------------------------------------------------------------

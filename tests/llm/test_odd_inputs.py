@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm.chat import as_replies, format_chats, read_back
+from folioflow.llm.common import shared_keys
 from folioflow.llm.decontam import find_contamination
 from folioflow.llm.jaccard import keep_first, similarity_components
 from folioflow.llm.linededup import dedup_lines
@@ -76,9 +78,28 @@ def test_recordings_without_rows_or_elements(spark):
 
 
 @pytest.mark.parametrize("bits", [1 << 10, 1 << 12])
-def test_filters_in_slices_lose_nothing(spark, bits):
+def test_filters_by_ranges_lose_nothing(spark, bits):
     rng = random.Random(7)
     lines = [f"line number {i} of many" for i in range(400)]
     docs = spark.createDataFrame([(i, "\n".join(rng.sample(lines, 20))) for i in range(60)], "doc_id long, text string")
     want = sorted(map(tuple, dedup_lines(docs).collect()))
     assert sorted(map(tuple, dedup_lines(docs, most_bits=bits).collect())) == want
+
+
+def test_keys_by_ranges(spark):
+    """No shared key is missed, few others come along, and a key of all rows is sent on once a batch."""
+    rng = np.random.default_rng(5)
+    keys = [np.unique(np.concatenate([rng.integers(0, 1 << 63, 30).astype(np.uint64), rng.choice(np.arange(1, 400, dtype=np.uint64) << np.uint64(40), 3), np.array([7], np.uint64)])) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, k.tobytes()) for i, k in enumerate(keys)], "tag int, held binary").repartition(6)
+    of = lambda b: (np.frombuffer(x, np.uint64) for x in b.column("held").to_pylist())
+    df = shared_keys(rows, of, 50_000, 4_000)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("MapInArrow") == 1  # one pass, whatever the number of ranges
+    got = {r.tag: np.frombuffer(b"".join(r["keys"]), np.uint64) for r in df.collect()}
+    every, n = np.unique(np.concatenate(keys), return_counts=True)
+    shared = every[n > 1]
+    others = 0
+    for i, k in enumerate(keys):
+        assert set(k[np.isin(k, shared)].tolist()) <= set(got[i].tolist()) <= set(k.tolist())
+        others += len(set(got[i].tolist())) - np.isin(k, shared).sum()
+    assert others < 0.02 * sum(map(len, keys))

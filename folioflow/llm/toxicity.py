@@ -46,7 +46,7 @@ def buckets(text: str, dims: int) -> np.ndarray:
     return np.unique(np.concatenate([each[:, 0], *reached, [_hash(f"#{len(words).bit_length()}")]]) % dims)
 
 
-def _deviance(count: np.ndarray, hit: np.ndarray, p: float) -> np.ndarray:
+def _deviance(count: np.ndarray, hit: np.ndarray, p: float | np.ndarray) -> np.ndarray:
     """How far the share of labelled ones is from ``p``, as a log-likelihood ratio (about z squared)."""
     miss = count - hit
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -54,6 +54,29 @@ def _deviance(count: np.ndarray, hit: np.ndarray, p: float) -> np.ndarray:
     return 2 * (np.where(hit > 0, up, 0) + np.where(miss > 0, down, 0))
 
 
+def _marked(at: list[np.ndarray], width: int) -> np.ndarray:
+    """Rows by terms: 1 where a row has the term."""
+    x = np.zeros((len(at), width), np.float32)
+    x[np.repeat(np.arange(len(at)), [len(r) for r in at]), np.concatenate(at)] = 1
+    return x
+
+
+def mixed_terms(rows: list[np.ndarray], y: np.ndarray, kept: np.ndarray, terms: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``terms`` change what one of ``kept`` says: the share of labelled rows among those that have both is off from the share
+    among those that have the kept one by a deviance of ``least`` or more. Both are sorted buckets."""
+    at, of = ([np.searchsorted(t, r[np.isin(r, t, assume_unique=True)]) for r in rows] for t in (terms, kept))
+    own, own_hit = np.zeros((2, len(kept)))
+    both, hit = np.zeros((2, len(kept), len(terms)), np.float32)
+    for k in range(0, len(rows), BLOCK):
+        a, b, label = _marked(of[k : k + BLOCK], len(kept)), _marked(at[k : k + BLOCK], len(terms)), y[k : k + BLOCK] > 0
+        own += a.sum(axis=0)
+        own_hit += a[label].sum(axis=0)
+        both += a.T @ b
+        hit += a[label].T @ b[label]
+    share = np.clip(own_hit / np.maximum(own, 1), 1e-6, 1 - 1e-6)
+    return terms[(_deviance(both, hit, share[:, None]) >= least).any(axis=0)]
+
+
 def paired_terms(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, least: float) -> np.ndarray:
     """Which of ``terms`` (sorted buckets) stand in a pair whose joint share of labelled rows is off by a deviance of
     ``least`` or more. Counts of all pairs are products of the matrix of rows by terms, BLOCK of both at a time."""
@@ -97,11 +120,13 @@ class FactorizationMachine:
         pairs = 0.5 * (add(v) ** 2 - add(v * v)).sum(axis=1)
         return self.w0 + add(self.w[flat, None])[:, 0] + pairs
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, least_rows: int = 4, least_z: float = 4.0, least_pair: float = 40.0, pair_support: float = 0.02, steps: int = 1500, batch: int = 128, rate: float = 0.1, decay: float = 1e-3) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, least_rows: int = 4, least_z: float = 4.0, least_pair: float = 40.0, pair_support: float = 0.02, most_terms: int = 4096, most_kept: int = 512, steps: int = 1500, batch: int = 128, rate: float = 0.1, decay: float = 1e-3) -> FactorizationMachine:
         """AdaGrad on the logistic loss. Of the buckets that at least ``least_rows`` rows have, those take part whose
         share among labelled ones differs by ``least_z`` standard errors or more. Of the others, those which the share
         ``pair_support`` of the rows has or more are counted in pairs, and take part if a pair's joint share is off by
-        a deviance of ``least_pair`` or more: terms that say nothing alone."""
+        a deviance of ``least_pair`` or more: terms that say nothing alone; or if they change what a term says that takes part
+        for itself. Of the others the ``most_terms`` most frequent ones are looked at, with the ``most_kept`` clearest of those that have an effect of
+        their own, so the work is bounded by rows x most_terms x (most_terms + most_kept)."""
         y = np.asarray(y, np.float64)
         if not 0 < y.sum() < len(y):
             self.w0, self.used[:] = (-4.0 if not y.sum() else 4.0), False
@@ -111,8 +136,13 @@ class FactorizationMachine:
         hit = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, y, strict=True) if t)]).astype(np.int64), minlength=self.dims)
         z = (hit - count * p) / np.sqrt(np.maximum(count * p * (1 - p), 1e-9))
         self.used = (count >= least_rows) & (np.abs(z) >= least_z)
-        others = np.flatnonzero((count >= max(least_rows, pair_support * len(rows))) & ~self.used)
+        frequent = count >= max(least_rows, pair_support * len(rows))
+        others, kept = np.flatnonzero(frequent & ~self.used), np.flatnonzero(frequent & self.used)
+        others = np.sort(others[np.argsort(-count[others], kind="stable")[:most_terms]])
+        kept = np.sort(kept[np.argsort(-np.abs(z[kept]), kind="stable")[:most_kept]])
+        mixed = mixed_terms(rows, y, kept, others, least_pair) if len(kept) and len(others) else others[:0]
         self.used[paired_terms(rows, y, others, least_pair)] = True
+        self.used[mixed] = True
         self.w0 = float(np.log(p / (1 - p)))
         ids = np.flatnonzero(self.used)
         at = [np.searchsorted(ids, r[self.used[r]]) for r in rows]  # columns of the few buckets that take part

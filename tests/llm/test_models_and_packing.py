@@ -4,8 +4,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from folioflow.llm import media
 from folioflow.llm.decontam import align, find_contamination
 from folioflow.llm.media import FRAME, HOP, Asked, align_recordings, fingerprints, render, search_recordings
 from folioflow.llm.packing import Encoder, best_fit, pack, token_pieces
@@ -82,6 +84,27 @@ def test_factorization_machine_learns_pairs_that_say_nothing_alone():
     assert not ((p[:2] > 0).all() and (p[2:] < 0).all())
 
 
+def test_a_mention_that_counts_only_beside_an_insult():
+    """The insult has an effect of its own, the mention none without it: the pair must be learned all the same."""
+    rng = np.random.default_rng(12)
+    n = 8000
+    insult, mention = rng.random(n) < 0.3, rng.random(n) < 0.3
+    p = np.where(insult & mention, 0.9, np.where(insult, 0.55, np.where(mention, 0.0, 0.15)))
+    y = (rng.random(n) < p).astype(float)
+    noise = [rng.choice(np.arange(10, 400), 12, replace=False) for _ in range(n)]
+    rows = [np.sort(np.concatenate([x, [1] if a else [], [2] if b else []]).astype(np.int64)) for x, a, b in zip(noise, insult, mention, strict=True)]
+
+    def auc(score):
+        rank = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1
+        return (rank[y > 0].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (n - y.sum()))
+
+    m = FactorizationMachine(512, 8).fit(rows, y)
+    assert m.used[[1, 2]].all() and m.used.sum() < 30
+    both, alone, other, none = (1 / (1 + np.exp(-m.margins([np.array(x, np.int64)])[0])) for x in ([1, 2], [1], [2], []))
+    assert both > 0.75 and 0.4 < alone < 0.7 and other < 0.15 and both > alone + 0.15
+    assert auc(m.margins(rows)) > auc(p) - 0.02
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     clean = [f"w{i}" for i in range(200)]
@@ -115,6 +138,50 @@ def smith_waterman(a, b):
     return max(max(r) for r in s)
 
 
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    pieces = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    got = pack(pieces, 2048, group_tokens=10_000).withColumn("grp", F.shiftright("sequence_id", 32)).groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("s")).collect()
+    assert len(got) == 10 and max(r.n for r in got) < 12_000 and sum(r.n for r in got) == 100_000
+    assert sum(r.s for r in got) <= 100_000 // 2048 + 1 + 10
+
+
+def test_long_recordings_have_the_codes_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = (3000 * np.sin(np.cumsum(rng.normal(0.4, 0.2, 90_000))) + rng.normal(0, 300, 90_000)).astype(np.int16)
+    whole = media.pack_filters(media.chroma(x[None].astype(np.float32), 4000))[0].view(np.int32)
+    monkeypatch.setattr(media, "LONG", 9_000)
+    got = np.concatenate(list(media.long_codes(x, 4000)))
+    assert len(got) == len(whole) and (got == whole).mean() > 0.99  # but for roundings at a filter's thresholds
+
+
+def test_filters_are_rectangle_sums():
+    rng = np.random.default_rng(3)
+    c = rng.random((1, 40, 12))
+    got = media.pack_filters(c)[0]
+    total = lambda x0, x1, y0, y1, k: c[0, k + x0 : k + x1, y0:y1].sum()
+    same = 0
+    for k in range(len(got)):
+        code = 0
+        for shape, y, h, w in media.FILTERS:
+            whole = total(0, w, y, y + h, k)
+            if shape == 0:
+                part = total(0, w // 2, y, y + h, k)
+            elif shape == 1:
+                part = total(0, w, y, y + h // 2, k)
+            elif shape == 2:
+                part = total(0, w // 2, y, y + h // 2, k) + total(w // 2, w, y + h // 2, y + h, k)
+            elif shape == 3:
+                part = total(w // 3, w - w // 3, y, y + h, k)
+            elif shape == 4:
+                part = total(0, w, y + h // 3, y + h - h // 3, k)
+            else:
+                part, whole = whole, total(0, w, 0, 12, k)
+            level = int(np.digitize(np.log((1 + part) / (1 + max(whole - part, 0))), media.LEVELS))
+            code = code << 2 | int(media._GRAY[level])
+        same += code == int(got[k])
+    assert same >= len(got) - 1
+
+
 def test_alignment_scores_match_brute_force():
     rng = random.Random(3)
     for _ in range(200):

@@ -70,7 +70,7 @@ def test_mining_matches_brute_force(spark):
         host, lang = rng.choice(["a.bets", "b.bets", "news", "blog.site"]), rng.choice(["en", "de", "fr"])
         rows.append((f"http://{host}.example/{lang}/{i}", rng.random() < (0.8 if "bets" in host and lang == "en" else 0.5 if lang == "fr" else 0.2)))
     rows += [rows[0]] * 3 + [(rows[1][0], not rows[1][1]), (None, True), (rows[2][0], None)]
-    got = mine_rules(spark.createDataFrame(rows, "url string, blocked boolean"), least_rows=10, lift=1.1, z=1.0).collect()
+    got = mine_rules(spark.createDataFrame(rows, "url string, blocked boolean"), least_rows=10, lift=1.1, z=1.0, confidence=0.0).collect()
     assert {tuple(r.tokens): r.confidence for r in got} == brute_rules(rows, 10, 1.1, 1.0) and len(got) > 2
 
 
@@ -79,3 +79,12 @@ def test_long_urls_that_repeat_end(spark):
     rows = [(url, True)] * 30 + [(f"{url}/{i}", True) for i in range(30)] + [(f"http://other.example/{i}", False) for i in range(60)]
     got = mine_rules(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
     assert {r.confidence for r in got} == {1.0} and len(got) == 1 and len(got[0].tokens) == 18
+
+
+def test_no_rule_below_one_half_decides(spark):
+    """A token that doubles the share of blocked URLs, to two fifths, blocks none of them; one with four fifths does; combinations count."""
+    rows = [(f"http://{h}.example/{lang}/{i}", i % 10 < n) for h, lang, n in (("a", "fr", 4), ("b", "de", 1), ("c", "en", 1), ("c", "de", 8), ("d", "en", 1), ("e", "nl", 1)) for i in range(200)]
+    got = mine_rules(spark.createDataFrame(rows, "url string, blocked boolean"), least_rows=10)
+    assert all(r.confidence >= 0.5 and len(r.tokens) > 1 for r in got.collect()) and got.count() > 0
+    low = mine_rules(spark.createDataFrame(rows, "url string, blocked boolean"), least_rows=10, confidence=0.0)
+    assert min(r.confidence for r in low.collect()) < 0.5

@@ -203,7 +203,7 @@ baskets AS (SELECT url, blocked, list_sort(list_filter(tokens, lambda t: list_co
 masks AS (SELECT blocked, items, unnest(range(1, 1 << len(items))) AS m FROM baskets),
 sets AS (SELECT blocked, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM masks),
 counted AS (SELECT s, count(*) AS n, count(*) FILTER (blocked) AS hits, count(*) FILTER (blocked) / count(*) AS confidence FROM sets GROUP BY s),
-sure AS (SELECT c.s, c.confidence FROM counted c, base b WHERE c.hits >= b.least AND c.hits >= c.n * b.share + 2 * sqrt(c.n * (b.share * (1 - b.share))) AND c.confidence >= 1.25 * b.share
+sure AS (SELECT c.s, c.confidence FROM counted c, base b WHERE c.hits >= b.least AND c.hits >= c.n * b.share + 2 * sqrt(c.n * (b.share * (1 - b.share))) AND c.confidence >= greatest(0.5, 1.25 * b.share)
   AND NOT EXISTS (SELECT 1 FROM counted d WHERE len(d.s) < len(c.s) AND d.confidence >= c.confidence AND list_has_all(c.s, d.s))),
 rules AS (SELECT confidence, list_sort(flatten(list(members))) AS t FROM (SELECT s, confidence, unnest(s) AS item FROM sure) JOIN items USING (item) GROUP BY s, confidence),
 fixed(v, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, join_first, written
 
+MOST_TOKENS = 1_000_000  # tokens of rules that are broadcast, about 100 MB
 BLOCKED = "=block"  # the item that stands for the label
 
 
@@ -34,7 +35,7 @@ def merged_tokens(urls: DataFrame) -> DataFrame:
     return items.select(F.element_at("members", 1).alias("item"), "members", F.explode("members").alias("token"))
 
 
-def mine_rules(labelled: DataFrame, least_rows: int = 20, support: float = 0.001, lift: float = 1.25, z: float = 2.0, confidence: float = 0.0) -> DataFrame:
+def mine_rules(labelled: DataFrame, least_rows: int = 20, support: float = 0.001, lift: float = 1.25, z: float = 2.0, confidence: float = 0.5) -> DataFrame:
     """(rule, tokens array<string>, confidence, support) from ``labelled`` (url, blocked boolean): the token sets that go
     with blocked URLs clearly more often than URLs are blocked at all.
 
@@ -42,7 +43,8 @@ def mine_rules(labelled: DataFrame, least_rows: int = 20, support: float = 0.001
     are left out). Tokens that stand in exactly the same URLs are one item, so a long path that is always the same makes one
     item and not all its subsets; a rule asks for all tokens of its items. FP-growth finds the sets of items that stand in
     ``support`` of the URLs (``least_rows`` at least) together with the label. A rule's share of blocked URLs is ``lift``
-    times the overall share, ``z`` standard errors above it, and ``confidence`` at least. Rules of which a smaller set is as
+    times the overall share, ``z`` standard errors above it, and ``confidence`` at least (one half by default: what is clean more often than
+    not isn't blocked). Rules of which a smaller set is as
     sure are pruned, level by level: a set of k items looks at its own subsets of k - 1. No labelled URLs, no rules.
     """
     host, path = host_and_path(F.col("url"))
@@ -103,7 +105,9 @@ def judge_urls(pages: DataFrame, fixed: DataFrame, mined: DataFrame, id_col: str
     best = fits.groupBy("url").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "verdict")).alias("best")).select("url", "best.rule", "best.verdict")
     tokens = urls.join(best, "url", "left_anti").select("url", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
     index = mined.select("rule", F.size("tokens").alias("k"), F.array_join("tokens", " ").alias("mined_rule"), "confidence", F.explode("tokens").alias("token"))
-    full = tokens.join(index.select(F.col("rule").alias("id"), "k", "mined_rule", "confidence", "token"), "token").groupBy("url", "id", "k").agg(F.count("*").alias("n"), F.first("mined_rule").alias("mined_rule"), F.first("confidence").alias("confidence")).where("n = k")
+    index = written(index.select(F.col("rule").alias("id"), "k", "mined_rule", "confidence", "token"), "index")
+    index = F.broadcast(index) if index.count() <= MOST_TOKENS else index  # so that a token of most URLs is no hot key; beyond, a shuffle
+    full = tokens.join(index, "token").groupBy("url", "id", "k").agg(F.count("*").alias("n"), F.first("mined_rule").alias("mined_rule"), F.first("confidence").alias("confidence")).where("n = k")
     bad = full.groupBy("url").agg(F.min(F.struct((-F.col("confidence")).alias("less"), "mined_rule")).alias("b")).select("url", F.col("b.mined_rule").alias("mined_rule"), (-F.col("b.less")).alias("confidence"))
     verdict = F.coalesce("verdict", F.when(F.col("mined_rule").isNotNull(), "block"), F.lit("allow"))
     judged = urls.join(best, "url", "left").join(bad, "url", "left").select("url", "n", "host", "path", "rule", verdict.alias("verdict"), "mined_rule", "confidence")

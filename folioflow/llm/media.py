@@ -7,6 +7,8 @@ offsets and compared by the bits that differ at the best offset.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from .common import batches_of, written
 FRAME, HOP = 1024, 512  # samples
 SPAN = 16  # frames below one integer
 BLOCK = 1 << 18  # samples that are transformed together
+LONG = BLOCK  # recordings with more samples are transformed piece by piece
 VOTES = 1 << 21  # that are counted together, and codes of queries that are broadcast together
 #: Of each of the 16 filters: shape, lowest pitch class, height, width; by rule.
 FILTERS = [(i % 6, 5 * i % 12 % (12 - 3 - i % 4), 4 + i % 4, 4 + 3 * i % (SPAN - 3)) for i in range(16)]
@@ -64,6 +67,17 @@ def pack_filters(c: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_codes(x: np.ndarray, rate: int) -> Iterator[np.ndarray]:
+    """The codes of a long recording, of LONG samples at a time: a block's frames go on SPAN - 1 beyond its own codes, so each code sees
+    the same frames as in one piece."""
+    codes = (len(x) - FRAME) // HOP + 1 - SPAN + 1
+    step = max(1, (LONG - FRAME) // HOP)
+    for a in range(0, codes, step):
+        n = min(step, codes - a)
+        part = x[a * HOP : (a + n + SPAN - 2) * HOP + FRAME]
+        yield pack_filters(chroma(part[None].astype(np.float32), rate))[0].view(np.int32)
+
+
 def fingerprints(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm", rate: int = 4000) -> DataFrame:
     """(rec_id, codes array<int>) of every row with an id: packed integers of its 16-bit mono little-endian samples.
     Null audio, and audio shorter than SPAN frames, has no codes; an odd last byte is ignored."""
@@ -73,7 +87,10 @@ def fingerprints(media: DataFrame, id_col: str = "rec_id", pcm_col: str = "pcm",
         for b in batches_of(batches, 128):
             each = [np.frombuffer(p, "<i2", len(p) // 2) for p in b.column("pcm").to_pylist()]
             out: list = [[]] * len(each)
-            for size in {len(x) for x in each}:
+            for i, x in enumerate(each):
+                if len(x) > LONG:
+                    out[i] = np.concatenate(list(long_codes(x, rate)))
+            for size in {len(x) for x in each if len(x) <= LONG}:
                 alike = [i for i, x in enumerate(each) if len(x) == size and (size - FRAME) // HOP + 1 >= SPAN]
                 step = max(1, BLOCK // max(1, size))
                 for at in (alike[k : k + step] for k in range(0, len(alike), step)):

@@ -90,6 +90,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+GROUP_ROWS = 1 << 20  # pieces that a task packs, about
+
+
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """(bin, offset) of each length by best-fit decreasing: each goes to the tightest bin it fits in.
 
@@ -131,14 +134,14 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 def pack(pieces: DataFrame, capacity: int = 2048, group_tokens: int = 1 << 23) -> DataFrame:
     """``pieces`` with sequence_id and offset: best-fit decreasing within groups of about ``group_tokens`` tokens.
 
-    Pieces are dealt into groups by a hash of id and piece, as many groups as the input needs, so each task's
-    work is bounded and all groups have alike mixtures of lengths; at most a few sequences of a group of
+    Pieces are dealt into groups by a hash of their content and of their place in the table, so that equal rows don't
+    meet in one group; as many groups as the input's tokens and rows need, so each task's work is bounded and all groups have alike mixtures of lengths; at most a few sequences of a group of
     thousands stay open, which is what grouping costs against packing everything at once. Pieces of full length
     fill a sequence alone. Lengths must be from 1 to ``capacity``.
     """
     pieces = written(pieces, "pieces")
-    tokens = pieces.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-tokens // group_tokens))
+    tokens, n = pieces.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, -(-(tokens or 0) // group_tokens), -(-n // GROUP_ROWS))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
@@ -146,4 +149,4 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_tokens: int = 1 << 23) -
         return pdf.assign(sequence_id=(pdf["grp"].iloc[0] << 32) + np.array(bins, np.int64), offset=np.array(offsets, np.int64)).drop(columns="grp")
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).groupBy("grp").applyInPandas(one, schema)
+    return pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))).groupBy("grp").applyInPandas(one, schema)

@@ -68,7 +68,7 @@ def scan_secrets(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text
     Null and empty texts have no spans (empty strings). Repeated rows get equal results; a null id stays null.
     """
     rows = texts(docs, id_col, text_col)
-    base = written(find_spans(rows, BASE + WEAK), "spans")  # the texts are searched once
+    base = written(find_spans(rows, BASE + WEAK).drop("match"), "spans")  # the texts are searched once; what was found stays out of the files
     kinds = {k: (role, any(k == w[0] for w in WEAK)) for k, _, role, _ in BASE + WEAK}
     role = F.coalesce(*(F.when(F.col("kind") == k, F.lit(r)) for k, (r, _) in kinds.items()))
     parts = base.select("doc_id", "rid", "kind", "start", "end", role.alias("role"), F.col("kind").isin([w[0] for w in WEAK]).alias("weak"))

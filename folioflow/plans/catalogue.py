@@ -181,10 +181,12 @@ def query_context(spark, d):
 
 @query(r"""
 WITH t AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS c, max_by(text, turn) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)
-SELECT conv_id, sha256(CASE WHEN length(c) % 3 = 0 THEN u ELSE upper(left(c, 40)) END) AS query_sha256 FROM t""")
+SELECT conv_id, sha256(CASE WHEN length(c) % 3 = 0 THEN u ELSE translate(c, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END) AS query_sha256 FROM t""")
 def rewrite_queries(spark, d):
-    short = lambda many: ["" if len(c) % 3 == 0 else c[:40].upper() for c in many]  # noqa: E731  stands for a model
-    out = T.rewrite_queries(T.query_context(I.table(spark, d, "conversations")), short)
+    """Whole contexts; letters a to z in upper case stand for a model's rewriting, an empty reply keeps the question."""
+    large = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    loud = lambda many: ["" if len(c) % 3 == 0 else c.translate(large) for c in many]
+    out = T.rewrite_queries(T.query_context(I.table(spark, d, "conversations")), loud)
     return out.select("conv_id", F.sha2(F.encode("query", "UTF-8"), 256).alias("query_sha256"))
 
 
@@ -313,16 +315,60 @@ def embed_texts(spark, d):
 
 
 @query(r"""
-WITH a AS (SELECT doc_id // 500 AS page_id, doc_id, CAST(doc_id AS VARCHAR) AS id, 'T' || doc_id AS title, text, n_chars FROM documents),
+WITH a AS (SELECT doc_id // 180 AS page_id, doc_id, CAST(doc_id AS VARCHAR) AS id, 'T' || doc_id AS title, text, n_chars FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY id) AS r FROM a),
 k AS (SELECT * FROM r WHERE r <= 200 AND doc_id % 6 > 0 AND n_chars <= 20971520 AND trim(coalesce(text, '')) <> '')
 SELECT page_id, CAST(2 * (r - 1) AS INT) AS n, 'heading' AS kind, 1 AS level, sha256(title) AS text_sha256, ['Attachments', title] AS path FROM k
 UNION ALL SELECT page_id, CAST(2 * (r - 1) + 1 AS INT), 'paragraph', 0, sha256(text), ['Attachments', title] FROM k""")
 def attachment_blocks(spark, d):
-    a = I.table(spark, d, "documents").select(F.expr("doc_id div 500").alias("page_id"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 6 > 0, "/x").alias("link"), F.col("n_chars").alias("file_size"), "text")
+    a = I.table(spark, d, "documents").select(F.expr("doc_id div 180").alias("page_id"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 6 > 0, "/x").alias("link"), F.col("n_chars").alias("file_size"), "text")
     return P.attachment_blocks(a).select("page_id", "n", "kind", "level", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "path")
 
 
+@query(r"""
+WITH f AS (SELECT doc_id, 'd' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.HTML' WHEN 2 THEN '.md' WHEN 3 THEN '.txt' WHEN 4 THEN '.pdf' ELSE '' END AS path,
+  CASE doc_id % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'html' WHEN 2 THEN 'markdown' WHEN 3 THEN 'text' WHEN 4 THEN 'pdf' ELSE 'text' END AS method, coalesce(text, '') AS t, lang, source FROM documents)
+SELECT path, method, method = 'pdf' AS needs_ocr, sha256(CASE method WHEN 'csv' THEN lang || ' | ' || source || ' | a "b", c' || chr(10) || doc_id || ' | ' || trim(replace(t, '"', ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(8199) || chr(8239) || chr(12288))
+  WHEN 'html' THEN trim(regexp_replace(regexp_replace('<p class="x">' || t || '</p><br/>end', '<[^>]+>', ' ', 'g'), '[\s\x0B]+', ' ', 'g')) WHEN 'pdf' THEN ''
+  ELSE trim(regexp_replace(chr(10) || ' ' || t || chr(9) || chr(10), '^[\s\x0B]+|[\s\x0B]+$', '', 'g')) END) AS text_sha256 FROM f""")
+def attachment_text(spark, d):
+    """Whole documents as files of several kinds, by media type or extension; a csv has quotes, empty lines and many lines in a field."""
+    docs = I.table(spark, d, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    kind = F.col("doc_id") % 6
+    ending = F.element_at(_lit_array(".csv", ".HTML", ".md", ".txt", ".pdf", ""), (kind + 1).cast("int"))
+    rows = F.concat("lang", F.lit(" , "), "source", F.lit(',"a ""b"", c"\n\n , \n'), F.col("doc_id").cast("string"), F.lit(',"'), F.replace("t", F.lit('"'), F.lit("")), F.lit('"\n'))
+    body = F.when(kind == 0, rows).when(kind == 1, F.concat(F.lit('<p class="x">'), "t", F.lit("</p><br/>end"))).otherwise(F.concat(F.lit("\n "), "t", F.lit("\t\n")))
+    files = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), ending).alias("path"), F.when(kind == 5, "text/plain").alias("media_type"), F.encode(body, "UTF-8").alias("content"))
+    return P.attachment_text(files).select("path", "method", "needs_ocr", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+@query(r"""
+SELECT o_orderstatus AS dataset, count(*) AS cases, round(avg(o_custkey % 7), 6)::DOUBLE AS mean, max(o_orderkey) AS last, (SELECT count(*) FROM orders) AS rows_written FROM orders GROUP BY 1""")
+def write_report(spark, d):
+    """Cases and their aggregates written as a report, twice, and read back."""
+    cases = I.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("dataset"), (F.col("o_custkey") % 7).alias("score"))
+    path = new_path(spark, "report")
+    for part in (cases.where("case_id % 2 = 0"), cases):  # the later report replaces the earlier one
+        G.write_report(part, part.groupBy("dataset").agg(F.count("*").alias("cases"), F.round(F.avg("score"), 6).alias("mean"), F.max("case_id").alias("last")), path)
+    n = spark.read.parquet(f"{path}/cases").agg(F.count("*").alias("rows_written"), F.lit(1).alias("k"))
+    said = spark.read.schema("dataset string, cases long, mean double, last long").json(f"{path}/aggregates")
+    return said.join(F.broadcast(n), F.col("k") == 1).drop("k")
+
+
+@query(r"""
+SELECT conv_id AS query_id, list(conv_id * 100 + turn ORDER BY turn) FILTER (role = 'user') AS page_ids, count(*) FILTER (role = 'user') AS hits, conv_id % 1000 AS latency_ms FROM conversations GROUP BY conv_id""")
+def append_trace(spark, d):
+    """Traces of retrieval, appended in three runs and read back; queries are conversations, their hits the user's turns."""
+    said = I.table(spark, d, "conversations")
+    q = said.groupBy(F.col("conv_id").alias("query_id")).agg(F.max(F.lit("general")).alias("s")).select("query_id", F.array("s").alias("scopes"), (F.col("query_id") % 1000).alias("latency_ms"))
+    hits = said.where("role = 'user'").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), (F.col("conv_id") * 100 + F.col("turn")).alias("page_id"), F.col("turn").cast("string").alias("chunk_id"), F.lit(0.5).alias("score"))
+    path = new_path(spark, "traces")
+    for n in range(3):
+        G.append_trace(G.traces(hits.where(F.col("query_id") % 3 == n), q.where(F.col("query_id") % 3 == n)), path)
+    kept = spark.read.parquet(path)
+    return kept.select("query_id", F.when(F.size("page_ids") > 0, F.col("page_ids")).alias("page_ids"), F.size("page_ids").cast("long").alias("hits"), "latency_ms")
+
+
 # --- filters ------------------------------------------------------------------------------------
 
 
@@ -971,7 +1017,7 @@ def retrieve_evidence(spark, d):
         return [float(len(words & set(x.lower().split()))) for x in docs]
 
     hits = written(Z.hybrid_retrieve(asked, children, R.chunk_terms(children, ("chunk_id",), F.col("retrieval_text")), chunks.select("page_id", "space_id").distinct(), restricted, scorer=shared), "hits")
-    entries = I.table(spark, d, "documents").selectExpr("doc_id AS entry_id", "array(lang) AS tags", "doc_id % 50 = 0 AS is_active")
+    entries = I.table(spark, d, "documents").selectExpr("doc_id AS entry_id", "array(lang) AS tags", "true AS is_active")
     curated = V.curated_for_scope(asked.select("query_id", "scopes"), entries, 1).select("query_id", "entry_id", "rank", F.lit("Note").alias("title"), F.concat(F.lit("entry "), F.col("entry_id").cast("string")).alias("body"))
     out = Z.gather_evidence(hits, chunks, curated)
     return out.select("query_id", F.size("markers").alias("n"), F.sha2(F.encode("evidence", "UTF-8"), 256).alias("evidence_sha256"))

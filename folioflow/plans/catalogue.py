@@ -289,7 +289,22 @@ def plan_chunks(spark, d):
     return K.link_chunks(planned).select("page_id", "section", "parent", "child", "kind", "tokens", "seq", "stable_key", "parent_key", "prev_key", "next_key")
 
 
-@query()
+_FITS = "greatest(({b}) - ({a}), ceil((s[({b}) + 1] - s[({a}) + 1] - 1) / 4.0)) <= 400"
+
+
+@query(rf"""
+WITH RECURSIVE t AS (SELECT doc_id, text, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS tidy FROM documents),
+w AS (SELECT doc_id, length(text) AS chars, greatest(len(string_split(tidy, ' ')), ceil(length(text) / 4.0))::INT AS tokens, flatten(list_transform(string_split(tidy, ' '),
+  lambda x: CASE WHEN length(x) <= 1600 THEN [x] ELSE list_transform(range(0, length(x), 1600), lambda k: substr(x, k + 1, 1600)) END)) AS ws FROM t WHERE tidy <> ''),
+each AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w WHERE tokens > 400),
+sums AS (SELECT doc_id, i, sum(length(x) + 1) OVER o AS s, sum(greatest(1, ceil(length(x) / 4.0))) OVER o AS c FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, max(i) AS n, list_prepend(0, list(s::BIGINT ORDER BY i)) AS s, list_prepend(0, list(c::BIGINT ORDER BY i)) AS c FROM sums GROUP BY doc_id),
+r(doc_id, n, k, a, e) AS (SELECT doc_id, n, 0, 0::BIGINT, coalesce(list_filter(range(1, n), lambda i: NOT ({_FITS.format(a="0", b="i + 1")}))[1], n) FROM p
+  UNION ALL SELECT doc_id, n, k + 1, a2, coalesce(list_filter(range(e + 1, n), lambda i: NOT ({_FITS.format(a="a2", b="i + 1")}))[1], n)
+  FROM (SELECT *, coalesce(list_filter(range(t, e), lambda j: {_FITS.format(a="j", b="e + 1")})[1], e) AS a2
+    FROM (SELECT r.*, p.s, p.c, list_filter(range(r.a, r.e + 1), lambda j: p.c[r.e + 1] - p.c[j + 1] <= 48)[1] AS t FROM r JOIN p ON r.doc_id = p.doc_id WHERE r.e < r.n)))
+SELECT doc_id AS id, 0 AS n, chars, tokens FROM w WHERE tokens <= 400
+UNION ALL SELECT r.doc_id, k, (s[e + 1] - s[a + 1] - 1)::INT, greatest(e - a, ceil((s[e + 1] - s[a + 1] - 1) / 4.0))::INT FROM r JOIN p ON r.doc_id = p.doc_id""")
 def split_windows(spark, d):
     return K.split_column(I.table(spark, d, "documents"), "doc_id", "text", 400, 48).select("id", "n", F.length("window").alias("chars"), T.token_count(F.col("window")).alias("tokens"))
 

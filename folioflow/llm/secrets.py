@@ -26,10 +26,22 @@ WEAK = (
 _KINDS = {kind: i for i, (kind, *_) in enumerate(BASE + WEAK)}
 
 
+#: What a text must hold somewhere for a pattern to match at all: looked for before the pattern is.
+_HINTS = {"assign": ("=", ":"), "access": ("AKIA",), "key_id": ("=", ":"), "login": ("@",), "key_part": ("=", ":"), "endpoint": ("://",)}
+
+
+def _hinted(kind: str) -> Column:
+    out = F.lit(kind not in _HINTS)
+    for sign in _HINTS.get(kind, ()):
+        out = out | F.contains(F.col("text"), F.lit(sign))
+    return out
+
+
 def find_spans(rows: DataFrame, patterns) -> DataFrame:
     """(doc_id, rid, kind, start, end, match) of every leftmost non-overlapping match in ``rows`` (doc_id, rid,
     text) that is long enough; code points, end exclusive."""
-    one = [F.struct(F.lit(kind).alias("kind"), F.transform(F.split("text", pattern, -1), lambda x: F.length(x)).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits")) for kind, pattern, *_ in patterns]
+    found = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), F.transform(F.split("text", pattern, -1), lambda x: F.length(x)).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"))
+    one = [F.when(_hinted(kind), found(kind, pattern)) for kind, pattern, *_ in patterns]
     each = rows.select("doc_id", "rid", F.explode(F.array(*one)).alias("m")).where(F.size("m.hits") > 0)
     at = each.select("doc_id", "rid", "m.kind", F.posexplode(F.arrays_zip(F.slice("m.gaps", 1, F.size("m.hits")).alias("gap"), F.col("m.hits").alias("hit"))).alias("n", "x"))
     at = at.select("doc_id", "rid", "kind", "n", "x.gap", F.col("x.hit").alias("match"))

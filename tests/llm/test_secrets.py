@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from folioflow.llm.secrets import BASE, scan_secrets
+from folioflow.llm.secrets import BASE, link_parts, scan_secrets
 
 KINDS = ["assign", "access", "hex"]
 PYTHON = {
@@ -61,3 +61,19 @@ def test_empty_table_and_clashing_columns(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     row = scan_secrets(spark.createDataFrame([(1, "token=abcdef", 9, "x", 3)], "doc_id long, text string, rid int, kind string, start int")).first()
     assert row.base == "assign:0:12" and hashlib.sha256(row.base.encode()).hexdigest()
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for doc in range(60):
+        for _ in range(rng.randint(0, 12)):
+            a = rng.randrange(900)
+            rows.append((doc if doc % 9 else None, doc, f"k{rng.randrange(4)}", rng.choice(["id", "secret", "endpoint"]), rng.random() < 0.6, a, a + rng.randint(1, 90)))
+    got = link_parts(spark.createDataFrame(rows, "doc_id long, rid long, kind string, role string, weak boolean, start long, end long"), 50).collect()
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[4] and x[:2] == y[:2] and (x[3] == "secret") != (y[3] == "secret") and y[5] <= x[6] + 50 and x[5] <= y[6] + 50:
+                want.add((*x[:3], *x[5:]))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 50

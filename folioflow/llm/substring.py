@@ -97,7 +97,7 @@ def _windows(each: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarr
 
 
 def digests(found: DataFrame, window: int, *columns: str) -> DataFrame:
-    """(one, two and ``columns``, which are longs) of each window of segments, by a 128-bit digest."""
+    """(one, two and ``columns``, which are longs) of each window of segments: two digests of its words' 64-bit hashes. The automaton decides by the words."""
 
     def each(batches):
         for b in batches:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SEPARATOR
+from .tables import slices
 
 PANELS = ("info", "note", "warning", "tip", "panel")
 MACRO = "ac:structured-macro"
@@ -83,7 +84,7 @@ def normalize_pages(pages: DataFrame, id_col: str = "page_id", body_col: str = "
     however broken its markup is."""
 
     def parse(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame([(p, i, *x) for p, body in zip(b["p"], b["body"], strict=True) for i, x in enumerate(_blocks(body, keep_cdata, drop_script_style))], columns=["page_id", "pos", "kind", "level", "text"])
 
     return pages.select(F.col(id_col).cast("long").alias("p"), F.col(body_col).alias("body")).mapInPandas(parse, "page_id long, pos int, kind string, level int, text string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import GONE, STATUSES, index_config_changed
+from .tables import written
 
 STAMPS = ("parser_version", "chunker_version", "contextualization_version", "retrieval_schema_version", "embedding_model")
 REBUILD = ("body_changed", "section_added", "section_updated", "section_removed", "section_moved", "index_config_change")
@@ -67,13 +68,15 @@ def classify_changes(incoming: DataFrame, registry: DataFrame, targets: dict) ->
 def diff_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     """(page_id, new_idx, old_idx, outcome) from (page_id, idx, stable_key, content_key, positional_key) on both sides:
     exact and moved chunks are reused, edited and inserted ones embedded again, the rest of the old ones deleted. Equal
-    keys pair in order of index, anew in each pass among what is left."""
+    keys pair in order of index, anew in each pass among what is left. A pass's pairs are written, so that later ones read them and
+    don't pair again."""
     left_new, left_old, out = new, old, None
     for key, outcome in (("stable_key", "exact"), ("content_key", "moved"), ("positional_key", "edited")):
         nth = F.row_number().over(Window.partitionBy("page_id", key).orderBy("idx"))
         a = left_new.select("page_id", F.col("idx").alias("new_idx"), key, nth.alias("nth"))
         b = left_old.select("page_id", F.col("idx").alias("old_idx"), key, nth.alias("nth"))
         pairs = a.join(b, ["page_id", key, "nth"]).select("page_id", "new_idx", "old_idx", F.lit(outcome).alias("outcome"))
+        pairs = written(pairs, "pairs")
         out = pairs if out is None else out.unionByName(pairs)
         left_new = left_new.join(pairs.select("page_id", F.col("new_idx").alias("idx")), ["page_id", "idx"], "left_anti")
         left_old = left_old.join(pairs.select("page_id", F.col("old_idx").alias("idx")), ["page_id", "idx"], "left_anti")

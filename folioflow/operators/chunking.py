@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import chunk_keys
 from ..functions.text import CHARS_PER_TOKEN, token_count
-from .tables import new_path
+from .tables import new_path, slices
 
 
 def tokens_of(words: int, chars: int) -> int:
@@ -86,7 +86,7 @@ def split_column(texts: DataFrame, id_col: str, text_col: str, most: int, overla
     """(id, n, window): ``split_windows`` of every row."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame([(i, n, w) for i, t in zip(b["i"], b["t"], strict=True) for n, w in enumerate(split_windows(t or "", most, overlap))], columns=["id", "n", "window"])
 
     return texts.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInPandas(split, "id long, n int, window string")
@@ -102,7 +102,7 @@ def plan_chunks(sections: DataFrame) -> DataFrame:
     units = by_section.select("page_id", "section", "path", "level", "sibling", F.transform("u", lambda x: x["text"]).alias("units"))
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for page, section, p, level, sibling, texts in b.itertuples(index=False):
                 texts = [t for t in texts if t] or [t for t in list(p)[-1:] if t]

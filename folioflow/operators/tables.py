@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,13 @@ def discard(df: DataFrame) -> None:
     fs.delete(path, True)
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """A few rows at a time, so that what is made of long texts stays small."""
+    for b in batches:
+        for i in range(0, max(1, len(b)), rows):
+            yield b.iloc[i : i + rows]
+
+
 def numbered(df: DataFrame, order: tuple[str, ...], name: str = "position") -> DataFrame:
     """``df`` with its rows' places, from 1, in the order of columns. Rows are dealt by ranges of that order and written with
     their range; a range's rows are numbered alone and moved by the sizes of the ranges before it. So no task sees all

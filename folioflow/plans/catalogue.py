@@ -999,7 +999,7 @@ def baseline_rank(spark, d):
 def build_index(spark, d):
     """HTML pages to embedded, linked chunks."""
     pages = I.table(spark, d, "pages").select("page_id", F.col("html").alias("body"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"))
-    out = Z.build_chunks(pages, Z.bag_embedder())
+    out = Z.build_chunks(pages, Z.bag_embedder(), store=new_path(spark, "vectors"))
     return out.select("page_id", "kind", "seq", "tokens", "stable_key", "parent_key", F.sha2(F.encode("retrieval_text", "UTF-8"), 256).alias("retrieval_sha256"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"))
 
 

@@ -67,13 +67,15 @@ def gather_evidence(hits: DataFrame, chunks: DataFrame, curated: DataFrame | Non
     return R.evidence(found.select("query_id", "page_id", "rank", "title", "parent_text"), none if curated is None else curated)
 
 
-def build_chunks(pages: DataFrame, embedder: Callable[[list[str]], list], body_col: str = "body", html: bool = True) -> DataFrame:
-    """Bodies (page_id, title, body) to linked parents and children with retrieval text; children are embedded."""
+def build_chunks(pages: DataFrame, embedder: Callable[[list[str]], list], body_col: str = "body", html: bool = True, store: str | None = None) -> DataFrame:
+    """Bodies (page_id, title, body) to linked parents and children with retrieval text; children are embedded, with a ``store`` each distinct
+    text once and for all (`embed_once`)."""
     blocks = B.normalize_pages(pages, body_col=body_col) if html else B.line_blocks(pages, body_col=body_col)
     planned = written(K.plan_chunks(B.build_sections(B.heading_paths(blocks))), "planned")
     linked = K.link_chunks(planned).join(pages.select("page_id", "title"), "page_id")
     full = linked.withColumn("retrieval_text", compose_retrieval(F.col("title"), F.col("path"), F.lit(None).cast("string"), F.col("text")))
-    children = K.embed_texts(full.where("kind = 1"), embedder, "retrieval_text")
+    waiting = full.where("kind = 1")
+    children = K.embed_once(waiting, embedder, store, "retrieval_text") if store else K.embed_texts(waiting, embedder, "retrieval_text")
     return children.unionByName(full.where("kind = 0").withColumn("embedding", F.lit(None).cast("array<float>")))
 
 

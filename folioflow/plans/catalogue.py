@@ -283,28 +283,59 @@ def page_hashes(spark, d):
     return B.page_hashes(B.heading_paths(b)).join(B.doc_text(b).select("page_id", F.sha2(F.encode("doc_text", "UTF-8"), 256).alias("doc_sha256")), "page_id")
 
 
-@query()
+_TIDY = r"trim(regexp_replace({}, '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
+_WORDS = f"(CASE WHEN {_TIDY} = '' THEN 0 ELSE len(string_split({_TIDY}, ' ')) END)"
+_TOKENS = f"(CASE WHEN {_TIDY} = '' THEN 0 ELSE greatest(len(string_split({_TIDY}, ' ')), ceil(length({{0}}) / 4.0)) END)::INT".replace("{}", "{0}")
+_WORDS = _WORDS.replace("{}", "{0}")
+
+
+def _windows(name: str, source: str, most: int, overlap: int) -> str:
+    """DuckDB tables to ``name`` (id, k, text): windows of the texts of ``source`` (id, text) that have over ``most`` tokens."""
+    fits = f"greatest(({{b}}) - ({{a}}), ceil((s[({{b}}) + 1] - s[({{a}}) + 1] - 1) / 4.0)) <= {most}"
+    return f"""{name}_w AS (SELECT id, flatten(list_transform(string_split({_TIDY.format("text")}, ' '),
+  lambda x: CASE WHEN length(x) <= {4 * most} THEN [x] ELSE list_transform(range(0, length(x), {4 * most}), lambda k: substr(x, k + 1, {4 * most})) END)) AS ws FROM {source}),
+{name}_e AS (SELECT id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM {name}_w),
+{name}_c AS (SELECT id, i, sum(length(x) + 1) OVER o AS s, sum(greatest(1, ceil(length(x) / 4.0))) OVER o AS c FROM {name}_e WINDOW o AS (PARTITION BY id ORDER BY i)),
+{name}_p AS (SELECT id, max(i) AS n, list_prepend(0, list(s::BIGINT ORDER BY i)) AS s, list_prepend(0, list(c::BIGINT ORDER BY i)) AS c FROM {name}_c GROUP BY id),
+{name}_r(id, n, k, a, e) AS (SELECT id, n, 0, 0::BIGINT, coalesce(list_filter(range(1, n), lambda i: NOT ({fits.format(a="0", b="i + 1")}))[1], n) FROM {name}_p
+  UNION ALL SELECT id, n, k + 1, a2, coalesce(list_filter(range(e + 1, n), lambda i: NOT ({fits.format(a="a2", b="i + 1")}))[1], n)
+  FROM (SELECT *, coalesce(list_filter(range(t, e), lambda j: {fits.format(a="j", b="e + 1")})[1], e) AS a2
+    FROM (SELECT r.*, p.s, p.c, list_filter(range(r.a, r.e + 1), lambda j: p.c[r.e + 1] - p.c[j + 1] <= {overlap})[1] AS t FROM {name}_r r JOIN {name}_p p ON r.id = p.id WHERE r.e < r.n))),
+{name} AS (SELECT r.id, k, array_to_string(ws[a + 1:e], ' ') AS text FROM {name}_r r JOIN {name}_w w ON r.id = w.id)"""
+
+
+@query(f"""WITH RECURSIVE {I.BLOCKS}, s AS (SELECT *, CAST(sum(CAST(kind = 'heading' AS INT)) OVER (PARTITION BY page_id ORDER BY pos) AS INT) AS section FROM pathed),
+h AS (SELECT page_id, section, arg_min(path, pos) AS path, arg_min(level, pos) AS level FROM s GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id, path ORDER BY section) - 1 AS sibling FROM h),
+u AS (SELECT page_id, section, text, row_number() OVER (PARTITION BY page_id, section ORDER BY pos) AS u, {_WORDS.format("text")} AS w, length(text) AS c, {_TOKENS.format("text")} AS tok FROM s),
+packed(page_id, section, u, slot, words, chars, open) AS (SELECT page_id, section, u, 0, w, c, tok <= 2000 FROM u WHERE u = 1
+  UNION ALL SELECT u.page_id, u.section, u.u, CASE WHEN joins THEN slot ELSE slot + 1 END, CASE WHEN joins THEN words + w ELSE w END, CASE WHEN joins THEN chars + 1 + c ELSE c END, tok <= 2000
+  FROM (SELECT u.*, p.slot, p.words, p.chars, tok <= 2000 AND open AND (words + w = 0 OR greatest(words + w, ceil((chars + 1 + c) / 4.0)) <= 1200) AS joins FROM packed p JOIN u ON u.page_id = p.page_id AND u.section = p.section AND u.u = p.u + 1) u),
+slots AS (SELECT p.page_id, p.section, slot, any_value(open) AS whole, string_agg(text, chr(10) ORDER BY p.u) AS text, row_number() OVER (ORDER BY p.page_id, p.section, slot) AS id
+  FROM packed p JOIN u ON u.page_id = p.page_id AND u.section = p.section AND u.u = p.u GROUP BY p.page_id, p.section, slot),
+large AS (SELECT id, text FROM slots WHERE NOT whole), {_windows("big", "large", 1200, 0)},
+parents AS (SELECT page_id, section, row_number() OVER (PARTITION BY page_id, section ORDER BY slot, k) - 1 AS parent, text, row_number() OVER (ORDER BY page_id, section, slot, k) AS id FROM (
+  SELECT page_id, section, slot, 0 AS k, text FROM slots WHERE whole UNION ALL SELECT page_id, section, slot, k, big.text FROM slots JOIN big USING (id))),
+long AS (SELECT id, text FROM parents WHERE {_TOKENS.format("text")} > 750), {_windows("part", "long", 400, 48)},
+ends AS (SELECT *, max(k) OVER (PARTITION BY id) AS last FROM part), short AS (SELECT id FROM ends WHERE k = last AND last > 0 AND {_TOKENS.format("text")} < 150),
+pieces AS (SELECT id, CASE WHEN id IN (SELECT id FROM short) AND k = last THEN k - 1 ELSE k END AS k, string_agg(text, ' ' ORDER BY k) AS text FROM ends GROUP BY 1, 2),
+children AS (SELECT page_id, section, parent, row_number() OVER (PARTITION BY page_id, section ORDER BY parent, k) - 1 AS child, text FROM (
+  SELECT page_id, section, parent, 0 AS k, text FROM parents WHERE id NOT IN (SELECT id FROM long) UNION ALL SELECT page_id, section, parent, k, pieces.text FROM parents JOIN pieces USING (id))),
+every AS (SELECT page_id, section, parent, NULL::BIGINT AS child, 0 AS kind, text FROM parents UNION ALL SELECT page_id, section, parent, child, 1, text FROM children),
+keyed AS (SELECT e.*, {_TOKENS.format("e.text")} AS tokens, row_number() OVER (PARTITION BY e.page_id ORDER BY e.section, parent, kind, child) - 1 AS seq,
+  sha256(encode(e.page_id::VARCHAR) || '\\x1F'::BLOB || encode(array_to_string(o.path, '>')) || '\\x1F'::BLOB || encode(o.level::VARCHAR) || '\\x1F'::BLOB || encode(o.sibling::VARCHAR) || '\\x1F'::BLOB) AS section_key FROM every e JOIN o ON e.page_id = o.page_id AND e.section = o.section),
+stable AS (SELECT *, sha256(unhex(section_key) || '\\x1F'::BLOB || encode(CASE WHEN kind = 0 THEN 'parent' ELSE parent::VARCHAR END) || '\\x1F'::BLOB || encode(coalesce(child, parent)::VARCHAR) || '\\x1F'::BLOB || unhex(sha256(encode(text) || '\\x1F'::BLOB)) || '\\x1F'::BLOB) AS stable_key FROM keyed)
+SELECT c.page_id, c.section, c.parent::INT AS parent, c.child::INT AS child, c.kind, c.tokens, c.seq::INT AS seq, c.stable_key, p.stable_key AS parent_key,
+  CASE WHEN c.kind = 1 THEN lag(c.stable_key) OVER n END AS prev_key, CASE WHEN c.kind = 1 THEN lead(c.stable_key) OVER n END AS next_key
+FROM stable c LEFT JOIN stable p ON c.kind = 1 AND p.kind = 0 AND p.page_id = c.page_id AND p.section = c.section AND p.parent = c.parent WINDOW n AS (PARTITION BY c.page_id, c.kind ORDER BY c.seq)""")
 def plan_chunks(spark, d):
     planned = written(K.plan_chunks(B.build_sections(B.heading_paths(I.blocks(spark, d)))), "chunks")
     return K.link_chunks(planned).select("page_id", "section", "parent", "child", "kind", "tokens", "seq", "stable_key", "parent_key", "prev_key", "next_key")
 
 
-_FITS = "greatest(({b}) - ({a}), ceil((s[({b}) + 1] - s[({a}) + 1] - 1) / 4.0)) <= 400"
-
-
-@query(rf"""
-WITH RECURSIVE t AS (SELECT doc_id, text, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS tidy FROM documents),
-w AS (SELECT doc_id, length(text) AS chars, greatest(len(string_split(tidy, ' ')), ceil(length(text) / 4.0))::INT AS tokens, flatten(list_transform(string_split(tidy, ' '),
-  lambda x: CASE WHEN length(x) <= 1600 THEN [x] ELSE list_transform(range(0, length(x), 1600), lambda k: substr(x, k + 1, 1600)) END)) AS ws FROM t WHERE tidy <> ''),
-each AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w WHERE tokens > 400),
-sums AS (SELECT doc_id, i, sum(length(x) + 1) OVER o AS s, sum(greatest(1, ceil(length(x) / 4.0))) OVER o AS c FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-p AS (SELECT doc_id, max(i) AS n, list_prepend(0, list(s::BIGINT ORDER BY i)) AS s, list_prepend(0, list(c::BIGINT ORDER BY i)) AS c FROM sums GROUP BY doc_id),
-r(doc_id, n, k, a, e) AS (SELECT doc_id, n, 0, 0::BIGINT, coalesce(list_filter(range(1, n), lambda i: NOT ({_FITS.format(a="0", b="i + 1")}))[1], n) FROM p
-  UNION ALL SELECT doc_id, n, k + 1, a2, coalesce(list_filter(range(e + 1, n), lambda i: NOT ({_FITS.format(a="a2", b="i + 1")}))[1], n)
-  FROM (SELECT *, coalesce(list_filter(range(t, e), lambda j: {_FITS.format(a="j", b="e + 1")})[1], e) AS a2
-    FROM (SELECT r.*, p.s, p.c, list_filter(range(r.a, r.e + 1), lambda j: p.c[r.e + 1] - p.c[j + 1] <= 48)[1] AS t FROM r JOIN p ON r.doc_id = p.doc_id WHERE r.e < r.n)))
-SELECT doc_id AS id, 0 AS n, chars, tokens FROM w WHERE tokens <= 400
-UNION ALL SELECT r.doc_id, k, (s[e + 1] - s[a + 1] - 1)::INT, greatest(e - a, ceil((s[e + 1] - s[a + 1] - 1) / 4.0))::INT FROM r JOIN p ON r.doc_id = p.doc_id""")
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, text, {_TIDY.format("coalesce(text, '')")} AS tidy FROM documents),
+w AS (SELECT doc_id AS id, text, {_TOKENS.format("text")} AS tokens FROM t WHERE tidy <> ''), long AS (SELECT id, text FROM w WHERE tokens > 400), {_windows("r", "long", 400, 48)}
+SELECT id, 0 AS n, length(text)::INT AS chars, tokens FROM w WHERE tokens <= 400 UNION ALL SELECT id, k, length(text)::INT, {_TOKENS.format("text")} FROM r""")
 def split_windows(spark, d):
     return K.split_column(I.table(spark, d, "documents"), "doc_id", "text", 400, 48).select("id", "n", F.length("window").alias("chars"), T.token_count(F.col("window")).alias("tokens"))
 

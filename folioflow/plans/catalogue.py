@@ -1037,12 +1037,34 @@ def build_index(spark, d):
     return out.select("page_id", "kind", "seq", "tokens", "stable_key", "parent_key", F.sha2(F.encode("retrieval_text", "UTF-8"), 256).alias("retrieval_sha256"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"))
 
 
-@query()
+_SIGNS = "etaoinsrhdlu"
+
+
+def _letters(texts):
+    """Stands for an embedding model: counts of some letters."""
+    return [[float(t.count(c)) for c in _SIGNS] for t in texts]
+
+
+_LETTERS = "[" + ", ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', '')))::DOUBLE" for c in _SIGNS) + "]"
+_UNIT = "(CASE WHEN list_dot_product({0}, {0}) = 0 THEN {0} ELSE list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0}))) END)"
+
+
+@query(f"""WITH {I.CHUNKS}, {_KEYWORD}, asked AS (SELECT item_id AS query_id, CASE WHEN item_id % 10 = 0 THEN item_id % 20 END AS space, item_id % 2 = 0 AS named, CASE WHEN item_id % 3 = 0 THEN ['en', 'general'] ELSE ['*'] END AS scopes, {_LETTERS.format("text")} AS v FROM benchmark),
+live AS (SELECT chunk_id, page_id, space_id, source_id, tags, {_LETTERS.format("coalesce(text, '')")} AS v FROM chunks WHERE is_active AND page_status = 'current'),
+units AS (SELECT * EXCLUDE (v), {_UNIT.format("v")} AS u FROM live), seen AS (SELECT query_id, page_id, round(1 - list_dot_product({_UNIT.format("a.v")}, u), 9) AS distance FROM asked a JOIN units l
+  ON (space IS NULL OR space_id = space) AND (list_contains(scopes, '*') OR len(tags) = 0 OR list_has_any(tags, scopes)) AND regexp_full_match(source_id, 'src1?[0-9]')),
+words AS (SELECT h.query_id, h.doc_id AS page_id, row_number() OVER (PARTITION BY h.query_id ORDER BY round(h.score, 9) DESC, h.doc_id) AS r FROM hit h JOIN seen s ON h.query_id = s.query_id AND h.doc_id = s.page_id QUALIFY r <= 75),
+near AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, page_id) AS r FROM seen QUALIFY r <= 75),
+fused AS (SELECT query_id, page_id, w.r AS kr, round(coalesce(1.0 / (60 + w.r), 0) + coalesce(1.0 / (60 + n.r), 0), 12) AS rrf FROM words w FULL JOIN near n USING (query_id, page_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, coalesce(kr, 1000000), page_id) AS rank FROM fused),
+open AS (SELECT f.query_id, f.page_id, rank FROM ranked f JOIN asked a USING (query_id) JOIN chunks c ON c.page_id = f.page_id WHERE CASE WHEN space IS NOT NULL THEN c.space_id = space ELSE named OR f.page_id % 7 <> 0 END),
+cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM open)
+SELECT query_id, page_id, CAST(r AS INT) AS rank, CAST(least(n, 75) - r + 1 AS DOUBLE) AS score FROM cut WHERE r <= 5""")
 def retrieve_pages(spark, d):
     """Benchmark passages as questions over all documents: keyword and vector lists to the reranked top five."""
     chunks = I.chunks(spark, d).withColumn("title", F.col("source_id")).withColumn("seq", F.lit(0))
-    chunks = written(K.embed_texts(chunks, Z.bag_embedder()), "embedded")
-    asked = K.embed_texts(_questions(spark, d), Z.bag_embedder()).withColumnRenamed("embedding", "vec")
+    chunks = written(K.embed_texts(chunks, _letters), "embedded")
+    asked = K.embed_texts(_questions(spark, d), _letters).withColumnRenamed("embedding", "vec")
     every = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda x: F.concat(F.lit("src"), x.cast("string")))
     asked = asked.withColumns({"space_trust": F.when(F.col("query_id") % 10 == 0, F.col("query_id") % 20), "principal": F.when(F.col("query_id") % 2 == 0, F.lit("u1")), "sources": every, "scopes": F.when(F.col("query_id") % 3 == 0, _lit_array("en", "general")).otherwise(_lit_array("*"))})
     restricted = chunks.where("page_id % 7 = 0").select("page_id", F.lit("u1").alias("principal"))

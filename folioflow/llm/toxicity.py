@@ -20,7 +20,7 @@ from .common import batches_of, texts
 _TERM = re.compile(r"[^\W\d_]+")
 STEM = 5  # letters
 TIMES = (1, 2, 3, 5)  # distinct words of a stem: each number that is reached is a term
-MEMO = 500_000
+MEMO = 250_000  # words that a task remembers
 BLOCK = 2048  # rows, and terms, whose pairs are counted together
 _memo: dict[str, tuple[int, int]] = {}
 
@@ -182,6 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 2
         for b in batches_of(batches):
             each = [buckets(t, dims).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(each, pa.binary())], ["doc_id", "y", "terms"])
+        _memo.clear()  # Python workers live on
 
     got = rows.mapInArrow(hashed, "doc_id long, y int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("terms", "ascending")])
     return FactorizationMachine(dims, factors).fit([np.frombuffer(t, np.int32).astype(np.int64) for t in got.column("terms").to_pylist()], got.column("y").to_numpy().astype(np.float64))
@@ -198,5 +199,6 @@ def toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id
             m = held.value
             x = m.margins([buckets(t, m.dims) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))), pa.float64())], ["doc_id", "rid", "score"])
+        _memo.clear()
 
     return rows.mapInArrow(score, "doc_id long, rid long, score double")

@@ -99,6 +99,27 @@ def test_a_full_filter_leaves_the_lowest_levels_out(spark):
         assert (small.levels(distinct) >= np.where(want >= small.least, want, 0)).all()
 
 
+@pytest.mark.parametrize("priors", [(100.0,), (50.0, 5.0)])
+def test_counts_beyond_a_full_filter_go_by_a_join(spark, monkeypatch, priors):
+    rng = random.Random(7)
+    texts = [*zipf(7), *(" ".join(f"x{rng.randrange(3000)}" for _ in range(200)) for _ in range(100))]
+    texts += texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learns = F.col("doc_id") % 5 != 1
+    monkeypatch.setattr(lm, "HOT", 100)
+    whole = {r.doc_id: r for r in lm.score_texts(docs, learns, priors).collect()}
+    model, _, low = lm.fit(docs, learns, priors, most_bits=1 << 17)
+    assert model.held.value.least > 1 and low.count() > 10_000
+    small = {r.doc_id: r for r in lm.score_texts(docs, learns, priors, most_bits=1 << 17).collect()}
+    exact = Exact([t for i, t in enumerate(texts) if i % 5 != 1], priors)
+    assert small.keys() == whole.keys()
+    for i, t in enumerate(texts):
+        a, b = small[i], whole[i]
+        assert (a.n_known, round(a.base_score, 9)) == (b.n_known, round(b.base_score, 9))
+        assert a.score == pytest.approx(exact.score(t), abs=0.12 * a.n_tokens + 1.5)
+    assert sum(r.score for r in small.values()) == pytest.approx(sum(r.score for r in whole.values()), rel=0.02)
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b A"), (1, "a b A"), (2, None), (3, ""), (None, "a c"), (4, "z " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("rid", "learns", "token", "tf", "c", "n", "x", "cold", "score", "key", "block")})

@@ -52,6 +52,16 @@ def test_postings_of_stems_join_beyond_the_broadcast(spark, monkeypatch):
     assert {(r.term, r.tf) for r in got.collect()} == {("the", 1), ("walk", 2)} and got.count() == 100
 
 
+def test_batches_of_a_stream_have_many_files(spark, tmp_path):
+    from folioflow.plans.catalogue import _dealt
+
+    path = str(tmp_path / "dealt")
+    assert _dealt(spark.range(0, 9_000, 1, 17), path, 4) == 5
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 9_000 and max(sizes) < 600
+    assert _dealt(spark.range(0, 9, 1, 1), str(tmp_path / "few"), 4) == 1
+
+
 def test_deep_trees_take_few_rounds(spark, monkeypatch):
     n, rounds = 10_000, []
     chain = spark.range(n).selectExpr("id AS page_id", "nullif(id - 1, -1) AS parent_id", "1 AS space_id")

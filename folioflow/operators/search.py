@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator, Broadcast
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +21,9 @@ from .tables import written
 
 WORD = r"[^\p{L}\p{N}]+"
 MANY = 1_000_000  # the rank of what is in no keyword list
-MOST_STEMS = 1_000_000  # terms that are broadcast with their stems, about 50 MB
+MOST_STEMS = 250_000  # terms whose stems a task remembers, about 50 MB
+MOST_TERMS = 1_000_000  # terms of queries, and repeated ids, that are broadcast
+_stemmed: dict[str, str] = {}
 
 
 def terms_of(text: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -31,16 +36,59 @@ def english_stop_words() -> tuple[str, ...]:
     return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 
-def chunk_terms(chunks: DataFrame, id_cols: tuple[str, ...], text: Column, stop: tuple[str, ...] = (), stems: bool = False) -> DataFrame:
-    """(ids, term, tf): the postings. Terms are counted within each row first, so what is shuffled is one row for each
-    distinct term of a chunk. With ``stems``, terms are Porter stems: distinct terms are stemmed once and joined back."""
-    counted = chunks.select(*id_cols, F.explode(terms_of(text, stop)).alias("term")).groupBy(*id_cols, "term").agg(F.count("*").cast("int").alias("tf"))
-    if not stems:
-        return counted
-    counted = written(counted, "terms")
-    known = written(stem_dictionary(counted), "stems")
-    known = F.broadcast(known) if known.count() <= MOST_STEMS else known  # beyond, a shuffle by term, in which large keys are split
-    return counted.join(known, "term").groupBy(*id_cols, F.col("stem").alias("term")).agg(F.sum("tf").cast("int").alias("tf"))
+def asked_terms(queries: DataFrame, stop: tuple[str, ...] = (), stems: bool = False) -> DataFrame:
+    """(term): the distinct terms of the queries' texts."""
+    terms = queries.select(F.explode(terms_of(F.col("text"), stop)).alias("term")).distinct()
+    return stem_dictionary(terms).select(F.col("stem").alias("term")).distinct() if stems else terms
+
+
+def _stem(term: str) -> str:
+    if (s := _stemmed.get(term)) is None:
+        s = _stemmed[term] = stem(term)
+    return s
+
+
+def chunk_terms(chunks: DataFrame, id_cols: tuple[str, ...], text: Column, stop: tuple[str, ...] = (), stems: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """(ids, term, tf): the postings. Terms are counted within each row, where its text is; rows are shuffled only
+    if their ids come more than once. With ``stems``, terms are Porter stems. ``only`` (term, distinct) are the terms that are wanted, where not all are."""
+    asked = None
+    if only is not None and (only := written(only, "only")).count() <= MOST_TERMS:
+        asked = chunks.sparkSession.sparkContext.broadcast(only.toArrow().column("term").combine_chunks())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                lists = part.column("terms")
+                coded = lists.flatten().dictionary_encode()
+                codes, names = coded.indices.to_numpy(), coded.dictionary
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
+                if stems:
+                    if len(_stemmed) > MOST_STEMS:
+                        _stemmed.clear()
+                    stemmed = pa.array(list(map(_stem, names.to_pylist())), pa.string()).dictionary_encode()
+                    codes, names = stemmed.indices.to_numpy()[codes], stemmed.dictionary
+                if asked is not None:
+                    wanted = pc.is_in(names, value_set=asked.value).to_numpy(zero_copy_only=False)[codes]
+                    codes, row = codes[wanted], row[wanted]
+                if not len(codes):
+                    continue
+                each, tf = np.unique(row * len(names) + codes, return_counts=True)
+                row, codes = (pa.array(x) for x in np.divmod(each, len(names)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in id_cols), names.take(codes), pa.array(tf.astype(np.int32))], [*id_cols, "term", "tf"])
+        _stemmed.clear()  # Python workers live on
+
+    ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.select(*id_cols).schema.fields)
+    counted = lambda df: df.select(*id_cols, terms_of(text, stop).alias("terms")).mapInArrow(count, f"{ids}, term string, tf int")
+    again = written(chunks.groupBy(*id_cols).agg(F.count("*").alias("_rows")).where("_rows > 1").select(*(F.col(c).alias(f"_again_{c}") for c in id_cols)), "again")
+    if n := again.count():
+        again = F.broadcast(again) if n <= MOST_TERMS else again
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_again_{c}")) for c in id_cols))
+        merged = counted(chunks.join(again, same, "left_semi")).groupBy(*id_cols, "term").agg(F.sum("tf").cast("int").alias("tf"))
+        out = counted(chunks.join(again, same, "left_anti")).unionByName(merged)
+    else:
+        out = counted(chunks)
+    return out.join(only, "term", "left_semi").select(*out.columns) if only is not None and asked is None else out
 
 
 def repeats_weight(tf: Column) -> Column:

@@ -52,6 +52,29 @@ def test_postings_of_stems_join_beyond_the_broadcast(spark, monkeypatch):
     assert {(r.term, r.tf) for r in got.collect()} == {("the", 1), ("walk", 2)} and got.count() == 100
 
 
+def test_terms_are_counted_where_the_rows_are(spark):
+    text = F.col("text")
+    docs = spark.createDataFrame([(i, f"One two two w{i}, walking WALKS" if i % 5 else None) for i in range(40)], "chunk_id long, text string")
+    for stems, walk in ((False, [("walking", 1), ("walks", 1)]), (True, [("walk", 2)])):
+        got = R.chunk_terms(docs, ("chunk_id",), text, ("one",), stems)
+        assert "chunk_id" not in (got._jdf.queryExecution().toString().split("Physical Plan")[-1].split("Exchange")[1:] or [""])[0]  # no shuffle
+        assert sorted((r.chunk_id, r.term, r.tf) for r in got.collect()) == sorted((i, *x) for i in range(40) if i % 5 for x in [("two", 2), (f"w{i}", 1), *walk])
+    twice = docs.unionByName(docs.where("chunk_id < 3")).unionByName(spark.createDataFrame([(None, "a b"), (None, "b")], docs.schema))
+    got = {(r.chunk_id, r.term): r.tf for r in R.chunk_terms(twice, ("chunk_id",), text).collect()}
+    assert (got[1, "two"], got[2, "one"], got[3, "two"], got[None, "a"], got[None, "b"]) == (4, 2, 2, 1, 2)
+    only = spark.createDataFrame([("walk",), ("w7",), ("none",)], "term string")
+    assert {(r.term, r.tf) for r in R.chunk_terms(docs, ("chunk_id",), text, stems=True, only=only).collect()} == {("walk", 2), ("w7", 1)}
+
+
+def test_wanted_terms_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} b{i % 3}") for i in [*range(9), 4, 4]], "chunk_id long, text string")
+    only = spark.createDataFrame([("b1",), ("x",)], "term string")
+    want = {(1, "b1", 2), (4, "b1", 6), (7, "b1", 2)}
+    for most in (R.MOST_TERMS, 0):
+        monkeypatch.setattr(R, "MOST_TERMS", most)
+        assert {tuple(r) for r in R.chunk_terms(docs, ("chunk_id",), F.col("text"), only=only).collect()} == want
+
+
 def test_batches_of_a_stream_have_many_files(spark, tmp_path):
     from folioflow.plans.catalogue import _dealt
 

@@ -21,7 +21,9 @@ _TERM = re.compile(r"[^\W\d_]+")
 STEM = 5  # letters
 TIMES = (1, 2, 3, 5)  # distinct words of a stem: each number that is reached is a term
 MEMO = 250_000  # words that a task remembers
-BLOCK = 2048  # rows, and terms, whose pairs are counted together
+BLOCK = 2048  # terms whose pairs are counted together
+ROWS = 512  # rows that are counted together
+SLAB = 64  # terms whose pairs with all others are judged together: the driver holds few floats at a time
 _memo: dict[str, tuple[int, int]] = {}
 
 
@@ -67,14 +69,17 @@ def mixed_terms(rows: list[np.ndarray], y: np.ndarray, kept: np.ndarray, terms:
     at, of = ([np.searchsorted(t, r[np.isin(r, t, assume_unique=True)]) for r in rows] for t in (terms, kept))
     own, own_hit = np.zeros((2, len(kept)))
     both, hit = np.zeros((2, len(kept), len(terms)), np.float32)
-    for k in range(0, len(rows), BLOCK):
-        a, b, label = _marked(of[k : k + BLOCK], len(kept)), _marked(at[k : k + BLOCK], len(terms)), y[k : k + BLOCK] > 0
+    for k in range(0, len(rows), ROWS):
+        a, b, label = _marked(of[k : k + ROWS], len(kept)), _marked(at[k : k + ROWS], len(terms)), y[k : k + ROWS] > 0
         own += a.sum(axis=0)
         own_hit += a[label].sum(axis=0)
         both += a.T @ b
         hit += a[label].T @ b[label]
     share = np.clip(own_hit / np.maximum(own, 1), 1e-6, 1 - 1e-6)
-    return terms[(_deviance(both, hit, share[:, None]) >= least).any(axis=0)]
+    found = np.zeros(len(terms), bool)
+    for s in range(0, len(kept), SLAB):
+        found |= (_deviance(both[s : s + SLAB], hit[s : s + SLAB], share[s : s + SLAB, None]) >= least).any(axis=0)
+    return terms[found]
 
 
 def paired_terms(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, least: float) -> np.ndarray:
@@ -86,17 +91,16 @@ def paired_terms(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, least
     for i in range(0, len(terms), BLOCK):
         for j in range(i, len(terms), BLOCK):
             count, hit = np.zeros((2, min(BLOCK, len(terms) - i), min(BLOCK, len(terms) - j)), np.float32)
-            for k in range(0, len(rows), BLOCK):
-                part, label = at[k : k + BLOCK], y[k : k + BLOCK] > 0
-                x = np.zeros((len(part), len(terms)), np.float32)
-                x[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)] = 1
+            for k in range(0, len(rows), ROWS):
+                x, label = _marked(at[k : k + ROWS], len(terms)), y[k : k + ROWS] > 0
                 a, b = x[:, i : i + BLOCK], x[:, j : j + BLOCK]
                 count += a.T @ b
                 hit += a[label].T @ b[label]
-            odd = _deviance(count, hit, p) >= least
-            odd &= np.arange(i, i + len(odd))[:, None] < np.arange(j, j + odd.shape[1])
-            found[i : i + BLOCK] |= odd.any(axis=1)
-            found[j : j + BLOCK] |= odd.any(axis=0)
+            for s in range(0, len(count), SLAB):
+                odd = _deviance(count[s : s + SLAB], hit[s : s + SLAB], p) >= least
+                odd &= np.arange(i + s, i + s + len(odd))[:, None] < np.arange(j, j + odd.shape[1])
+                found[i + s : i + s + len(odd)] |= odd.any(axis=1)
+                found[j : j + odd.shape[1]] |= odd.any(axis=0)
     return terms[found]
 
 
@@ -132,8 +136,10 @@ class FactorizationMachine:
             self.w0, self.used[:] = (-4.0 if not y.sum() else 4.0), False
             return self
         p = float(y.mean())
-        count = np.bincount(np.concatenate(rows).astype(np.int64), minlength=self.dims)
-        hit = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, y, strict=True) if t)]).astype(np.int64), minlength=self.dims)
+        count, hit = np.zeros((2, self.dims), np.int64)
+        for r, t in zip(rows, y, strict=True):
+            count[r] += 1  # a row has a bucket once
+            hit[r] += t > 0
         z = (hit - count * p) / np.sqrt(np.maximum(count * p * (1 - p), 1e-9))
         self.used = (count >= least_rows) & (np.abs(z) >= least_z)
         frequent = count >= max(least_rows, pair_support * len(rows))
@@ -185,7 +191,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 2
         _memo.clear()  # Python workers live on
 
     got = rows.mapInArrow(hashed, "doc_id long, y int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("terms", "ascending")])
-    return FactorizationMachine(dims, factors).fit([np.frombuffer(t, np.int32).astype(np.int64) for t in got.column("terms").to_pylist()], got.column("y").to_numpy().astype(np.float64))
+    rows = [np.frombuffer(t.as_buffer(), np.int32) for t in got.column("terms")]  # no copies: what the driver holds is what came
+    return FactorizationMachine(dims, factors).fit(rows, got.column("y").to_numpy().astype(np.float64))
 
 
 def toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -156,7 +156,9 @@ class _Part:
 
 def keyword_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, visible: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None, k: int = 75, stop: tuple[str, ...] = (), block: int = 4096, size: int = 512, stems: bool = False) -> DataFrame:
     """(query_id, chunk_id, page_id, score, rank): the first ``k`` chunks with any of the query's terms, by score, then page, then chunk.
-    See `search_index`; the index is made and written here."""
+    See `search_index`; the index is made and written here, of the terms that the queries have."""
+    asked = written(asked_terms(queries, stop, stems), "asked")
+    postings = postings.join(F.broadcast(asked) if asked.count() <= MOST_TERMS else asked, "term", "left_semi")
     return search_index(queries, written(postings_index(postings, chunks, size), "postings"), visible, k, stop, block, stems)
 
 

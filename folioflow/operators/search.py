@@ -224,7 +224,7 @@ def vector_cells(vectors: DataFrame, cells: int = 256, per_cell: int = 1024) ->
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
-                x = _unit(np.stack([np.asarray(v, np.float64) for v in part.column("embedding").to_pylist()]))
+                x = _unit(part.column("embedding").flatten().to_numpy().reshape(part.num_rows, -1))
                 d = np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * x @ centres.T)
                 cell = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(cell)), cell]))], [*part.schema.names, "cell", "far"])

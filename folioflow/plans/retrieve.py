@@ -19,18 +19,17 @@ from ..operators.tables import written
 
 def _may_see(queries: pd.DataFrame, chunks: pd.DataFrame) -> np.ndarray:
     """Whether a chunk may be found by each query, by source, scope and space trust; unknown means no. Both sides have few distinct values."""
-    source = chunks["source_id"].to_numpy()
-    tags = [frozenset(t) if t is not None else frozenset() for t in chunks["tags"]]
-    kinds = {t: k for k, t in enumerate(dict.fromkeys(tags))}
-    which = np.array([kinds[t] for t in tags])
-    out = np.zeros((len(queries), len(chunks)), bool)
-    for i, (space, sources, scopes) in enumerate(zip(queries["space_trust"], queries["sources"], queries["scopes"], strict=True)):
-        allowed = frozenset(scopes) if scopes is not None else frozenset()
-        ok = np.array([V.ANY_SCOPE in allowed or not t or bool(t & allowed) for t in kinds])
-        out[i] = ok[which] & np.isin(source, list(sources) if sources is not None else [])
-        if not pd.isna(space):
-            out[i] &= chunks["space_id"].to_numpy() == int(space)
-    return out
+    tags = [tuple(t) if t is not None else () for t in chunks["tags"]]
+    kinds: dict[tuple, int] = {}
+    which = np.fromiter((kinds.setdefault(x, len(kinds)) for x in zip(chunks["space_id"], chunks["source_id"], tags, strict=True)), np.int64, len(chunks))
+    own: dict[tuple, int] = {}
+    asks = [own.setdefault((None if pd.isna(s) else int(s), *(tuple(x) if x is not None else () for x in more)), len(own)) for s, *more in zip(queries["space_trust"], queries["sources"], queries["scopes"], strict=True)]
+    out = np.zeros((len(own), len(kinds)), bool)
+    for i, (space, sources, scopes) in enumerate(own):
+        sources, scopes = set(sources), set(scopes)
+        for j, (at, source, t) in enumerate(kinds):
+            out[i, j] = (space is None or at == space) and source in sources and (V.ANY_SCOPE in scopes or not t or not scopes.isdisjoint(t))
+    return out[np.array(asks, np.int64)[:, None], which]
 
 
 def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, registry: DataFrame, restrictions: DataFrame, k: int = 75, depth: int = 75, top: int = 5, scorer: Callable | None = None) -> DataFrame:

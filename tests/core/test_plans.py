@@ -109,3 +109,24 @@ def test_flagship(spark):
     row = catalogue.flagship(spark, DATA).first()
     assert row.cases > 0 and 0 <= row.recall <= 1
     assert set(E.METRICS) < set(row.asDict())
+
+
+def test_visibility_is_decided_once_a_kind_of_chunk():
+    import pandas as pd
+
+    class Counted(list):
+        asked = 0
+
+        def __iter__(self):
+            Counted.asked += 1
+            return super().__iter__()
+
+    n = 600
+    chunks = pd.DataFrame({"space_id": [i % 3 for i in range(n)], "source_id": [f"s{i % 2}" for i in range(n)], "tags": [None if i % 5 == 0 else [] if i % 5 == 1 else [f"t{i % 4}", "x"] for i in range(n)]})
+    asks = [(None, ["s0", "s1"], ["*"]), (1, ["s0"], ["t1"]), (None, None, ["*"]), (2, ["s1"], None), (None, ["s1"], ["x"])] * 20
+    queries = pd.DataFrame({"space_trust": [a[0] for a in asks], "sources": [Counted(a[1]) if a[1] is not None else None for a in asks], "scopes": [a[2] for a in asks]})
+    got = retrieve._may_see(queries, chunks)
+    for (space, sources, scopes), row in zip(asks, got, strict=True):
+        want = [(space is None or c.space_id == space) and c.source_id in (sources or []) and ("*" in (scopes or []) or not c.tags or bool(set(c.tags) & set(scopes or []))) for c in chunks.itertuples()]
+        assert row.tolist() == want
+    assert got.shape == (100, n) and Counted.asked <= 100  # a query's sources are read once, not for all chunks

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,14 +134,15 @@ def link_chunks(chunks: DataFrame) -> DataFrame:
 def embed_texts(rows: DataFrame, embedder: Callable[[list[str]], list], text_col: str = "text", batch: int = 128) -> DataFrame:
     """rows with embedding array<float>, by a callable from texts to vectors, in batches."""
 
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), batch):  # what Python holds of long texts and vectors stays small
-                part = b.iloc[i : i + batch]
-                yield part.assign(embedding=[list(map(float, v)) for v in embedder(part[text_col].fillna("").tolist())])
+            for i in range(0, b.num_rows, batch):  # what Python holds of long texts and vectors stays small
+                part = b.slice(i, batch)
+                vectors = [np.asarray(v, np.float32) for v in embedder([t or "" for t in part.column(text_col).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*part.schema.names, "embedding"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(embed, f"{schema}, embedding array<float>")
+    return rows.mapInArrow(embed, f"{schema}, embedding array<float>")
 
 
 def embed_once(rows: DataFrame, embedder: Callable[[list[str]], list], store: str, text_col: str = "text", batch: int = 128, slices: int = 16) -> DataFrame:

@@ -130,3 +130,12 @@ def test_visibility_is_decided_once_a_kind_of_chunk():
         want = [(space is None or c.space_id == space) and c.source_id in (sources or []) and ("*" in (scopes or []) or not c.tags or bool(set(c.tags) & set(scopes or []))) for c in chunks.itertuples()]
         assert row.tolist() == want
     assert got.shape == (100, n) and Counted.asked <= 100  # a query's sources are read once, not for all chunks
+
+
+def test_embedding_goes_by_slices_of_arrow(spark):
+    from folioflow.operators.chunking import embed_texts
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "a" * i, ["p", None]) for i in range(300)], "i long, text string, path array<string>")
+    out = embed_texts(rows, lambda texts: [[len(t), len(texts) <= 50] for t in texts], batch=50)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    assert sorted((r.i, r.path, *r.embedding) for r in out.collect()) == [(i, ["p", None], 0.0 if i % 7 == 0 else float(i), 1.0) for i in range(300)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SEPARATOR = b"\x1f"  # follows each part
+BLANK = r"(?U)[\s\x1c-\x1f]+"  # Unicode white space
 
 
 def hash_parts(*parts: Column) -> Column:
@@ -32,7 +33,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def collapse(text: Column) -> Column:
     """Stripped, runs of white space as one space (Unicode white space included)."""
-    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(text, BLANK, " "))
 
 
 def normalize_text(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import collapse
+from .hashing import BLANK, collapse
 
 CHARS_PER_TOKEN = 4
 
@@ -56,14 +56,13 @@ REDACTIONS = (
 
 
 def word_count(text: Column) -> Column:
-    tidy = collapse(F.coalesce(text, F.lit("")))
-    return F.when(tidy == "", 0).otherwise(F.size(F.split(tidy, " ")))
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), ""))
 
 
 def token_count(text: Column) -> Column:
     """Blank: 0; else the larger of the words and a quarter of the characters, rounded up."""
-    words = word_count(text)
-    return F.when(words == 0, 0).otherwise(F.greatest(words, F.ceil(F.length(text) / CHARS_PER_TOKEN).cast("int")))
+    words = word_count(text)  # in no branch, so that it is worked out once
+    return F.greatest(words, F.least(words, F.lit(1)) * F.ceil(F.length(text) / CHARS_PER_TOKEN).cast("int"))
 
 
 def metadata_prefix(title: Column, path: Column) -> Column:

@@ -118,12 +118,13 @@ def heading_paths(blocks: DataFrame) -> DataFrame:
 
 def build_sections(blocks: DataFrame) -> DataFrame:
     """blocks (with path) with section (0 for what comes before any heading, if anything), section_level and
-    sibling_ordinal: how many sections of the page had this path before."""
+    sibling_ordinal: how many sections of the page had this path before. All of it goes by page, so rows are dealt once. Rows
+    without a page have no section and are left out."""
     is_heading = (F.col("kind") == "heading").cast("int")
     out = blocks.withColumn("section", F.sum(is_heading).over(_page().rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
-    heads = out.groupBy("page_id", "section").agg(F.min_by("path", "pos").alias("h_path"), F.min_by("level", "pos").alias("section_level"))
-    heads = heads.withColumn("sibling_ordinal", F.row_number().over(Window.partitionBy("page_id", "h_path").orderBy("section")) - 1)
-    return out.join(heads.select("page_id", "section", "section_level", "sibling_ordinal"), ["page_id", "section"])
+    inside = Window.partitionBy("page_id", "section").orderBy("pos")
+    out = out.where("page_id is not null").withColumns({"_path": F.first("path").over(inside), "section_level": F.first("level").over(inside)})
+    return out.withColumn("sibling_ordinal", F.dense_rank().over(Window.partitionBy("page_id", "_path").orderBy("section")) - 1).drop("_path")
 
 
 def _ordered(parts: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chunk_keys
-from ..functions.text import CHARS_PER_TOKEN, token_count
+from ..functions.text import CHARS_PER_TOKEN
 from .tables import new_path, slices
 
 
@@ -97,38 +97,46 @@ def plan_chunks(sections: DataFrame) -> DataFrame:
     """(page_id, section, path, level, sibling, parent, child, kind, text, tokens, keys, seq): parents (kind 0, child null)
     and their children (kind 1) of blocks with section columns. Children are numbered through the section; seq is the
     reading order, each parent before its children. A section without texts contributes its title."""
-    path = F.min_by("path", "pos").alias("path")
     unit = F.struct("pos", "text")
-    by_section = sections.groupBy("page_id", "section").agg(path, F.first("section_level").alias("level"), F.first("sibling_ordinal").alias("sibling"), F.array_sort(F.collect_list(unit)).alias("u"))
-    units = by_section.select("page_id", "section", "path", "level", "sibling", F.transform("u", lambda x: x["text"]).alias("units"))
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in slices(batches):
-            out = []
-            for page, section, p, level, sibling, texts in b.itertuples(index=False):
-                texts = [t for t in texts if t] or [t for t in list(p)[-1:] if t]
+    first = [F.min_by("path", "pos").alias("path"), *(F.first(c).alias(n) for c, n in (("section_level", "level"), ("sibling_ordinal", "sibling")))]
+    by_section = sections.groupBy("page_id", "section").agg(*first, F.array_sort(F.collect_list(unit)).alias("u"))
+    names = ["page_id", "section", "path", "level", "sibling"]
+    units = by_section.select(*names, F.col("u.text").alias("units"))
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # what is made of long texts stays small
+            parent_of, child_of, kinds, said, tokens, ends = [], [], [], [], [], [0]
+            for p, texts in zip(b.column("path").to_pylist(), b.column("units").to_pylist(), strict=True):
+                texts = [t for t in texts if t] or [t for t in p[-1:] if t]
                 child = 0
                 for n, parent in enumerate(pack_parents(texts)):
-                    out.append((page, section, p, level, sibling, n, None, 0, parent))
-                    for c in split_children(parent):
-                        out.append((page, section, p, level, sibling, n, child, 1, c))
-                        child += 1
-            yield pd.DataFrame(out, columns=["page_id", "section", "path", "level", "sibling", "parent", "child", "kind", "text"]).astype({"child": "Int32"})
-
-    planned = units.mapInPandas(plan, "page_id long, section int, path array<string>, level int, sibling int, parent int, child int, kind int, text string")
+                    kids = split_children(parent)
+                    parent_of += [n] * (1 + len(kids))
+                    child_of += [None, *range(child, child + len(kids))]
+                    kinds += [0] + [1] * len(kids)
+                    said += [parent, *kids]
+                    tokens.append(count(parent))
+                    tokens += [tokens[-1] if kids[0] is parent else count(c) for c in kids]
+                    child += len(kids)
+                ends.append(len(said))
+            chunk = pa.StructArray.from_arrays([pa.array(x, t) for x, t in ((parent_of, pa.int32()), (child_of, pa.int32()), (kinds, pa.int32()), (said, pa.string()), (tokens, pa.int32()))], ["parent", "child", "kind", "text", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunk)], [*names, "chunks"])
+
+    planned = units.mapInArrow(plan, "page_id long, section int, path array<string>, level int, sibling int, chunks array<struct<parent:int,child:int,kind:int,text:string,tokens:int>>")
+    planned = planned.select(*names, F.inline("chunks"))
     keys = chunk_keys(*(F.col(c) for c in ("page_id", "path", "level", "sibling", "parent", "child", "text")))
     seq = F.row_number().over(Window.partitionBy("page_id").orderBy("section", "parent", "kind", "child")) - 1
-    return planned.select("*", token_count(F.col("text")).alias("tokens"), *(c.alias(k) for k, c in keys.items()), seq.alias("seq"))
+    return planned.select("*", *(c.alias(k) for k, c in keys.items())).withColumn("seq", seq)  # hashed first: who needs no texts shuffles none
 
 
 def link_chunks(chunks: DataFrame) -> DataFrame:
     """chunks with parent_key (children: their parent's stable key), prev_key and next_key (of the page's children in
-    reading order; null at the ends)."""
-    parents = chunks.where("kind = 0").select("page_id", "section_key", "parent", F.col("stable_key").alias("parent_key"))
+    reading order; null at the ends). All of it goes by page, so rows are dealt once."""
+    family = Window.partitionBy("page_id", "section", "parent").orderBy("kind")
+    parent = F.first(F.when(F.col("kind") == 0, F.col("stable_key")), True).over(family)
     child = Window.partitionBy("page_id", "kind").orderBy("seq")
     linked = chunks.withColumn("prev_key", F.when(F.col("kind") == 1, F.lag("stable_key").over(child))).withColumn("next_key", F.when(F.col("kind") == 1, F.lead("stable_key").over(child)))
-    out = linked.join(parents, ["page_id", "section_key", "parent"], "left")
-    return out.withColumn("parent_key", F.when(F.col("kind") == 1, F.col("parent_key")))
+    return linked.withColumn("parent_key", F.when(F.col("kind") == 1, parent))
 
 
 def embed_texts(rows: DataFrame, embedder: Callable[[list[str]], list], text_col: str = "text", batch: int = 128) -> DataFrame:

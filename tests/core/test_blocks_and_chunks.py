@@ -124,6 +124,17 @@ def test_plan_and_links(spark):
     assert len({r.stable_key for r in rows}) == len(rows)
 
 
+def test_chunks_are_dealt_by_page_alone_and_linked_within_their_section(spark):
+    body = "<h2>a&gt;b</h2><p>one</p><h1>a</h1><h2>b</h2><p>two</p>"  # two sections whose trails read alike
+    blocks = B.normalize_pages(spark.createDataFrame([(1, body), (2, None), (None, body)], "page_id long, body string"))
+    linked = K.link_chunks(K.plan_chunks(B.build_sections(B.heading_paths(blocks))))
+    rows = linked.orderBy("seq").collect()
+    assert [(r.seq, r.section, r.kind, r.text, r.tokens) for r in rows] == [(2 * n + k, n + 1, k, t, K.count(t)) for n, t in enumerate(["a>b\none", "a", "b\ntwo"]) for k in (0, 1)]
+    assert [r.parent_key for r in rows] == [x for r in rows[::2] for x in (None, r.stable_key)]
+    plan = linked.drop("path", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(page_id") == plan.count("Exchange ") == 2  # blocks, then keys of chunks
+
+
 def keyed(spark, chunks):
     return spark.createDataFrame([(1, i, p + c, c, p) for i, (p, c) in enumerate(chunks)], "page_id long, idx int, stable_key string, content_key string, positional_key string")
 

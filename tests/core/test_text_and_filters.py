@@ -68,6 +68,12 @@ def test_refusals_and_backoff(spark):
     assert [r.s for r in spark.range(1, 13).select(T.retry_seconds(F.col("id")).alias("s")).collect()] == [min(5 * 2 ** (n - 1), 3600) for n in range(1, 13)]
 
 
+def test_words_lie_between_any_blanks(spark):
+    odd = [None, "\x1c", "\u3000a\x85b\xa0 c\x1f", " \n\t", "\u200b", "a\u2028\u2029b", "\x0b\x0cé  ü"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i long, t string").select("i", T.word_count(F.col("t")).alias("words"), T.token_count(F.col("t")).alias("tokens")).collect()
+    assert {r.i: (r.words, r.tokens) for r in rows} == {i: (len(t.split()), max(len(t.split()), -(-len(t) // 4)) if t.split() else 0) for i, t in enumerate(x or "" for x in odd)}
+
+
 def test_token_counts_and_prefixes(spark):
     assert [one(spark, t, T.token_count) for t in ("", "  ", "a b c", "abcdefghij")] == [0, 0, 3, 3]
     df = spark.createDataFrame([("T", ["a", "", "b"], "t"), ("T", ["T"], "t"), ("", ["a"], "t")], "title string, path array<string>, text string")

@@ -14,12 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, written
+from .common import BLANKS, batches_of, written
 from .jaccard import _mix
 
 RATIO = 1.25  # of counts from level to level
@@ -31,8 +30,15 @@ HOT = 1_000_000  # words that have a millionth of all words each, so no more tha
 SAMPLE = 64  # one n-gram in so many (by hash) is counted to see how many there are of each level
 FLUSH = 1 << 20  # distinct words, or twice as many n-grams, that a task counts before it passes them on
 END = b""  # no word is empty
+PIECE = 1 << 16  # bytes that are hashed together, so that they stay in the cache
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_BEGIN, _END = np.uint64(0x2545F4914F6CDD1D), np.uint64(xxhash.xxh3_64_intdigest(END))
+_BEGIN, _END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8F3B2C6D51E7A049)
+_BASE = 0xD1342543DE82EF95  # odd, so it has an inverse
+_POWERS, _INVERSE = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(PIECE - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+_LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * _B)  # of each byte; white space adds nothing to a word
+_LETTERS[list(BLANKS.encode())] = 0
+_LETTERS[65:91] = _LETTERS[97:123]  # A-Z
+_INK = _LETTERS != 0
 
 
 def level_bounds(ratio: float = RATIO) -> np.ndarray:
@@ -92,27 +98,96 @@ class Low:
         return np.where(self.keys[at] == keys, self.level[at], 0)
 
 
+def _spell(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64 bits of each word: the sum of its letters' numbers times powers of a base, by sums over pieces of many words."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(stops, starts[at] + PIECE, side="right")))
+        a, b = int(starts[at]), int(stops[to - 1])
+        if b - a > PIECE:  # a word of several pieces
+            parts = (int((_LETTERS[data[i : min(b, i + PIECE)]] * _POWERS[: min(b - i, PIECE)]).sum()) * pow(_BASE, i - a, 1 << 64) for i in range(a, b, PIECE))
+            out[at] = np.uint64(sum(parts) % (1 << 64))
+        else:
+            off = starts[at:to] - a
+            out[at:to] = np.add.reduceat(_LETTERS[data[a:b]] * _POWERS[: b - a], off) * _INVERSE[off]
+        at = to
+    return _mix(out)
+
+
+class Words:
+    """The words of some texts, one text after another: ``h`` has their hashes, ``n`` how many each text has. Nothing is done word by word in Python."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        held = texts.buffers()[2]
+        data = self.data = np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if held is not None else np.zeros(0, np.uint8)
+        ends = ends - ends[0]
+        ink = _INK[data]
+        begin, finish = ink.copy(), ink.copy()
+        begin[1:] &= ~ink[:-1]
+        finish[:-1] &= ~ink[1:]
+        cut = ends[(ends > 0) & (ends < len(ink))]  # texts that meet here share no word
+        begin[cut] = ink[cut]
+        finish[cut - 1] = ink[cut - 1]
+        self.starts, self.stops = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+        self.n = np.diff(np.searchsorted(self.starts, ends))
+        self.h = _spell(data, self.starts, self.stops)
+
+    def spelt(self, which: np.ndarray) -> pa.Array:
+        """Words by their numbers, A-Z lower-cased; END for those beyond the last."""
+        offsets = np.full(2 * len(self.starts) + 2, len(self.data), np.int64)  # of words and of what lies between them, and nothing at the end
+        offsets[:-2:2], offsets[1:-2:2] = self.starts, self.stops
+        each = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(self.data.tobytes().lower())])
+        return each.take(pa.array(2 * np.minimum(which, len(self.starts)))).cast(pa.binary())
+
+    def sequences(self) -> tuple[np.ndarray, np.ndarray]:
+        """See `sequences`."""
+        return _laid(self.h, self.n)
+
+
 def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    """Hashes of words and ENDs."""
+    some = np.fromiter(map(bool, words), bool, len(words))
+    out = np.full(len(words), _END)
+    if some.any():
+        out[some] = Words(pa.array([w for w in words if w], pa.binary())).h
+    return out
 
 
 def _words(text: str) -> list[bytes]:
+    """What `Words` finds, of one text."""
     return text.encode().lower().split()  # of bytes: A-Z alone, and ASCII white space
 
 
-def sequences(each: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of documents' words, each document between a begin and an end, one after another; places in the document."""
-    sizes = np.array([len(w) + 2 for w in each], np.int64)
+def _laid(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = n.astype(np.int64) + 2
     ends = np.cumsum(sizes)
     h = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
     place = np.arange(len(h)) - np.repeat(ends - sizes, sizes)
     inside = np.ones(len(h), bool)
     inside[ends - sizes] = inside[ends - 1] = False
-    h[inside] = _hashed([x for w in each for x in w])
+    h[inside] = words
     h[ends - sizes], h[ends - 1] = _BEGIN, _END
     return h, place
 
 
+def sequences(each: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of documents' words, each document between a begin and an end, one after another; places in the document."""
+    return _laid(_hashed([x for w in each for x in w]), np.array([len(w) for w in each], np.int64))
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in order, where one of each is, and each one's place among them."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    index = order[new]
+    return x[index], index, back
+
+
 def word_keys(h: np.ndarray) -> np.ndarray:
     """The keys of single words, by their hashes."""
     return _mix(h + np.uint64(1))
@@ -140,15 +215,15 @@ class Model:
 
     def levels(self, keys: np.ndarray, low: Low | None) -> np.ndarray:
         out = self.held.value.levels(keys)
-        return out if low is None else np.where(out > 0, out, low.levels(keys))
+        return out if low is None else np.where(out > self.held.value.least, out, low.levels(keys))
 
     def unheld(self, h: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(keys, each one's document, from 0) that the filter hasn't got, of words that are not among the frequent ones and of n-grams; once a document."""
+        """(keys, each one's document, from 0) that the filter hasn't got or has at its lowest level, where a false answer weighs most, of words that are not among the frequent ones and of n-grams; once a document."""
         doc = np.cumsum(place == 0) - 1
         for m, (keys, there) in enumerate(ngram_keys(h, place, len(self.priors) + 1), 1):
             there = there & ~np.isin(h, self.hot.value[0]) if m == 1 else there
             some, again = np.unique(keys[there], return_inverse=True)
-            missed = (self.held.value.levels(some) == 0)[again]
+            missed = (self.held.value.levels(some) <= self.held.value.least)[again]
             each = np.unique(doc[there][missed] * max(1, len(some)) + again[missed])
             yield some[each % max(1, len(some))], each // max(1, len(some))
 
@@ -164,7 +239,7 @@ class Model:
         p = (shorter + 0.5) / (self.n_tokens + 0.5 * (self.n_types + 1))
         shorter[place == 0] = self.n_docs
         for k, (keys, there) in zip(self.priors, ngram_keys(h, place, len(self.priors) + 1)[1:], strict=True):
-            some, again = np.unique(keys[there], return_inverse=True)
+            some, _, again = _distinct(keys[there])
             count = np.zeros(len(h))
             count[there] = values[self.levels(some, low)][again]
             of = np.maximum(np.concatenate([[0.0], shorter[:-1]]), count)  # counts are rough: no n-gram is more frequent than its context
@@ -181,7 +256,7 @@ def learn(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRIORS, r
 
 
 def fit(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRIORS, ratio: float = RATIO, most_bits: int = 1 << 30, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame, DataFrame | None]:
-    """`learn`, with the n-grams (key, level) that the filter has no room for, or none if it holds all.
+    """`learn`, with the n-grams (key, level) that the filter has no room for and those of the lowest level in it, or none if it holds all.
 
     All documents' counts are exact. The filter has at most ``most_bits`` (128 MiB): if the n-grams of all levels need more, the
     lowest levels are left out of it, as few as possible, and are written as a table. Words are n-grams too.
@@ -191,19 +266,21 @@ def fit(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRIORS, rat
 
     def count(batches):
         """Words, and of one n-gram in SAMPLE how often it comes."""
-        other, learned, held, size = Counter(), Counter(), [], 0
+        held, sampled, size, docs, learned = [], [np.zeros(0, np.uint64)], 0, 0, 0
         for b in batches_of(batches):
-            each = [_words(t) for t in b.column("text").to_pylist()]
-            for w, yes in zip(each, learns_of := b.column("learns").to_pylist(), strict=True):
-                (learned if yes else other).update(w)
-                (learned if yes else other)[END] += 1
-            for keys in _keys_of([w for w, yes in zip(each, learns_of, strict=True) if yes], orders):
-                held.append(keys[keys % np.uint64(SAMPLE) == 0])
-                size += len(held[-1])
-            if len(learned) + len(other) > FLUSH or size > FLUSH:
-                yield _counted(other, learned, held)
-                other, learned, held, size = Counter(), Counter(), [], 0
-        yield _counted(other, learned, held)
+            words, yes = Words(b.column("text")), b.column("learns").to_numpy(zero_copy_only=False).astype(bool)
+            some, index, back = _distinct(words.h)
+            held.append((some, words.spelt(index), np.bincount(back, minlength=len(some)), np.bincount(back[np.repeat(yes, words.n)], minlength=len(some))))
+            docs, learned = docs + len(yes), learned + int(yes.sum())
+            h, place = words.sequences()
+            of_learned = np.repeat(yes, words.n + 2)
+            sampled += [keys[there & of_learned & (keys % np.uint64(SAMPLE) == 0)] for keys, there in ngram_keys(h, place, orders)[1:]]
+            size += len(some) + sum(map(len, sampled[1 - orders :]))
+            if size > FLUSH:
+                yield _counted(held, sampled, docs, learned)
+                held, sampled, size, docs, learned = [], [np.zeros(0, np.uint64)], 0, 0, 0
+        if docs:
+            yield _counted(held, sampled, docs, learned)
 
     counted = rows.select("text", "learns").mapInArrow(count, "token binary, key long, n long, c long").groupBy("token", "key").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     counted = written(counted, "tokens")
@@ -224,7 +301,7 @@ def fit(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRIORS, rat
     def gather(batches):
         held, size = [], 0
         for b in batches_of(batches):
-            held += _keys_of([_words(t) for t in b.column("text").to_pylist()], orders)
+            held += [keys[there] for keys, there in ngram_keys(*Words(b.column("text")).sequences(), orders)[1:]]
             size += sum(map(len, held[1 - orders :]))
             if size > 2 * FLUSH:
                 yield _keys(held)
@@ -246,7 +323,8 @@ def fit(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRIORS, rat
     blocks = max(1, min(most_bits // BLOCK, -(-entries * 10 // BLOCK)))
 
     def fill(group: pa.Table) -> pa.Table:
-        keys, n = group.column("key").to_numpy().view(np.uint64), group.column("n").to_numpy()
+        keys, _, back = _distinct(group.column("key").to_numpy().view(np.uint64))
+        n = np.bincount(back, group.column("n").to_numpy()).astype(np.int64)
         field = np.zeros(BLOCK // 8, np.uint8)
         levels = np.searchsorted(bounds, n, side="right")
         for x in range(least, int(levels.max(initial=0)) + 1):
@@ -256,12 +334,11 @@ def fit(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRIORS, rat
 
     every = rows.where("learns").select("text").mapInArrow(gather, "key long, n long").unionByName(tokens.where("c > 0").select("token", "c").mapInArrow(single, "key long, n long"))
     block = F.pmod(F.shiftrightunsigned("key", 1), F.lit(blocks))
-    summed = every.repartition(block).withColumn("block", block).groupBy("block", "key").agg(F.sum("n").alias("n"))  # one shuffle, for counts and blocks
-    low = None
+    kept, low = every.repartition(block).withColumn("block", block), None  # one shuffle; a block's counts are summed up where its bits are set
     if least > 1:
-        summed = written(summed, "counts")
-        low = summed.where(F.col("n") < int(bounds[least - 1])).select("key", level.alias("level"))
-    kept = summed.where(F.col("n") >= int(bounds[least - 1]))
+        summed = written(kept.groupBy("block", "key").agg(F.sum("n").alias("n")), "counts")
+        low = summed.where(F.col("n") < int(bounds[least])).select("key", level.alias("level"))
+        kept = summed.where(F.col("n") >= int(bounds[least - 1]))
     field = np.zeros(blocks * BLOCK // 8, np.uint8)
     got = kept.groupBy("block").applyInArrow(fill, "block long, field binary").toArrow()  # most_bits / 8 bytes at most
     for number, bits in zip(got.column("block").to_pylist(), got.column("field"), strict=True):
@@ -279,25 +356,20 @@ def _rows(docs: DataFrame, learns: Column, id_col: str, text_col: str) -> DataFr
     return own.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"), F.col("_folioflow_learns").alias("learns"))
 
 
-def _counted(other: Counter, learned: Counter, held: list[np.ndarray]) -> pa.RecordBatch:
-    """Words with their numbers in all documents and in learning ones, then sampled n-grams with theirs in learning ones."""
-    words = list(learned.keys() | other.keys())
-    keys, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-    n, c = [learned[w] + other[w] for w in words], [learned[w] for w in words]
+def _counted(held: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]], sampled: list[np.ndarray], docs: int, learned: int) -> pa.RecordBatch:
+    """Words and ends with their numbers in all documents and in learning ones, then sampled n-grams with theirs in learning ones."""
+    some, index, back = _distinct(np.concatenate([x[0] for x in held]))
+    n, c = (np.bincount(back, np.concatenate([x[k] for x in held]), len(some)).astype(np.int64) for k in (2, 3))
+    keys, times = np.unique(np.concatenate(sampled), return_counts=True)
+    tokens = [pa.concat_arrays([x[1] for x in held]).take(pa.array(index)), pa.array([END], pa.binary()), pa.nulls(len(keys), pa.binary())]
     return pa.RecordBatch.from_arrays([
-        pa.array(words + [None] * len(keys), pa.binary()),
-        pa.array(np.concatenate([np.zeros(len(words), np.int64), keys.view(np.int64)])),
-        pa.array(n + times.tolist(), pa.int64()),
-        pa.array(c + times.tolist(), pa.int64()),
+        pa.concat_arrays(tokens),
+        pa.array(np.concatenate([np.zeros(len(some) + 1, np.int64), keys.view(np.int64)])),
+        pa.array(np.concatenate([n, [docs], times])),
+        pa.array(np.concatenate([c, [learned], times])),
     ], ["token", "key", "n", "c"])
 
 
-def _keys_of(each: list[list[bytes]], orders: int) -> list[np.ndarray]:
-    """For each order from 2 on the keys of all n-grams of documents."""
-    h, place = sequences(each)
-    return [keys[there] for keys, there in ngram_keys(h, place, orders)[1:]]
-
-
 def _keys(held: list[np.ndarray]) -> pa.RecordBatch:
     keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
@@ -318,12 +390,10 @@ def score_texts(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRI
     def judge(batches):
         hot, count, _ = model.hot.value
         for b in batches_of(batches):
-            each = [_words(t) for t in b.column("text").to_pylist()]
-            seq, place = sequences(each)
+            words = Words(b.column("text"))
+            seq, place = words.sequences()
             starts = np.flatnonzero(place == 0)
-            if not len(starts):
-                continue
-            distinct, back = np.unique(seq, return_inverse=True)
+            distinct, _, back = _distinct(seq)
             at = np.minimum(np.searchsorted(hot, distinct), max(0, len(hot) - 1))
             found = hot[at] == distinct if len(hot) else np.zeros(len(distinct), bool)
             c = np.where(found, count[at] if len(hot) else 0, 0)
@@ -331,23 +401,22 @@ def score_texts(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRI
             is_hot = found[back] & token
             base = np.add.reduceat(np.where(is_hot, model.base(c)[back], 0.0), starts)
             known = np.add.reduceat((is_hot & (c[back] > 0)).astype(np.int64), starts)
-            is_cold = token & ~is_hot
-            tokens, times, ends = [], [], [0]
-            for w, s in zip(each, starts.tolist(), strict=True):
-                own = Counter([w[i] if i < len(w) else END for i in np.flatnonzero(is_cold[s + 1 : s + 2 + len(w)]).tolist()])
-                tokens += own.keys()
-                times += own.values()
-                ends.append(len(tokens))
-            cold = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "tf"]))
+            cold = np.flatnonzero(token & ~is_hot)
+            doc = np.repeat(np.arange(len(starts)), words.n + 2)[cold]
+            own, first, again = _distinct(doc * len(distinct) + back[cold])  # a document's cold words, each once
+            of, which = doc[first], cold[first]
+            which = np.where(seq[which] == _END, len(words.h), which - 2 * of - 1)
+            each = pa.StructArray.from_arrays([words.spelt(which), pa.array(np.bincount(again, minlength=len(own)), pa.int64())], ["token", "tf"])
+            cold = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(starts) + 1)), pa.int32()), each)
             more = Low(b.column("low")) if "low" in b.schema.names else None
             score = np.add.reduceat(model.score(seq, place, (distinct, back), at, found, more), starts)
-            n = np.array([len(w) + 1 for w in each], np.int64)
+            n = words.n.astype(np.int64) + 1
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), b.column("learns"), *map(pa.array, (n, known, base, score)), cold], names)
 
     def ask(batches):
         for b in batches_of(batches):
             rid = b.column("rid").to_numpy()
-            for keys, doc in model.unheld(*sequences([_words(t) for t in b.column("text").to_pylist()])):
+            for keys, doc in model.unheld(*Words(b.column("text")).sequences()):
                 yield pa.RecordBatch.from_arrays([pa.array(rid[doc]), pa.array(keys.view(np.int64))], ["rid", "key"])
 
     rows = _rows(docs, learns, id_col, text_col)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,30 @@ def test_counts_beyond_a_full_filter_go_by_a_join(spark, monkeypatch, priors):
     assert sum(r.score for r in small.values()) == pytest.approx(sum(r.score for r in whole.values()), rel=0.02)
 
 
+@pytest.mark.parametrize("start", ["k7", "v"])
+def test_a_full_filters_false_answers_are_looked_up(spark, monkeypatch, start):
+    rng = random.Random(7)
+    texts = [*zipf(7), *(" ".join(f"x{rng.randrange(3000)}" for _ in range(200)) for _ in range(100))]
+    texts = [" ".join(start + w for w in t.split()) for t in texts]  # other hashes
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lm, "HOT", 100)
+    got = {r.doc_id: r for r in lm.score_texts(docs, F.col("doc_id") % 5 != 1, (50.0, 5.0), most_bits=1 << 17).collect()}
+    exact = Exact([t for i, t in enumerate(texts) if i % 5 != 1], (50.0, 5.0))
+    assert all(got[i].score == pytest.approx(exact.score(t), abs=0.12 * got[i].n_tokens + 1.5) for i, t in enumerate(texts))
+
+
+def test_words_of_a_batch_are_those_of_each_text(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 50)
+    rng = random.Random(8)
+    for _ in range(100):
+        texts = ["".join(rng.choice(["a", "B", "é", "Z9", "\0", "\x1c", " ", "\n", "\x0b", "  ", "long" * 40]) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 6))]
+        each = [lm._words(t) for t in texts]
+        flat = [w for x in each for w in x]
+        words = lm.Words(pa.array(["x y", *texts]).slice(1))
+        assert words.n.tolist() == list(map(len, each)) and words.spelt(np.arange(len(flat) + 1)).to_pylist() == [*flat, lm.END]
+        assert len(set(words.h.tolist())) == len(set(flat)) and (words.h == lm._hashed(flat)).all()
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b A"), (1, "a b A"), (2, None), (3, ""), (None, "a c"), (4, "z " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("rid", "learns", "token", "tf", "c", "n", "x", "cold", "score", "key", "block")})

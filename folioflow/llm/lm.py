@@ -26,6 +26,7 @@ PRIORS = (100.0,)  # k of order 2 and on: as many as there are, so many orders
 PROBES = 4  # bits of an entry
 ROOM = 8  # bits that an entry has to itself, at least
 BLOCK = 1 << 16  # bits: all entries of an n-gram lie in one block
+SPAN = 16  # blocks that are filled together
 HOT = 1_000_000  # words that have a millionth of all words each, so no more than that
 SAMPLE = 64  # one n-gram in so many (by hash) is counted to see how many there are of each level
 FLUSH = 1 << 20  # distinct words, or twice as many n-grams, that a task counts before it passes them on
@@ -54,6 +55,11 @@ def level_values(bounds: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.sqrt(bounds[:-1].astype(float) * (bounds[1:] - 1)), [float(bounds[-1])]])
 
 
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each key; blocks are in the order of keys."""
+    return (keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+
+
 class LogFrequencyFilter:
     """Levels of uint64 keys. Levels below ``least`` aren't held: a key of a lower level is as one that never came, unless `Low` has it."""
 
@@ -70,7 +76,7 @@ class LogFrequencyFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         out, active, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), self.least
-        start = (keys >> np.uint64(1)) % np.uint64(self.blocks) * np.uint64(BLOCK)
+        start = _block(keys, self.blocks) * np.uint64(BLOCK)
         while len(active) and level < 400:
             hit = np.ones(len(active), bool)
             for at in self.places(keys[active], level):
@@ -298,51 +304,80 @@ def fit(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRIORS, rat
     order = np.argsort(h.view(np.uint64))
     h, c = h.view(np.uint64)[order], c[order]
 
+    level = F.size(F.filter(F.array(*map(F.lit, bounds[:120].tolist())), lambda x: x <= F.col("n")))  # counts up to 10^10
+    spread = Counter()
+    for some, times in ((counted.where("token is null"), SAMPLE), (tokens.where("c > 0").withColumn("n", F.col("c")), 1)):
+        for r in some.groupBy(level.alias("level")).agg(F.count("*").alias("many")).collect():  # a row a level
+            spread[r["level"]] += r["many"] * times
+    least = 1
+    while (entries := sum(n * (x - least + 1) for x, n in spread.items() if x >= least)) * ROOM > most_bits:
+        least += 1
+    blocks = max(1, min(most_bits // BLOCK, -(-entries * 10 // BLOCK)))
+
+    def passed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Sorted keys and their counts: a row a key if some are kept in a table, else a row for all of a span of blocks."""
+        if least > 1:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+        span = (_block(keys, blocks) // np.uint64(SPAN)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(span, prepend=-1))
+        offsets = pa.py_buffer(np.append(edges, len(keys)).astype(np.int32) * np.int32(8))
+        lists = (pa.Array.from_buffers(pa.binary(), len(edges), [None, offsets, pa.py_buffer(x.tobytes())]) for x in (keys, n.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(span[edges]), *lists], ["span", "keys", "n"])
+
     def gather(batches):
         held, size = [], 0
         for b in batches_of(batches):
             held += [keys[there] for keys, there in ngram_keys(*Words(b.column("text")).sequences(), orders)[1:]]
             size += sum(map(len, held[1 - orders :]))
             if size > 2 * FLUSH:
-                yield _keys(held)
+                yield passed(*np.unique(np.concatenate(held), return_counts=True))
                 held, size = [], 0
-        yield _keys(held)
+        if held:
+            yield passed(*np.unique(np.concatenate(held), return_counts=True))
 
     def single(batches):
+        held, size = [], 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(word_keys(_hashed(b.column("token").to_pylist())).view(np.int64)), b.column("c")], ["key", "n"])
-
-    level = F.size(F.filter(F.array(*map(F.lit, bounds[:120].tolist())), lambda x: x <= F.col("n")))  # counts up to 10^10
-    spread = Counter()
-    for some, times in ((counted.where("token is null"), SAMPLE), (tokens.where("c > 0").withColumn("n", F.col("c")), 1)):
-        for r in some.groupBy(level.alias("level")).agg(F.count("*").alias("many")).collect():  # a row a level
-            spread[r["level"]] += r["many"] * times
-    least = 1
-    while (entries := sum(n * (x - least + 1) for x, n in spread.items() if x >= least)) * ROOM > most_bits:
-        least += 1
-    blocks = max(1, min(most_bits // BLOCK, -(-entries * 10 // BLOCK)))
+            held.append((word_keys(_hashed(b.column("token").to_pylist())), b.column("c").to_numpy()))
+            size += b.num_rows
+            if size > 2 * FLUSH:
+                yield passed(*_summed(*map(np.concatenate, zip(*held, strict=True))))
+                held, size = [], 0
+        if held:
+            yield passed(*_summed(*map(np.concatenate, zip(*held, strict=True))))
 
-    def fill(group: pa.Table) -> pa.Table:
-        keys, _, back = _distinct(group.column("key").to_numpy().view(np.uint64))
-        n = np.bincount(back, group.column("n").to_numpy()).astype(np.int64)
-        field = np.zeros(BLOCK // 8, np.uint8)
-        levels = np.searchsorted(bounds, n, side="right")
+    def filled(keys: np.ndarray, n: np.ndarray, first: int, many: int) -> pa.Table:
+        field, levels = np.zeros(many * BLOCK // 8, np.uint8), np.searchsorted(bounds, n, side="right")
+        start = (_block(keys, blocks) - np.uint64(first)) * np.uint64(BLOCK)
         for x in range(least, int(levels.max(initial=0)) + 1):
-            for at in LogFrequencyFilter.places(keys[levels >= x], x):
+            some = levels >= x
+            for at in LogFrequencyFilter.places(keys[some], x):
+                at = at + start[some]
                 np.bitwise_or.at(field, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-        return pa.table({"block": group.column("block").slice(0, 1), "field": pa.array([field.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([first], pa.int64()), "field": pa.array([field.tobytes()], pa.binary())})
+
+    def fill(group: pa.Table) -> pa.Table:
+        return filled(group.column("key").to_numpy().view(np.uint64), group.column("n").to_numpy(), group.column("block")[0].as_py(), 1)
+
+    def fill_span(group: pa.Table) -> pa.Table:
+        keys, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group.column(c)]) for c, t in (("keys", np.uint64), ("n", np.int64)))
+        first = group.column("span")[0].as_py() * SPAN
+        return filled(*_summed(keys, n), first, min(SPAN, blocks - first))
 
-    every = rows.where("learns").select("text").mapInArrow(gather, "key long, n long").unionByName(tokens.where("c > 0").select("token", "c").mapInArrow(single, "key long, n long"))
-    block = F.pmod(F.shiftrightunsigned("key", 1), F.lit(blocks))
-    kept, low = every.repartition(block).withColumn("block", block), None  # one shuffle; a block's counts are summed up where its bits are set
+    what = "key long, n long" if least > 1 else "span long, keys binary, n binary"
+    every = rows.where("learns").select("text").mapInArrow(gather, what).unionByName(tokens.where("c > 0").select("token", "c").mapInArrow(single, what))
+    low = None
     if least > 1:
-        summed = written(kept.groupBy("block", "key").agg(F.sum("n").alias("n")), "counts")
+        block = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(blocks), 32)
+        summed = written(every.repartition(block).withColumn("block", block).groupBy("block", "key").agg(F.sum("n").alias("n")), "counts")  # one shuffle, for counts and blocks
         low = summed.where(F.col("n") < int(bounds[least])).select("key", level.alias("level"))
-        kept = summed.where(F.col("n") >= int(bounds[least - 1]))
+        parts = summed.where(F.col("n") >= int(bounds[least - 1])).groupBy("block").applyInArrow(fill, "block long, field binary")
+    else:
+        parts = every.groupBy("span").applyInArrow(fill_span, "block long, field binary")
     field = np.zeros(blocks * BLOCK // 8, np.uint8)
-    got = kept.groupBy("block").applyInArrow(fill, "block long, field binary").toArrow()  # most_bits / 8 bytes at most
+    got = parts.toArrow()  # most_bits / 8 bytes at most
     for number, bits in zip(got.column("block").to_pylist(), got.column("field"), strict=True):
-        field[number * BLOCK // 8 : (number + 1) * BLOCK // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
+        field[number * BLOCK // 8 :][: len(bits.as_buffer())] = np.frombuffer(bits.as_buffer(), np.uint8)
     held = LogFrequencyFilter(field, least)
     probed = held.levels(word_keys(h))
     hot_counts = h, c, level_values(bounds)[np.where(probed > 0, probed, np.searchsorted(bounds, c, side="right"))]
@@ -370,9 +405,9 @@ def _counted(held: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]], sa
     ], ["token", "key", "n", "c"])
 
 
-def _keys(held: list[np.ndarray]) -> pa.RecordBatch:
-    keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    some, _, back = _distinct(keys)
+    return some, np.bincount(back, n, len(some)).astype(np.int64)
 
 
 def score_texts(docs: DataFrame, learns: Column, priors: tuple[float, ...] = PRIORS, ratio: float = RATIO, most_bits: int = 1 << 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -103,3 +103,12 @@ def test_keys_by_ranges(spark):
         assert set(k[np.isin(k, shared)].tolist()) <= set(got[i].tolist()) <= set(k.tolist())
         others += len(set(got[i].tolist())) - np.isin(k, shared).sum()
     assert others < 0.02 * sum(map(len, keys))
+
+
+@pytest.mark.parametrize("keys", [[[1, 2], [3, 4]], [[1, 2], [1, 2]], [[5]]], ids=["none shared", "all shared", "one row"])
+def test_batches_that_share_no_key_or_all(spark, keys):
+    rows = spark.createDataFrame([(i, np.array(k, np.uint64).tobytes()) for i, k in enumerate(keys)], "tag int, held binary").coalesce(1)
+    of = lambda b: [np.frombuffer(x, np.uint64) for x in b.column("held").to_pylist()]
+    want = {i: sum(sum(x in other for other in keys) > 1 for x in k) for i, k in enumerate(keys)}
+    got = {r.tag: len(b"".join(r["keys"])) // 8 for r in shared_keys(rows, of, 10).collect()}
+    assert {i: n for i, n in got.items() if n} == {i: n for i, n in want.items() if n}

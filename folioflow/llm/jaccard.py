@@ -16,14 +16,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, join_first, map_suspects, texts, written
+from .common import RANGE, batches_of, components, join_first, shared_counts, texts, written
 
 PARTS, LEFT_OUT = 3, 1  # of a group; subsets of PARTS - LEFT_OUT parts are enumerated
 ROUNDS = 16  # partitions of the domain that are tried
+TOGETHER = 1 << 22  # bytes of texts that are shingled together
 _SUBSETS = list(itertools.combinations(range(PARTS), PARTS - LEFT_OUT))
 _FIRST = [[x[p] for x in _SUBSETS] for p in range(PARTS - LEFT_OUT)]
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -35,18 +37,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its ``n``-word shingles: A-Z lower-cased, words between ASCII white
+    space; with fewer words, the sequence as one; without words, none. Texts are looked at together, some MB at a time."""
+    from .lm import Words  # which takes _mix from here
+
+    out: list[np.ndarray] = []
+    piece = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
+    edges = np.flatnonzero(np.diff(piece, prepend=-1)).tolist()
+    for i, j in itertools.pairwise([*edges, len(texts)]):
+        words = Words(texts.slice(i, j - i))
+        k = np.minimum(n, words.n)
+        many = np.where(words.n > 0, words.n - k + 1, 0)  # shingles of each text
+        ends = np.cumsum(many)
+        at = np.arange(many.sum()) + np.repeat(np.cumsum(words.n) - words.n - (ends - many), many)  # their first words
+        k = np.repeat(k, many)
+        h = k.astype(np.uint64)
+        for x in range(n):
+            longer = _mix(h * _M + words.h[np.minimum(at + x, len(words.h) - 1)])
+            h = np.where(k > x, longer, h)
+        new = np.ones(len(h), bool)
+        for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True):
+            h[a:b].sort()
+        new[1:] = h[1:] != h[:-1]
+        new[(ends - many)[many > 0]] = True
+        kept = np.concatenate([[0], np.cumsum(new)])[np.concatenate([[0], ends])].tolist()
+        h = h[new]
+        out += [h[a:b] for a, b in itertools.pairwise(kept)]
+    return out
+
+
 def shingle_set(text: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's ``n``-word shingles: A-Z lower-cased, words between ASCII white
-    space; with fewer words, the sequence as one; without words, none."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = _mix(out * _M + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    """See `shingle_sets`."""
+    return shingle_sets(pa.array([text], pa.string()), n)[0]
 
 
 class Bands:
@@ -151,7 +174,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(count, "a long, b long, n_a long, n_b long, common long")
 
 
-def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 1 << 29) -> DataFrame:
+def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", per_range: int = RANGE) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id) of every row: sets of ``n``-word shingles link when
     den * intersection >= num * union; the component's id is the smallest id that links reach.
 
@@ -160,9 +183,9 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     same id count as one document; with different texts under one id, that id stands for each of the sets.
     Null ids link with nothing and are their own component (null).
 
-    A once/twice Bloom filter of shingles (``most_bits`` at a time) finds the sets of which enough shingles stand in another
-    set too; only these have signatures made and shuffled. A similar partner shares at least ``num / den`` of a set's shingles,
-    so none is lost, and a filter that lets some shingles through by chance does no harm.
+    Shingles are dealt by ranges of their hashes (`shared_counts`, about ``per_range`` each) to find the sets of which enough shingles stand in
+    another set too; only these have signatures made and shuffled. A similar partner shares at least ``num / den`` of a set's shingles,
+    so none is lost, and a shingle that is taken for another one by chance does no harm.
 
     Links are found in two steps that together lose none. First every signature's members are compared with the
     smallest of them only. Then, in signatures whose members have not met in one component, the pairs from
@@ -174,7 +197,7 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 
     def measure(batches):
         for b in batches_of(batches):
-            sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
+            sets = shingle_sets(b.column("text"), n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["doc_id", "rid", "size", "same"])
 
     sized = written(rows.mapInArrow(measure, "doc_id long, rid long, size long, same binary"), "sets")
@@ -185,20 +208,16 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 
     again = written(members.where((F.col("doc_id") != F.col("node")) | (F.col("rid") != F.col("first_rid"))).select("doc_id", "rid").distinct(), "again")
     small = again.count() <= 2_000_000  # 32 MB at most
-    own = rows.where("doc_id is not null").join(F.broadcast(again) if small else again, ["doc_id", "rid"], "left_anti").select("doc_id", "text")
-    elements_in = members.where((F.col("doc_id") == F.col("node")) & (F.col("rid") == F.col("first_rid"))).agg(F.sum("size")).first()[0] or 0
-
-    def repeated(b, has):
-        sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(has(x).sum()) for x in sets], pa.int64())], ["node", "n", "hits"])
-
-    sets_of = lambda b: (shingle_set(t, n) for t in b.column("text").to_pylist())
-    seen = map_suspects(own, own.select("text"), sets_of, elements_in, repeated, "node long, n long, hits long", most_bits)
-    able = seen.groupBy("node", "n").agg(F.sum("hits").alias("hits")).where((F.col("n") > 0) & (F.col("hits") * den >= F.col("n") * num))
+    tag = F.pmod(F.xxhash64("doc_id", "rid"), F.lit((1 << 31) - 1)).cast("int").alias("tag")
+    own = rows.where("doc_id is not null").join(F.broadcast(again) if small else again, ["doc_id", "rid"], "left_anti").select("doc_id", "text", tag)
+    firsts = members.where((F.col("doc_id") == F.col("node")) & (F.col("rid") == F.col("first_rid"))).select("node", "size", tag)
+    elements_in = firsts.agg(F.sum("size")).first()[0] or 0
+    hits_of = shared_counts(own.select("tag", "text"), lambda b: shingle_sets(b.column("text"), n), elements_in, per_range)
+    able = firsts.join(hits_of, "tag").where(F.col("hits") * den >= F.col("size") * num)
 
     def sign(batches):
         for b in batches_of(batches):
-            each = [np.unique(signatures(shingle_set(t, n), bands)) for t in b.column("text").to_pylist()]
+            each = [np.unique(signatures(s, bands)) for s in shingle_sets(b.column("text"), n)]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(), [len(x) for x in each]), pa.int64()), pa.array(np.concatenate(each).view(np.int64) if each else np.zeros(0, np.int64))], ["node", "sig"])
 
     able = written(able.select("node").distinct(), "able")
@@ -218,7 +237,7 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 
         def pick(batches):
             for b in batches_of(batches):
-                sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
+                sets = shingle_sets(b.column("text"), n)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), what(sets)], ["node", "n", "x"])
 
         return rows.join(part, ["doc_id", "rid"], "left_semi").select("doc_id", "text").mapInArrow(pick, f"node long, n long, x {schema}")

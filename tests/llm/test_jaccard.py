@@ -2,9 +2,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from folioflow.llm.jaccard import Bands, keep_first, parities, shingle_set, signatures, similarity_components
+from folioflow.llm import jaccard
+from folioflow.llm.jaccard import Bands, keep_first, parities, shingle_set, shingle_sets, signatures, similarity_components
 
 
 def brute(rows, n, num, den):
@@ -53,6 +55,30 @@ def test_components_match_brute_force(spark, n, num, words):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, n, num, 100)
 
 
+@pytest.mark.parametrize(("n", "num", "words"), [(3, 90, (2, 60)), (5, 80, (1, 90))])
+def test_components_are_the_same_with_many_ranges(spark, n, num, words):
+    rows = documents(num + words[1] + 1, words)
+    rows += [(500, None), (501, ""), (503, rows[0][1].upper()), (504, "one two"), (505, "ONE two")]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(3)
+    got = similarity_components(df, n, num, 100, per_range=50).distinct().collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, n, num, 100)
+
+
+def test_sets_of_many_texts_are_those_of_each(monkeypatch):
+    texts = ["", " ", "a", "A b", "a b", "b a", "a\tB\n c d ", "\u00e9 \u00c9 a b", "", *(t for _, t in documents(4, (1, 40), 30))]
+    monkeypatch.setattr(jaccard, "TOGETHER", 100)
+    for n in (1, 3, 5):
+        sets = shingle_sets(pa.array(["-", *texts]).slice(1), n)
+        assert [s.tolist() for s in sets] == [shingle_set(t, n).tolist() for t in texts]
+        for t, s in zip(texts, sets, strict=True):
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).split()
+            k = min(n, len(w))
+            assert len(s) == (len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) if w else 0)
+    assert shingle_sets(pa.array([], pa.string()), 3) == []
+    a, b = shingle_sets(pa.array(["a b c", "A  B\tc"]), 3)
+    assert a.tolist() == b.tolist() != shingle_set("b a c", 3).tolist()
+
+
 def test_chains_and_near_threshold_groups_lose_no_link(spark):
     rng = random.Random(9)
     base = [f"b{i}" for i in range(150)]

@@ -1,14 +1,16 @@
 """Operators on tables with columns that clash with their own, without rows, and with very long texts."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm.chat import as_replies, format_chats, read_back
-from folioflow.llm.common import shared_keys
+from folioflow.llm.common import map_suspects, shared_counts, shared_keys
 from folioflow.llm.decontam import find_contamination
 from folioflow.llm.jaccard import keep_first, similarity_components
 from folioflow.llm.linededup import dedup_lines
@@ -105,6 +107,26 @@ def test_keys_by_ranges(spark):
     assert others < 0.02 * sum(map(len, keys))
 
 
+def test_shared_keys_are_counted_by_ranges(spark):
+    """Of each row, how many keys another one has: rows that are dealt together, rows of other tasks, a key of all, repeated rows."""
+    rng = np.random.default_rng(6)
+    some = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    keys = [np.unique(np.concatenate([rng.integers(0, 1 << 63, 30).astype(np.uint64), rng.choice(some, 3), np.array([7], np.uint64)[: i % 5]])) for i in range(1500)]
+    keys += [np.zeros(0, np.uint64), rng.integers(0, 1 << 63, 1).astype(np.uint64)]
+    rows = spark.createDataFrame([(i, k.tobytes()) for i, k in enumerate(keys)], "tag int, held binary").repartition(6)
+    of = lambda b: [np.frombuffer(x, np.uint64) for x in b.column("held").to_pylist()]
+    every, n = np.unique(np.concatenate(keys), return_counts=True)
+    want = {i: int(np.isin(k, every[n > 1]).sum()) for i, k in enumerate(keys)}
+    for per_range in (1 << 22, 500):
+        df = shared_counts(rows, of, 50_000, per_range)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
+        got = {r.tag: r.hits for r in df.collect()}
+        assert all(got.get(i, 0) >= x for i, x in want.items())
+        assert sum(got.values()) <= sum(want.values()) + 5
+    assert shared_counts(rows.where("tag >= 1500"), of, 1).count() == 0  # no keys, and one that is nowhere else
+
+
 @pytest.mark.parametrize("keys", [[[1, 2], [3, 4]], [[1, 2], [1, 2]], [[5]]], ids=["none shared", "all shared", "one row"])
 def test_batches_that_share_no_key_or_all(spark, keys):
     rows = spark.createDataFrame([(i, np.array(k, np.uint64).tobytes()) for i, k in enumerate(keys)], "tag int, held binary").coalesce(1)
@@ -112,3 +134,23 @@ def test_batches_that_share_no_key_or_all(spark, keys):
     want = {i: sum(sum(x in other for other in keys) > 1 for x in k) for i, k in enumerate(keys)}
     got = {r.tag: len(b"".join(r["keys"])) // 8 for r in shared_keys(rows, of, 10).collect()}
     assert {i: n for i, n in got.items() if n} == {i: n for i, n in want.items() if n}
+    assert {r.tag: r.hits for r in shared_counts(rows, of, 10).collect()} == {i: n for i, n in want.items() if n}
+
+
+def test_suspects_of_a_batch_are_not_sorted_for_each_row(spark):
+    """Where the keys need more than a filter, what a batch's rows ask for costs about as much as if they asked at once."""
+    rows = spark.createDataFrame([(i, i // 2 * 400 + 1) for i in range(400)], "doc_id long, start long").coalesce(1)
+    of = lambda b: [np.unique(np.arange(s, s + 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in b.column("start").to_pylist()]
+
+    def suspects(b, has):
+        each, t = of(b), [time.perf_counter()]
+        hits = [int(has(k).sum()) for k in each]
+        t.append(time.perf_counter())
+        np.isin(np.concatenate(each), np.unique(np.concatenate(each)))
+        t.append(time.perf_counter())
+        return pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array([(t[1] - t[0]) / (t[2] - t[1])] * len(hits))], ["hits", "ratio"])
+
+    got = map_suspects(rows, rows, of, 160_000, suspects, "hits long, ratio double", 8).collect()
+    assert [r.hits for r in got] == [400] * 400
+    assert max(r.ratio for r in got) < 10
+
